@@ -5,7 +5,7 @@ from __future__ import annotations
 from glyphlake.functions import chars
 
 #: Words that lure, commands that inject, and markup that executes.
-LURES = r"(?i)\b(?:login|password|verify|account|secure|update|bank|signin)\b|//"
+LURES = r"(?i)(?:^|[^\p{L}\p{N}_])(?:login|password|verify|account|secure|update|bank|signin)(?:[^\p{L}\p{N}_]|\z)|//"
 INJECTIONS = r"(?i)ignore (?:all |any )?previous instructions|disregard the above|system prompt|you are now|\x{001B}\["
 WAF = r"(?i)<script|javascript:|onerror\s*=|union\s+select|or\s+1=1|\.\./|/etc/passwd"
 
@@ -98,7 +98,7 @@ CATALOG: dict[str, str] = {
     "stats_ws_channel": _doc("@count{ } AS sp, @count{\\x{0009}} AS tab, @count{\\x{00A0}} AS nbsp, @count{\\x{200B}} AS zwsp, @count{[ \\x{0009}]\\x{000A}} AS trailing"),
     "stats_stylometry": _doc("CASE WHEN @count{[\\p{L}\\p{N}]+} > 0 THEN @count{[\\p{L}\\p{N}]} / CAST(@count{[\\p{L}\\p{N}]+} AS DOUBLE) ELSE 0.0 END AS word_length, " + _share("\\p{P}") + " AS punctuation"),
     # lenses
-    "lens_filesystem": _doc("@count{[\\x{0000}/\\\\]} AS critical, @count{[<>:|?*]} AS reserved, @has{(?i)\\b(?:CON|PRN|AUX|NUL|COM[1-9]|LPT[1-9])\\b} AS reserved_name, @has{[. ]\\z} AS trailing"),
+    "lens_filesystem": _doc("@count{[\\x{0000}/\\\\]} AS critical, @count{[<>:|?*]} AS reserved, @has{(?i)(?:^|[^\\p{L}\\p{N}_])(?:CON|PRN|AUX|NUL|COM[1-9]|LPT[1-9])(?:[^\\p{L}\\p{N}_]|\\z)} AS reserved_name, @has{[. ]\\z} AS trailing"),
     "lens_source_code": _doc("@count{[" + chars.BIDI + "]} AS trojan, @count{[" + chars.INVISIBLE + "]} AS hidden, @count{[" + chars.SPACES + "]} AS odd_spaces"),
     "lens_restriction_level": _doc("CASE WHEN NOT @has{[^\\x{0000}-\\x{007F}]} THEN 'ASCII' WHEN NOT @has{\\p{Cyrillic}|\\p{Greek}} THEN 'Single' WHEN @has{\\p{Latin}} THEN 'Moderate' ELSE 'Single' END AS level"),
     "lens_domains": "SELECT host, CAST(count(*) AS BIGINT) AS n, max(CASE WHEN host LIKE '%xn--%' THEN 1 ELSE 0 END) AS punycode FROM (SELECT regexp_extract(url, @rx{^[a-z]+://([^/?#]+)}, 1) AS host FROM pages) GROUP BY host",
