@@ -26,7 +26,7 @@ def _hex(x) -> F.Column:
 def read_range_file(spark: SparkSession, path: str, columns: tuple[str, ...], only: list[str] | None = None) -> DataFrame:
     """lo, hi and columns; rows whose code points can't be read are skipped; `only` keeps values of the first column."""
     rows = read_fields(spark, path).withColumn("r", F.get("f", F.lit(0)))
-    rows = rows.where(r"r rlike r'^[0-9A-Fa-f]{4,6}(\.\.[0-9A-Fa-f]{4,6})?$'")
+    rows = rows.where(F.col("r").rlike(r"^[0-9A-Fa-f]{4,6}(\.\.[0-9A-Fa-f]{4,6})?$"))
     ends = F.split("r", r"\.\.")
     out = rows.select(_hex(ends[0]).alias("lo"), _hex(F.element_at(ends, -1)).alias("hi"), *[F.get("f", F.lit(i + 1)).alias(c) for i, c in enumerate(columns)])
     return out.where(F.col(columns[0]).isin(only)) if only else out
