@@ -16,7 +16,7 @@ FORMATS = {
 def read_fields(spark: SparkSession, path: str, separator: str = ";") -> DataFrame:
     """f: the trimmed fields of each line that holds data; comments and blank lines go."""
     line = F.trim(F.regexp_replace("value", "#.*$", ""))
-    return spark.read.text(path).select(line.alias("line")).where("line <> ''").select(F.transform(F.split("line", separator), F.trim).alias("f"))
+    return spark.read.text(path).select(line.alias("line")).where("line <> ''").select(F.transform(F.split("line", separator), lambda x: F.trim(x)).alias("f"))
 
 
 def _hex(x) -> F.Column:

@@ -107,7 +107,8 @@ def test_stream_is_the_batch(spark, tmp_path):
         key = lambda r: tuple(str(round(x, 6) if isinstance(x, float) else x) for x in r)
         assert sorted(map(key, got.collect())) == sorted(map(key, f(events).collect()))
     assert stream.debounced(events).count() <= events.count()
-    assert stream.once_each(events, ["event_id"]).count() == events.count()
+    twice = stream.run_available(spark, path, events.schema, lambda d: stream.once_each(d.union(d), ["event_id"]), "t_once", str(tmp_path / "once"))
+    assert twice.count() == events.count()
 
 
 def test_functions_are_registered(spark):
