@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from glyphlake.operators import macro
+from pyspark.sql import functions as F
+
+from glyphlake.functions import normal
+from glyphlake.operators import macro, pairs, structure
 from glyphlake.operators.catalog import CATALOG, TABLES
 from glyphlake.plans.template import oracle, spark_query
 from glyphlake.sources.tables import PERTURBED, read
+from glyphlake.streaming import stream
 
 
 def pdocs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,8 +49,71 @@ MACRO_SQL = {
 }
 
 
+def sequential_bidi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return structure.bidi_structure(pdocs(spark, sf_dir))
+
+
+def sequential_topology(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return structure.topology(pdocs(spark, sf_dir))
+
+
+def sequential_deobfuscate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return structure.recursive_deobfuscate(pdocs(spark, sf_dir))
+
+
+def sequential_lz_complexity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Over distinct lines, where the phrases of one line bound the work of a row."""
+    lines = pdocs(spark, sf_dir).select(F.explode(F.split("text", "\n")).alias("line")).distinct()
+    return lines.select("line", normal.lz_complexity("line").alias("phrases"))
+
+
+def states_quad(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of the raw, NFKC, casefolded and skeleton states."""
+    docs = pdocs(spark, sf_dir)
+    forms = {"raw": F.col("text"), "nfkc": normal.nfkc("text"), "casefold": normal.nfkc_casefold("text"), "skeleton": normal.skeleton("text")}
+    return docs.select("doc_id", *[F.sha2(c, 256).alias(f"{k}_sha256") for k, c in forms.items()])
+
+
+def states_inflation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = pdocs(spark, sf_dir)
+    return docs.select("doc_id", (F.length(normal.nfkc("text")) / F.greatest(F.length("text"), F.lit(1))).alias("inflation"), (normal.nfc("text") != F.col("text")).alias("not_nfc"))
+
+
+def states_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tokens = pdocs(spark, sf_dir).select(F.explode(F.regexp_extract_all("text", F.lit(r"([\p{L}]+)"), F.lit(1))).alias("token"))
+    return pairs.skeleton_collisions(tokens)
+
+
+def pairs_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each raw benchmark passage against its perturbed form."""
+    items = read(spark, sf_dir, "benchmark").withColumnRenamed("item_id", "doc_id")
+    return pairs.compare_states(items.selectExpr("doc_id", f"{PERTURBED} AS suspect", "text AS reference")).drop("suspect", "reference")
+
+
+def html_hidden_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hidden text of pages, to which three of four pages add some."""
+    added = "concat(html, CASE page_id % 4 WHEN 0 THEN '<p style=\"display:none\">x</p>' WHEN 1 THEN '<i style=\"opacity:0\">y</i>' WHEN 2 THEN '<b style=\"font-size:0\">z</b>' ELSE '' END)"
+    return structure.html_hidden(read(spark, sf_dir, "pages").selectExpr("page_id", f"{added} AS html"))
+
+
+def html_fis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return structure.fis_score(html_hidden_text(spark, sf_dir))
+
+
+def stream_sliding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stream.sliding(read(spark, sf_dir, "events"))
+
+
+def stream_debounced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stream.debounced(read(spark, sf_dir, "events"))
+
+
+#: Operators that SQL can't express; tests hold them against literal vectors.
+ROWS_ONLY = {f.__name__: f for f in (sequential_bidi, sequential_topology, sequential_deobfuscate, sequential_lz_complexity, states_quad, states_inflation, states_collisions, pairs_states, html_hidden_text, html_fis, stream_sliding, stream_debounced)}
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return MACRO | {name: spark_query(sql, TABLES.get(name, ())) for name, sql in CATALOG.items()}
+    return MACRO | ROWS_ONLY | {name: spark_query(sql, TABLES.get(name, ())) for name, sql in CATALOG.items()}
 
 
 def oracle_sql() -> dict[str, str]:

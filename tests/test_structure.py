@@ -115,3 +115,24 @@ def test_functions_are_registered(spark):
     normal.register(spark)
     assert spark.sql("select nfkc('⓼') a, skeleton('pаy') b").first() == ("8", "pay")
     assert pd.isna(spark.sql("select nfkc(cast(null as string))").first()[0])
+
+
+def test_rows_only_queries(spark):
+    from glyphlake.plans import registry
+
+    for name, query in registry.ROWS_ONLY.items():
+        assert query(spark, SF).count() > 0, name
+
+
+def test_entry_without_the_llm_folder(tmp_path):
+    """The rest imports when the subpackage is taken away."""
+    import os
+    import shutil
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    shutil.copytree(f"{root}/glyphlake", tmp_path / "glyphlake", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(f"{root}/__spark_entry__.py", tmp_path)
+    code = "import __spark_entry__ as e; assert e.llm is None and len(e.queries()) > 100 and not any(n.startswith('op') or n == 'pipeline' for n in e.queries())"
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env=os.environ | {"PYTHONPATH": ""})
