@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glyphlake.functions import normal
-from glyphlake.operators import macro, pairs, structure
+from glyphlake.operators import atoms, macro, pairs, structure
 from glyphlake.operators.catalog import CATALOG, TABLES
 from glyphlake.plans.template import oracle, spark_query
 from glyphlake.sources.tables import PERTURBED, read
@@ -108,13 +108,36 @@ def stream_debounced(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stream.debounced(read(spark, sf_dir, "events"))
 
 
+def atoms_graphemes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return atoms.graphemes(pdocs(spark, sf_dir))
+
+
+def profile_graphemes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return atoms.grapheme_profile(pdocs(spark, sf_dir))
+
+
+def profile_encodings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return atoms.encoding_coverage(pdocs(spark, sf_dir))
+
+
+def flag_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return atoms.flag_positions(pdocs(spark, sf_dir))
+
+
+def shape_category_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return atoms.category_runs(pdocs(spark, sf_dir))
+
+
+PLACED = {f.__name__: f for f in (flag_positions, shape_category_runs)}
+PLACED_SQL = {"flag_positions": atoms.flag_positions_sql(), "shape_category_runs": atoms.category_runs_sql()}
+
 #: Operators that SQL can't express; tests hold them against literal vectors.
-ROWS_ONLY = {f.__name__: f for f in (sequential_bidi, sequential_topology, sequential_deobfuscate, sequential_lz_complexity, states_quad, states_inflation, states_collisions, pairs_states, html_hidden_text, html_fis, stream_sliding, stream_debounced)}
+ROWS_ONLY = {f.__name__: f for f in (atoms_graphemes, profile_graphemes, profile_encodings, sequential_bidi, sequential_topology, sequential_deobfuscate, sequential_lz_complexity, states_quad, states_inflation, states_collisions, pairs_states, html_hidden_text, html_fis, stream_sliding, stream_debounced)}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return MACRO | ROWS_ONLY | {name: spark_query(sql, TABLES.get(name, ())) for name, sql in CATALOG.items()}
+    return MACRO | PLACED | ROWS_ONLY | {name: spark_query(sql, TABLES.get(name, ())) for name, sql in CATALOG.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: oracle(sql) for name, sql in (MACRO_SQL | CATALOG).items()}
+    return {name: oracle(sql) for name, sql in (MACRO_SQL | PLACED_SQL | CATALOG).items()}

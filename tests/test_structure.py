@@ -117,6 +117,19 @@ def test_functions_are_registered(spark):
     assert pd.isna(spark.sql("select nfkc(cast(null as string))").first()[0])
 
 
+def test_atoms(spark):
+    from glyphlake.operators import atoms
+
+    family = "\U0001f468\u200d\U0001f469\u200d\U0001f467"
+    df = spark.createDataFrame([(1, "a" + family + "e\u0301\r\nz"), (2, None), (3, "")], "doc_id long, text string")
+    rows = atoms.graphemes(df).orderBy("g_idx").collect()
+    assert [(r.n_cp, r.cp_start, r.unit_start) for r in rows] == [(1, 0, 0), (5, 1, 1), (2, 6, 9), (2, 8, 11), (1, 10, 13)]
+    assert tuple(atoms.grapheme_profile(df.where("doc_id = 1")).first()) == (1, 5, 2, 3, 1, 1)
+    got = {r.encoding: r for r in atoms.encoding_coverage(spark.createDataFrame([(1, "a\u0430")], "doc_id long, text string")).collect()}
+    assert (got["cp1251"].all_share, got["cp1252"].all_share, got["cp1252"].signal_share) == (1.0, 0.5, 0.0)
+    assert len(got) == len(atoms.ENCODINGS)
+
+
 def test_rows_only_queries(spark):
     from glyphlake.plans import registry
 
