@@ -17,7 +17,11 @@ from glyphlake.streaming import stream
 
 
 def pdocs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "documents").selectExpr("doc_id", f"{PERTURBED} AS text")
+    """The perturbed documents; a table of fewer partitions than cores is spread, as the work on a text outweighs its shuffle."""
+    docs, cores = read(spark, sf_dir, "documents").select("doc_id", "text"), spark.sparkContext.defaultParallelism
+    if docs.rdd.getNumPartitions() < cores:
+        docs = docs.repartition(cores)
+    return docs.selectExpr("doc_id", f"{PERTURBED} AS text")
 
 
 def macro_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
