@@ -54,6 +54,17 @@ def flag_positions(docs: DataFrame) -> DataFrame:
     return rows.groupBy("doc_id", "f.flag", "f.severity").agg(F.count("*").alias("n"), F.array_join(places, ",").alias("positions"))
 
 
+def flag_totals(docs: DataFrame) -> DataFrame:
+    """flag, docs, n over all texts, which are read once for all flags."""
+    each = F.array(*[F.struct(F.lit(k).alias("flag"), F.regexp_count("text", F.lit(p)).cast("long").alias("n")) for k, (_, p) in chars.FLAGS.items()])
+    return docs.select(F.explode(each).alias("f")).where("f.n > 0").groupBy("f.flag").agg(F.count("*").alias("docs"), F.sum("f.n").alias("n"))
+
+
+def flag_totals_sql() -> str:
+    parts = " UNION ALL ".join(f"SELECT '{k}' AS flag, len(regexp_extract_all(text, '{p}')) AS n FROM pdocs" for k, (_, p) in chars.FLAGS.items())
+    return f"SELECT flag, CAST(count(*) AS BIGINT) AS docs, CAST(sum(n) AS BIGINT) AS n FROM ({parts}) WHERE n > 0 GROUP BY flag"
+
+
 def flag_positions_sql() -> str:
     parts = " UNION ALL ".join(f"SELECT doc_id, i, '{k}' AS flag, '{s}' AS severity FROM c WHERE regexp_matches(ch, '{p}')" for k, (s, p) in chars.FLAGS.items() if s != "info")
     return f"""WITH l AS (SELECT doc_id, string_split(text, '') AS a FROM pdocs), c AS (SELECT doc_id, unnest(a) AS ch, generate_subscripts(a, 1) - 1 AS i FROM l), f AS ({parts})

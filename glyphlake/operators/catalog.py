@@ -124,7 +124,5 @@ for _name, (_, _p) in chars.FLAGS.items():
     CATALOG[f"flag_{_name}"] = f"SELECT doc_id, '{_name}' AS flag, @count{{{_p}}} AS n FROM pdocs WHERE @has{{{_p}}}"
 for _name, _p in chars.SEQUENCES.items():
     CATALOG[f"flag_{_name}"] = f"SELECT doc_id, '{_name}' AS flag, @count{{{_p}}} AS n FROM pdocs WHERE @has{{{_p}}}"
-CATALOG["flag_all"] = "SELECT flag, CAST(count(*) AS BIGINT) AS docs, CAST(sum(n) AS BIGINT) AS n FROM (" + " UNION ALL ".join(f"SELECT '{k}' AS flag, @count{{{p}}} AS n FROM pdocs" for k, (_, p) in chars.FLAGS.items()) + ") WHERE n > 0 GROUP BY flag"
-
 #: Tables other than the documents that an operator reads.
 TABLES = {"lens_domains": ("pages",), "html_input_guard": ("pages",), "html_css_signatures": ("pages",), "stream_turns": ("conversations",), "stream_tumbling": ("events",)}

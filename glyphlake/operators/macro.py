@@ -18,59 +18,83 @@ CLASSES = """CASE WHEN c = 1564 OR c IN (8206, 8207) OR c BETWEEN 8234 AND 8238
  WHEN c IN (10, 11, 12, 13, 133, 8232, 8233) THEN 'N'
  WHEN c IN (9, 32, 160, 5760, 8239, 8287, 12288) OR c BETWEEN 8192 AND 8202 THEN 'S'
  ELSE 'C' END"""
-_SPARK_CLASS = CLASSES.replace("c ", "ascii(g) ")
+# The same classes for Spark: patterns of the first code point, in order of priority; what is left is content.
+_FIRST = {
+    "B": r"\x{061C}\x{200E}\x{200F}\x{202A}-\x{202E}\x{2066}-\x{2069}",
+    "J": r"\x{200C}\x{200D}",
+    "O": r"\x{00AD}\x{034F}\x{115F}\x{1160}\x{17B4}\x{17B5}\x{200B}\x{3164}\x{FEFF}\x{FFA0}\x{180B}-\x{180F}\x{2060}-\x{2065}\x{206A}-\x{206F}\x{FE00}-\x{FE0F}\x{E0000}-\x{E0FFF}",
+    "N": r"\x{000A}-\x{000D}\x{0085}\x{2028}\x{2029}",
+    "S": r"\x{0009}\x{0020}\x{00A0}\x{1680}\x{202F}\x{205F}\x{3000}\x{2000}-\x{200A}",
+}
 
 
 def class_string(text: str = "text") -> F.Column:
-    return F.expr(f"array_join(transform(regexp_extract_all({text}, r'(\\X)', 1), g -> {_SPARK_CLASS}), '')")
+    """A letter for each grapheme: each becomes C, after its first code point if that is of another class; the two then become one letter.
+
+    Only compiled replacements over the whole text, no lambda for each grapheme.
+    """
+    out = F.regexp_replace(text, rf"(?=([{''.join(_FIRST.values())}])?)\X", "$1C")
+    for letter, points in _FIRST.items():
+        out = F.regexp_replace(out, f"[{points}]C", letter)
+    return out
 
 
 def segments(docs: DataFrame) -> DataFrame:
     """doc_id, seg, n_seg, start, end, cls (class letters) of docs(doc_id, text); a text without graphemes has none."""
-    rows = docs.select("doc_id", class_string().alias("all")).withColumn("t", F.length("all").cast("long")).where("t > 0")
+    # The filter is on the text itself: one on the class string would be pushed below it and build it twice.
+    rows = docs.where("text <> ''").select("doc_id", class_string().alias("all")).withColumn("t", F.length("all").cast("long"))
     rows = rows.withColumn("n_seg", F.least(F.lit(SEGMENTS), "t").cast("long")).withColumn("seg", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_seg") - 1)))
     rows = rows.withColumn("start", F.expr("seg * t div n_seg")).withColumn("end", F.expr("(seg + 1) * t div n_seg"))
     return rows.select("doc_id", "seg", "n_seg", "start", "end", F.expr("substring(all, cast(start + 1 as int), cast(end - start as int))").alias("cls"))
 
 
+#: Lengths of the runs in order, their distinct values ascending, and how many runs have each.
 _RUNS = "transform(regexp_extract_all(cls, '(C+)', 1), r -> cast(length(r) as bigint))"
-_SPACES = "transform(regexp_extract_all(cls, '(S+)', 1), r -> cast(length(r) as bigint))"
+_COUNTS = "transform(vals, (v, i) -> coalesce(array_position(ordered, get(vals, i + 1)), n + 1L) - array_position(ordered, v))"
+
+
+def _over_values(e: str) -> str:
+    """Sum of e over the distinct lengths v, of which there are k."""
+    return f"aggregate(zip_with(vals, counts, (v, k) -> cast({e} as double)), cast(0 as double), (s, x) -> s + x)"
 
 
-def _sum(a: str, f: str = "v") -> str:
-    return f"aggregate({a}, cast(0 as double), (s, v) -> s + {f})"
+def _letters_of(letter: str) -> F.Column:
+    return F.expr(f"cast(length(cls) - length(replace(cls, '{letter}', '')) as bigint)")
 
 
 def metrics(segs: DataFrame) -> DataFrame:
-    """Run statistics of each segment."""
-    rows = segs.withColumn("runs", F.expr(_RUNS)).withColumn("gaps", F.expr(_SPACES)).withColumn("n", F.size("runs"))
-    rows = rows.withColumn("volume", F.expr(f"cast({_sum('runs')} as bigint)")).withColumn("ordered", F.array_sort("runs"))
-    entropy = f"coalesce(-{_sum('transform(array_distinct(runs), x -> size(filter(runs, y -> y = x)) / n)', 'v * log2(v)')}, 0D) + 0D"
+    """Run statistics of each segment, from the histogram of its run lengths (few distinct values, however long the text)."""
+    rows = segs.withColumn("runs", F.expr(_RUNS)).withColumn("ordered", F.sort_array("runs")).withColumn("n", F.size("runs").cast("long"))
+    rows = rows.withColumn("vals", F.array_distinct("ordered")).withColumn("counts", F.expr(_COUNTS))
+    rows = rows.withColumn("volume", _letters_of("C")).withColumn("gap_volume", _letters_of("S")).withColumn("gaps", F.regexp_count("cls", F.lit("S+")).cast("long"))
     # The most frequent length; the first seen of those.
-    mode = "aggregate(array_distinct(runs), struct(cast(0 as bigint) as v, 0 as k), (s, x) -> if(size(filter(runs, y -> y = x)) > s.k, struct(x as v, size(filter(runs, y -> y = x)) as k), s), s -> s.v)"
+    mode = "array_min(transform(filter(vals, (v, i) -> counts[i] = array_max(counts)), v -> struct(array_position(runs, v) as at, v as v))).v"
     some = lambda e: F.expr(f"if(n > 0, {e}, 0D)")
     return rows.select(
-        "doc_id", "seg", "n_seg", "start", "end", "volume", F.col("n").cast("long").alias("run_count"),
+        "doc_id", "seg", "n_seg", "start", "end", "volume", F.col("n").alias("run_count"),
         some("volume / n").alias("mean_run"),
-        some(f"sqrt({_sum('runs', '(v - volume / n) * (v - volume / n)')} / n)").alias("std_dev"),
-        some("(ordered[(n - 1) div 2] + ordered[n div 2]) / 2D").alias("median_run"),
-        F.expr(mode).alias("mode_run"), F.expr("coalesce(array_max(runs), 0)").alias("max_run"),
-        some(entropy).alias("entropy"),
-        F.expr("cast(size(gaps) as bigint)").alias("space_runs"),
-        F.expr(f"if(size(gaps) > 0, {_sum('gaps')} / size(gaps), 0D)").alias("avg_space_length"),
-        *[F.expr(f"cast(length(cls) - length(replace(cls, '{c}', '')) as bigint)").alias(k) for c, k in (("N", "line_breaks"), ("B", "bidi_atoms"), ("J", "join_atoms"), ("O", "other_invisibles"))],
-        F.expr("length(cls)").cast("long").alias("graphemes"), "runs",
-        F.expr("cast(length(cls) - length(replace(cls, 'S', '')) as bigint)").alias("gap_volume"),
+        some(f"sqrt({_over_values('k * (v - volume / n) * (v - volume / n)')} / n)").alias("std_dev"),
+        some("(ordered[cast((n - 1) div 2 as int)] + ordered[cast(n div 2 as int)]) / 2D").alias("median_run"),
+        F.expr(f"coalesce({mode}, 0)").alias("mode_run"), F.expr("coalesce(array_max(vals), 0)").alias("max_run"),
+        some(f"0D - {_over_values('k / n * log2(k / n)')}").alias("entropy"),
+        F.col("gaps").alias("space_runs"),
+        F.expr("if(gaps > 0, gap_volume / gaps, 0D)").alias("avg_space_length"),
+        *[_letters_of(c).alias(k) for c, k in (("N", "line_breaks"), ("B", "bidi_atoms"), ("J", "join_atoms"), ("O", "other_invisibles"))],
+        F.expr("length(cls)").cast("long").alias("graphemes"), "runs", "gap_volume", "vals", "counts",
     )
 
 
-def densities(rows: DataFrame) -> DataFrame:
+def density_columns() -> dict[str, F.Column]:
     total = F.col("graphemes") + EPSILON
     threats = F.col("bidi_atoms") + F.col("join_atoms") + F.col("other_invisibles")
-    return rows.select(
-        "doc_id", "seg", (F.col("volume") / total * 100).alias("content_density_pct"), ((F.col("gap_volume") + F.col("line_breaks")) / total * 100).alias("gap_density_pct"),
-        threats.alias("threats_all"), (F.col("bidi_atoms") + F.col("join_atoms")).alias("threats_critical"), (threats / (F.col("volume") + EPSILON) * 100).alias("threat_density"),
-    )
+    return {
+        "content_density_pct": F.col("volume") / total * 100, "gap_density_pct": (F.col("gap_volume") + F.col("line_breaks")) / total * 100,
+        "threats_all": threats, "threats_critical": F.col("bidi_atoms") + F.col("join_atoms"), "threat_density": threats / (F.col("volume") + EPSILON) * 100,
+    }
+
+
+def densities(rows: DataFrame) -> DataFrame:
+    return rows.select("doc_id", "seg", *[c.alias(k) for k, c in density_columns().items()])
 
 
 BIN_NAMES = [f"bin_{i:02d}" for i in range(1, 17)]
@@ -78,12 +102,9 @@ BIN_NAMES = [f"bin_{i:02d}" for i in range(1, 17)]
 
 def bins(rows: DataFrame) -> DataFrame:
     """Runs of each length (16: and longer) and their volume."""
-    def one(i: int) -> str:
-        return f"filter(runs, v -> least(v, 16L) = {i})"
-    return rows.select(
-        "doc_id", "seg", *[F.expr(f"cast(size({one(i)}) as bigint)").alias(n) for i, n in enumerate(BIN_NAMES, 1)],
-        *[F.expr(f"cast({_sum(one(i))} as bigint)").alias(n.replace("bin", "vol")) for i, n in enumerate(BIN_NAMES, 1)],
-    )
+    def one(i: int, e: str) -> F.Column:
+        return F.expr(f"cast({_over_values(f'if(least(v, 16L) = {i}, {e}, 0L)')} as bigint)")
+    return rows.select("doc_id", "seg", *[one(i, "k").alias(n) for i, n in enumerate(BIN_NAMES, 1)], *[one(i, "k * v").alias(n.replace("bin", "vol")) for i, n in enumerate(BIN_NAMES, 1)])
 
 
 SCORED = ("content_density_pct", "gap_density_pct", "mean_run", "entropy")
@@ -94,7 +115,8 @@ def anomalies(rows: DataFrame) -> DataFrame:
 
     Threat density takes no part in the score; critical threats decide first, then the document's volume.
     """
-    joined = rows.join(densities(rows).select("doc_id", "seg", "content_density_pct", "gap_density_pct", "threats_critical"), ["doc_id", "seg"])
+    own = density_columns()
+    joined = rows.select("doc_id", "seg", "volume", "mean_run", "entropy", *[own[k].alias(k) for k in ("content_density_pct", "gap_density_pct", "threats_critical")])
     w = Window.partitionBy("doc_id")
     squares = F.lit(0.0)
     for c in SCORED:
@@ -108,9 +130,6 @@ def anomalies(rows: DataFrame) -> DataFrame:
 # The oracle: the same quantities from lists of code points joined with their marks.
 
 _GRAPHEME = r"(?s)\r\n|[^\p{M}\x{200C}\x{200D}\x{E0020}-\x{E007F}\r\n\x{200B}\x{202A}-\x{202E}][\p{M}\x{200C}\x{200D}\x{E0020}-\x{E007F}]*|."
-SQL_SEGMENTS = f"""
- g AS (SELECT doc_id, regexp_extract_all(text, '{_GRAPHEME}') AS l FROM pdocs),
- k AS (SELECT doc_id, list_transform(l, lambda g: (SELECT {CLASSES} FROM (SELECT ord(g) AS c))) AS l FROM g)"""
 SQL_SEGMENTS = f"""
  g AS (SELECT doc_id, regexp_extract_all(text, '{_GRAPHEME}') AS l FROM pdocs),
  x AS (SELECT doc_id, len(l) AS t, unnest(l) AS g, generate_subscripts(l, 1) - 1 AS i FROM g WHERE len(l) > 0),

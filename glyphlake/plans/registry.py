@@ -12,20 +12,16 @@ from glyphlake.functions import normal
 from glyphlake.operators import atoms, macro, pairs, structure
 from glyphlake.operators.catalog import CATALOG, TABLES
 from glyphlake.plans.template import oracle, spark_query
-from glyphlake.sources.tables import PERTURBED, read
+from glyphlake.sources.tables import PERTURBED, perturbed, read
 from glyphlake.streaming import stream
 
 
 def pdocs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The perturbed documents; a table of fewer partitions than cores is spread, as the work on a text outweighs its shuffle."""
-    docs, cores = read(spark, sf_dir, "documents").select("doc_id", "text"), spark.sparkContext.defaultParallelism
-    if docs.rdd.getNumPartitions() < cores:
-        docs = docs.repartition(cores)
-    return docs.selectExpr("doc_id", f"{PERTURBED} AS text")
+    return perturbed(spark, sf_dir).select("doc_id", "text")
 
 
 def macro_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return macro.metrics(macro.segments(pdocs(spark, sf_dir))).drop("runs")
+    return macro.metrics(macro.segments(pdocs(spark, sf_dir))).drop("runs", "vals", "counts")
 
 
 def macro_densities(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -132,8 +128,12 @@ def shape_category_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return atoms.category_runs(pdocs(spark, sf_dir))
 
 
-PLACED = {f.__name__: f for f in (flag_positions, shape_category_runs)}
-PLACED_SQL = {"flag_positions": atoms.flag_positions_sql(), "shape_category_runs": atoms.category_runs_sql()}
+def flag_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return atoms.flag_totals(pdocs(spark, sf_dir))
+
+
+PLACED = {f.__name__: f for f in (flag_positions, shape_category_runs, flag_all)}
+PLACED_SQL = {"flag_all": atoms.flag_totals_sql(), "flag_positions": atoms.flag_positions_sql(), "shape_category_runs": atoms.category_runs_sql()}
 
 #: Operators that SQL can't express; tests hold them against literal vectors.
 ROWS_ONLY = {f.__name__: f for f in (atoms_graphemes, profile_graphemes, profile_encodings, sequential_bidi, sequential_topology, sequential_deobfuscate, sequential_lz_complexity, states_quad, states_inflation, states_collisions, pairs_states, html_hidden_text, html_fis, stream_sliding, stream_debounced)}

@@ -11,7 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from glyphlake.sources.tables import PERTURBED, read
+from glyphlake.sources.tables import PERTURBED, perturbed, read
 
 _FORMS = {
     "count": ("cast(regexp_count(text, r'{p}') as bigint)", "cast(len(regexp_extract_all(text, '{p}')) as bigint)"),
@@ -53,7 +53,7 @@ def spark_query(sql: str, tables: tuple[str, ...] = ()) -> Callable[[SparkSessio
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         text = expand(sql, 0)
-        frames = {"pdocs": read(spark, sf_dir, "documents").selectExpr("doc_id", "lang", "source", f"{PERTURBED} AS text")} if "pdocs" in text else {}
+        frames = {"pdocs": perturbed(spark, sf_dir)} if "pdocs" in text else {}
         frames |= {t: read(spark, sf_dir, t) for t in tables}
         for name in frames:
             text = re.sub(rf"\b{name}\b(?!\.)", "{" + name + "}", text) if name == "pdocs" else re.sub(rf"\b(FROM|JOIN) {name}\b", rf"\1 {{{name}}}", text)

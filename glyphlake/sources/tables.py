@@ -12,3 +12,11 @@ PERTURBED = f"""CASE doc_id % 7 WHEN 0 THEN replace(text, 'a', '{_ALEF}') WHEN 1
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def perturbed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, lang, source and the changed text; a table of fewer partitions than cores is spread, as the work on a text outweighs its shuffle."""
+    docs, cores = read(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text"), spark.sparkContext.defaultParallelism
+    if docs.rdd.getNumPartitions() < cores:
+        docs = docs.repartition(cores)
+    return docs.selectExpr("doc_id", "lang", "source", f"{PERTURBED} AS text")
