@@ -62,21 +62,32 @@ def _letters_of(letter: str) -> F.Column:
     return F.expr(f"cast(length(cls) - length(replace(cls, '{letter}', '')) as bigint)")
 
 
-def metrics(segs: DataFrame) -> DataFrame:
-    """Run statistics of each segment, from the histogram of its run lengths (few distinct values, however long the text)."""
-    rows = segs.withColumn("runs", F.expr(_RUNS)).withColumn("ordered", F.sort_array("runs")).withColumn("n", F.size("runs").cast("long"))
-    rows = rows.withColumn("vals", F.array_distinct("ordered")).withColumn("counts", F.expr(_COUNTS))
-    rows = rows.withColumn("volume", _letters_of("C")).withColumn("gap_volume", _letters_of("S")).withColumn("gaps", F.regexp_count("cls", F.lit("S+")).cast("long"))
+def histogram(rows: DataFrame) -> DataFrame:
+    """rows(runs, ...) with the runs in order, their number, their distinct lengths and how many have each."""
+    rows = rows.withColumn("ordered", F.sort_array("runs")).withColumn("n", F.size("runs").cast("long"))
+    return rows.withColumn("vals", F.array_distinct("ordered")).withColumn("counts", F.expr(_COUNTS))
+
+
+def statistics() -> list[F.Column]:
+    """Statistics from the histogram of run lengths (few distinct values, however long the text) and their volume."""
     # The most frequent length; the first seen of those.
     mode = "array_min(transform(filter(vals, (v, i) -> counts[i] = array_max(counts)), v -> struct(array_position(runs, v) as at, v as v))).v"
     some = lambda e: F.expr(f"if(n > 0, {e}, 0D)")
-    return rows.select(
-        "doc_id", "seg", "n_seg", "start", "end", "volume", F.col("n").alias("run_count"),
+    return [
         some("volume / n").alias("mean_run"),
         some(f"sqrt({_over_values('k * (v - volume / n) * (v - volume / n)')} / n)").alias("std_dev"),
         some("(ordered[cast((n - 1) div 2 as int)] + ordered[cast(n div 2 as int)]) / 2D").alias("median_run"),
         F.expr(f"coalesce({mode}, 0)").alias("mode_run"), F.expr("coalesce(array_max(vals), 0)").alias("max_run"),
         some(f"0D - {_over_values('k / n * log2(k / n)')}").alias("entropy"),
+    ]
+
+
+def metrics(segs: DataFrame) -> DataFrame:
+    """Run statistics of each segment."""
+    rows = histogram(segs.withColumn("runs", F.expr(_RUNS)))
+    rows = rows.withColumn("volume", _letters_of("C")).withColumn("gap_volume", _letters_of("S")).withColumn("gaps", F.regexp_count("cls", F.lit("S+")).cast("long"))
+    return rows.select(
+        "doc_id", "seg", "n_seg", "start", "end", "volume", F.col("n").alias("run_count"), *statistics(),
         F.col("gaps").alias("space_runs"),
         F.expr("if(gaps > 0, gap_volume / gaps, 0D)").alias("avg_space_length"),
         *[_letters_of(c).alias(k) for c, k in (("N", "line_breaks"), ("B", "bidi_atoms"), ("J", "join_atoms"), ("O", "other_invisibles"))],
@@ -100,11 +111,15 @@ def densities(rows: DataFrame) -> DataFrame:
 BIN_NAMES = [f"bin_{i:02d}" for i in range(1, 17)]
 
 
-def bins(rows: DataFrame) -> DataFrame:
-    """Runs of each length (16: and longer) and their volume."""
+def bin_columns() -> list[F.Column]:
     def one(i: int, e: str) -> F.Column:
         return F.expr(f"cast({_over_values(f'if(least(v, 16L) = {i}, {e}, 0L)')} as bigint)")
-    return rows.select("doc_id", "seg", *[one(i, "k").alias(n) for i, n in enumerate(BIN_NAMES, 1)], *[one(i, "k * v").alias(n.replace("bin", "vol")) for i, n in enumerate(BIN_NAMES, 1)])
+    return [*[one(i, "k").alias(n) for i, n in enumerate(BIN_NAMES, 1)], *[one(i, "k * v").alias(n.replace("bin", "vol")) for i, n in enumerate(BIN_NAMES, 1)]]
+
+
+def bins(rows: DataFrame) -> DataFrame:
+    """Runs of each length (16: and longer) and their volume."""
+    return rows.select("doc_id", "seg", *bin_columns())
 
 
 SCORED = ("content_density_pct", "gap_density_pct", "mean_run", "entropy")
@@ -127,6 +142,61 @@ def anomalies(rows: DataFrame) -> DataFrame:
     return out.select("doc_id", "seg", "score", kind.alias("heatmap"))
 
 
+def whole_runs(rows: DataFrame) -> DataFrame:
+    """Run statistics over all content runs of a document, in the order of its segments (at most ten rows of one document meet)."""
+    parts = F.array_sort(F.collect_list(F.struct("seg", "runs")))
+    docs = rows.groupBy("doc_id").agg(F.flatten(F.transform(parts, lambda x: x["runs"])).alias("runs"), F.sum("volume").alias("volume"))
+    return histogram(docs).select("doc_id", F.col("n").alias("run_count"), *statistics())
+
+
+def shares(rows: DataFrame) -> DataFrame:
+    """Share of each bin in a segment's runs and in their volume, in percent."""
+    per = lambda c, t: F.col(c) / (F.col(t) + EPSILON) * 100
+    own = rows.select("doc_id", "seg", "volume", "run_count", *bin_columns())
+    return own.select(
+        "doc_id", "seg", *[per(n, "run_count").alias(f"run_{n}") for n in BIN_NAMES], *[per(n.replace("bin", "vol"), "volume").alias(f"vol_{n}") for n in BIN_NAMES]
+    )
+
+
+def whole_bins(rows: DataFrame) -> DataFrame:
+    """Share of each bin's volume in that of all segments of a document."""
+    sums = rows.select("doc_id", "volume", *bin_columns()).groupBy("doc_id").agg(F.sum("volume").alias("volume"), *[F.sum(n.replace("bin", "vol")).alias(n) for n in BIN_NAMES])
+    return sums.select("doc_id", "volume", *[(F.col(n) / (F.col("volume") + EPSILON) * 100).alias(n) for n in BIN_NAMES])
+
+
+HEATED = ("volume", "content_density_pct", "gap_density_pct", "threats_all", "mean_run", "entropy")
+
+
+def heat(rows: DataFrame) -> DataFrame:
+    """Largest value of each heated column in a document, and the opacity of a segment's cell (null where there is nothing)."""
+    own = density_columns()
+    rows = rows.select("doc_id", "seg", *[own[c].alias(c) if c in own else F.col(c).cast("double").alias(c) for c in HEATED])
+    w = Window.partitionBy("doc_id")
+    rows = rows.select("*", *[F.max(c).over(w).cast("double").alias(f"max_{c}") for c in HEATED])
+    opacity = [F.when((F.col(c) > 0) & (F.col(f"max_{c}") > 0), 0.05 + 0.45 * F.col(c) / F.col(f"max_{c}")).alias(f"opacity_{c}") for c in HEATED]
+    return rows.select("doc_id", "seg", *[f"max_{c}" for c in HEATED], *opacity)
+
+
+def sparklines(rows: DataFrame) -> DataFrame:
+    """Points of the three curves of a document: values, the top of each scale, crosses, and whether two points are there."""
+    own = density_columns()
+    top = F.greatest(F.lit(5), F.max("threats").over(Window.partitionBy("doc_id")))
+    out = rows.select("doc_id", "seg", "n_seg", "entropy", own["content_density_pct"].alias("density"), own["threats_all"].alias("threats"))
+    return out.select("doc_id", "seg", "entropy", "density", "threats", top.cast("long").alias("threats_top"), (F.col("threats") > 0).alias("cross"), (F.col("n_seg") >= 2).alias("enough"))
+
+
+def labels(rows: DataFrame) -> DataFrame:
+    """The segment's place in words: `i / N`, and its first and last grapheme."""
+    return rows.select("doc_id", "seg", F.expr("concat(seg + 1, ' / ', n_seg)").alias("segment_id"), F.expr("concat(start, '-', end - 1)").alias("indices"))
+
+
+def slices(docs: DataFrame) -> DataFrame:
+    """The text of each segment."""
+    rows = docs.where("text <> ''").select("doc_id", F.regexp_extract_all("text", F.lit(r"(\X)"), F.lit(1)).alias("g")).withColumn("t", F.size("g").cast("long"))
+    rows = rows.withColumn("n_seg", F.least(F.lit(SEGMENTS), "t").cast("long")).withColumn("seg", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_seg") - 1)))
+    return rows.select("doc_id", "seg", F.expr("array_join(slice(g, cast(seg * t div n_seg + 1 as int), cast((seg + 1) * t div n_seg - seg * t div n_seg as int)), '')").alias("part"))
+
+
 # The oracle: the same quantities from lists of code points joined with their marks.
 
 _GRAPHEME = r"(?s)\r\n|[^\p{M}\x{200C}\x{200D}\x{E0020}-\x{E007F}\r\n\x{200B}\x{202A}-\x{202E}][\p{M}\x{200C}\x{200D}\x{E0020}-\x{E007F}]*|."

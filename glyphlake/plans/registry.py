@@ -9,12 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glyphlake.functions import normal
-from glyphlake.operators import atoms, macro, pairs, structure
-from glyphlake.operators.catalog import CATALOG, TABLES
+from glyphlake.operators import atoms, catalog, macro, measures, pairs, structure
 from glyphlake.plans.template import oracle, spark_query
 from glyphlake.sources.tables import PERTURBED, perturbed, read
 from glyphlake.streaming import stream
 
+CATALOG, TABLES = catalog.CATALOG | measures.MEASURES, catalog.TABLES | measures.TABLES
+
 
 def pdocs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return perturbed(spark, sf_dir).select("doc_id", "text")
@@ -36,7 +37,19 @@ def macro_anomalies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return macro.anomalies(macro.metrics(macro.segments(pdocs(spark, sf_dir))))
 
 
-MACRO = {f.__name__: f for f in (macro_segments, macro_densities, macro_bins, macro_anomalies)}
+def _of_metrics(operator: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: operator(macro.metrics(macro.segments(pdocs(spark, sf_dir))))
+
+
+def macro_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return macro.slices(pdocs(spark, sf_dir))
+
+
+MACRO = {f.__name__: f for f in (macro_segments, macro_densities, macro_bins, macro_anomalies, macro_slices)}
+MACRO |= {
+    "macro_global_stats": _of_metrics(macro.whole_runs), "macro_bin_shares": _of_metrics(macro.shares), "macro_global_bins": _of_metrics(macro.whole_bins),
+    "macro_heat": _of_metrics(macro.heat), "macro_sparklines": _of_metrics(macro.sparklines), "macro_labels": _of_metrics(macro.labels),
+}
 _BINS = ", ".join(f"CAST(len(list_filter(runs, lambda v: least(v, 16) = {i})) AS BIGINT) AS {n}, CAST(coalesce(list_sum(list_filter(runs, lambda v: least(v, 16) = {i})), 0) AS BIGINT) AS {n.replace('bin', 'vol')}" for i, n in enumerate(macro.BIN_NAMES, 1))
 _SQUARES = " + ".join(f"CASE WHEN stddev_pop({c}) OVER w > 1e-12 THEN pow(({c} - avg({c}) OVER w) / stddev_pop({c}) OVER w, 2) ELSE 0 END" for c in macro.SCORED)
 MACRO_SQL = {
@@ -48,6 +61,27 @@ MACRO_SQL = {
  SELECT doc_id, seg, score, CASE WHEN threats_critical > 0 THEN 'heatmap-critical' WHEN total < 100 THEN 'normal' WHEN score > 3 THEN 'high' WHEN score > 1.5 THEN 'low' ELSE 'normal' END AS heatmap FROM a""",
 }
 
+_HEAT = "WITH {m}, h AS (SELECT doc_id, seg, {c} FROM m JOIN d USING (doc_id, seg)), z AS (SELECT *, {x} FROM h WINDOW w AS (PARTITION BY doc_id)) SELECT doc_id, seg, {n}, {o} FROM z".format(
+    m=macro.SQL_METRICS, c=", ".join(macro.HEATED), x=", ".join(f"CAST(max({c}) OVER w AS DOUBLE) AS max_{c}" for c in macro.HEATED), n=", ".join(f"max_{c}" for c in macro.HEATED),
+    o=", ".join(f"CASE WHEN {c} > 0 THEN 0.05 + 0.45 * {c} / max_{c} END AS opacity_{c}" for c in macro.HEATED),
+)
+MACRO_SQL |= {
+    "macro_slices": f"""WITH {macro.SQL_SEGMENTS} SELECT doc_id, ((i + 1) * least(10, t) - 1) // t AS seg, string_agg(g, '' ORDER BY i) AS part FROM x GROUP BY ALL""",
+    "macro_global_stats": f"""WITH {macro.SQL_METRICS}, u AS (SELECT doc_id, seg, unnest(runs) AS v, generate_subscripts(runs, 1) AS i FROM m),
+ o AS (SELECT doc_id, v, row_number() OVER (PARTITION BY doc_id ORDER BY seg, i) AS place FROM u), c AS (SELECT doc_id, v, count(*) AS k, min(place) AS place FROM o GROUP BY ALL),
+ f AS (SELECT doc_id, v AS mode_run FROM c QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY k DESC, place) = 1),
+ a AS (SELECT doc_id, count(*) AS run_count, avg(v) AS mean_run, stddev_pop(v) AS std_dev, median(v) AS median_run, max(v) AS max_run, entropy(v) AS entropy FROM o GROUP BY doc_id)
+ SELECT e.doc_id, coalesce(run_count, 0) AS run_count, coalesce(mean_run, 0) AS mean_run, coalesce(std_dev, 0) AS std_dev, coalesce(median_run, 0) AS median_run, coalesce(mode_run, 0) AS mode_run, coalesce(max_run, 0) AS max_run, coalesce(entropy, 0) AS entropy
+ FROM (SELECT DISTINCT doc_id FROM m) e LEFT JOIN a USING (doc_id) LEFT JOIN f USING (doc_id)""",
+    "macro_bin_shares": f"WITH {macro.SQL_METRICS}, b AS (SELECT doc_id, seg, volume, run_count, {_BINS} FROM m) SELECT doc_id, seg, "
+    + ", ".join(f"{n} / (run_count + 1e-9) * 100 AS run_{n}, {n.replace('bin', 'vol')} / (volume + 1e-9) * 100 AS vol_{n}" for n in macro.BIN_NAMES) + " FROM b",
+    "macro_global_bins": f"WITH {macro.SQL_METRICS}, b AS (SELECT doc_id, seg, volume, {_BINS} FROM m) SELECT doc_id, CAST(sum(volume) AS BIGINT) AS volume, "
+    + ", ".join(f"sum({n.replace('bin', 'vol')}) / (sum(volume) + 1e-9) * 100 AS {n}" for n in macro.BIN_NAMES) + " FROM b GROUP BY doc_id",
+    "macro_heat": _HEAT,
+    "macro_sparklines": f"WITH {macro.SQL_METRICS} SELECT doc_id, seg, entropy, content_density_pct AS density, threats_all AS threats, CAST(greatest(5, max(threats_all) OVER (PARTITION BY doc_id)) AS BIGINT) AS threats_top, threats_all > 0 AS \"cross\", n_seg >= 2 AS enough FROM m JOIN d USING (doc_id, seg)",
+    "macro_labels": f"WITH {macro.SQL_METRICS} SELECT doc_id, seg, concat(seg + 1, ' / ', n_seg) AS segment_id, concat(start, '-', \"end\" - 1) AS indices FROM m",
+}
+
 
 def sequential_bidi(spark: SparkSession, sf_dir: str) -> DataFrame:
     return structure.bidi_structure(pdocs(spark, sf_dir))

@@ -1,7 +1,7 @@
 """One text for Spark SQL and for the oracle, where both engines share the semantics.
 
 @count{p}: matches of p in text; @has{p}: whether p matches; @all{p}: array of matches; @rx{p}: the pattern as a literal;
-@bytes: UTF-8 length; @chars: array of code points; @del{p}: text without matches. Patterns hold no quotes (\\x27).
+@bytes: UTF-8 length; @pairs: its bytes in hex; @chars: array of code points; @pos{a}: i, c of an array's elements; @del{p}: text without matches. Patterns hold no quotes (\\x27).
 """
 
 from __future__ import annotations
@@ -19,10 +19,14 @@ _FORMS = {
     "all": ("regexp_extract_all(text, r'({p})', 1)", "regexp_extract_all(text, '{p}')"),
     "del": ("regexp_replace(text, r'{p}', '')", "regexp_replace(text, '{p}', '', 'g')"),
     "rx": ("r'{p}'", "'{p}'"),
+    "pos": ("(SELECT doc_id, posexplode({p}) AS (i, c) FROM pdocs)", "(SELECT doc_id, unnest({p}) AS c, generate_subscripts({p}, 1) - 1 AS i FROM pdocs)"),
 }
 _BARE = {
     "@bytes": ("cast(octet_length(text) as bigint)", "cast(strlen(text) as bigint)"),
     "@chars": ("regexp_extract_all(text, r'(?s)(.)', 1)", "string_split(text, '')"),
+    "@pairs": ("regexp_extract_all(hex(encode(text, 'UTF-8')), '(..)', 1)", "regexp_extract_all(hex(text), '..')"),
+    "@array(": ("array(", "list_value("),
+    "percentile(": ("percentile(", "quantile_cont("),
     "@sha": ("sha2(text, 256)", "sha256(text)"),
     "explode(": ("explode(", "unnest("),
     "regexp_like(": ("regexp_like(", "regexp_matches("),
@@ -32,20 +36,21 @@ _BARE = {
 def expand(sql: str, engine: int) -> str:
     """engine 0: Spark, 1: the oracle."""
     out, at = [], 0
-    for m in re.finditer(r"@(count|has|all|del|rx)\{", sql):
+    for m in re.finditer(r"@(count|has|all|del|rx|pos)\{", sql):
         if m.start() < at:
             continue
         depth, end = 1, m.end()
         while depth:
             depth += {"{": 1, "}": -1}.get(sql[end], 0)
             end += 1
-        out += [sql[at : m.start()], _FORMS[m[1]][engine].replace("{p}", sql[m.end() : end - 1])]
+        inner = sql[m.end() : end - 1]
+        out += [sql[at : m.start()], _FORMS[m[1]][engine].replace("{p}", expand(inner, engine) if m[1] == "pos" else inner)]
         at = end
     whole = "".join(out) + sql[at:]
     for k, v in _BARE.items():
         whole = whole.replace(k, v[engine])
     # Java names scripts with Is; the oracle has no suffix for doubles.
-    return re.sub(r"\\p\{(Latin|Cyrillic|Greek|Han|Arabic|Hebrew)\}", r"\\p{Is\1}", whole) if engine == 0 else re.sub(r"(?<=\d\.\d)D\b", "", whole)
+    return re.sub(r"\\p\{(Latin|Cyrillic|Greek|Han|Arabic|Hebrew)\}", r"\\p{Is\1}", whole) if engine == 0 else re.sub(r"(\d\.\d+)D\b", r"\1", whole)
 
 
 def spark_query(sql: str, tables: tuple[str, ...] = ()) -> Callable[[SparkSession, str], DataFrame]:
