@@ -18,6 +18,16 @@ def _share(pattern: str) -> str:
     return f"CASE WHEN length(text) > 0 THEN @count{{{pattern}}} / CAST(length(text) AS DOUBLE) ELSE 0.0 END"
 
 
+#: What the small Latin letters and spaces, which most of a text is, add to a category; the rest of the text is counted by patterns.
+_ADDED = {"L": "letters + ", "Ll": "letters + ", "Z": "spaces + ", "Zs": "spaces + "}
+
+
+def _rest(columns: str) -> str:
+    without = "SELECT doc_id, length(text) AS whole, @del{[a-z]+} AS text FROM pdocs"
+    spaceless = f"SELECT doc_id, whole - length(text) AS letters, length(text) AS whole, @del{{ +}} AS text FROM ({without})"
+    return f"SELECT doc_id, {columns} FROM (SELECT doc_id, letters, whole - length(text) AS spaces, text FROM ({spaceless}))"
+
+
 CATALOG: dict[str, str] = {
     # decomposition
     "atoms_codepoint_counts": "SELECT c, CAST(count(*) AS BIGINT) AS n, CAST(count(DISTINCT doc_id) AS BIGINT) AS docs FROM (SELECT doc_id, explode(@chars) AS c FROM pdocs) GROUP BY c",
@@ -32,8 +42,8 @@ CATALOG: dict[str, str] = {
     "profile_core_counts": _doc("CAST(length(text) AS BIGINT) AS codepoints, @count{[\\s\\x{00A0}\\x{0085}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]} AS whitespace, @count{\\p{M}} AS marks"),
     "profile_utf8": _doc("@bytes AS bytes, CASE WHEN length(text) > 0 THEN @bytes / CAST(length(text) AS DOUBLE) ELSE 0.0 END AS byte_density, " + _share("[\\x{0000}-\\x{007F}]") + " AS ascii_share"),
     "profile_mark_density": _doc("@count{\\p{M}} AS marks, " + _share("\\p{M}") + " AS mark_share, CASE WHEN @count{\\p{M}} = 0 THEN 'LOW' WHEN @count{\\p{M}} * 10 < length(text) THEN 'MED' ELSE 'HIGH' END AS verdict"),
-    "profile_major_category": _doc(", ".join(f"@count{{\\p{{{c}}}}} AS gc_{c.lower()}" for c in "LMNPSZ") + ", @count{[\\p{Cc}\\p{Cf}\\p{Co}]} AS gc_c"),
-    "profile_minor_category": _doc(", ".join(f"@count{{\\p{{{c}}}}} AS gc_{c.lower()}" for c in ("Lu", "Ll", "Lt", "Lm", "Lo", "Mn", "Mc", "Me", "Nd", "Nl", "No", "Pc", "Pd", "Ps", "Pe", "Pi", "Pf", "Po", "Sm", "Sc", "Sk", "So", "Zs", "Zl", "Zp", "Cc", "Cf", "Co"))),
+    "profile_major_category": _rest(", ".join(f"{_ADDED.get(c, '')}@count{{\\p{{{c}}}}} AS gc_{c.lower()}" for c in "LMNPSZ") + ", @count{[\\p{Cc}\\p{Cf}\\p{Co}]} AS gc_c"),
+    "profile_minor_category": _rest(", ".join(f"{_ADDED.get(c, '')}@count{{\\p{{{c}}}}} AS gc_{c.lower()}" for c in ("Lu", "Ll", "Lt", "Lm", "Lo", "Mn", "Mc", "Me", "Nd", "Nl", "No", "Pc", "Pd", "Ps", "Pe", "Pi", "Pf", "Po", "Sm", "Sc", "Sk", "So", "Zs", "Zl", "Zp", "Cc", "Cf", "Co"))),
     "profile_repertoire": _doc("@count{[\\x{0000}-\\x{007F}]} AS ascii, @count{[\\x{0000}-\\x{00FF}]} AS latin1, @count{[\\x{0000}-\\x{FFFF}]} AS bmp, @count{[\\x{10000}-\\x{10FFFF}]} AS supplementary, CAST(length(text) AS BIGINT) AS total"),
     "profile_volumetrics": _doc("@count{[\\p{L}\\p{N}]} / 5.0D AS units, @count{[\\p{L}\\p{N}]} / 100.0D AS blocks, @count{[.!?]+(?:[\\s\\x{00A0}]|\\z)} AS sentences"),
     "profile_tiers": _doc("CASE WHEN @has{[\\x{2E00}-\\x{2E7F}\\x{3000}-\\x{303F}]} THEN 'EXOTIC' WHEN @has{[\\x{2010}-\\x{203A}\\x{00AB}\\x{00BB}]} THEN 'TYPOGRAPHIC' ELSE 'ASCII' END AS delimiter_tier, CASE WHEN @has{[\\x{2190}-\\x{2BFF}]} THEN 'EXOTIC' WHEN @has{[\\x{00A1}-\\x{00BF}]} THEN 'EXTENDED' ELSE 'KEYBOARD' END AS symbol_tier"),
