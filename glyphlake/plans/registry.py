@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glyphlake.functions import normal
-from glyphlake.operators import atoms, catalog, macro, measures, pairs, structure
+from glyphlake.operators import atoms, catalog, macro, measures, ordered, pairs, properties, structure
 from glyphlake.plans.template import oracle, spark_query
 from glyphlake.sources.tables import PERTURBED, perturbed, read
 from glyphlake.streaming import stream
@@ -166,6 +166,22 @@ def flag_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return atoms.flag_totals(pdocs(spark, sf_dir))
 
 
+def _of_pdocs(operator: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: operator(pdocs(spark, sf_dir))
+
+
+def identifier_policies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tokens = pdocs(spark, sf_dir).select(F.explode(F.regexp_extract_all("text", F.lit(r"([\p{L}\p{N}\p{M}_]+)"), F.lit(1))).alias("token"))
+    return properties.identifiers(tokens)
+
+
+PROPERTIES = {
+    "shape_property_runs": _of_pdocs(lambda d: properties.property_runs(d, ("linebreak", "bidi", "wordbreak", "sentencebreak", "graphemebreak", "eaw", "script"))),
+    "shape_combining_classes": _of_pdocs(lambda d: properties.property_runs(d, ("ccc",)).where("value <> '0'")),
+    "flag_properties": _of_pdocs(properties.property_flags), "states_character_effects": _of_pdocs(properties.character_effects), "atlas_characters": _of_pdocs(properties.atlas),
+    "integrity_mark_structure": _of_pdocs(properties.mark_structure), "provenance_numeric_mass": _of_pdocs(properties.numeric_mass), "emoji_forms": _of_pdocs(properties.emoji),
+    "lens_identifier_policy": identifier_policies, "shape_script_structure": _of_pdocs(properties.script_structure),
+}
 PLACED = {f.__name__: f for f in (flag_positions, shape_category_runs, flag_all)}
 PLACED_SQL = {"flag_all": atoms.flag_totals_sql(), "flag_positions": atoms.flag_positions_sql(), "shape_category_runs": atoms.category_runs_sql()}
 
@@ -174,8 +190,8 @@ ROWS_ONLY = {f.__name__: f for f in (atoms_graphemes, profile_graphemes, profile
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return MACRO | PLACED | ROWS_ONLY | {name: spark_query(sql, TABLES.get(name, ())) for name, sql in CATALOG.items()}
+    return MACRO | {name: _of_pdocs(f) for name, (f, _) in ordered.ORDERED.items()} | PROPERTIES | PLACED | ROWS_ONLY | {name: spark_query(sql, TABLES.get(name, ())) for name, sql in CATALOG.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: oracle(sql) for name, sql in (MACRO_SQL | PLACED_SQL | CATALOG).items()}
+    return {name: oracle(sql) for name, sql in (MACRO_SQL | {name: sql for name, (_, sql) in ordered.ORDERED.items()} | PLACED_SQL | CATALOG).items()}
