@@ -18,7 +18,7 @@ VALUES = {
     "syllabic": ("Indic_Syllabic_Category", "Vowel_Dependent Vowel_Independent Consonant Virama Nukta Bindu Other"),
 }
 # Binary properties that are reported as flags, and how the pattern language names them.
-BINARY = {"deprecated": "Deprecated", "extender": "Extender", "dash": "Dash", "quotation_mark": "Quotation_Mark", "terminal_punctuation": "Terminal_Punctuation", "extended_pictographic": "Extended_Pictographic", "default_ignorable": "Default_Ignorable_Code_Point", "logical_order_exception": "Logical_Order_Exception", "id_start": "ID_Start", "noncharacter": "Noncharacter_Code_Point"}
+BINARY = {"deprecated": "Deprecated", "extender": "Extender", "dash": "Dash", "quotation_mark": "Quotation_Mark", "terminal_punctuation": "Terminal_Punctuation", "extended_pictographic": "Extended_Pictographic", "default_ignorable": "Default_Ignorable_Code_Point", "logical_order_exception": "Logical_Order_Exception", "id_start": "ID_Start", "noncharacter": "Noncharacter_Code_Point", "emoji": "Emoji", "emoji_presentation": "Emoji_Presentation", "emoji_modifier_base": "Emoji_Modifier_Base"}
 
 
 @cache

@@ -99,13 +99,7 @@ def encoding_coverage(docs: DataFrame) -> DataFrame:
     Encodings are tried once for each distinct character; that table is bounded by Unicode's size.
     """
     counts = codepoints(docs).groupBy("doc_id", "ch").agg(F.count("*").alias("n"))
-
-    def tried(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            yield pd.DataFrame([(c, e) for c in f.ch for e in ENCODINGS if _encodes(c, e)], columns=["ch", "encoding"])
-
-    known = counts.select("ch").distinct().mapInPandas(tried, "ch string, encoding string")
-    known = known.groupBy("ch").agg(F.collect_set("encoding").alias("own"))
+    known = encodings_of(counts)
     beyond = F.when(F.ascii("ch") > 127, F.col("n")).otherwise(0)
     rows = counts.join(known, "ch", "left").select("doc_id", "n", beyond.alias("b"), "own")
     sums = [F.sum(F.when(F.array_contains("own", e), F.col(c)).otherwise(0)).alias(f"{c}_{e}") for e in ENCODINGS for c in ("n", "b")]
@@ -114,6 +108,33 @@ def encoding_coverage(docs: DataFrame) -> DataFrame:
     return wide.select("doc_id", F.explode(each).alias("e")).select("doc_id", "e.*")
 
 
+def encoding_evidence(docs: DataFrame) -> DataFrame:
+    """doc_id, pure_ascii, sole (characters that one legacy encoding alone holds, which then explains them), nowhere (those in none)."""
+    counts = codepoints(docs.where("text <> ''")).groupBy("doc_id", "ch").agg(F.count("*").alias("n"))
+    rows = counts.join(encodings_of(counts), "ch", "left").withColumn("k", F.coalesce(F.size("own"), F.lit(0)))
+    total = lambda on: F.sum(F.when(on, F.col("n")).otherwise(0))
+    return rows.groupBy("doc_id").agg(
+        (F.max(F.ascii("ch")) < 128).alias("pure_ascii"), total(F.col("k") == 1).alias("sole"), total(F.col("k") <= 0).alias("nowhere"),
+        F.array_sort(F.collect_set(F.when(F.col("k") == 1, F.col("own")[0]))).alias("explained_by"),
+    )
+
+
+def valid_bytes(blobs: DataFrame) -> DataFrame:
+    """blobs(id, raw binary): whether the bytes are UTF-8, and encoded halves of surrogate pairs in them."""
+    return blobs.select("id", F.is_valid_utf8(F.col("raw")).alias("utf8"), F.regexp_count(F.hex("raw"), F.lit("(?=ED[AB][0-9A-F][89AB][0-9A-F])(?:..)")).cast("long").alias("surrogates"))
+
+
+def encodings_of(counts: DataFrame) -> DataFrame:
+    """own: the legacy encodings of each distinct ch."""
+
+    def tried(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            yield pd.DataFrame([(c, e) for c in f.ch for e in ENCODINGS if _encodes(c, e)], columns=["ch", "encoding"])
+
+    known = counts.select("ch").distinct().mapInPandas(tried, "ch string, encoding string")
+    return known.groupBy("ch").agg(F.collect_set("encoding").alias("own"))
+
+
 def _encodes(c: str, encoding: str) -> bool:
     try:
         c.encode(encoding)

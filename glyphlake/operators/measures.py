@@ -32,6 +32,8 @@ _BAND = "CASE WHEN entropy < 3 THEN 'low' WHEN entropy <= 4.5 THEN 'text' WHEN e
 _LETTERS = "SELECT doc_id, l, CAST(n AS DOUBLE) / sum(n) OVER (PARTITION BY doc_id) AS p FROM (SELECT doc_id, lower(c) AS l, count(*) AS n FROM (SELECT doc_id, explode(@all{[A-Za-z]}) AS c FROM pdocs) GROUP BY doc_id, lower(c))"
 _ENGLISH = "CASE l " + " ".join(f"WHEN '{c}' THEN {v / 100:.5f}D" for c, v in ENGLISH.items()) + " END"
 _TWO = "@count{[" + chars.BIDI + "\\x{001B}]}"
+#: Places of hits with their priority; other characters are dropped before any window.
+_HIT_PLACES = "SELECT doc_id, i, CASE WHEN regexp_like(c, @rx{[" + chars.BIDI + chars.TAGS + "]}) THEN '1 execution' WHEN regexp_like(c, @rx{[" + chars.SPACES + chars.INVISIBLE + "]}) THEN '2 obfuscation' ELSE '3 spoofing' END AS kind FROM @pos{@chars} WHERE regexp_like(c, @rx{[" + chars.INVISIBLE + chars.SPACES + "\\x{0430}\\x{0435}\\x{043E}\\x{0440}\\x{0441}\\x{0445}]})"
 #: Buckets of hits.
 BUCKETS = {"bidi": chars.BIDI, "join": chars.JOIN, "tags": chars.TAGS, "spaces": chars.SPACES, "ignorable": chars.IGNORABLE}
 
@@ -62,6 +64,10 @@ MEASURES: dict[str, str] = {
     "score_threat_tiers": "SELECT doc_id, execution, spoofing, obfuscation, CASE WHEN execution > 0 THEN 1 WHEN spoofing > 0 THEN 2 WHEN obfuscation > 0 THEN 3 ELSE 0 END AS tier, CASE WHEN (CASE WHEN execution > 0 THEN 1 ELSE 0 END + CASE WHEN spoofing > 0 THEN 1 ELSE 0 END + CASE WHEN obfuscation > 0 THEN 1 ELSE 0 END) > 1 THEN 10 ELSE 0 END AS bonus FROM (SELECT doc_id, " + _TWO + " AS execution, @count{[\\x{0430}\\x{0435}\\x{043E}\\x{0440}\\x{0441}\\x{0445}]} AS spoofing, @count{[" + chars.JOIN + chars.TAGS + chars.IGNORABLE + "]} AS obfuscation FROM pdocs)",
     "score_exploit_vs_complexity": "SELECT doc_id, 40 * @count{[" + chars.BIDI + "]} + 25 * @count{[\\x{0430}\\x{0435}\\x{043E}\\x{0440}\\x{0441}\\x{0445}]} + 15 * @count{[" + chars.TAGS + "]} AS exploit, @count{[0-9]+} + 2 * @count{\\p{M}} + @count{[^\\x{0000}-\\x{007F}]} AS complexity FROM pdocs",
     "score_sensors": "SELECT doc_id, CASE WHEN @has{[\\x{202E}]} THEN 'high' WHEN @has{[\\x{FE10}-\\x{FE1F}\\x{FE30}-\\x{FE4F}]} THEN 'warn' ELSE 'none' END AS geometry, CASE WHEN @has{[" + chars.NONCHARACTERS + "\\x{FFFD}]} THEN 'warn' ELSE 'none' END AS cosmology, CASE WHEN @has{[\\x{20A0}-\\x{20CF}]} THEN 'warn' ELSE 'none' END AS financials FROM pdocs",
+    "score_hud_step": "SELECT doc_id, CAST(coalesce(min(CASE WHEN i >= 100 THEN i END), min(i)) AS BIGINT) AS next FROM (" + _HIT_PLACES + ") GROUP BY doc_id",
+    "remedy_xray": "SELECT doc_id, CAST(min(i) AS BIGINT) AS first, CAST(max(i) AS BIGINT) AS last, CAST(count(*) AS BIGINT) AS hits, min(kind) AS priority FROM (SELECT doc_id, i, kind, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS zone FROM (SELECT doc_id, i, kind, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 40 THEN 0 ELSE 1 END AS fresh FROM (" + _HIT_PLACES + "))) GROUP BY doc_id, zone",
+    "stats_zipf_mse": "SELECT CAST(count(*) AS BIGINT) AS forms, avg((n / CAST(top AS DOUBLE) - 1 / CAST(rank AS DOUBLE)) * (n / CAST(top AS DOUBLE) - 1 / CAST(rank AS DOUBLE))) AS mse FROM (SELECT n, row_number() OVER (ORDER BY n DESC, tok) AS rank, max(n) OVER (ORDER BY n DESC, tok) AS top FROM (SELECT tok, CAST(count(*) AS BIGINT) AS n FROM (SELECT explode(@all{[a-zA-Z]+}) AS tok FROM pdocs) GROUP BY tok))",
+    "report_narrative": "SELECT doc_id, concat(CASE WHEN @has{[" + chars.BIDI + chars.TAGS + "]} THEN 'Execution risk: remove bidirectional and tag controls.' WHEN @has{\\p{Latin}} AND @has{\\p{Cyrillic}|\\p{Greek}} THEN 'Spoofing risk: compare skeletons.' WHEN @has{[" + chars.INVISIBLE + chars.SPACES + "]} THEN 'Obfuscation: normalise spaces and invisibles.' ELSE 'No finding.' END, ' ', CAST(length(text) AS STRING), ' code points.') AS narrative FROM pdocs",
     "score_hud_registry": "SELECT doc_id, bucket, n FROM (SELECT doc_id, bucket, CASE bucket " + " ".join(f"WHEN '{b}' THEN n_{b}" for b in BUCKETS) + " END AS n FROM (SELECT *, explode(@array(" + ", ".join(f"'{b}'" for b in BUCKETS) + ")) AS bucket FROM (SELECT doc_id, " + ", ".join(f"@count{{[{p}]}} AS n_{b}" for b, p in BUCKETS.items()) + " FROM pdocs))) WHERE n > 0",
 }
 TABLES = {"lens_domain_structure": ("pages",)}

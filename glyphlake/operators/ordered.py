@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from glyphlake.operators.macro import _GRAPHEME
+from glyphlake.operators.macro import _GRAPHEME, SQL_SEGMENTS, slices
 from glyphlake.operators.measures import TRIGRAMS
 
 _PLACED = "l AS (SELECT doc_id, string_split(text, '') AS a FROM pdocs WHERE text <> ''), p AS (SELECT doc_id, unnest(a) AS c, generate_subscripts(a, 1) - 1 AS i FROM l)"
@@ -190,11 +190,35 @@ def report(docs: DataFrame) -> DataFrame:
 
 REPORT = "SELECT doc_id, concat_ws(chr(10), " + ", ".join(f"'[{s}]', " + ", ".join(f"concat('{label}: ', len(regexp_extract_all(text, '{p}')))" for label, p in rows) for s, rows in SECTIONS.items()) + ") AS report FROM pdocs"
 
+def dispersion(docs: DataFrame) -> DataFrame:
+    """Entropy of the patterns of three neighbours, where a character is low (to 63), middle (to 126) or high."""
+    kinds = F.regexp_replace(F.regexp_replace(F.regexp_replace("text", r"[\x{0040}-\x{007E}]", "a"), r"[\x{0000}-\x{003F}]", "0"), r"[\x{007F}-\x{10FFFF}]", "~")
+    rows = docs.select("doc_id", F.sort_array(F.regexp_extract_all(kinds, F.lit("(?=(...))."), F.lit(1))).alias("g")).where("size(g) > 0")
+    rows = rows.withColumn("n", F.size("g")).withColumn("at", F.expr("transform(array_distinct(g), x -> array_position(g, x))"))
+    share = "(coalesce(get(at, i + 1), n + 1L) - x) / n"
+    return rows.select("doc_id", F.expr(f"0D - aggregate(transform(at, (x, i) -> {share} * log2({share})), 0D, (a, v) -> a + v)").alias("entropy"), F.size("at").cast("long").alias("patterns"))
+
+
+DISPERSION = f"""WITH {_PLACED}, k AS (SELECT doc_id, i, CASE WHEN ord(c) < 64 THEN '0' WHEN ord(c) < 127 THEN 'a' ELSE '~' END AS k FROM p),
+ q AS (SELECT doc_id, k || lead(k, 1) OVER w || lead(k, 2) OVER w AS g FROM k WINDOW w AS (PARTITION BY doc_id ORDER BY i)) SELECT doc_id, entropy(g) AS entropy, count(DISTINCT g) AS patterns FROM q WHERE g IS NOT NULL GROUP BY doc_id"""
+
+
+def unit_ranges(docs: DataFrame) -> DataFrame:
+    """Places of each segment in UTF-16 units, end exclusive (at most ten rows of one document meet)."""
+    units = F.length("part") + F.regexp_count("part", F.lit(r"[\x{10000}-\x{10FFFF}]"))
+    rows = slices(docs).select("doc_id", "seg", units.cast("long").alias("units"))
+    w = Window.partitionBy("doc_id").orderBy("seg").rowsBetween(Window.unboundedPreceding, 0)
+    return rows.select("doc_id", "seg", (F.sum("units").over(w) - F.col("units")).alias("unit_start"), F.sum("units").over(w).alias("unit_end"))
+
+
+UNIT_RANGES = f"""WITH {SQL_SEGMENTS}, u AS (SELECT doc_id, ((i + 1) * least(10, t) - 1) // t AS seg, sum(length(g) + len(regexp_extract_all(g, '[\\x{{10000}}-\\x{{10FFFF}}]'))) AS units FROM x GROUP BY ALL)
+ SELECT doc_id, seg, CAST(sum(units) OVER w - units AS BIGINT) AS unit_start, CAST(sum(units) OVER w AS BIGINT) AS unit_end FROM u WINDOW w AS (PARTITION BY doc_id ORDER BY seg)"""
+
 #: Query -> (operator, oracle's SQL).
 ORDERED = {
     "stats_autocorrelation": (autocorrelation, AUTOCORRELATION), "stats_pair_repeat": (pair_repeat, PAIR_REPEAT), "stats_trigram_overlap": (trigram_overlap, TRIGRAM_OVERLAP),
     "stats_entropy_windows": (entropy_windows, ENTROPY_WINDOWS), "stats_entropy_zoom": (entropy_zoom, ENTROPY_ZOOM), "provenance_script_flicker": (script_flicker, SCRIPT_FLICKER),
     "integrity_bidi_gravity": (bidi_gravity, BIDI_GRAVITY), "integrity_mark_repeats": (mark_repeats, MARK_REPEATS), "token_tag_payload": (tag_payload, TAG_PAYLOAD),
     "remedy_escape_js": (escape_js, ESCAPE_JS), "remedy_escape_python": (escape_python, ESCAPE_PYTHON), "profile_atomic_density": (atomic_density, ATOMIC_DENSITY),
-    "report_evidence": (evidence, EVIDENCE), "report_lines": (report_lines, REPORT_LINES), "report_text": (report, REPORT),
+    "stats_dispersion_entropy": (dispersion, DISPERSION), "macro_unit_ranges": (unit_ranges, UNIT_RANGES), "report_evidence": (evidence, EVIDENCE), "report_lines": (report_lines, REPORT_LINES), "report_text": (report, REPORT),
 }

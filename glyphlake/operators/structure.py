@@ -108,6 +108,12 @@ def html_hidden(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", F.explode(run("html")).alias("h")).select("page_id", "h.*")
 
 
+def ghost_text(hidden: DataFrame) -> DataFrame:
+    """The hidden text of a page in one line of marks, by its lineage (one page's rows meet)."""
+    marks = F.array_sort(F.collect_list(F.concat(F.lit("["), "vector", F.lit(": "), "lineage", F.lit("] "), "text")))
+    return hidden.groupBy("page_id").agg(F.array_join(marks, " ").alias("ghosts"), F.count("*").alias("n"))
+
+
 def fis_score(hidden: DataFrame) -> DataFrame:
     """Severity times the diversity of vectors, by page."""
     weight = F.when(F.col("vector") == "layout", 3).when(F.col("vector") == "photometric", 2).otherwise(1)
@@ -142,6 +148,43 @@ def topology(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", run("text").alias("t")).select("doc_id", "t.*")
 
 
+def _kind(cell: str) -> str:
+    try:
+        float(cell)
+    except ValueError:
+        return "text" if cell else "empty"
+    return "number"
+
+
+#: Share of a column's cells that its main type must have for the others to be a drift.
+MAIN_TYPE = 0.9
+
+
+def drifts_of(text: str) -> list[dict]:
+    """Columns of a delimited text that hold one type with exceptions: column, type, exceptions."""
+    best = topology_of(text)["delimiter"]
+    if best is None:
+        return []
+    columns: dict[int, Counter] = {}
+    for line in text.splitlines():
+        for i, cell in enumerate(_QUOTED.sub("q", line).split(best)):
+            columns.setdefault(i, Counter())[_kind(cell.strip())] += 1
+    out = []
+    for i, kinds in columns.items():
+        kind, n = kinds.most_common(1)[0]
+        if MAIN_TYPE * kinds.total() <= n < kinds.total():
+            out.append({"col": i, "type": kind, "exceptions": kinds.total() - n})
+    return out
+
+
+def type_drift(docs: DataFrame) -> DataFrame:
+    @F.pandas_udf("array<struct<col:long,type:string,exceptions:long>>")
+    def run(x: pd.Series) -> pd.Series:
+        return pd.Series([drifts_of(t or "") for t in x])
+
+    return docs.select("doc_id", F.explode(run("text")).alias("d")).select("doc_id", "d.*")
+
+
 LAYERS = 8
 
 

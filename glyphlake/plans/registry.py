@@ -175,7 +175,32 @@ def identifier_policies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return properties.identifiers(tokens)
 
 
-PROPERTIES = {
+def states_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of the four normal forms and what normalisation does to a text."""
+    docs = pdocs(spark, sf_dir)
+    rows = docs.select("doc_id", "text", normal.nfc("text").alias("nfc"), normal.nfd("text").alias("nfd"), normal.nfkc("text").alias("nfkc"))
+    kind = F.when(F.length("nfkc") < F.length("nfc"), "STRIPPED").when(F.col("nfkc") != F.col("nfc"), "MUTATION").when(F.col("nfc") != F.col("text"), "EQUIVALENCE").otherwise("STABLE")
+    return rows.select("doc_id", *[F.sha2(c, 256).alias(f"{c}_sha256") for c in ("nfc", "nfd", "nfkc")], kind.alias("kind"))
+
+
+def pairs_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = read(spark, sf_dir, "benchmark").withColumnRenamed("item_id", "doc_id")
+    return pairs.audit(items.selectExpr("doc_id", f"{PERTURBED} AS suspect", "text AS reference")).drop("suspect", "reference")
+
+
+def html_ghost_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return structure.ghost_text(html_hidden_text(spark, sf_dir))
+
+
+def lens_punycode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hosts of pages and their decoded form, which is null where the wire form is broken."""
+    hosts = read(spark, sf_dir, "pages").select(F.lower(F.regexp_extract("url", r"^[a-zA-Z]+://([^/?#]+)", 1)).alias("host")).where("host <> ''")
+    return hosts.groupBy("host").agg(F.count("*").alias("n")).withColumn("decoded", normal.punycode("host"))
+
+
+PROPERTIES = {f.__name__: f for f in (states_forms, pairs_audit, html_ghost_text, lens_punycode)}
+PROPERTIES |= {
+    "profile_encoding_evidence": _of_pdocs(atoms.encoding_evidence), "sequential_type_drift": _of_pdocs(structure.type_drift),
     "shape_property_runs": _of_pdocs(lambda d: properties.property_runs(d, ("linebreak", "bidi", "wordbreak", "sentencebreak", "graphemebreak", "eaw", "script"))),
     "shape_combining_classes": _of_pdocs(lambda d: properties.property_runs(d, ("ccc",)).where("value <> '0'")),
     "flag_properties": _of_pdocs(properties.property_flags), "states_character_effects": _of_pdocs(properties.character_effects), "atlas_characters": _of_pdocs(properties.atlas),

@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import Row
 
 from glyphlake.functions import props
-from glyphlake.operators import ordered, properties
+from glyphlake.operators import atoms, ordered, properties, structure
+from glyphlake.operators.pairs import audit
 from glyphlake.plans import registry
 
 SF = "/root/testdata/sf0.001"
@@ -79,6 +80,22 @@ def test_entropy_jump(spark):
     assert ordered.entropy_zoom(docs).count() == 4
 
 
+def test_pair_audit(spark):
+    pairs = spark.createDataFrame([Row(suspect="p\u0430ypal\u200b 12", reference="paypal 21"), Row(suspect=None, reference="a")])
+    bad = audit(pairs).where("suspect is not null").first()
+    assert (bad.hot_zone, bad.numbers_differ, bad.residual_hidden, bad.profile_lock, bad.reference_poisoned) == ("paypal ", False, 1, True, False)
+
+
+def test_drift_encodings_bytes(spark):
+    text = "\n".join(["a,1"] * 19 + ["b,x"])
+    assert structure.drifts_of(text) == [{"col": 1, "type": "number", "exceptions": 1}]
+    docs = spark.createDataFrame([Row(doc_id=1, text="abc"), Row(doc_id=2, text="a\u1E9E\U0001F468"), Row(doc_id=3, text=None)])
+    rows = {r.doc_id: r for r in atoms.encoding_evidence(docs).collect()}
+    assert rows[1].pure_ascii and rows[1].nowhere == 0 and not rows[2].pure_ascii and set(rows) == {1, 2}
+    blobs = spark.createDataFrame([(1, bytearray(b"ok")), (2, bytearray(b"\xed\xa0\x80"))], "id long, raw binary")
+    assert {(r.id, r.utf8, r.surrogates) for r in atoms.valid_bytes(blobs).collect()} == {(1, True, 0), (2, False, 1)}
+
+
 @pytest.mark.parametrize("name", sorted(registry.PROPERTIES))
 def test_property_queries(spark, name):
     assert registry.queries()[name](spark, SF).count() >= 0
