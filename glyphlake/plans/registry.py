@@ -207,11 +207,11 @@ PROPERTIES |= {
     "integrity_mark_structure": _of_pdocs(properties.mark_structure), "provenance_numeric_mass": _of_pdocs(properties.numeric_mass), "emoji_forms": _of_pdocs(properties.emoji),
     "lens_identifier_policy": identifier_policies, "shape_script_structure": _of_pdocs(properties.script_structure),
 }
-PLACED = {f.__name__: f for f in (flag_positions, shape_category_runs, flag_all)}
-PLACED_SQL = {"flag_all": atoms.flag_totals_sql(), "flag_positions": atoms.flag_positions_sql(), "shape_category_runs": atoms.category_runs_sql()}
+PLACED = {f.__name__: f for f in (flag_positions, shape_category_runs, flag_all, stream_sliding, stream_debounced)}
+PLACED_SQL = {"stream_sliding": stream.SLIDING, "stream_debounced": stream.DEBOUNCED, "flag_all": atoms.flag_totals_sql(), "flag_positions": atoms.flag_positions_sql(), "shape_category_runs": atoms.category_runs_sql()}
 
 #: Operators that SQL can't express; tests hold them against literal vectors.
-ROWS_ONLY = {f.__name__: f for f in (atoms_graphemes, profile_graphemes, profile_encodings, sequential_bidi, sequential_topology, sequential_deobfuscate, sequential_lz_complexity, states_quad, states_inflation, states_collisions, pairs_states, html_hidden_text, html_fis, stream_sliding, stream_debounced)}
+ROWS_ONLY = {f.__name__: f for f in (atoms_graphemes, profile_graphemes, profile_encodings, sequential_bidi, sequential_topology, sequential_deobfuscate, sequential_lz_complexity, states_quad, states_inflation, states_collisions, pairs_states, html_hidden_text, html_fis)}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

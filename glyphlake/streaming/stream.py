@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
 def _timed(rows: DataFrame) -> DataFrame:
@@ -33,9 +35,36 @@ def once_each(signals: DataFrame, keys: list[str], late: str = "1 hour") -> Data
     return _timed(signals).withWatermark("ts", late).dropDuplicatesWithinWatermark(keys)
 
 
-def run_available(spark: SparkSession, path: str, schema, transform: Callable[[DataFrame], DataFrame], name: str, checkpoint: str, mode: str = "append") -> DataFrame:
-    """Score all documents of a folder that have arrived, in micro-batches, into a table in memory."""
-    source = spark.readStream.schema(schema).parquet(path)
+def changed(docs: DataFrame) -> DataFrame:
+    """docs(doc_id, text) that arrive again and again: a row only when a document's text is new or differs from the last one seen.
+
+    The state of a document is a digest and a count, however long its texts are.
+    """
+    out = "doc_id long, digest string, version long"
+
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        digest, version = state.get if state.exists else (None, 0)
+        rows = []
+        for f in frames:
+            for new in f.digest:
+                if new != digest:
+                    digest, version = new, version + 1
+                    rows.append((key[0], digest, version))
+        state.update((digest, version))
+        yield pd.DataFrame(rows, columns=["doc_id", "digest", "version"])
+
+    digests = docs.select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("digest"))
+    return digests.groupBy("doc_id").applyInPandasWithState(step, out, "digest string, version long", "append", GroupStateTimeout.NoTimeout)
+
+
+SLIDING = """SELECT start, event_type, count(*) AS n FROM (SELECT event_type, unnest([time_bucket(INTERVAL '15 minutes', ts) - k * INTERVAL '15 minutes' for k in [0, 1, 2, 3]]) AS start FROM events) GROUP BY ALL"""
+DEBOUNCED = """WITH g AS (SELECT *, CASE WHEN ts <= lag(ts) OVER w + INTERVAL '400 milliseconds' THEN 0 ELSE 1 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+ s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS burst FROM g) SELECT user_id, min(ts) AS start, max_by(event_id, (ts, event_id)) AS event_id FROM s GROUP BY user_id, burst"""
+
+
+def run_available(spark: SparkSession, path: str, schema, transform: Callable[[DataFrame], DataFrame], name: str, checkpoint: str, mode: str = "append", files: int = 1000) -> DataFrame:
+    """Score all documents of a folder that have arrived, in micro-batches of so many files, into a table in memory."""
+    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path)
     q = transform(source).writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.table(name)

@@ -1,3 +1,5 @@
+import time
+
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -149,3 +151,13 @@ def test_entry_without_the_llm_folder(tmp_path):
     shutil.copy(f"{root}/__spark_entry__.py", tmp_path)
     code = "import __spark_entry__ as e; assert e.llm is None and len(e.queries()) > 100 and not any(n.startswith('op') or n == 'pipeline' for n in e.queries())"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env=os.environ | {"PYTHONPATH": ""})
+
+
+def test_stream_of_versions(spark, tmp_path):
+    path = str(tmp_path / "in")
+    kind = "doc_id long, text string"
+    for second in (None, "z"):
+        spark.createDataFrame([(1, "x"), (2, second)], kind).coalesce(1).write.mode("append").parquet(path)
+        time.sleep(1.1)  # files are taken by their time
+    got = stream.run_available(spark, path, kind, stream.changed, "versions", str(tmp_path / "state"), files=1)
+    assert {(r.doc_id, r.version) for r in got.collect()} == {(1, 1), (2, 1), (2, 2)}
