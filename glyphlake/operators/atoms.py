@@ -47,7 +47,8 @@ def flag_positions(docs: DataFrame) -> DataFrame:
     """
     patterns = {k: (s, p) for k, (s, p) in chars.FLAGS.items() if s != "info"}
     whole = "|".join(p for _, p in patterns.values())
-    hit = codepoints(docs.where(F.col("text").rlike(whole))).where(F.col("ch").rlike(whole))
+    # Printable ASCII, most of a text, has none of these flags, which a comparison of numbers tells.
+    hit = codepoints(docs.where(F.col("text").rlike(r"[^\x{0009}\x{000A}\x{000D}\x{0020}-\x{007E}]"))).where(~F.ascii("ch").between(32, 126) & F.col("ch").rlike(whole))
     found = F.array_compact(F.array(*[F.when(F.col("ch").rlike(p), F.struct(F.lit(k).alias("flag"), F.lit(s).alias("severity"))) for k, (s, p) in patterns.items()]))
     rows = hit.select("doc_id", "idx", F.explode(found).alias("f"))
     places = F.transform(F.array_sort(F.collect_list("idx")), lambda i: F.concat(F.lit("#"), i.cast("string")))

@@ -1,6 +1,7 @@
 """Measures that depend on order inside a text, as compiled patterns or functions of arrays: no shuffle before an aggregate.
 
-Each operator takes docs(doc_id, text); its oracle's SQL stands beside it.
+Each operator takes docs(doc_id, text); its oracle's SQL stands beside it. Filters are on the text itself, as one on
+an array would be pushed below the projection that builds the array, and build it twice.
 """
 
 from __future__ import annotations
@@ -33,11 +34,10 @@ def _grams(n: int) -> F.Column:
 
 def pair_repeat(docs: DataFrame) -> DataFrame:
     """Pairs of neighbours, distinct ones, and the share of pairs that occur more than once in their text."""
-    rows = docs.select("doc_id", F.sort_array(_grams(2)).alias("g")).where("size(g) > 0").withColumn("d", F.array_distinct("g"))
-    # A pair is single if the next place in order holds another: the places of distinct pairs are one apart.
-    places = rows.withColumn("at", F.expr("transform(d, x -> array_position(g, x))"))
-    single = F.expr("size(filter(at, (x, i) -> coalesce(get(at, i + 1), size(g) + 1L) - x = 1))")
-    return places.select("doc_id", F.size("g").cast("long").alias("pairs"), F.size("d").cast("long").alias("forms"), ((F.size("g") - single) / F.size("g")).alias("repeated"))
+    rows = docs.where("length(lower(text)) > 1").select("doc_id", F.sort_array(_grams(2)).alias("g"))
+    # In order, a pair is single if neither neighbour is the same.
+    single = F.expr("size(filter(g, (x, i) -> coalesce(get(g, i - 1) <> x, true) and coalesce(get(g, i + 1) <> x, true)))")
+    return rows.select("doc_id", F.size("g").cast("long").alias("pairs"), F.size(F.array_distinct("g")).cast("long").alias("forms"), ((F.size("g") - single) / F.size("g")).alias("repeated"))
 
 
 PAIR_REPEAT = f"""WITH {_PLACED}, q AS (SELECT doc_id, lower(c) || lead(lower(c)) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM p), k AS (SELECT doc_id, g, count(*) AS n FROM q WHERE g IS NOT NULL GROUP BY ALL)
@@ -86,10 +86,11 @@ _FLICKER = ("Latin", "Cyrillic", "Greek", "Arabic", "Han")
 
 def script_flicker(docs: DataFrame) -> DataFrame:
     """Runs of scripts in order, `Latin (5) > Cyrillic (1)`, over letters of the named scripts alone."""
-    kept = F.regexp_replace("text", "[^" + "".join(rf"\p{{Is{s}}}" for s in _FLICKER) + "]+", "")
+    named = "".join(rf"\p{{Is{s}}}" for s in _FLICKER)
+    kept = F.regexp_replace("text", f"[^{named}]+", "")
     runs = F.regexp_extract_all("kept", F.lit("(" + "|".join(rf"\p{{Is{s}}}+" for s in _FLICKER) + ")"), F.lit(1))
     label = F.transform(runs, lambda r: F.concat(F.coalesce(*[F.when(F.rlike(r, F.lit(rf"^\p{{Is{s}}}")), s) for s in _FLICKER]), F.lit(" ("), F.length(r), F.lit(")")))
-    return docs.select("doc_id", kept.alias("kept")).where("kept <> ''").select("doc_id", F.array_join(label, " > ").alias("flicker"))
+    return docs.where(F.col("text").rlike(f"[{named}]")).select("doc_id", kept.alias("kept")).select("doc_id", F.array_join(label, " > ").alias("flicker"))
 
 
 SCRIPT_FLICKER = f"""SELECT doc_id, array_to_string(list_transform(regexp_extract_all(k, '{"|".join(rf"\p{{{s}}}+" for s in _FLICKER)}'), lambda r: concat(CASE {" ".join(rf"WHEN regexp_matches(r, '^\p{{{s}}}') THEN '{s}'" for s in _FLICKER)} END, ' (', length(r), ')')), ' > ') AS flicker
@@ -100,7 +101,7 @@ def bidi_gravity(docs: DataFrame) -> DataFrame:
     """Deepest nesting of embeddings and isolates (a closing control that closes nothing counts for nothing), and whether it is over five."""
     controls = F.regexp_extract_all("text", F.lit(r"([\x{202A}-\x{202E}\x{2066}-\x{2069}])"), F.lit(1))
     deepest = F.expr("""aggregate(c, struct(0L as d, 0L as m), (s, x) -> if(x in ('‬', '⁩'), struct(greatest(s.d - 1, 0L) as d, s.m as m), struct(s.d + 1 as d, greatest(s.m, s.d + 1) as m)), s -> s.m)""")
-    return docs.select("doc_id", controls.alias("c")).where("size(c) > 0").select("doc_id", deepest.alias("depth")).withColumn("well", F.col("depth") > 5)
+    return docs.where(F.col("text").rlike(r"[\x{202A}-\x{202E}\x{2066}-\x{2069}]")).select("doc_id", controls.alias("c")).select("doc_id", deepest.alias("depth")).withColumn("well", F.col("depth") > 5)
 
 
 BIDI_GRAVITY = """SELECT doc_id, max(d - low) AS depth, max(d - low) > 5 AS well FROM (SELECT doc_id, d, least(0, min(d) OVER (PARTITION BY doc_id ORDER BY i)) AS low FROM (
@@ -110,7 +111,7 @@ BIDI_GRAVITY = """SELECT doc_id, max(d - low) AS depth, max(d - low) > 5 AS well
 def tag_payload(docs: DataFrame) -> DataFrame:
     """What the tag characters of a text spell."""
     tags = F.regexp_extract_all("text", F.lit(r"([\x{E0020}-\x{E007E}])"), F.lit(1))
-    return docs.select("doc_id", tags.alias("t")).where("size(t) > 0").select("doc_id", F.expr("array_join(transform(t, c -> char(ascii(c) - 917504)), '')").alias("payload"))
+    return docs.where(F.col("text").rlike(r"[\x{E0020}-\x{E007E}]")).select("doc_id", tags.alias("t")).select("doc_id", F.expr("array_join(transform(t, c -> char(ascii(c) - 917504)), '')").alias("payload"))
 
 
 TAG_PAYLOAD = r"SELECT doc_id, array_to_string(list_transform(t, lambda c: chr(ord(c) - 917504)), '') AS payload FROM (SELECT doc_id, regexp_extract_all(text, '[\x{E0020}-\x{E007E}]') AS t FROM pdocs) WHERE len(t) > 0"
@@ -119,7 +120,7 @@ TAG_PAYLOAD = r"SELECT doc_id, array_to_string(list_transform(t, lambda c: chr(o
 def mark_repeats(docs: DataFrame) -> DataFrame:
     """Marks that follow an equal one, and invisible sequences that are one cycle."""
     same = F.regexp_count("text", F.lit(r"(\p{M})(?=\1)")).cast("long")
-    return docs.select("doc_id", same.alias("repeats")).where("repeats > 0")
+    return docs.where(F.col("text").rlike(r"(\p{M})\1")).select("doc_id", same.alias("repeats"))
 
 
 MARK_REPEATS = rf"WITH {_PLACED}, q AS (SELECT doc_id, c, lead(c) OVER (PARTITION BY doc_id ORDER BY i) AS d FROM p) SELECT doc_id, count(*) AS repeats FROM q WHERE c = d AND regexp_matches(c, '\p{{M}}') GROUP BY doc_id"
@@ -193,7 +194,7 @@ REPORT = "SELECT doc_id, concat_ws(chr(10), " + ", ".join(f"'[{s}]', " + ", ".jo
 def dispersion(docs: DataFrame) -> DataFrame:
     """Entropy of the patterns of three neighbours, where a character is low (to 63), middle (to 126) or high."""
     kinds = F.regexp_replace(F.regexp_replace(F.regexp_replace("text", r"[\x{0040}-\x{007E}]", "a"), r"[\x{0000}-\x{003F}]", "0"), r"[\x{007F}-\x{10FFFF}]", "~")
-    rows = docs.select("doc_id", F.sort_array(F.regexp_extract_all(kinds, F.lit("(?=(...))."), F.lit(1))).alias("g")).where("size(g) > 0")
+    rows = docs.where("length(text) > 2").select("doc_id", F.sort_array(F.regexp_extract_all(kinds, F.lit("(?=(...))."), F.lit(1))).alias("g"))
     rows = rows.withColumn("n", F.size("g")).withColumn("at", F.expr("transform(array_distinct(g), x -> array_position(g, x))"))
     share = "(coalesce(get(at, i + 1), n + 1L) - x) / n"
     return rows.select("doc_id", F.expr(f"0D - aggregate(transform(at, (x, i) -> {share} * log2({share})), 0D, (a, v) -> a + v)").alias("entropy"), F.size("at").cast("long").alias("patterns"))

@@ -82,17 +82,19 @@ def atlas(docs: DataFrame) -> DataFrame:
     return _counts(docs).groupBy("ch").agg(F.sum("n").alias("n"), F.count("*").alias("docs")).mapInPandas(describe, ATLAS)
 
 
-_UNSAFE = regex.compile(r"\p{ccc=0}*+(\P{ccc=0}{31,})")
+_MARKS = regex.compile(r"\P{ccc=0}{2,}")
 
 
 def marks_of(text: str) -> tuple[int, int, int, int]:
     """Runs of more than thirty marks, neighbours of one class, repeated marks, and graphemes that aren't their own NFC."""
-    form = unicodedata.normalize("NFD", text)
-    classes = [unicodedata.combining(c) for c in form] if not text.isascii() else []
-    equal = sum(a == b != 0 for a, b in zip(classes, classes[1:], strict=False))
-    again = sum(x == y and a != 0 for x, y, a in zip(form, form[1:], classes, strict=False)) if classes else 0
-    unstable = 0 if unicodedata.is_normalized("NFC", text) else sum(unicodedata.normalize("NFC", g) != g for g in regex.findall(r"\X", text))
-    return len(_UNSAFE.findall(form)) if classes else 0, equal, again, unstable
+    if text.isascii():
+        return 0, 0, 0, 0
+    runs = _MARKS.findall(unicodedata.normalize("NFD", text))
+    near = [(x, y) for r in runs for x, y in zip(r, r[1:], strict=False)]
+    equal = sum(unicodedata.combining(x) == unicodedata.combining(y) for x, y in near)
+    changed = [] if unicodedata.is_normalized("NFC", text) else regex.findall(r"\X", text)
+    unstable = sum(unicodedata.normalize("NFC", g) != g for g in changed if not g.isascii())
+    return sum(len(r) > 30 for r in runs), equal, sum(x == y for x, y in near), unstable
 
 
 def mark_structure(docs: DataFrame) -> DataFrame:

@@ -63,7 +63,7 @@ MACRO_SQL = {
 
 _HEAT = "WITH {m}, h AS (SELECT doc_id, seg, {c} FROM m JOIN d USING (doc_id, seg)), z AS (SELECT *, {x} FROM h WINDOW w AS (PARTITION BY doc_id)) SELECT doc_id, seg, {n}, {o} FROM z".format(
     m=macro.SQL_METRICS, c=", ".join(macro.HEATED), x=", ".join(f"CAST(max({c}) OVER w AS DOUBLE) AS max_{c}" for c in macro.HEATED), n=", ".join(f"max_{c}" for c in macro.HEATED),
-    o=", ".join(f"CASE WHEN {c} > 0 THEN 0.05 + 0.45 * {c} / max_{c} END AS opacity_{c}" for c in macro.HEATED),
+    o=", ".join(f"CASE WHEN {c} > 0 THEN CAST(0.05 AS DOUBLE) + CAST(0.45 AS DOUBLE) * {c} / max_{c} END AS opacity_{c}" for c in macro.HEATED),
 )
 MACRO_SQL |= {
     "macro_slices": f"""WITH {macro.SQL_SEGMENTS} SELECT doc_id, ((i + 1) * least(10, t) - 1) // t AS seg, string_agg(g, '' ORDER BY i) AS part FROM x GROUP BY ALL""",
