@@ -1,7 +1,8 @@
 """Near-duplicate embeddings by a pivot-permutation index.
 
-Reference points (pivots) are a bounded, hash-chosen sample of the distinct vectors. A vector is described by its `NEAREST`
-nearest pivots in order. Inverted lists hold, for each label and pivot, the vectors that have it in their description; two
+Reference points (pivots) are a bounded, hash-chosen sample of the distinct vectors, thinned so that no two are within cosine
+`SPREAD`: a dense group holds one pivot however large it is, and its members agree on it. A vector is described by its
+`NEAREST` nearest pivots in order. Inverted lists hold, for each label and pivot, the vectors that have it in their description; two
 vectors of a list that share at least `SHARED` pivots are candidates, and their cosine in double precision
 decides. A pair is looked at in the list of the first pivot they share only. Long lists are split into blocks, and
 each pair of blocks is a task of its own, so every pair of a list is seen whatever its length.
@@ -15,8 +16,11 @@ ties of a pivot's rank go to the lower pivot; an empty table gives an empty resu
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,6 +31,8 @@ LEAST_COSINE = 0.93
 NEAREST, SHARED = 8, 2
 #: Pivots: half the square root of the number of classes, between these bounds.
 LEAST_PIVOTS, MOST_PIVOTS = 256, 4096
+#: No two pivots are this close; sampled vectors for each pivot that is wanted.
+SPREAD, SAMPLED = 0.8, 4
 #: Vectors in one block of an inverted list.
 BLOCK = 512
 
@@ -43,6 +49,22 @@ def _unit(rows: list, dim: int) -> np.ndarray:
     return out / np.where(n > 0, n, 1)
 
 
+def _spread(sample: pa.ChunkedArray, dim: int, most: int) -> np.ndarray:
+    """Unit vectors of sample in order, leaving out those within SPREAD of an earlier one."""
+    chosen = np.zeros((0, dim))
+    for i in range(0, len(sample), BLOCK):
+        unit = _unit(sample.slice(i, BLOCK).to_pylist(), dim)
+        unit = unit[(unit @ chosen.T).max(axis=1, initial=-1) < SPREAD]
+        close, kept = unit @ unit.T >= SPREAD, []
+        for k in range(len(unit)):
+            if not close[k, kept].any():
+                kept.append(k)
+        chosen = np.concatenate([chosen, unit[kept]])[:most]
+        if len(chosen) == most:
+            break
+    return chosen
+
+
 def _blocks(table: pa.Table) -> pa.Table:
     """Verified pairs of whole groups (label, pivot, first block, second block)."""
     key = np.column_stack([table.column(c).to_numpy() for c in ("label", "size", "pivot", "i", "j")])
@@ -63,7 +85,7 @@ def _blocks(table: pa.Table) -> pa.Table:
         has = np.zeros((e - s, len(names)), np.float32)
         has[np.repeat(np.arange(e - s), near.shape[1]), local.ravel()] = 1
         one, two = has[a - s], has[b - s]
-        shared = one @ two.T >= SHARED
+        shared = one @ two.T >= min(SHARED, near.shape[1])
         lower = names < pivot
         if lower.any():  # a pair that shares a lower pivot is looked at there
             shared &= one[:, lower] @ two[:, lower].T == 0
@@ -87,10 +109,10 @@ def class_links(classes: DataFrame) -> DataFrame:
     if n < 2:
         return spark.createDataFrame([], pair)
     n_pivots = min(MOST_PIVOTS, max(LEAST_PIVOTS, 1 << int(np.ceil(np.log2(np.sqrt(n) / 2)))))
-    chosen = classes.select("embedding", "cid").orderBy(F.xxhash64("embedding"), "cid").limit(n_pivots).collect()
-    sizes = [len(r.embedding) for r in chosen]
-    dim = max(set(sizes), key=lambda d: (sizes.count(d), d))
-    pivots = _unit([r.embedding for r in chosen], dim)
+    sample = classes.select("embedding", "cid").orderBy(F.xxhash64("embedding"), "cid").limit(SAMPLED * n_pivots).toArrow().column("embedding")
+    sizes = Counter(pc.list_value_length(sample).to_pylist())
+    dim = max(sizes, key=lambda d: (sizes[d], d))
+    pivots = _spread(sample, dim, n_pivots)
     shared = spark.sparkContext.broadcast(pivots)  # MOST_PIVOTS vectors at most
     most = min(NEAREST, len(pivots))
 

@@ -596,6 +596,36 @@ def test_embedding_recall(spark):
     assert len(got) / len(want) >= 0.95
 
 
+@pytest.mark.parametrize("least", (256, 1024))
+@pytest.mark.parametrize("mutual", (0.95, 0.92))
+def test_embedding_recall_in_a_hot_group(spark, monkeypatch, least, mutual):
+    """A third of the rows in one group whose mutual cosine is about `mutual`."""
+    monkeypatch.setattr(pivots, "LEAST_PIVOTS", least)
+    rng = np.random.default_rng(9)
+
+    def unit(a):
+        return a / np.linalg.norm(a, axis=-1, keepdims=True)
+
+    n, dim = 3600, 64
+    hot = np.sqrt(mutual) * unit(rng.normal(size=dim)) + np.sqrt(1 - mutual) * unit(rng.normal(size=(n // 3, dim)))
+    x = unit(np.vstack([hot, near_vectors(rng, n - n // 3, dim, 0.25)]))
+    df = spark.createDataFrame(pd.DataFrame({"cid": range(n), "label": 0, "embedding": x.tolist()}), "cid long, label long, embedding array<double>")
+    links = pivots.class_links(df).toPandas()
+    got = np.zeros((n, n), bool)
+    got[links[["a", "b"]].min(axis=1), links[["a", "b"]].max(axis=1)] = True
+    want = np.triu(x @ x.T >= pivots.LEAST_COSINE, 1)
+    assert want.sum() > 50_000 and not (got & ~want).any()
+    assert got.sum() / want.sum() >= 0.95
+
+
+def test_embedding_one_group(spark):
+    """All vectors within the spread of one pivot."""
+    rng = np.random.default_rng(10)
+    vectors = (1 + 0.1 * rng.normal(size=(60, 16))).tolist()
+    df = spark.createDataFrame([(i, v, 1) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>, label int")
+    check_embeddings(rows_of(pivots.near_duplicates(df)), list(range(60)), vectors, [1] * 60)
+
+
 def test_embedding_blocks(spark, monkeypatch):
     monkeypatch.setattr(pivots, "BLOCK", 16)
     rng = np.random.default_rng(8)
