@@ -3,7 +3,8 @@
 Base kinds are found by their patterns, with positions: the parts that a pattern splits a text into and its matches give
 every start. Other tokens that could be keys go through a randomness battery: per inferred encoding, a chi-squared test of
 uniformity over the alphabet, a runs test about the alphabet's middle and a test of serial correlation give one
-p-value for "drawn at random from its alphabet". Random tokens have uniform p-values and ordinary ones gather near
+p-value for "drawn at random from its alphabet". A token ends at an = that is not
+padding, and of one that fits no single alphabet the longest parts that fit one are tested. Random tokens have uniform p-values and ordinary ones gather near
 zero, so in each class of encoding and length the share of ordinary tokens above a threshold is known from the
 histogram; the threshold of a class is the lowest that keeps this false-discovery share below `FDR`.
 
@@ -24,7 +25,10 @@ KINDS = ("assign", "access", "hex", "random")
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"(?<![0-9a-f])[0-9a-f]{24,}+"
-TOKEN = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}+"
+#: Tokens end at an =, which is a part only as padding at the end; the second form has padding within its least length.
+TOKEN = r"(?<![A-Za-z0-9+/_-])(?:[A-Za-z0-9+/_-]{20,}+(?:=++(?![A-Za-z0-9+/_-]))?|(?=[A-Za-z0-9+/_=-]{20})[A-Za-z0-9+/_-]++=++(?![A-Za-z0-9+/_-]))"
+#: What is tested of a token that fits no single alphabet: its longest parts in either form of base64.
+MIXED, PARTS = r"[+/].*[_-]|[_-].*[+/]", (r"[A-Za-z0-9+/]{20,}+=*", r"[A-Za-z0-9_-]{20,}+=*")
 LEAST_VALUE = 6
 FDR, BINS = 0.05, 20
 #: Alphabets in order: the first whose pattern fits a token is its encoding. Characters are indexed by their place.
@@ -115,9 +119,16 @@ def found(text) -> tuple[F.Column, F.Column]:
     return base, _matches(text, TOKEN, 0)
 
 
+def _parts(t) -> F.Column:
+    """The token itself, or its parts (which may overlap) if it fits no single alphabet."""
+    inside = F.array_distinct(F.concat(*[_matches(t["value"], p, 0) for p in PARTS]))
+    moved = F.transform(inside, lambda x: F.struct((t["start"] + x["start"]).alias("start"), (t["start"] + x["end"]).alias("end"), x["value"].alias("value")))
+    return F.when(t["value"].rlike(MIXED), moved).otherwise(F.array(t))
+
+
 def candidates(base, tokens) -> F.Column:
-    """The tested tokens that touch no base span."""
-    free = F.filter(tokens, lambda t: ~F.exists(base, lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
+    """The tested tokens and parts of tokens that touch no base span."""
+    free = F.filter(F.flatten(F.transform(tokens, _parts)), lambda t: ~F.exists(base, lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
 
     def one(t):
         return F.transform(F.array(battery(t["value"])), lambda b: F.struct(t["start"].alias("start"), t["end"].alias("end"), b["kind"].alias("kind"), b["p"].alias("p")))

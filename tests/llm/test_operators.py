@@ -291,6 +291,26 @@ def test_random_tokens_are_told_from_ordinary_ones(spark):
     assert sum(got[i] != "" for i in range(60, 120)) <= 6
 
 
+def test_keys_inside_longer_tokens(spark):
+    """Values after =, and parts of tokens that mix the two forms of base64; padding stays with its token."""
+    key, url, short = "Zx81Kd02LmQ9sTb7Vw3RyNpC", "wJalrXUtnFEMIK7MDENGbPxRfiCYEXAMPLEKEY1", "Zx81Kd02LmQ9sTb7Vw"
+    cases = [
+        (f"AWS_SECRET_ACCESS_KEY={url}", [url]), (f"key={key}", [key]), (f"?sig={key}&x", [key]), (f"a={key}=={key}", [key, key]),
+        (f"sig={key}== z", [key + "=="]), (f"id={short}==", [short + "=="]), (f"id={short}", []), (f"{key}=", [key + "="]), (f"={key}", [key]),
+        (f"\U0001f600 a_b/{key}/c-d", [f"b/{key}/c", key]), (f"{key}_{key}/x", [f"{key}_{key}", key, f"{key}/x"]), (f"{key} a/b_c", [key]),
+    ]
+    rows = secrets._scan(spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "doc_id long, text string"), "doc_id").collect()
+    for r in rows:
+        text, want = cases[r.doc_id]
+        assert sorted(text[x.start : x.end] for x in r.c) == sorted(want), text
+    rng = np.random.default_rng(5)
+    letters = np.array(list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"))
+    keys = ["".join(rng.choice(letters, 32)) for _ in range(200)]
+    docs = spark.createDataFrame([(i, f"KEY_{i}={k} and") for i, k in enumerate(keys)], "doc_id long, text string")
+    left = sum(keys[r.doc_id] in r.text for r in secrets.redacted(docs).collect())
+    assert left <= 40
+
+
 def test_redaction(spark, odd):
     got = secrets.redacted(odd)
     assert got.columns == odd.columns
