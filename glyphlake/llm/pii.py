@@ -4,7 +4,7 @@ Base patterns give seed entities. The two words before an entity and its shape (
 pattern. Patterns and instances (identifier-like tokens) form a graph, which Spark scores in turns: a pattern's
 confidence in a kind is the mean confidence of its distinct instances, smoothed; an instance that no base pattern
 found gets the noisy-or of its patterns. Patterns with enough distinct seeds and a high confidence then mark the
-unseen identifiers that stand in their place.
+unseen identifiers that stand in their place; these are seeds of the next round, until no new pattern is confident.
 
 Defined cases: null and empty texts hold nothing; base matches that fail their condition are dropped and still take
 their place; an identifier that touches a base span is no candidate; repeated rows are read each; an empty table gives an
@@ -93,11 +93,10 @@ def tokens(text: str) -> Iterator[tuple[int, int]]:
         yield max(start, 0), done
 
 
-def pattern(text: str, start: int, entity: str) -> str | None:
-    """The two words before start, digits as 0, and the entity's shape; null at the beginning of a text."""
+def pattern(text: str, start: int, entity: str) -> str:
+    """The two words before start, digits as 0, and the entity's shape; words that are missing before it are empty."""
     words = text[max(0, start - CONTEXT) : start].lower().split()[-2:]
-    if len(words) < 2:
-        return None
+    words = [""] * (2 - len(words)) + words
     shape = "@" if "@" in entity else "a" if any(map(str.isalpha, entity)) else "0"
     return re.sub(r"[0-9]", "0", " ".join(words)) + "|" + shape
 
@@ -119,7 +118,7 @@ def read(text: str | None) -> tuple[list[tuple[int, int, int]], list[dict]]:
                 at += 1
             if s < e <= s + LONGEST and reach <= s:
                 seen.append({"start": s, "end": e, "kind": None, "pattern": pattern(text, s, text[s:e]), "instance": text[s:e].lower()})
-    return spans, [x for x in seen if x["pattern"] is not None and len(x["instance"]) <= LONGEST]
+    return spans, [x for x in seen if len(x["instance"]) <= LONGEST]
 
 
 def joined(spans: list[tuple[int, int, int]]) -> str:
@@ -138,23 +137,46 @@ def extracted(docs: DataFrame) -> DataFrame:
     return map_rows(docs.select("doc_id", "text"), schema, run).withColumn("row", F.monotonically_increasing_id())
 
 
-def confident_patterns(seen: DataFrame) -> DataFrame:
-    """pattern, kind, confidence of the patterns that seen(pattern, instance, kind) supports."""
-    edges = materialize(seen.groupBy("pattern", "instance").agg(F.min("kind").alias("kind")))
-    sizes = edges.groupBy("pattern").agg(F.count("*").alias("n"), F.count("kind").alias("seeds"))
-    sizes = materialize(sizes.where(F.col("seeds") >= LEAST_SEEDS).select("pattern", "n"))
-    edges = materialize(edges.join(sizes.select("pattern"), "pattern"))
-    seeds = edges.where("kind is not null").select("pattern", "kind", F.lit(1.0).alias("c"))
-    unknown = edges.where("kind is null").select("pattern", "instance")
+def _turns(seeds: DataFrame, unknown: DataFrame, n: DataFrame) -> DataFrame:
+    """pattern, kind, support, confidence of the patterns with LEAST_SEEDS seeds or more."""
+    enough = seeds.groupBy("pattern").agg(F.countDistinct("instance").alias("seeds")).where(F.col("seeds") >= LEAST_SEEDS)
+    sizes = materialize(n.join(enough.select("pattern"), "pattern"))
+    seeds, unknown = (materialize(x.join(sizes.select("pattern"), "pattern")) for x in (seeds, unknown))
     held = seeds
     for turn in range(TURNS):
         score = held.groupBy("pattern", "kind").agg(F.sum("c").alias("c"), F.count("*").alias("support")).join(sizes, "pattern")
         score = materialize(score.select("pattern", "kind", "support", (F.col("c") / (F.col("n") + SMOOTH)).alias("confidence")))
         if turn + 1 < TURNS:
-            # Noisy-or over the patterns of an instance.
+            # Noisy-or over the patterns of an instance. Accepted instances are seeds already.
             guess = unknown.join(score, "pattern").groupBy("instance", "kind").agg((1 - F.exp(F.sum(F.log(1 - F.col("confidence"))))).alias("c"))
-            held = seeds.union(unknown.join(materialize(guess), "instance").select("pattern", "kind", "c"))
-    return score.where((F.col("confidence") >= LEAST_CONFIDENCE) & (F.col("support") >= LEAST_SEEDS)).select("pattern", "kind", "confidence")
+            free = unknown.join(seeds.select("pattern", "instance"), ["pattern", "instance"], "left_anti")
+            held = seeds.unionByName(free.join(materialize(guess), "instance").select("pattern", "instance", "kind", "c"))
+    return score
+
+
+def confident_patterns(seen: DataFrame) -> DataFrame:
+    """pattern, kind, confidence of the patterns that seen(pattern, instance, kind) supports.
+
+    Instances that confident patterns mark are seeds of the next round, weighted by the noisy-or of those patterns. Rounds
+    end when no new pattern is confident, so there are at most as many as patterns.
+    """
+    edges = materialize(seen.groupBy("pattern", "instance").agg(F.min("kind").alias("kind")))
+    n = materialize(edges.groupBy("pattern").agg(F.count("*").alias("n")))
+    first = edges.where("kind is not null").select("pattern", "instance", "kind", F.lit(1.0).alias("c"))
+    unknown = edges.where("kind is null").select("pattern", "instance")
+    seeds, good, known = first, None, 0
+    while True:
+        score = _turns(seeds, unknown, n)
+        new = score.where((F.col("confidence") >= LEAST_CONFIDENCE) & (F.col("support") >= LEAST_SEEDS)).select("pattern", "kind", "confidence")
+        if good is not None:
+            new = good.union(new).groupBy("pattern", "kind").agg(F.max("confidence").alias("confidence"))
+        good = materialize(new)
+        count = good.count()
+        if count == known:
+            return good
+        known = count
+        accepted = unknown.join(good, "pattern").groupBy("instance", "kind").agg((1 - F.exp(F.sum(F.log(1 - F.col("confidence"))))).alias("c"))
+        seeds = first.unionByName(unknown.join(materialize(accepted), "instance").select("pattern", "instance", "kind", "c"))
 
 
 def _is(i: int):

@@ -104,6 +104,21 @@ def test_pii_patterns_find_unseen_identifiers(spark):
     assert all(got[i] == "" for i, _ in other)
 
 
+def test_pii_patterns_go_on_from_found_instances(spark):
+    """Two hops from the seeds, a place at the start of texts, and no step to a context that found instances rarely fill."""
+    texts = [f"please write to user{i}@mail.org now" for i in range(100)] + [f"please write to agent-{i}@localhost now" for i in range(10)]
+    hop = len(texts)
+    texts += [f"then ping handle agent-{i}@localhost" for i in range(12)]
+    start = len(texts)
+    texts += [f"user{i}@mail.org first" for i in range(20)] + ["agent-77@localhost first"]
+    texts += [f"the build number agent-{i}@localhost" for i in range(3)] + [f"the build number run{i}@x" for i in range(30)]
+    got = {r["doc_id"]: r["spans"] for r in rows_of(pii.found(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))}
+    assert all(got[i].startswith("email:16:") for i in range(hop))
+    assert all(got[i].startswith("email:17:") for i in range(hop, start))
+    assert all(got[i].startswith("email:0:") for i in range(start, start + 21))
+    assert not any(got[i] for i in range(start + 21, len(texts)))
+
+
 def test_pii_odd(spark, odd):
     got = rows_of(pii.found(odd))
     assert len(got) == len(ODD)
