@@ -71,7 +71,7 @@ def map_rows(df: DataFrame, schema: str, function: Callable[[dict[str, list]], d
 
 
 def map_groups(df: DataFrame, keys: list[str], order: list[str], schema, function: Callable[[pa.Table], pa.Table]) -> DataFrame:
-    """Rows with equal keys meet in one task, in order; function gets tables of whole groups, many at a time.
+    """Rows with equal keys, which are the first columns, meet in one task, in order; function gets tables of whole groups, many at a time.
 
     Only for groups of bounded size: the caller splits larger ones before.
     """

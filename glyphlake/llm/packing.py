@@ -5,7 +5,8 @@ Smaller pieces then go, longest first, to the fullest sequence that still has ro
 
 Lengths are integers up to the capacity, so the plan is made on the histogram of lengths (at most `capacity` counts,
 whatever the size of the corpus) and holds runs of equal sequences. Pieces find their place by their rank among those
-of their length, which is counted in two levels, so that no task sees all pieces of a frequent length.
+of their length: each task counts its own as it reads, and the tasks' counts are summed up by length, so that no task sees all
+pieces of a frequent length.
 
 Defined cases: a null text counts as empty, which is one piece that holds the end id alone; repeated rows are pieces
 of their own; an empty table gives an empty result; columns other than doc_id and text are not read; a null
@@ -17,27 +18,27 @@ from __future__ import annotations
 import base64
 import zlib
 from collections import defaultdict
+from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import map_rows, materialize, prepare
+from .common import map_groups, materialize, prepare
 
 CAPACITY, END_ID = 2048, 0
-#: Words whose ids a Python worker keeps.
-CACHE_WORDS = 300_000
-#: Pieces in one group of the two-level ranking.
-RANK_ROWS = 20_000
 
 
 class Encoder:
     """Ids of byte_bpe_50k.json as little-endian uint32 bytes.
 
-    The byte-level vocabulary is the same as ranks, which tiktoken encodes several times faster; texts whose words are
-    parted by single blanks or line feeds are encoded word by word with a cache, which gives the same ids, since the
-    vocabulary's pattern starts a new piece there.
+    The byte-level vocabulary also comes as ranks with its pattern, which tiktoken encodes five times as fast as the JSON
+    file's own library, to the same ids (tests hold both against each other).
     """
 
     def __init__(self, name: str = "byte_bpe_50k.tiktoken") -> None:
@@ -47,44 +48,9 @@ class Encoder:
         with open(public_tokenizers.path(name), "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.bpe = tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.words: dict[str, bytes] = {}
-        self.feed = self._plain("\n")
-
-    def _plain(self, text: str) -> bytes:
-        return np.array(self.bpe.encode_ordinary(text), "<u4").tobytes()
-
-    def _word(self, word: str) -> bytes:
-        ids = self.words.get(word)
-        if ids is None:
-            if len(word) > 2 and word[-1] in ".," and word[-2].isalpha():
-                ids = self._word(word[:-1]) + self._word_end(word[-1])
-            else:
-                ids = self._plain(word)
-            if len(word) < 64:
-                if len(self.words) >= CACHE_WORDS:
-                    self.words.clear()
-                self.words[word] = ids
-        return ids
-
-    def _word_end(self, mark: str) -> bytes:
-        ids = self.words.get(mark)
-        if ids is None:
-            ids = self.words[mark] = self._plain(mark)
-        return ids
 
     def ids(self, text: str) -> bytes:
-        text = text.encode("utf-8", "replace").decode() if not text.isascii() else text
-        if not text or len(text.split()) != text.count(" ") + text.count("\n") + 1:
-            return self._plain(text)
-        get, lines = self.words.get, []
-        for line in text.split("\n"):
-            first, *rest = line.split(" ")
-            spaced = [" " + w for w in rest]
-            found = [get(first), *map(get, spaced)]
-            if None in found:
-                found = [x if x is not None else self._word(w) for x, w in zip(found, [first, *spaced], strict=True)]
-            lines.append(b"".join(found))
-        return self.feed.join(lines)
+        return self.bpe.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False).tobytes()
 
 
 @cache
@@ -92,25 +58,43 @@ def encoder() -> Encoder:
     return Encoder()
 
 
-def pieces(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32. Longer documents are cut; the first piece may be shorter."""
-    prepare(docs.sparkSession)
-    end = np.array([END_ID], "<u4").tobytes()
+PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
-    def run(c):
-        out = defaultdict(list)
-        for doc_id, text in zip(c["doc_id"], c["text"], strict=True):
-            ids = encoder().ids(text or "") + end
-            n = len(ids) // 4
-            start, length = 0, n % capacity or capacity
-            piece = 0
-            while start < n:
-                for k, v in (("doc_id", doc_id), ("piece", piece), ("start", start), ("length", length), ("ids_crc32", zlib.crc32(ids[4 * start : 4 * (start + length)]))):
-                    out[k].append(v)
-                start, length, piece = start + length, capacity, piece + 1
-        return out
 
-    return map_rows(docs.select("doc_id", "text"), "doc_id long, piece int, start long, length long, ids_crc32 long", run)
+def pieces(docs: DataFrame, capacity: int = CAPACITY, keep: list[str] | None = None) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32, the columns in keep, and part and nth.
+
+    Longer documents are cut; the first piece may be shorter. part is the task that read the document, nth counts the pieces
+    of that length which the task has met before.
+    """
+    prepare(docs.sparkSession)
+    end = np.array([END_ID], "<u4").tobytes()
+    keep = keep or []
+    rows = docs.select("doc_id", "text", *keep)
+    kinds = docs.sparkSession.createDataFrame([], PIECE).schema
+    kinds = T.StructType([*kinds.fields, *(rows.schema[k] for k in keep), T.StructField("part", T.IntegerType()), T.StructField("nth", T.LongType())])
+    arrow = to_arrow_schema(kinds)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, met = TaskContext.get().partitionId(), defaultdict(int)
+        for batch in batches:
+            texts, at, out = batch.column(1).to_pylist(), [], []
+            for k, text in enumerate(texts):
+                ids = encoder().ids(text or "") + end
+                n = len(ids) // 4
+                start, length, piece = 0, n % capacity or capacity, 0
+                while start < n:
+                    at.append(k)
+                    out.append((piece, start, length, zlib.crc32(ids[4 * start : 4 * (start + length)]), part, met[length]))
+                    met[length] += 1
+                    start, length, piece = start + length, capacity, piece + 1
+            if out:
+                piece, start, length, crc, own, nth = zip(*out, strict=True)
+                kept = [batch.column(i).take(pa.array(at)) for i in (0, *range(2, 2 + len(keep)))]
+                columns = [kept[0], piece, start, length, crc, *kept[1:], own, nth]
+                yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, type=f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
+
+    return rows.mapInArrow(run, kinds)
 
 
 def plan(counts: dict[int, int], capacity: int = CAPACITY) -> tuple[list[tuple[int, int, int, int, int, int]], int]:
@@ -181,37 +165,65 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> tuple[list[tuple[i
     return runs, sequences
 
 
-def ranked(rows: DataFrame, key: str, order: list[str], n_rows: int) -> DataFrame:
-    """rows with rank (long, from 0) among those of equal key, counted in two levels."""
-    groups = max(1, -(-n_rows // RANK_ROWS))
-    rows = rows.withColumn("_g", F.pmod(F.xxhash64(*order), F.lit(groups)).cast("int"))
-    sizes = rows.groupBy(key, "_g").agg(F.count("*").alias("_n"))
-    before = Window.partitionBy(key).orderBy("_g").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = materialize(sizes.select(F.col(key).alias("_k"), F.col("_g").alias("_h"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before")))
-    within = F.row_number().over(Window.partitionBy(key, "_g").orderBy(*order))
-    rows = rows.withColumn("_r", within - 1)
-    out = rows.join(sizes, rows[key].eqNullSafe(sizes["_k"]) & (rows["_g"] == sizes["_h"]))
-    return out.withColumn("rank", F.col("_before") + F.col("_r")).drop("_g", "_k", "_h", "_before", "_r")
+def placed(t: np.ndarray, length: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sequence and offset of pieces by length and rank among those of their length; t: the sorted runs of a plan."""
+    at = np.searchsorted((t[:, 0] << 44) + t[:, 1], (length << 44) + rank, side="right") - 1
+    i, each = rank - t[at, 1], t[at, 4]
+    return t[at, 3] + i // each, t[at, 5] + i % each * length
+
+
+def _table(runs: list[tuple[int, ...]]) -> np.ndarray:
+    return np.array(sorted(runs), np.int64)
 
 
 def packed(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset for every piece of docs(doc_id, text)."""
     spark = docs.sparkSession
-    all_pieces = materialize(pieces(docs, capacity))
-    counts = {r.length: r.n for r in all_pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `capacity` rows
+    found = materialize(pieces(docs, capacity))
+    sizes = materialize(found.groupBy("length", "part").agg(F.count("*").alias("n")))
+    counts = {r.length: r.n for r in sizes.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most `capacity` rows
     runs, _ = plan(counts, capacity)
+    names = ["doc_id", "piece", "start", "length", "ids_crc32"]
     if not runs:
-        return all_pieces.withColumn("sequence_id", F.lit(0).cast("long")).withColumn("offset", F.lit(0).cast("long"))
-    table = np.array(sorted(runs), np.int64)
-    shared = spark.sparkContext.broadcast(table)  # its size is bounded by the capacity alone
-
-    def place(c):
-        t = shared.value
-        length, rank = np.array(c["length"], np.int64), np.array(c["rank"], np.int64)
-        at = np.searchsorted((t[:, 0] << 44) + t[:, 1], (length << 44) + rank, side="right") - 1
-        i = rank - t[at, 1]
-        each = t[at, 4]
-        return {k: c[k] for k in ("doc_id", "piece", "start", "length", "ids_crc32")} | {"sequence_id": (t[at, 3] + i // each).tolist(), "offset": (t[at, 5] + i % each * length).tolist()}
-
-    rows = ranked(all_pieces, "length", ["doc_id", "piece", "ids_crc32"], sum(counts.values()))
-    return map_rows(rows, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long", place)
+        return found.select(*names, F.lit(0).cast("long").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    shared = spark.sparkContext.broadcast(_table(runs))  # its size is bounded by the capacity alone
+    before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = materialize(sizes.select("length", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before")))
+    rows = found.join(sizes, ["length", "part"]).select(*names, (F.col("before") + F.col("nth")).alias("rank"))
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                sequence, offset = placed(shared.value, batch.column(3).to_numpy(), batch.column(5).to_numpy())
+                yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(sequence), pa.array(offset)], [*names, "sequence_id", "offset"])
+
+    return rows.mapInArrow(place, PIECE + ", sequence_id long, offset long")
+
+
+#: Sequences that one stretch may have: ids of the next stretch go on there.
+STRETCH_IDS = 1 << 32
+
+
+def packed_by_stretch(docs: DataFrame, stretch: F.Column, capacity: int = CAPACITY) -> DataFrame:
+    """As `packed`, but sequences hold pieces of one stretch only and their ids follow the stretches.
+
+    stretch (a long from 0): a bounded run of documents in a given order, such as a file that `mixing.mixed_order` wrote.
+    One task packs a stretch, from its pieces' lengths.
+    """
+    found = pieces(docs.withColumn("_stretch", stretch.cast("long")), capacity, ["_stretch"]).drop("part", "nth")
+    found = found.select("_stretch", *found.drop("_stretch").columns)
+    schema = found.drop("_stretch").schema.add("sequence_id", T.LongType()).add("offset", T.LongType())
+
+    def pack(t: pa.Table) -> pa.Table:
+        length, own = t.column("length").to_numpy(), t.column("_stretch").to_numpy()
+        sequence, offset = np.zeros(len(own), np.int64), np.zeros(len(own), np.int64)
+        for s in np.unique(own):
+            mine = np.flatnonzero(own == s)
+            mine = mine[np.argsort(length[mine], kind="stable")]
+            values, first, n = np.unique(length[mine], return_index=True, return_counts=True)
+            runs, _ = plan(dict(zip(values.tolist(), n.tolist(), strict=True)), capacity)
+            at, place = placed(_table(runs), length[mine], np.arange(len(mine)) - np.repeat(first, n))
+            sequence[mine], offset[mine] = s * STRETCH_IDS + at, place
+        return t.drop_columns(["_stretch"]).append_column("sequence_id", pa.array(sequence)).append_column("offset", pa.array(offset))
+
+    return map_groups(found, ["_stretch"], ["length", "doc_id", "piece", "ids_crc32"], schema, pack)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import itertools
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -224,11 +225,29 @@ def test_packing_odd(spark, odd):
     assert packing.packed(odd).where("doc_id = 5").count() == 2
 
 
+#: Blanks of all kinds, letters of several scripts, digits, marks, contractions.
+MIXED = [" ", "  ", "\t", "\n", "\r", "\r\n", "\u00a0", "a", "The", "ing", "1", "23", "'s", "'S", "'ll", "\u00e9", "e\u0301", "\u00df", "_", "-", ".", "...", "\u200b", "\u3000", "\u4e2d", "\U0001f600", "\x85", "\x1c", "\u0663", "\u00b2", "<|endoftext|>", "\0", "\ufeff"]
+
+
 def test_encoder_is_the_vocabulary():
-    plain = packing.encoder()._plain
-    for text in ["a b", "a  b", "a\n b", " a", "a ", "a\nb.\nc", "\n", "it's don't. x., .", "a\tb c", "a\u00a0 b", "É é, ñ.", "x \ny", "1,000. 2", "a\x1cb c", "<|endoftext|>", "\ud800x"]:
-        clean = text.encode("utf-8", "replace").decode()
-        assert packing.encoder().ids(text) == plain(clean), repr(text)
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    whole.encode_special_tokens = True
+    rng = random.Random(5)
+    texts = ["".join(rng.choices(MIXED, k=rng.randrange(16))) for _ in range(10_000)]
+    texts += ["a\tb\tc\n\n", " " * 100_000 + "x", "ab" * 50_000, "".join(rng.choices("abcdefgh", k=50_000)), *documents(SF1).text[:200]]
+    for text, ids in zip(texts, whole.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert np.frombuffer(packing.encoder().ids(text), "<u4").tolist() == ids.ids, repr(text[:100])
+
+
+def test_packing_by_stretches(spark):
+    docs = spark.createDataFrame([(i, "word " * (i % 700), i // 100) for i in range(350)], "doc_id long, text string, part long")
+    rows = rows_of(packing.packed_by_stretch(docs, F.col("part"), 256))
+    check_packing(rows, {r["doc_id"]: r["text"] for r in rows_of(docs)}, 256)
+    assert all(r["sequence_id"] // packing.STRETCH_IDS == r["doc_id"] // 100 for r in rows)
+    assert packing.packed_by_stretch(docs.limit(0), F.col("part")).count() == 0
 
 
 def test_plan_fills_every_sequence_without_gaps():
