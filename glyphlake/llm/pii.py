@@ -25,8 +25,8 @@ from .common import map_rows, materialize, prepare
 KINDS = ("email", "ip", "card", "phone")
 #: Turns of the scoring; distinct seeds that a pattern needs; least confidence; weight of the smoothing.
 TURNS, LEAST_SEEDS, LEAST_CONFIDENCE, SMOOTH = 2, 3, 0.8, 0.5
-#: Characters before an entity in which its context words are looked for; longest identifier that is a candidate.
-CONTEXT, LONGEST = 64, 128
+#: Words and identifiers over this length are known by their digest in the graph.
+NAMED = 64
 
 # Possessive and anchored forms of the given patterns: the same matches in linear time.
 _AT = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -35,7 +35,7 @@ _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _MARK = re.compile(r"[0-9@]")
-_BLANK = re.compile(r"\s")
+_WORD = re.compile(r"\S+")
 
 
 def luhn(digits: str) -> bool:
@@ -71,7 +71,7 @@ def base(text: str) -> list[tuple[int, int, int]]:
     if not _MARK.search(text):
         return out
     if "." in text:
-        out += [(m.start(), 1, m.end()) for m in _IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split("."))]
+        out += [(m.start(), 1, m.end()) for m in _IP.finditer(text) if all(len(p) <= 3 and int(p or 0) <= 255 for p in (x.lstrip("0") for x in m[0].split(".")))]
     for m in _CARD.finditer(text):
         if m.end() - m.start() >= 14:
             digits = m[0].replace(" ", "").replace("-", "")
@@ -82,43 +82,55 @@ def base(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-def tokens(text: str) -> Iterator[tuple[int, int]]:
-    """Blank-parted tokens that hold a digit or an @."""
-    done = 0
-    while m := _MARK.search(text, done):
-        at = m.start()
-        start = max((text.rfind(c, done, at) for c in " \n\t\r"), default=-1) + 1 or done
-        end = _BLANK.search(text, at)
-        done = end.start() if end else len(text)
-        yield max(start, 0), done
+def _named(x: str) -> str:
+    return x if len(x) <= NAMED else "#" + hashlib.sha1(x.encode("utf-8", "surrogatepass")).hexdigest()
 
 
-def pattern(text: str, start: int, entity: str) -> str:
-    """The two words before start, digits as 0, and the entity's shape; words that are missing before it are empty."""
-    words = text[max(0, start - CONTEXT) : start].lower().split()[-2:]
-    words = [""] * (2 - len(words)) + words
+def pattern(words: list[str], entity: str) -> str:
+    """The two words before an entity, digits as 0, and its shape; words that are missing before it are empty."""
     shape = "@" if "@" in entity else "a" if any(map(str.isalpha, entity)) else "0"
-    return re.sub(r"[0-9]", "0", " ".join(words)) + "|" + shape
+    return " ".join(_named(re.sub(r"[0-9]", "0", w.lower())) for w in words) + "|" + shape
+
+
+def candidates(words: list[tuple[int, int]], text: str, spans: list[tuple[int, int, int]]) -> Iterator[tuple[int, int]]:
+    """Words that hold a digit or an @, without marks around them, that touch no base span."""
+    at = reach = 0
+    for s, e in words:
+        if not _MARK.search(text, s, e):
+            continue
+        while s < e and not (text[s].isalnum() or text[s] in "+@"):
+            s += 1
+        while e > s and not text[e - 1].isalnum():
+            e -= 1
+        while at < len(spans) and spans[at][0] < e:
+            reach = max(reach, spans[at][2])
+            at += 1
+        if s < e and reach <= s:
+            yield s, e
 
 
 def read(text: str | None) -> tuple[list[tuple[int, int, int]], list[dict]]:
-    """Base spans, and entities and candidates with their pattern (kind: null for a candidate)."""
+    """Base spans, and entities and candidates with their pattern (kind: null for a candidate).
+
+    Words are parted by blanks, and by entities inside them: time is linear in the text however long its words are.
+    """
     text = text or ""
     spans = base(text)
-    seen = [{"start": s, "end": e, "kind": KINDS[k], "pattern": pattern(text, s, text[s:e]), "instance": text[s:e].lower()} for s, k, e in spans]
-    at, reach, upto = 0, 0, 0
-    if _MARK.search(text):
-        for s, e in tokens(text):
-            while s < e and not (text[s].isalnum() or text[s] in "+@"):
-                s += 1
-            while e > s and not text[e - 1].isalnum():
-                e -= 1
-            while at < len(spans) and spans[at][0] < e:
-                reach = max(reach, spans[at][2])
-                at += 1
-            if s < e <= s + LONGEST and reach <= s:
-                seen.append({"start": s, "end": e, "kind": None, "pattern": pattern(text, s, text[s:e]), "instance": text[s:e].lower()})
-    return spans, [x for x in seen if len(x["instance"]) <= LONGEST]
+    if not _MARK.search(text):
+        return spans, []
+    words = [m.span() for m in _WORD.finditer(text)]
+    marks = sorted([(s, e, KINDS[k]) for s, k, e in spans] + [(s, e, None) for s, e in candidates(words, text, spans)], key=lambda x: x[:2])
+    seen, at, done = [], 0, 0
+    for s, e, kind in marks:
+        while at < len(words) and words[at][1] <= s:
+            at += 1
+        before = [text[a:b] for a, b in words[max(0, at - 2) : at]]
+        if at < len(words) and max(words[at][0], done) < s:
+            before.append(text[max(words[at][0], done) : s])
+        before = ["", "", *before][-2:]
+        done = max(done, e)
+        seen.append({"start": s, "end": e, "kind": kind, "pattern": pattern(before, text[s:e]), "instance": _named(text[s:e].lower())})
+    return spans, seen
 
 
 def joined(spans: list[tuple[int, int, int]]) -> str:

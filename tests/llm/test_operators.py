@@ -120,6 +120,100 @@ def test_pii_patterns_go_on_from_found_instances(spark):
     assert not any(got[i] for i in range(start + 21, len(texts)))
 
 
+def pii_marks(text):
+    """(start, end, kind, pattern, instance) of entities and candidates, word by word."""
+    spans = pii_base(text)
+    words = [(m.start(), m.end()) for m in re.finditer(r"\S+", text)]
+    marks = [(s, e, pii.KINDS[k]) for s, k, e in spans]
+    for s, e in words:
+        inner = re.search(r"(?s)[^\W_+@]|[+@]", text[s:e])
+        if not re.search("[0-9@]", text[s:e]) or not inner:
+            continue
+        s += inner.start()
+        while e > s and not text[e - 1].isalnum():
+            e -= 1
+        if s < e and not any(a < e and s < b for a, _, b in spans):
+            marks.append((s, e, None))
+    out = []
+    for s, e, kind in sorted(marks, key=lambda x: x[:2]):
+        last = max([b for a, b, _ in marks if (a, b) < (s, e)], default=0)
+        before = [text[a:b] for a, b in words if b <= s] + [text[max(a, last) : s] for a, b in words if a < s < b and last < s]
+        before = ["", "", *before][-2:]
+        shape = "@" if "@" in text[s:e] else "a" if re.search(r"[^\W\d_]", text[s:e]) else "0"
+        out.append((s, e, kind, re.sub("[0-9]", "0", " ".join(before).lower()) + "|" + shape, text[s:e].lower()))
+    return out
+
+
+def pii_graph(texts):
+    """The bootstrapping with dictionaries; spans of each text."""
+    marks = [pii_marks(t) for t in texts]
+    edges = {}
+    for s, e, kind, p, i in itertools.chain(*marks):
+        edges[p, i] = min(filter(None, (edges.get((p, i)), kind)), default=None)
+    n = Counter(p for p, _ in edges)
+    first = [(p, i, k, 1.0) for (p, i), k in edges.items() if k]
+    unknown = [x for x, k in edges.items() if not k]
+
+    def rate(held):
+        c, rows = defaultdict(float), Counter()
+        for p, _, k, x in held:
+            c[p, k] += x
+            rows[p, k] += 1
+        return {x: (v / (n[x[0]] + 0.5), rows[x]) for x, v in c.items()}
+
+    def guess(conf, which):
+        out = defaultdict(lambda: 1.0)
+        for p, i in which:
+            for (q, k), c in conf.items():
+                if q == p:
+                    out[i, k] *= 1 - c
+        return {x: 1 - v for x, v in out.items()}
+
+    seeds, good = first, {}
+    while True:
+        have = Counter(p for p, _ in {(p, i) for p, i, _, _ in seeds})
+        mine = [x for x in seeds if have[x[0]] >= 3]
+        open_ = [x for x in unknown if have[x[0]] >= 3]
+        known = {(p, i) for p, i, _, _ in mine}
+        found = guess({x: c for x, (c, _) in rate(mine).items()}, open_)
+        more = [(p, i, k, c) for p, i in open_ if (p, i) not in known for (j, k), c in found.items() if j == i]
+        new = {x: c for x, (c, rows) in rate(mine + more).items() if c >= 0.8 and rows >= 3}
+        now = {x: max(c, good.get(x, 0)) for x, c in (good | new).items()} | {x: c for x, c in new.items() if c >= good.get(x, 0)}
+        if len(now) == len(good):
+            good = now
+            break
+        good = now
+        accepted = guess(good, unknown)
+        seeds = first + [(p, i, k, c) for p, i in unknown for (j, k), c in accepted.items() if j == i]
+    best = {}
+    for (p, k), c in good.items():
+        best[p] = max(best.get(p, (0, "")), (c, k))
+    order = {k: i for i, k in enumerate(pii.KINDS)}
+    return [",".join(f"{k}:{s}:{e}" for s, _, e, k in sorted((s, order[k], e, k) for s, e, k in [(s, e, kind or best.get(p, (0, None))[1]) for s, e, kind, p, _ in m] if k)) for m in marks]
+
+
+def test_pii_graph_is_the_one_of_dictionaries(spark):
+    rng = random.Random(3)
+    places = ["write to {}", "then call {} now", "ping handle {}", "{} first", "the number {}.", "host: {} up", "seen ({}) at"]
+    things = [lambda: f"u{rng.randrange(40)}@mail.org", lambda: f"agent-{rng.randrange(30)}@local", lambda: f"10.0.0.{rng.randrange(300)}", lambda: f"+1 555 000 {rng.randrange(1000, 1040)}", lambda: f"x{rng.randrange(25)}", lambda: str(rng.randrange(50))]
+    fits = [(0, 0), (0, 1), (1, 3), (1, 5), (2, 1), (2, 1), (3, 0), (3, 1), (4, 5), (4, 4), (5, 2), (5, 4), (6, 4)]
+    texts = [" ".join(places[a].format(things[b]()) for a, b in rng.choices(fits, k=rng.randrange(1, 4))) for _ in range(400)]
+    want = pii_graph(texts)
+    got = {r["doc_id"]: r["spans"] for r in rows_of(pii.found(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))}
+    assert [got[i] for i in range(len(texts))] == want
+    assert sum(w.count(":") // 2 for w in want) > sum(len(pii_base(t)) for t in texts)
+
+
+def test_pii_long_inputs(spark):
+    """Octets beyond any integer, long words and identifiers, many entities in one word."""
+    long = "k" * 5000
+    texts = ["0" * 5000 + ".1.1.1", "9" * 5000 + ".1.1.1", "a@b.c," * 20_000, "5" * 50_000] + [f"{long} mail me {i}q@{long}" for i in range(3)] + [f"{long} a{i}@b.org" for i in range(5)] + [f"{long} {'z' * 300}{i}@w" for i in range(1)]
+    got = {r["doc_id"]: r["spans"] for r in rows_of(pii.found(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))}
+    assert got[0] == "ip:0:5006" and got[1] == ""
+    assert got[2].count("email") == 20_000
+    assert got[len(texts) - 1] == f"email:{len(long) + 1}:{len(texts[-1])}"
+
+
 def test_pii_odd(spark, odd):
     got = rows_of(pii.found(odd))
     assert len(got) == len(ODD)
