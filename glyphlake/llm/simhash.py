@@ -17,6 +17,8 @@ the smallest non-null one reachable, null if there is none.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -69,18 +71,30 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 def trie_pairs(values: np.ndarray, pairs: list[np.ndarray], budget: int) -> tuple[np.ndarray, np.ndarray]:
     """Index pairs of values (uint64, sorted within each root range) at budget bits or fewer.
 
-    pairs: arrays a_lo, a_hi, b_lo, b_hi of root node pairs; a pair of a node with itself yields each pair once.
+    pairs: arrays a_lo, a_hi, b_lo, b_hi of root node pairs; a pair of a node with itself yields each pair once. A pair of
+    nodes that hold one value each is a pair of leaves, whose paths have no more branches: their bits are compared at once.
     """
     a0, a1, b0, b1 = (np.asarray(x, np.int64) for x in pairs)
     diff = np.zeros(len(a0), np.int64)
-    for depth in range(BITS):
-        if not len(a0):
+    left, right = [], []
+
+    def settle(i: np.ndarray, j: np.ndarray) -> None:
+        near = np.bitwise_count(values[i] ^ values[j]) <= budget
+        left.append(i[near])
+        right.append(j[near])
+
+    for depth in range(BITS + 1):
+        some = (a1 > a0) & (b1 > b0) & (diff <= budget) & ~((a0 == b0) & (a1 - a0 == 1))
+        leaves = some & (a1 - a0 == 1) & (b1 - b0 == 1)
+        settle(a0[leaves], b0[leaves])
+        some &= ~leaves
+        a0, a1, b0, b1, diff = a0[some], a1[some], b0[some], b1[some], diff[some]
+        if not len(a0) or depth == BITS:
             break
         bit = (values >> np.uint64(BITS - 1 - depth)) & np.uint64(1)
         ones = np.concatenate([[0], np.cumsum(bit.astype(np.int64))])
         am, bm = a1 - (ones[a1] - ones[a0]), b1 - (ones[b1] - ones[b0])
-        same = a0 == b0
-        other = ~same
+        other = a0 != b0
         parts = [
             (a0, am, b0, bm, diff),
             (am, a1, bm, b1, diff),
@@ -88,9 +102,11 @@ def trie_pairs(values: np.ndarray, pairs: list[np.ndarray], budget: int) -> tupl
             (am[other], a1[other], b0[other], bm[other], diff[other] + 1),
         ]
         a0, a1, b0, b1, diff = (np.concatenate(x) for x in zip(*parts, strict=True))
-        keep = (a1 > a0) & (b1 > b0) & (diff <= budget) & ~((a0 == b0) & (a1 - a0 == 1))
-        a0, a1, b0, b1, diff = a0[keep], a1[keep], b0[keep], b1[keep], diff[keep]
-    return a0, b0
+    for w, x, y, z in zip(a0.tolist(), a1.tolist(), b0.tolist(), b1.tolist(), strict=True):  # values that are equal in all bits
+        i, j = np.triu_indices(x - w, 1) if w == y else np.indices((x - w, z - y)).reshape(2, -1)
+        settle(w + i, y + j)
+    none = np.zeros(0, np.int64)
+    return np.concatenate([none, *left]), np.concatenate([none, *right])
 
 
 def spanning(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -189,14 +205,252 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return fps.join(owner, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def deduplicated(docs: DataFrame) -> DataFrame:
-    """Rows of docs, one for each component: the one whose doc_id is component_id.
+# The form for whole documents: five-word shingles and a similarity (Jaccard, of distinct shingles) of 0.8 or more.
+#
+# Two documents of similarity s differ in arccos(2 s / (1 + s)) / pi of their bits, with a deviation that longer fingerprints
+# make small: 0.15 of 256 bits at 0.8. The walk starts below runs that are equal in one of many tries, each over an order of
+# bits of its own, as no three runs cover so wide a budget.
+
+#: Words of a shingle, least similarity, bits of a fingerprint.
+WORDS, SIMILARITY, WIDE = 5, 0.8, 256
+#: Bits that may differ before the shingles are compared (0.8 differs in 39, with a deviation of 6), and those below which they needn't be.
+WIDE_BUDGET, SURE = 54, 26
+#: Share of linked pairs at SIMILARITY that have an equal run in one of the tries; least length of the runs; documents for each run value.
+RECALL, LEAST_RUN, RUN_DOCS = 0.97, 12, 256
+#: Fingerprints of a cell that a task walks at once (larger cells, of a hot group, are dealt into blocks, and one of each joined
+#: group goes on); those whose pairs are listed without looking for a hub; one in so many is counted to find large cells.
+WIDE_CELL, PAIRS_AT_ONCE, COUNTED = 1 << 12, 1 << 9, 16
+
+
+def shingles(text: str | None, words: dict[bytes, int]) -> np.ndarray:
+    """Distinct 64-bit hashes of five-word shingles (fewer words: of all of them; none: nothing), sorted."""
+    seq = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not seq:
+        return np.zeros(0, np.uint64)
+    h = np.fromiter(map(words.__getitem__, seq), np.uint64, len(seq))
+    n = max(1, len(h) - WORDS + 1)
+    out = np.zeros(n, np.uint64)
+    for k in range(min(WORDS, len(h))):
+        out = (out ^ h[k : k + n]) * np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(32)
+    return np.unique(out)
+
+
+class _Words(dict):
+    """Hashes of words."""
+
+    def __missing__(self, word: bytes) -> int:
+        import xxhash
+
+        h = self[word] = xxhash.xxh64_intdigest(word, SEED)
+        return h
+
+
+def wide_fingerprint(hashes: np.ndarray) -> np.ndarray:
+    """WIDE bits in words of 64: a bit is 1 if set in over half the hashes; zero if there are none."""
+    ones = np.zeros(WIDE, np.int64)
+    for i in range(0, len(hashes), CHUNK):
+        part = hashes[i : i + CHUNK]
+        drawn = np.empty((len(part), WIDE // 64), np.uint64)
+        for k in range(WIDE // 64):
+            x = (part + np.uint64(0xD1B54A32D192ED03 * (k + 1) & (2**64 - 1))) * np.uint64(0xBF58476D1CE4E5B9)
+            x = (x ^ (x >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
+            drawn[:, k] = x ^ (x >> np.uint64(29))
+        ones += np.unpackbits(drawn.view(np.uint8), axis=1).sum(axis=0, dtype=np.int32)
+    return np.packbits(ones * 2 > len(hashes)).view(np.uint64)
+
+
+def orders(tries: int, run: int) -> np.ndarray:
+    """For each trie, the places of the bits of its run and of the 64 bits below, drawn from a fixed seed."""
+    rng = np.random.default_rng(SEED)
+    return np.array([rng.permutation(WIDE)[: run + 64] for _ in range(tries)])
+
+
+def runs_for(n: int) -> tuple[int, int]:
+    """Tries and length of runs for n fingerprints: longer runs for more documents, and then more tries for the same recall."""
+    run = max(LEAST_RUN, int(np.ceil(np.log2(max(1, n) / RUN_DOCS))))
+    differ = np.arccos(2 * SIMILARITY / (1 + SIMILARITY)) / np.pi
+    equal = (1 - differ - np.sqrt(differ * (1 - differ) / WIDE)) ** run  # of pairs that differ by one deviation more
+    return int(np.ceil(np.log(1 - RECALL) / np.log1p(-equal))), run
+
+
+def wide_fingerprints(docs: DataFrame) -> DataFrame:
+    """doc_id, key (a hash of the text), f0 to f3 (the fingerprint) for every row of docs(doc_id, text)."""
+    prepare(docs.sparkSession)
+    names = [f"f{k}" for k in range(WIDE // 64)]
+
+    def run(c):
+        words = _Words()
+        found = np.array([wide_fingerprint(shingles(x, words)) for x in c["text"]]).view(np.int64)
+        return {"doc_id": c["doc_id"], "key": c["key"]} | {n: found[:, k].tolist() for k, n in enumerate(names)}
+
+    rows = docs.select("doc_id", F.xxhash64("text").alias("key"), "text")
+    return map_rows(rows, "doc_id long, key long, " + ", ".join(f"{n} long" for n in names), run)
+
+
+def _bits(words: np.ndarray) -> np.ndarray:
+    return np.unpackbits(np.ascontiguousarray(words).view(np.uint8), axis=1)
+
+
+def _wide_walk(order: np.ndarray, run: int):
+    """Links of whole cells (cell, id, f0 to f3): a, b, bits that differ; 0 for what SURE links join, by way of the root."""
+    budget = int(np.ceil(WIDE_BUDGET / WIDE * 64 + 3 * np.sqrt(64 * 0.15 * 0.85)))
+
+    def walk(t: pa.Table) -> pa.Table:
+        cell, own = t.column("cell").to_numpy(), t.column("id").to_numpy()
+        words = np.column_stack([t.column(f"f{k}").to_numpy() for k in range(WIDE // 64)]).view(np.uint64)
+        below = np.packbits(np.take_along_axis(_bits(words), order[(cell >> 48).astype(np.int64)][:, run:], axis=1), axis=1).view(">u8")[:, 0].astype(np.uint64)
+        place = np.lexsort((below, cell))
+        cell, own, words, below = cell[place], own[place], words[place], below[place]
+        starts = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
+        ends = np.append(starts[1:], len(cell))
+        left, right, none = [], [], np.zeros(0, np.int64)
+        small = ends - starts <= PAIRS_AT_ONCE
+        if small.any():
+            i, j = trie_pairs(below, [starts[small], ends[small], starts[small], ends[small]], budget)
+            left.append(i)
+            right.append(j)
+        for s, e in zip(starts[~small], ends[~small], strict=True):
+            # A hot group: its members link with the one nearest to their majority; the others are walked against all.
+            rest, done = np.arange(s, e), []
+            while len(rest) > PAIRS_AT_ONCE:
+                majority = np.packbits(_bits(words[rest]).mean(axis=0) > 0.5).view(np.uint64)
+                hub = rest[np.bitwise_count(words[rest] ^ majority).sum(axis=1).argmin()]
+                near = np.bitwise_count(words[rest] ^ words[hub]).sum(axis=1) <= SURE
+                if near.sum() * 16 <= len(rest):
+                    break
+                done.append(rest[near])
+                left.append(np.full(near.sum(), hub))
+                right.append(rest[near])
+                rest = rest[~near]
+            near = np.sort(np.concatenate([none, *done]))
+            sub, m, n = np.concatenate([near, rest]), len(near), len(near) + len(rest)
+            i, j = trie_pairs(below[sub], [np.array(x) for x in ([0, m], [m, n], [m, m], [n, n])], budget)
+            left.append(sub[i])
+            right.append(sub[j])
+        i, j = np.concatenate([none, *left]), np.concatenate([none, *right])
+        far = np.bitwise_count(words[i] ^ words[j]).sum(axis=1) if len(i) else none
+        sure = far <= SURE
+        root = spanning(len(own), i[sure], j[sure])
+        joined = np.flatnonzero(root != np.arange(len(own)))
+        rest = ~sure & (far <= WIDE_BUDGET) & (root[i] != root[j]) if len(i) else np.zeros(0, bool)
+        i, j, far = i[rest], j[rest], far[rest]
+        # Of the links between two joined groups, the closest.
+        a, b = np.minimum(root[i], root[j]), np.maximum(root[i], root[j])
+        by = np.lexsort((far, b, a))
+        first = by[np.concatenate([[True], (a[by][1:] != a[by][:-1]) | (b[by][1:] != b[by][:-1])])] if len(by) else by
+        return pa.table({"a": np.concatenate([own[joined], own[i[first]]]), "b": np.concatenate([own[root[joined]], own[j[first]]]), "far": np.concatenate([np.zeros(len(joined), np.int32), far[first].astype(np.int32)])})
+
+    return walk
+
+
+def wide_cells(unique: DataFrame, tries: int, run: int) -> DataFrame:
+    """cell (trie and run) of every fingerprint (id, f0 to f3) in every trie."""
+    order = orders(tries, run)
+    names = ["id", *(f"f{k}" for k in range(WIDE // 64))]
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            bits = _bits(np.column_stack([batch.column(k).to_numpy() for k in range(1, len(names))]))
+            for t in range(tries):
+                top = np.zeros((len(bits), 8), np.uint8)
+                packed = np.packbits(bits[:, order[t, :run]], axis=1)
+                top[:, : packed.shape[1]] = packed
+                cell = (top.view(">u8")[:, 0].astype(np.uint64) >> np.uint64(16)).astype(np.int64) | t << 48
+                yield pa.RecordBatch.from_arrays([pa.array(cell), *batch.columns], ["cell", *names])
+
+    return unique.select(*names).mapInArrow(deal, "cell long, " + ", ".join(f"{n} long" for n in names))
+
+
+def wide_links(unique: DataFrame) -> DataFrame:
+    """Links (a, b, far) of the fingerprints in unique(id, f0 to f3); far 0 joins, others are the closest of two joined groups."""
+    tries, run = runs_for(unique.count())
+    schema = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType()), T.StructField("far", T.IntegerType())])
+    walk = _wide_walk(orders(tries, run), run)
+
+    def large(rows: DataFrame) -> DataFrame:
+        some = wide_cells(rows.where(F.pmod(F.xxhash64("id"), F.lit(COUNTED)) == 0), tries, run)
+        n = some.groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") * COUNTED > WIDE_CELL)
+        return materialize(n.select("cell", F.ceil(F.col("n") * COUNTED / WIDE_CELL).alias("blocks")))
+
+    def walked(cells: DataFrame, big: DataFrame, within: bool) -> DataFrame:
+        cells = cells.join(big, "cell", "inner" if within else "left")
+        cells = cells.withColumn("block", F.pmod(F.xxhash64("id", F.lit(1)), F.coalesce("blocks", F.lit(1))).cast("int")).drop("blocks")
+        return materialize(map_groups(cells.select("cell", "block", *[c for c in cells.columns if c not in ("cell", "block")]), ["cell", "block"], [], schema, walk))
+
+    big = large(unique)
+    found = walked(wide_cells(unique, tries, run), big, False)
+    n = unique.count()
+    while not big.isEmpty():
+        # One fingerprint of each joined group goes on; the last round is the one that joins nothing new.
+        joined = materialize(connected_components(found.where("far = 0").select("a", "b"))).where("node <> root")
+        left = materialize(unique.join(joined.select(F.col("node").alias("id")), "id", "left_anti"))
+        m = left.count()
+        if m == n:
+            break
+        n, before = m, big
+        big = large(left)
+        found = found.unionByName(walked(wide_cells(left, tries, run).join(before.select("cell"), "cell", "left_semi"), big, False))
+    return found
+
+
+def similar(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """pairs(a, b, ...) whose documents have SIMILARITY or more; nodes: id, doc_id, key of those in pairs, each a row of docs."""
+    prepare(docs.sparkSession)
+    rows = docs.select(F.col("doc_id").alias("_d"), F.xxhash64("text").alias("_k"), "text")
+    rows = rows.join(nodes, rows["_d"].eqNullSafe(nodes["doc_id"]) & (rows["_k"] == nodes["key"])).select("id", "text")
 
-    doc_id is the key of a document: of rows that repeat it, the first by text stays. Rows with a null doc_id stay.
+    def run(c):
+        words = _Words()
+        return {"id": c["id"], "set": [shingles(x, words).view(np.int64).tolist() for x in c["text"]]}
+
+    sets = materialize(map_rows(rows, "id long, set array<long>", run).dropDuplicates(["id"]))
+    for side in ("a", "b"):
+        pairs = pairs.join(sets.select(F.col("id").alias(side), F.col("set").alias(f"_{side}")), side)
+    both = F.size(F.array_intersect("_a", "_b"))
+    return pairs.where(both >= SIMILARITY * (F.size("_a") + F.size("_b") - both)).drop("_a", "_b")
+
+
+def groups(docs: DataFrame) -> DataFrame:
+    """doc_id, key (a hash of the text), root_id, root_key for every different (doc_id, text): the first of its group.
+
+    Documents are linked if the distinct five-word shingles of their texts have SIMILARITY or more; groups are what links join.
     """
-    from pyspark.sql import Window
+    fps = materialize(wide_fingerprints(docs))
+    names = [f"f{k}" for k in range(WIDE // 64)]
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("key")))
+    unique = materialize(fps.groupBy(*names).agg(first.alias("rep")).withColumn("id", F.monotonically_increasing_id()))
+    links = materialize(wide_links(unique.select("id", *names)))
+    sure = links.where("far = 0").select("a", "b")
+    root = materialize(connected_components(sure))
+    between = links.where("far > 0")
+    for side in ("a", "b"):
+        between = between.join(root.select(F.col("node").alias(side), F.col("root").alias(f"root_{side}")), side, "left").withColumn(f"root_{side}", F.coalesce(f"root_{side}", side))
+    between = between.withColumn("lo", F.least("root_a", "root_b")).withColumn("hi", F.greatest("root_a", "root_b")).where("lo < hi")
+    between = materialize(between.groupBy("lo", "hi").agg(F.min(F.struct("far", "a", "b")).alias("x")).select("lo", "hi", "x.a", "x.b"))
+    ends = between.select(F.col("a").alias("id")).union(between.select(F.col("b").alias("id"))).distinct()
+    nodes = materialize(unique.join(ends, "id").select("id", "rep.doc_id", "rep.key"))
+    more = similar(docs, nodes, between).select("lo", "hi")
+    root = materialize(connected_components(sure.union(more)))
+    owner = unique.join(root.select(F.col("node").alias("id"), "root"), "id", "left").select(*names, "rep", F.coalesce("root", "id").alias("root"))
+    best = materialize(owner.groupBy("root").agg(F.min("rep").alias("best")))
+    owner = materialize(owner.join(best, "root").select(*names, "best"))
+    return fps.join(owner, names).select("doc_id", "key", F.col("best.doc_id").alias("root_id"), F.col("best.key").alias("root_key"))
 
-    kept = near_duplicates(docs).where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    once = docs.where("doc_id is not null").join(kept, F.col("doc_id") == F.col("_kept"), "left_semi")
-    once = once.withColumn("_n", F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))).where("_n = 1").drop("_n")
-    return once.unionByName(docs.where("doc_id is null"))
+
+def deduplicated(docs: DataFrame) -> DataFrame:
+    """Rows of docs with all columns, one of each group: the first by doc_id (null last), then by a hash of the text.
+
+    A doc_id that is repeated with other texts names other documents. Texts without words are one group; of rows that
+    repeat doc_id and text, one stays.
+    """
+    kept = groups(docs).where("doc_id <=> root_id and key = root_key").groupBy("doc_id", "key").agg(F.count("*").alias("_rows"))
+    kept = materialize(kept.select(F.col("doc_id").alias("_kept_id"), F.col("key").alias("_kept_key"), F.col("_rows").alias("_kept_rows")))
+    names = docs.columns
+    rows = docs.withColumns({"_text_key": F.xxhash64("text"), "_no_id": F.col("doc_id").isNull(), "_some_id": F.coalesce("doc_id", F.lit(0))})
+    kept = kept.select(F.col("_kept_id").isNull().alias("_no_id"), F.coalesce("_kept_id", F.lit(0)).alias("_some_id"), F.col("_kept_key").alias("_text_key"), "_kept_rows")
+    rows = rows.join(kept, ["_no_id", "_some_id", "_text_key"])
+    repeated = rows.where("_kept_rows > 1").dropDuplicates(["_no_id", "_some_id", "_text_key"])
+    return rows.where("_kept_rows = 1").select(*names).unionByName(repeated.select(*names))
