@@ -14,7 +14,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from glyphlake.llm import langid, media, mixing, packing, pii, pivots, secrets, simhash, toxicity, urlfilter
+from glyphlake.llm import langid, media, packing, pii, pivots, secrets, simhash, toxicity, urlfilter
 from glyphlake.llm.common import connected_components
 from glyphlake.llm.queries import oracle_sql, queries
 
@@ -221,50 +221,6 @@ def test_pii_odd(spark, odd):
     assert pii.found(odd.limit(0)).count() == 0
 
 
-# 2
-
-
-def test_schedule_keeps_shares():
-    for weights in ({"a": 1}, {"a": 5, "b": 3, None: 2}, {str(i): i + 0.3 for i in range(37)}, {str(i): 1 for i in range(70)}):
-        per = mixing.slots(weights, 64)
-        whole = sum(per.values())
-        done = Counter()
-        for source, i, slot in sorted(mixing.schedule(per), key=lambda x: x[2]):
-            assert done[source] == i
-            done[source] += 1
-            assert all(abs(done[s] - (slot + 1) * m / whole) < 1 for s, m in per.items())
-        assert done == Counter(per)
-
-
-def test_mixing_query(spark):
-    docs = documents(SF1)
-    got = rows_of(queries()["op2_mixing"](spark, SF1))
-    assert sorted(r["doc_id"] for r in got) == sorted(docs.doc_id)
-    chars = docs.groupby("source").text.apply(lambda t: int(t.str.len().sum()))
-    per = mixing.slots({s: c**mixing.ALPHA for s, c in chars.items()})
-    whole = sum(per.values())
-    place = {(s, i): slot for s, i, slot in mixing.schedule(per)}
-    size = dict(zip(docs.doc_id, docs.text.str.len(), strict=True))
-    by = defaultdict(list)
-    for r in got:
-        assert r["slot"] == r["block"] // per[r["source"]] * whole + place[r["source"], r["block"] % per[r["source"]]]
-        by[r["source"]].append(r)
-    for rows in by.values():
-        at = 0
-        for r in sorted(rows, key=lambda r: (r["slot"], r["place"])):
-            assert r["block"] == at // mixing.BLOCK_CHARS
-            at += size[r["doc_id"]]
-
-
-def test_mixing_odd(spark, odd):
-    out = mixing.mixed_order(odd)
-    assert out.columns == odd.columns
-    key = lambda r: str(r)
-    assert sorted(map(tuple, out.collect()), key=key) == sorted(ODD, key=key)
-    assert mixing.mixed_order(odd.limit(0)).count() == 0
-    assert mixing.mixed(odd, {"s": 1.0, "unknown": 3.0}).count() == len(ODD)
-
-
 # 3
 
 
