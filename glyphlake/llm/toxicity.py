@@ -1,14 +1,16 @@
 """Toxic passages by maximum-scoring segments of token log-odds.
 
 Learning: on a bounded sample of labelled documents, tokens get log-odds between toxic and other documents, with a
-Dirichlet prior proportional to their overall counts (Monroe et al. 2008). The lexicon keeps the tokens whose
-log-odds are significant; all others share one slightly negative score, the log-odds of being outside the lexicon.
+Dirichlet prior proportional to their overall counts (Monroe et al. 2008). Tokens whose share of toxic documents is
+significantly above or below the usual one keep their own log-odds, for or against; all others share the log-odds of being one
+of them, which is slightly negative.
 
-Scoring: one pass over a document's tokens (Ruzzo and Tompa 1999, over runs between lexicon tokens) gives every maximal
-scoring segment. Scores of segments in clean text have an extreme-value tail, K * length * exp(-lambda * score)
-expected by chance (Karlin and Altschul 1990), with lambda = 1 for log-odds scores and K measured on clean sample
-documents. Significant segments are toxic passages; a document's evidence sums its significant segments over
-chance, and a logistic curve fitted on the sample turns the evidence into a score.
+Scoring: one pass over a document's tokens (Ruzzo and Tompa 1999, over the tokens that have their own log-odds) gives every
+maximal scoring segment. Scores of segments in clean text have an extreme-value tail, K * length * exp(-lambda * score)
+expected by chance (Karlin and Altschul 1990): lambda solves sum of p * exp(lambda * score) = 1 over the tokens of clean sample
+documents (with the prior's share of each token), and log K is the median over the upper half of the segments that those have. Significant segments are toxic
+passages; a document's evidence sums its significant segments over chance, and a logistic curve fitted on the sample turns the
+evidence into a score.
 
 Defined cases: null or empty text scores as a text with no evidence; documents without a label take no part in learning;
 of several labels of one doc_id the largest counts; with no toxic or no clean label in the sample every score is 0;
@@ -28,11 +30,15 @@ from pyspark.sql import functions as F
 
 from .common import is_held_out, map_rows, materialize, prepare
 
-#: Bounds of the model: labelled documents that it learns from, tokens of the lexicon.
-SAMPLE_DOCS, LEXICON = 20_000, 4_000
+#: Bounds of the model: labelled documents that it learns from, tokens with log-odds of their own. Significance alone
+#: chooses tokens; their number only bounds the driver.
+SAMPLE_DOCS, LEXICON = 20_000, 100_000
 #: Strength of the prior in tokens for each token of the smaller class; least z-score of a lexicon token's share of toxic
-#: documents; least toxic documents, and least different words before it in them (copies of one document have one).
+#: documents, either way; least documents that have it, and least different words before it in toxic ones (by a hash of 32 values;
+#: copies of one document have one).
 PRIOR, LEAST_Z, LEAST_DOCS = 0.05, 4.0, 4
+#: Segment scores are counted in steps of this size to find K.
+STEP = 0.05
 #: Expected chance segments below which a segment counts as significant.
 LEAST_E = 0.05
 EDGE = "".join(chr(i) for i in range(33, 127) if not chr(i).isalnum()) + "¿¡«»…“”‘’"
@@ -42,6 +48,7 @@ EDGE = "".join(chr(i) for i in range(33, 127) if not chr(i).isalnum()) + "¿¡«
 class Model:
     scores: dict[str, float] = field(default_factory=dict)
     other: float = -0.01
+    decay: float = 1.0  # lambda
     log_k: float = 0.0
     a: float = 0.0
     b: float = -math.inf
@@ -86,10 +93,47 @@ def scored(text: str | None, model: Model) -> tuple[int, list[tuple[int, int, fl
     return len(words), segments([i for i, _ in hits], [s for _, s in hits], model.other) if hits else []
 
 
-def evidence(n: int, parts: list[tuple[int, int, float]], log_k: float) -> float:
+def evidence(n: int, parts: list[tuple[int, int, float]], model: Model) -> float:
     """Sum over segments of what they have above the chance level of a text of n tokens; 0 at least."""
-    chance = log_k + math.log(n + 1) - math.log(LEAST_E)
-    return sum(max(0.0, s - chance) for _, _, s in parts)
+    chance = model.log_k + math.log(n + 1) - math.log(LEAST_E)
+    return sum(max(0.0, model.decay * s - chance) for _, _, s in parts)
+
+
+def decay_of(scores: list[float], weights: list[float]) -> float:
+    """The lambda above 0 at which the weighted mean of exp(lambda * score) is 1; 1 if no score is above 0 or the mean isn't below."""
+    total = sum(weights)
+    if max(scores) <= 0 or sum(s * w for s, w in zip(scores, weights, strict=True)) >= 0:
+        return 1.0
+
+    def above(x: float) -> bool:
+        return sum(w * math.exp(min(700.0, x * s)) for s, w in zip(scores, weights, strict=True)) > total
+
+    high = 1.0
+    while not above(high) and high < 1e3:
+        high *= 2
+    low = 0.0
+    for _ in range(60):
+        middle = (low + high) / 2
+        low, high = (low, middle) if above(middle) else (middle, high)
+    return (low + high) / 2
+
+
+def log_k_of(counts: list[tuple[float, int]], length: int, decay: float) -> float:
+    """Median of log((segments at s or above) / length) + lambda * s over the upper half of the segments (score, how many)."""
+    left, rows, above = -(-sum(n for _, n in counts) // 2), [], 0
+    for s, n in sorted(counts, reverse=True):
+        if left <= 0:
+            break
+        above += n
+        rows.append((math.log(above / length) + decay * s, min(n, left)))
+        left -= n
+    rows.sort()
+    half = sum(n for _, n in rows) / 2
+    for x, n in rows:
+        half -= n
+        if half <= 0:
+            return x
+    return -math.log(length)
 
 
 def logistic(z: float) -> float:
@@ -99,12 +143,12 @@ def logistic(z: float) -> float:
 def passages(text: str | None, model: Model) -> list[tuple[int, int, float]]:
     """Significant toxic passages: first token, last token, score."""
     n, parts = scored(text, model)
-    return [p for p in parts if evidence(n, [p], model.log_k) > 0]
+    return [p for p in parts if evidence(n, [p], model) > 0]
 
 
 def score(text: str | None, model: Model) -> float:
     n, parts = scored(text, model)
-    return logistic(model.a * math.log1p(evidence(n, parts, model.log_k)) + model.b)
+    return logistic(model.a * math.log1p(evidence(n, parts, model)) + model.b)
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
@@ -160,27 +204,33 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
     having = F.col("bad_docs") + F.col("clean_docs")
     z = (F.col("bad_docs") - having * base) / F.sqrt(having * (base * (1 - base)))
     # Spread over documents and contexts: a long document or copies of one that repeat a word are no evidence.
-    chosen = words.withColumn("odds", odds).withColumn("z", z)
-    chosen = chosen.where((F.col("bad_docs") >= LEAST_DOCS) & (F.col("contexts") >= LEAST_DOCS) & (F.col("z") >= LEAST_Z) & (F.col("odds") > 0) & (F.length("word") > 0))
-    lexicon = chosen.orderBy(F.desc("z"), "word").limit(LEXICON).collect()  # LEXICON rows at most
-    if not lexicon:
+    chosen = words.withColumn("odds", odds).withColumn("z", z).withColumn("weight", clean).where(F.length("word") > 0)
+    bad_word = (F.col("bad_docs") >= LEAST_DOCS) & (F.col("contexts") >= LEAST_DOCS) & (F.col("z") >= LEAST_Z) & (F.col("odds") > 0)
+    clean_word = (F.col("clean_docs") >= LEAST_DOCS) & (F.col("z") <= -LEAST_Z) & (F.col("odds") < 0)
+    lexicon = chosen.where(bad_word | clean_word).orderBy(F.desc(F.abs("z")), "word").limit(LEXICON).collect()
+    if not any(r.odds > 0 for r in lexicon):
         return Model()
-    share = [sum(r[k] for r in lexicon) / m for k, m in (("bad", n_bad), ("clean", n_clean))]
-    model = Model({r.word: r.odds for r in lexicon}, min(-1e-3, math.log1p(-min(0.5, share[0])) - math.log1p(-min(0.5, share[1]))))
+    share = [min(0.9, sum(r[k] for r in lexicon) / m) for k, m in (("bad", n_bad), ("clean", n_clean))]
+    model = Model({r.word: r.odds for r in lexicon}, min(-1e-3, math.log1p(-share[0]) - math.log1p(-share[1])))
+    model.decay = decay_of([*(r.odds for r in lexicon), model.other], [*(r.weight for r in lexicon), max(0.0, n_clean + prior - sum(r.weight for r in lexicon))])
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def listed(c):
+        found = [scored(x, shared.value) for x in c["text"]]
+        steps = [round(s / STEP) for _, p in found for _, _, s in p]
+        return {"step": [*steps, None], "n": [*([1] * len(steps)), sum(n for n, _ in found)]}
+
+    counts = map_rows(sample.where("toxic = 0").select("text"), "step long, n long", listed).groupBy("step").agg(F.sum("n").alias("n")).collect()
+    length = sum(r.n for r in counts if r.step is None) + 1
+    model.log_k = log_k_of([(r.step * STEP, r.n) for r in counts if r.step is not None], length, model.decay)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def measured(c):
         found = [scored(x, shared.value) for x in c["text"]]
-        return {"n": [n for n, _ in found], "parts": [[s for _, _, s in p] for _, p in found], "toxic": c["toxic"]}
-
-    rows = map_rows(sample.select("text", "toxic"), "n long, parts array<double>, toxic int", measured).collect()  # SAMPLE_DOCS at most
-    chance = sorted((s for r in rows if not r.toxic for s in r.parts), reverse=True)
-    length = sum(r.n for r in rows if not r.toxic) + 1
-    # K = (segments at s or above) * exp(s) / length, over the upper half of the chance scores.
-    upper = chance[: max(1, len(chance) // 2)]
-    model.log_k = max((math.log((i + 1) / length) + s for i, s in enumerate(upper[-1:], len(upper) - 1)), default=-math.log(length))
-    x = np.array([math.log1p(evidence(r.n, [(0, 0, s) for s in r.parts], model.log_k)) for r in rows])
-    model.a, model.b = fit_logistic(x, np.array([float(r.toxic) for r in rows]))
+        return {"x": [math.log1p(evidence(n, p, shared.value)) for n, p in found], "toxic": c["toxic"]}
+
+    rows = map_rows(sample.select("text", "toxic"), "x double, toxic int", measured).collect()  # two numbers of SAMPLE_DOCS at most
+    model.a, model.b = fit_logistic(np.array([r.x for r in rows]), np.array([float(r.toxic) for r in rows]))
     return model
 
 
