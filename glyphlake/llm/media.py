@@ -1,15 +1,14 @@
 """Media columns: payloads in lossless WebP files, and pixel arrays read back from them.
 
 A text's UTF-8 bytes, padded with 0 to a positive multiple of 64, become 8-bit samples: the green channel of rows of 64
-pixels (or of a multiple of 64, padded, beyond 16,384 rows; the payload's length is then in a chunk of its own). The
-samples are stored through a palette of the bytes that occur. Payloads up to `RICH_BYTES` use back-references, a
-colour cache and codes of fitting lengths; longer ones use codes of one length, which are read as arrays, so that time
-grows with bytes and not with Python steps. `webp.decode` reads either, and any other VP8L stream with its predictor,
-cross-colour and subtract-green transforms, through `pixels`.
+pixels. The samples are stored through the palette transform, with prefix codes that fit them, back-references and a
+colour cache, whatever their number. A file holds the format's highest number of rows, 2**20 samples; longer payloads are a file after
+another. `webp.decode` reads any VP8L stream, with its predictor, cross-colour, subtract-green and palette transforms and
+groups of codes, through `pixels`.
 
 Defined cases: a null text counts as empty and is stored as 64 zero bytes; equal texts give equal files; a file that
 can't be read gives null pixels; repeated rows are stored each; an empty table gives an empty result; other columns
-are not read; payloads over 16,384 * 16,384 bytes, which the format can't hold, raise ValueError.
+are not read.
 """
 
 from __future__ import annotations
@@ -23,8 +22,7 @@ from pyspark.sql import DataFrame
 from . import webp
 from .common import map_rows, prepare
 
-ALIGN, RICH_BYTES, CACHE_BITS = 64, 512, 6
-LENGTH_CHUNK = b"plen"
+ALIGN, CACHE_BITS = 64, 6
 
 
 def payload_of(text: str | None) -> tuple[bytes, int]:
@@ -33,35 +31,33 @@ def payload_of(text: str | None) -> tuple[bytes, int]:
     return raw.ljust(size, b"\0"), len(raw)
 
 
-def stored(payload: bytes) -> bytes:
-    """The WebP file of a payload."""
-    rows = len(payload) // ALIGN
-    units = -(-rows // webp.MOST_SIDE)
-    width, height = ALIGN * units, -(-rows // units)
-    if width > webp.MOST_SIDE:
-        raise ValueError("the payload is too long for one image")
-    more = {} if width * height == len(payload) else {LENGTH_CHUNK: len(payload).to_bytes(8, "little")}
-    samples = np.frombuffer(payload.ljust(width * height, b"\0"), np.uint8).reshape(height, width)
-    used = np.flatnonzero(np.bincount(samples.ravel(), minlength=256))
+def _file(samples: np.ndarray) -> bytes:
+    w = webp.header(ALIGN, len(samples) // ALIGN)
+    used = np.flatnonzero(np.bincount(samples, minlength=256))
     place = np.zeros(256, np.uint8)
     place[used] = np.arange(len(used))
-    index = webp.bundled(place[samples], len(used)).astype(np.uint32)
-    w = webp.header(width, height)
-    webp.write_palette(w, (used.astype(np.uint32) << np.uint32(8)) | np.uint32(0xFF000000))
+    index = webp.bundled(place[samples].reshape(-1, ALIGN), len(used))
+    webp.write_palette(w, used.astype(np.uint32) << np.uint32(8))
     w.write(0, 1)
-    if len(payload) <= RICH_BYTES:
-        webp.write_image(w, index.ravel() << np.uint32(8), index.shape[1], True, CACHE_BITS, True)
-    else:
-        webp.write_flat(w, index.ravel(), int(index.max()) + 1)
-    return webp.file_of(w.bytes(), more)
+    webp.write_samples(w, index.ravel().astype(np.uint8), index.shape[1], True, CACHE_BITS)
+    return webp.file_of(w.bytes())
+
+
+def stored(payload: bytes) -> bytes:
+    """The WebP file of a payload, or several, one after another."""
+    samples, most = np.frombuffer(payload, np.uint8), ALIGN * webp.MOST_SIDE
+    return b"".join(_file(samples[i : i + most]) for i in range(0, len(samples), most))
+
+
+def decoded(media: bytes) -> np.ndarray:
+    """The pixels of one or more files of one width, below each other."""
+    images = [webp.decode(x) for x in webp.files(media)]
+    return images[0] if len(images) == 1 else np.concatenate(images)
 
 
 def restored(media: bytes) -> bytes:
     """The payload of a file that `stored` made."""
-    found = webp.chunks(media)
-    image = webp.decode_stream(found[b"VP8L"])
-    samples = ((image >> np.uint32(8)) & np.uint32(255)).astype(np.uint8).tobytes()
-    return samples[: int.from_bytes(found[LENGTH_CHUNK], "little")] if LENGTH_CHUNK in found else samples
+    return ((decoded(media) >> np.uint32(8)) & np.uint32(255)).astype(np.uint8).tobytes()
 
 
 def feature(payload: bytes) -> str:
@@ -92,7 +88,7 @@ def pixels(files: DataFrame, column: str = "media") -> DataFrame:
         out = {column: c[column], "width": [], "height": [], "argb": []}
         for data in c[column]:
             try:
-                image = webp.decode(data)
+                image = decoded(data)
             except (ValueError, KeyError, IndexError, TypeError):
                 image = None
             out["width"].append(None if image is None else image.shape[1])

@@ -2,7 +2,7 @@
 
 The format is public (WebP Lossless Bitstream Specification). `decode` reads any VP8L stream: prefix codes, back-references,
 colour cache, groups of codes, and the predictor, cross-colour, subtract-green and palette transforms, and gives a
-uint32 array of ARGB pixels. Streams whose only code with bits has codes of one length are read as arrays.
+uint32 array of ARGB pixels. A last image whose green channel alone varies, as that of a palette, is read and written by arrays.
 """
 
 from __future__ import annotations
@@ -10,6 +10,7 @@ from __future__ import annotations
 import heapq
 from collections import Counter
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 
@@ -43,15 +44,14 @@ class Reader:
         self.at = at + n
         return int.from_bytes(self.data[at >> 3 : (at + n + 7) >> 3], "little") >> (at & 7) & ((1 << n) - 1)
 
-    def array(self, n: int, width: int) -> np.ndarray:
-        """n numbers of width bits whose first bit is the highest."""
-        end = self.at + n * width
-        if end > 8 * len(self.data):
-            raise ValueError("the stream ends early")
-        raw = np.frombuffer(self.data, np.uint8, (end + 7) // 8 - (self.at >> 3), self.at >> 3)
-        bits = np.unpackbits(raw, bitorder="little")[self.at & 7 :][: n * width].reshape(n, width)
-        self.at = end
-        return np.packbits(bits, axis=1)[:, 0] >> np.uint8(8 - width)
+
+@cache
+def _reversed(width: int) -> np.ndarray:
+    """The numbers of width bits, each with its bits in reverse."""
+    out = np.zeros(1, np.int64)
+    for k in range(width):
+        out = np.concatenate([out, out + (1 << (width - 1 - k))])
+    return out
 
 
 @dataclass
@@ -89,10 +89,14 @@ class Code:
             code <<= 1
         raise ValueError("no such code")
 
-    @property
-    def even(self) -> int:
-        """The one length of all codes (0: none has bits), else -1."""
-        return 0 if not self.counts else len(self.counts) - 1 if len(self.symbols) == self.counts[-1] else -1
+    def table(self) -> tuple[np.ndarray, int]:
+        """16 * symbol + length for every value of the next bits, and their number."""
+        longest = len(self.counts) - 1 if self.counts else 0
+        if not longest:
+            return np.array([16 * self.symbols[0]], np.int32), 0
+        lengths = np.repeat(np.arange(longest + 1), self.counts)
+        table = np.repeat(16 * np.array(self.symbols, np.int32) + lengths.astype(np.int32), 1 << (longest - lengths))
+        return table[_reversed(longest)], longest
 
 
 def read_code(r: Reader, size: int) -> Code:
@@ -149,12 +153,9 @@ def read_image(r: Reader, width: int, height: int, main: bool) -> np.ndarray:
         groups = (read_image(r, across, (height + (1 << tile) - 1) >> tile, False) >> np.uint32(8)).astype(np.int64) & 0xFFFF
     sizes = (256 + LENGTHS + (1 << cache_bits if cache_bits else 0), 256, 256, 256, DISTANCES)
     codes = [[read_code(r, s) for s in sizes] for _ in range(int(groups.max()) + 1)]
-    if len(codes) == 1 and not cache_bits:
-        green, red, blue, alpha, _ = codes[0]
-        rest = red.symbols[0] << 16 | blue.symbols[0] | alpha.symbols[0] << 24
-        if not (red.counts or blue.counts or alpha.counts) and green.symbols[-1] < 256 and 0 <= green.even <= 8 and max(green.symbols) < 256:
-            values = np.array(green.symbols, np.uint32)[r.array(n, green.even)] if green.even else np.full(n, green.symbols[0], np.uint32)
-            return values << np.uint32(8) | np.uint32(rest)
+    green, red, blue, alpha, far = codes[0]
+    if len(codes) == 1 and not (red.counts or blue.counts or alpha.counts):
+        return _read_samples(r, n, width, green, far, cache_bits, red.symbols[0] << 16 | blue.symbols[0] | alpha.symbols[0] << 24)
     pixels = [0] * n
     cache = [0] * (1 << cache_bits)
     at = kept = 0
@@ -189,6 +190,131 @@ def read_image(r: Reader, width: int, height: int, main: bool) -> np.ndarray:
     return np.array(pixels, np.uint32)
 
 
+@cache
+def _slots(rest: int, bits: int) -> np.ndarray:
+    """The colour cache's slot of each green value."""
+    colours = (np.arange(256, dtype=np.uint64) << np.uint64(8)) | np.uint64(rest)
+    return ((colours * np.uint64(CACHE_FACTOR) & np.uint64(0xFFFFFFFF)) >> np.uint64(32 - bits)).astype(np.uint8 if bits <= 8 else np.uint16)
+
+
+def _same_before(keys: np.ndarray) -> np.ndarray:
+    """For each place the last one before it with an equal key, -1 if there is none.
+
+    Numbers of 64 bits are sorted by 32 bits of a product and their place, so a chance neighbour may hide an equal one.
+    """
+    if keys.itemsize <= 2:
+        order = np.argsort(keys, kind="stable")
+    else:
+        order = (keys * np.uint64(0x9E3779B97F4A7C15)) & np.uint64(0xFFFFFFFF00000000) | np.arange(len(keys), dtype=np.uint64)
+        order.sort()
+        order = (order & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    ordered = keys[order]
+    same = ordered[1:] == ordered[:-1]
+    out = np.full(len(keys), -1)
+    out[order[1:][same]] = order[:-1][same]
+    return out
+
+
+@cache
+def _near(width: int) -> tuple[np.ndarray, dict[int, int]]:
+    """Distances of the near codes, and the first code of each distance."""
+    far = [max(1, x + y * width) for x, y in NEAR]
+    return np.array(far), {d: k + 1 for k, d in reversed(list(enumerate(far)))}
+
+
+#: Of each prefix of a length or distance: extra bits, and the value without them.
+_EXTRA = np.array([0 if k < 4 else (k - 2) >> 1 for k in range(DISTANCES)])
+_LEAST = np.array([k + 1 if k < 4 else ((2 + (k & 1)) << ((k - 2) >> 1)) + 1 for k in range(DISTANCES)])
+
+
+def _read_samples(r: Reader, n: int, width: int, green: Code, far: Code, cache_bits: int, rest: int) -> np.ndarray:
+    """An image of which only the green values have bits: by arrays, with every code, reference and cache.
+
+    What would be read is looked up at every bit, and the steps that are taken are those on the path from the first bit. Cache
+    hits and copies then point at the pixel that they repeat, until each points at one that is written out.
+    """
+    first = r.at >> 3
+    data = r.data[first : first + 8 * n + 8]  # no pixel takes more than 8 bytes
+    size = 8 * len(data)
+    raw = np.frombuffer(data + bytes(8), np.uint8).astype(np.uint32)
+    words = raw[:-3] | raw[1:-2] << np.uint32(8) | raw[2:-1] << np.uint32(16) | raw[3:] << np.uint32(24)
+    windows = (words[:, None] >> np.arange(8, dtype=np.uint32)).ravel()  # 25 bits from each place at least
+    top = len(windows) - 1
+    table, bits = green.table()
+    found = table[windows & np.uint32((1 << bits) - 1)]
+    after = np.arange(len(windows), dtype=np.int32)
+    after += found & 15
+    copy = np.flatnonzero((found >= 16 * 256) & (found < 16 * (256 + LENGTHS)))
+    length = back = np.zeros(0, np.int64)
+    if len(copy):
+
+        def number(at: np.ndarray, prefix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            extra = _EXTRA[prefix]
+            return _LEAST[prefix] + (windows[np.minimum(at, top)] & ((1 << extra) - 1)), at + extra
+
+        length, at = number(after[copy], (found[copy] >> 4) - 256)
+        table, bits = far.table()
+        step = table[windows[np.minimum(at, top)] & np.uint32((1 << bits) - 1)]
+        back, after[copy] = number(at + (step & 15), step >> 4)
+    at = r.at & 7
+    if after[at] > at:
+        follow, path = memoryview(after), []
+        for _ in range(n):
+            if at >= size:
+                break
+            path.append(at)
+            at = follow[at]
+        path = np.array(path, np.int64)
+    else:  # one symbol, which takes no bits
+        path = np.full(n, at)
+    symbol = found[path] >> 4
+    copied = np.flatnonzero((symbol >= 256) & (symbol < 256 + LENGTHS))
+    which = np.searchsorted(copy, path[copied])
+    count = np.ones(len(path), np.int64)
+    count[copied] = length[which]
+    ends = np.cumsum(count)
+    steps = int(np.searchsorted(ends, n)) + 1
+    if steps > len(path) or ends[steps - 1] != n or after[path[steps - 1]] > size:
+        raise ValueError("the stream ends early, or a back-reference leaves the image")
+    r.at = 8 * first + int(after[path[steps - 1]])
+    symbol, ends, count = symbol[:steps], ends[:steps], count[:steps]
+    places = ends - count
+    which = which[: np.searchsorted(copied, steps)]
+    copied = copied[: len(which)]
+    back, near = back[which], _near(width)[0]
+    back = np.where(back > len(NEAR), back - len(NEAR), near[np.minimum(back, len(NEAR)) - 1])
+    if (back > places[copied]).any():
+        raise ValueError("a back-reference leaves the image")
+    single = symbol < 256
+    source = np.arange(n)
+    values = np.zeros(n + 1, np.uint32)  # the last is an empty slot of the cache
+    values[places[single]] = symbol[single].astype(np.uint32) << np.uint32(8) | np.uint32(rest)
+    length = count[copied]
+    inside = np.zeros(n + 1, np.int64)
+    inside[places[copied]] = back
+    ended = places[copied] + length
+    inside[ended] -= back
+    source -= np.cumsum(inside[:n])
+    if cache_bits:
+        kinds = _slots(rest, cache_bits)
+        hit = symbol >= 256 + LENGTHS
+        slots = np.zeros(n, kinds.dtype)
+        slots[places[single]] = kinds[symbol[single]]
+        slots[places[hit]] = symbol[hit] - (256 + LENGTHS)
+        for at, left, d in zip(places[copied].tolist(), length.tolist(), back.tolist(), strict=True):
+            while left:  # what lies before is there, so overlapping copies go by doubling steps
+                step = min(left, d)
+                slots[at : at + step] = slots[at - d : at - d + step]
+                at, left, d = at + step, left - step, 2 * d if step == d else d
+        source[places[hit]] = _same_before(slots)[places[hit]]
+    source = np.append(np.where(source < 0, n, source), n)
+    while True:
+        further = source[source]
+        if (further == source).all():
+            return values[source[:n]]
+        source = further
+
+
 def _average(a: list[int], b: list[int]) -> list[int]:
     return [(x + y) >> 1 for x, y in zip(a, b, strict=True)]
 
@@ -351,6 +477,16 @@ def chunks(data: bytes) -> dict[bytes, bytes]:
     return out
 
 
+def files(data: bytes) -> list[bytes]:
+    """RIFF files that follow each other."""
+    out, at = [], 0
+    while at < len(data) or not out:
+        n = 8 + int.from_bytes(data[at + 4 : at + 8], "little")
+        out.append(data[at : at + n])
+        at += n
+    return out
+
+
 def decode(data: bytes) -> np.ndarray:
     """ARGB pixels (height, width) of a lossless WebP file."""
     return decode_stream(chunks(data)[b"VP8L"])
@@ -372,12 +508,19 @@ class Writer:
         self.value >>= whole
         self.n -= whole
 
-    def array(self, values: np.ndarray, width: int) -> None:
-        """Numbers of width bits, the highest bit first."""
+    def fields(self, values: np.ndarray, widths: np.ndarray) -> None:
+        """Numbers of widths bits each (32 at most), the lowest bit first."""
         self.flush()
         self.parts.append(np.array([self.value >> i & 1 for i in range(self.n)], np.uint8))
         self.value = self.n = 0
-        self.parts.append(np.unpackbits(values.astype(np.uint8)[:, None], axis=1)[:, 8 - width :].ravel())
+        ends = np.cumsum(widths)
+        at = ends - widths
+        words = np.zeros((int(ends[-1]) >> 6) + 2, np.uint64)
+        shift, values = (at & 63).astype(np.uint64), values.astype(np.uint64)
+        np.bitwise_or.at(words, at >> 6, values << shift)
+        over = (at & 63) + widths > 64
+        np.bitwise_or.at(words, (at[over] >> 6) + 1, values[over] >> (np.uint64(64) - shift[over]))
+        self.parts.append(np.unpackbits(words.view(np.uint8), bitorder="little")[: int(ends[-1])])
 
     def bytes(self) -> bytes:
         self.n = (self.n + 7) & ~7
@@ -389,18 +532,21 @@ def code_lengths(counts: dict[int, int], most: int) -> dict[int, int]:
     """Huffman lengths of at most `most` bits."""
     if len(counts) == 1:
         return dict.fromkeys(counts, 1)
+    symbols, n = list(counts), len(counts)
     while True:
-        heap = [(c, s, (s,)) for s, c in counts.items()]
+        heap = [(counts[s], s, k) for k, s in enumerate(symbols)]
         heapq.heapify(heap)
-        depth = dict.fromkeys(counts, 0)
-        while len(heap) > 1:
+        above = [0] * (2 * n - 1)
+        for node in range(n, 2 * n - 1):
             a, s, x = heapq.heappop(heap)
-            b, _, y = heapq.heappop(heap)
-            for k in x + y:
-                depth[k] += 1
-            heapq.heappush(heap, (a + b, s, x + y))
-        if max(depth.values()) <= most:
-            return depth
+            b, _, y = heap[0]
+            above[x] = above[y] = node
+            heapq.heapreplace(heap, (a + b, s, node))
+        depth = [0] * (2 * n - 1)
+        for node in range(2 * n - 3, -1, -1):
+            depth[node] = depth[above[node]] + 1
+        if max(depth[:n]) <= most:
+            return dict(zip(symbols, depth, strict=False))
         counts = {s: (c + 1) >> 1 for s, c in counts.items()}
 
 
@@ -427,23 +573,25 @@ def write_code(w: Writer, lengths: dict[int, int]) -> dict[int, tuple[int, int]]
         if len(symbols) == 2:
             w.write(symbols[1], 8)
         return canonical(dict.fromkeys(symbols, 1))
-    row = [lengths.get(s, 0) for s in range(symbols[-1] + 1)]
-    steps, i, last = [], 0, 8
-    while i < len(row):
-        n = 1
-        while i + n < len(row) and row[i + n] == row[i]:
-            n += 1
-        if row[i] == 0 and n >= 3:
-            n = min(n, 138)
-            steps.append((17, n - 3, 3) if n <= 10 else (18, n - 11, 7))
-        elif row[i] and row[i] == last and n >= 3:
-            n = min(n, 6)
-            steps.append((16, n - 3, 2))
+    steps, last, at = [], 8, 0
+    for s in symbols:
+        # Zeros up to the symbol, in runs as long as they may be.
+        gap, at = s - at, s + 1
+        while gap:
+            run = min(gap, 138)
+            if run < 3:
+                steps += [(0, 0, 0)] * run
+            else:
+                steps.append((17, run - 3, 3) if run <= 10 else (18, run - 11, 7))
+            gap -= run
+        n = lengths[s]
+        if n == last and len(steps) >= 3 and steps[-1] == steps[-2] == steps[-3] == (n, 0, 0):
+            steps[-3:] = [(n, 0, 0), (16, 0, 2)]
+        elif n == last and len(steps) >= 2 and steps[-1][0] == 16 and steps[-1][1] < 3:
+            steps[-1] = (16, steps[-1][1] + 1, 2)
         else:
-            n = 1
-            steps.append((row[i], 0, 0))
-            last = row[i] or last
-        i += n
+            steps.append((n, 0, 0))
+        last = n
     own = code_lengths(Counter(s for s, _, _ in steps), 7)
     order = [own.get(s, 0) for s in LENGTH_ORDER]
     used = max([4, *(k + 1 for k, n in enumerate(order) if n)])
@@ -543,14 +691,98 @@ def write_image(w: Writer, pixels: np.ndarray, width: int, main: bool, cache_bit
             w.write(s[2][1], s[2][2])
 
 
-def write_flat(w: Writer, index: np.ndarray, size: int) -> None:
-    """A main image whose green channel takes the values 0 to size - 1 with codes of one length; the others are 0."""
-    bits = max(1, (size - 1).bit_length())
-    w.write(0, 2)
-    write_code(w, dict.fromkeys(range(1 << bits), bits))
-    for _ in range(4):
-        write_code(w, {})
-    w.array(index, bits)
+#: Pixels of a back-reference at least, and at most; longest code, which keeps the reader's tables small.
+LEAST_MATCH, MOST_MATCH, SAMPLE_BITS = 8, 4096, 12
+
+
+def _matches(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places, lengths and distances of back-references in samples: from each place the last equal run, greedily."""
+    none = np.zeros(0, np.int64)
+    m = len(x) - LEAST_MATCH + 1
+    if m < 2:
+        return none, none, none
+    keys = np.zeros(m, np.uint64)
+    for k in range(LEAST_MATCH):
+        keys |= x[k : k + m].astype(np.uint64) << np.uint64(8 * k)
+    before = _same_before(keys)
+    found = np.flatnonzero(before >= 0)
+    if not len(found):
+        return none, none, none
+    # Places in a row with one distance are one run.
+    d = found - before[found]
+    last = np.flatnonzero(np.append((np.diff(found) != 1) | (np.diff(d) != 0), True))
+    reach = found[last[np.searchsorted(last, np.arange(len(found)))]] + LEAST_MATCH
+    places, lengths, k, ends, starts = [], [], 0, reach.tolist(), found.tolist()
+    after = np.searchsorted(found, reach).tolist()
+    while k < len(starts):
+        at, end = starts[k], ends[k]
+        places.append(k)
+        if end - at > MOST_MATCH:
+            lengths.append(MOST_MATCH)
+            k += MOST_MATCH
+            if k >= len(starts) or ends[k] != end or starts[k] != at + MOST_MATCH:
+                k = after[places[-1]]
+        else:
+            lengths.append(end - at)
+            k = after[k]
+    places = np.array(places)
+    return found[places], np.array(lengths), d[places]
+
+
+def _prefixes(v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Prefix, extra bits and their number for lengths or distances."""
+    prefix = np.searchsorted(_LEAST, v, side="right") - 1
+    return prefix, v - _LEAST[prefix], _EXTRA[prefix]
+
+
+def write_samples(w: Writer, x: np.ndarray, width: int, main: bool, cache_bits: int = 0) -> None:
+    """An image of green values (the other channels are 0) with fitted codes, back-references and a colour cache."""
+    n = len(x)
+    at, length, d = _matches(x)
+    near = _near(width)[1]
+    far = np.array([near.get(v, v + len(NEAR)) for v in d.tolist()], np.int64)
+    inside = np.zeros(n + 1, np.int64)
+    inside[at] = 1
+    inside[at + length] -= 1
+    alone = np.flatnonzero(np.cumsum(inside[:n]) == 0)
+    own = x[alone].astype(np.int64)
+    w.write(1 if cache_bits else 0, 1)
+    if cache_bits:
+        w.write(cache_bits, 4)
+        slots = _slots(0, cache_bits)[x]
+        before = _same_before(slots)[alone]
+        own = np.where((before >= 0) & (x[before] == x[alone]), 256 + LENGTHS + slots[alone].astype(np.int64), own)
+    if main:
+        w.write(0, 1)
+    length_prefix, length_more, length_bits = _prefixes(length)
+    far_prefix, far_more, far_bits = _prefixes(far)
+    # Steps in order: a reference comes after the single pixels before it.
+    reference = np.searchsorted(alone, at) + np.arange(len(at))
+    symbols = np.zeros(len(alone) + len(at), np.int64)
+    is_single = np.ones(len(symbols), bool)
+    is_single[reference] = False
+    symbols[is_single], symbols[reference] = own, 256 + length_prefix
+    tables = []
+    for used in (symbols, None, None, None, far_prefix):
+        counts = {}
+        if used is not None and len(used):
+            counts = np.bincount(used)
+            counts = {s: c for s, c in enumerate(counts.tolist()) if c}
+        codes = write_code(w, code_lengths(counts, SAMPLE_BITS) if counts else {})
+        table = np.zeros((2, max(codes) + 1), np.int64)
+        table[:, list(codes)] = np.array(list(codes.values())).T
+        tables.append(table)
+    # Of each step its symbol; of a reference also the length's extra bits, the distance and its extra bits.
+    place = np.arange(len(symbols)) + 3 * (np.cumsum(~is_single) - ~is_single)
+    fields = np.zeros((2, len(symbols) + 3 * len(at)), np.int64)
+    fields[:, place] = tables[0][:, symbols]
+    if len(at):
+        place = place[reference]
+        fields[:, place + 1] = length_more, length_bits
+        fields[:, place + 2] = tables[4][:, far_prefix]
+        fields[:, place + 3] = far_more, far_bits
+    if fields[1].any():
+        w.fields(*fields)
 
 
 def file_of(stream: bytes, more: dict[bytes, bytes] | None = None) -> bytes:
@@ -570,10 +802,14 @@ def header(width: int, height: int) -> Writer:
 def write_palette(w: Writer, table: np.ndarray) -> None:
     """The palette transform: ARGB colours as differences."""
     c = _channels(table)
+    steps = np.concatenate([c[:1], np.diff(c, axis=0)])
     w.write(1, 1)
     w.write(PALETTE, 2)
     w.write(len(table) - 1, 8)
-    write_image(w, _pixels(np.concatenate([c[:1], np.diff(c, axis=0)])), len(table), False)
+    if steps[:, [0, 2, 3]].any():
+        write_image(w, _pixels(steps), len(table), False)
+    else:
+        write_samples(w, steps[:, 1], len(table), False)
 
 
 def bundled(index: np.ndarray, colours: int) -> np.ndarray:

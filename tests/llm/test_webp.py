@@ -112,7 +112,65 @@ def test_tall_payload():
     payload = np.random.default_rng(7).integers(0, 100, 64 * (webp.MOST_SIDE + 3)).astype(np.uint8).tobytes()
     data = media.stored(payload)
     assert media.restored(data) == payload
-    assert webp.decode(data).shape == (8194, 128)
+    assert [webp.decode(x).shape for x in webp.files(data)] == [(webp.MOST_SIDE, 64), (3, 64)]
+
+
+def tools(data):
+    """What a stream of `media` is made of: bits of the palette, the cache, symbols of the main image that are used."""
+    seen = {}
+
+    def read(r, n, width, green, far, cache_bits, rest):
+        at = r.at
+        out = real(r, n, width, green, far, cache_bits, rest)
+        end, r.at, symbols, pixels = r.at, at, [], 0
+        while pixels < n:
+            symbols.append(green.read(r))
+            if 256 <= symbols[-1] < 256 + webp.LENGTHS:
+                pixels += webp.read_number(r, symbols[-1] - 256)
+                webp.read_number(r, far.read(r))
+            else:
+                pixels += 1
+        assert r.at == end and pixels == n
+        seen.update(lengths=len(set(green.counts)), cache=cache_bits, symbols=symbols, green=green)
+        return out
+
+    real = webp._read_samples
+    webp._read_samples = read
+    try:
+        webp.decode(data)
+    finally:
+        webp._read_samples = real
+    return seen
+
+
+def test_every_payload_uses_the_tools():
+    """Short and long texts: fitted codes of several lengths, back-references, the cache, and the palette that leaves few bits."""
+    rng = np.random.default_rng(9)
+    words = ["".join(map(chr, rng.integers(97, 123, rng.integers(2, 9)))) for _ in range(300)]
+    for n in (60, 400, 3000, 40_000):
+        text = " ".join(words[k] for k in rng.zipf(1.4, n) % 300)
+        payload, _ = media.payload_of(text)
+        data = media.stored(payload)
+        assert media.restored(data) == payload
+        found = tools(data)
+        symbols = np.array(found["symbols"])
+        assert found["cache"] == media.CACHE_BITS and (symbols >= 256 + webp.LENGTHS).any()
+        assert ((symbols >= 256) & (symbols < 256 + webp.LENGTHS)).sum() > n / 40
+        assert found["lengths"] > 2 and symbols[symbols < 256].max() < 30
+        assert len(data) < 0.75 * len(payload)
+
+
+def test_random_payloads_of_every_make():
+    rng = np.random.default_rng(10)
+    for _ in range(300):
+        n, colours = 64 * int(rng.integers(1, 40)), int(rng.choice([1, 2, 3, 5, 17, 60, 256]))
+        x = rng.integers(0, 256, colours).astype(np.uint8)[rng.integers(0, colours, n)]
+        for _ in range(int(rng.integers(0, 12))):  # repeats, some of them overlapping
+            d, length = int(rng.integers(1, 200)), int(rng.integers(1, 300))
+            at = int(rng.integers(0, n))
+            for k in range(max(at, d), min(n, at + length)):
+                x[k] = x[k - d]
+        assert media.restored(media.stored(x.tobytes())) == x.tobytes()
 
 
 def test_broken_files():
