@@ -6,16 +6,19 @@ uniformity over the alphabet, a runs test about the alphabet's middle and a test
 p-value for "drawn at random from its alphabet". A token ends at an = that is not
 padding, and of one that fits no single alphabet the longest parts that fit one are tested. Random tokens have uniform p-values and ordinary ones gather near
 zero, so in each class of encoding and length the share of ordinary tokens above a threshold is known from the
-histogram; the threshold of a class is the lowest that keeps this false-discovery share below `FDR`.
+histogram of the distinct tokens; the threshold of a class is the lowest that keeps this false-discovery share below `FDR`. Classes of
+fewer than `LEAST_TOKENS` take the threshold of their encoding's lengths together, or of all classes.
 
 Defined cases: null and empty texts hold nothing; a match that fails its kind's condition is dropped and still takes
-its place; repeated rows are scanned each; an empty table gives an empty result; other columns are kept by `redacted`
-and not read by `scanned`; ties of start go by the order of kinds.
+its place; repeated rows are scanned each; an empty table gives an empty result; other columns are kept by `redacted`, whatever
+their names, and not read by `scanned`; ties of start go by the order of kinds.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections import defaultdict
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize
@@ -30,7 +33,7 @@ TOKEN = r"(?<![A-Za-z0-9+/_-])(?:[A-Za-z0-9+/_-]{20,}+(?:=++(?![A-Za-z0-9+/_-]))
 #: What is tested of a token that fits no single alphabet: its longest parts in either form of base64.
 MIXED, PARTS = r"[+/].*[_-]|[_-].*[+/]", (r"[A-Za-z0-9+/]{20,}+=*", r"[A-Za-z0-9_-]{20,}+=*")
 LEAST_VALUE = 6
-FDR, BINS = 0.05, 20
+FDR, BINS, LEAST_TOKENS = 0.05, 20, 40
 #: Alphabets in order: the first whose pattern fits a token is its encoding. Characters are indexed by their place.
 ALPHABETS = (
     ("hex", r"^[0-9a-f]+$", "0123456789abcdef"),
@@ -43,20 +46,32 @@ ALPHABETS = (
 )
 
 
+def _before(values, zero, join) -> F.Column:
+    """For each value what join makes of zero and those before it; in two levels, as an array that grows is copied at each step."""
+    width = F.ceil(F.sqrt(F.size(values).cast("double"))).cast("int")
+
+    def run(part, start):
+        first = F.struct(start.alias("at"), F.array().cast("array<bigint>").alias("out"))
+        return F.aggregate(part, first, lambda a, v: F.struct(join(a["at"], v).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out")), lambda a: a["out"])
+
+    parts = F.transform(F.sequence(F.lit(0), F.ceil(F.size(values) / width).cast("int") - 1), lambda k: F.slice(values, k * width + 1, width))
+    heads = run(F.transform(parts, lambda part: F.aggregate(part, zero, join)), zero)
+    found = F.flatten(F.zip_with(parts, heads, run))
+    return F.when(F.size(values) > 0, found).otherwise(F.array().cast("array<bigint>"))
+
+
 def _matches(text, pattern: str, group: int) -> F.Column:
     """array<struct<start, end, value>> of all matches, in code points."""
     q = F.lit(pattern)
     empty = F.array().cast("array<struct<start:bigint,end:bigint,value:string>>")
     whole, value, parts = F.regexp_extract_all(text, q, F.lit(0)), F.regexp_extract_all(text, q, F.lit(group)), F.split(text, pattern, -1)
-    rows = F.arrays_zip(F.slice(parts, 1, F.size(whole)).alias("p"), whole.alias("m"), value.alias("v"))
+    rows = F.arrays_zip(F.transform(F.slice(parts, 1, F.size(whole)), lambda x: F.length(x).cast("bigint")).alias("p"), F.transform(whole, lambda x: F.length(x).cast("bigint")).alias("m"), value.alias("v"))
 
-    def step(acc, x):
-        start = acc["at"] + F.length(x["p"])
-        end = start + F.length(x["m"])
-        return F.struct(end.cast("bigint").alias("at"), F.concat(acc["out"], F.array(F.struct(start.cast("bigint").alias("start"), end.cast("bigint").alias("end"), x["v"].alias("value")))).alias("out"))
+    def placed(x):  # bound as a value, so that it is made once
+        sums = _before(F.transform(x, lambda r: r["p"] + r["m"]), F.lit(0).cast("bigint"), lambda a, v: a + v)
+        return F.zip_with(x, sums, lambda r, at: F.struct((at + r["p"]).alias("start"), (at + r["p"] + r["m"]).alias("end"), r["v"].alias("value")))
 
-    found = F.aggregate(rows, F.struct(F.lit(0).cast("bigint").alias("at"), empty.alias("out")), step, lambda acc: acc["out"])
-    return F.when(text.rlike(pattern), found).otherwise(empty)
+    return F.when(text.rlike(pattern), F.get(F.transform(F.array(rows), placed), F.lit(0))).otherwise(empty)
 
 
 def _normal_cdf(z) -> F.Column:
@@ -80,35 +95,49 @@ def battery(token) -> F.Column:
     for name, pattern, alphabet in reversed(ALPHABETS):
         fits = token.rlike(pattern)
         encoding, order, size = F.when(fits, F.lit(name)).otherwise(encoding), F.when(fits, F.lit(alphabet)).otherwise(order), F.when(fits, F.lit(len(alphabet))).otherwise(size)
-    codes = F.transform(F.regexp_extract_all(body, F.lit("(.)"), F.lit(1)), lambda c: F.position(c, order) - 1)
-    row = F.struct(encoding.alias("encoding"), codes.alias("codes"), size.alias("m"))
+    chars = F.regexp_extract_all(body, F.lit("(.)"), F.lit(1))
+    codes = F.transform(chars, lambda c: (F.position(c, order) - 1).cast("double"))
+    # The squares of the counts of distinct characters add up to the counts of each character in its places.
+    squares = F.aggregate(chars, F.lit(0.0), lambda a, c: a + F.length(body) - F.length(F.replace(body, c, F.lit(""))))
+    row = F.struct(encoding.alias("encoding"), codes.alias("codes"), size.cast("double").alias("m"), squares.alias("squares"))
+    names = ("last", "sum", "sum2", "cross", "up", "runs")
+
+    def summed(x):
+        def step(a, v):
+            high, was = v * 2 >= x["m"], a["last"] * 2 >= x["m"]
+            new = (v, a["sum"] + v, a["sum2"] + v * v, a["cross"] + F.when(a["last"] < 0, 0.0).otherwise(a["last"] * v), a["up"] + high.cast("double"), a["runs"] + ((a["last"] < 0) | (high != was)).cast("double"))
+            return F.struct(*[c.alias(n) for c, n in zip(new, names, strict=True)])
+
+        sums = F.aggregate(x["codes"], F.struct(*[F.lit(-1.0 if n == "last" else 0.0).alias(n) for n in names]), step)
+        return F.struct(x["encoding"].alias("encoding"), x["m"].alias("m"), x["squares"].alias("squares"), F.size(x["codes"]).cast("double").alias("n"), F.get(x["codes"], F.lit(0)).alias("first"), sums.alias("s"))
 
     def tested(x):
-        c, m, n = x["codes"], x["m"], F.size(x["codes"])
-        zero = F.lit(0.0)
-        # Chi-squared = m / n * sum of squared counts - n; the squares add up over distinct codes.
-        squares = F.aggregate(F.array_distinct(c), zero, lambda a, v: a + F.pow(F.size(F.filter(c, lambda w: w == v)).cast("double"), F.lit(2.0)))
-        chi = _chi_z(squares * m / n - n, (m - 1).cast("double"))
-        high = F.transform(c, lambda v: (v * 2 >= m).cast("int"))
-        pairs = F.zip_with(F.slice(c, 1, n - 1), F.slice(c, 2, n - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-        runs = 1 + F.aggregate(F.zip_with(F.slice(high, 1, n - 1), F.slice(high, 2, n - 1), lambda a, b: (a != b).cast("double")), zero, lambda a, v: a + v)
-        up = F.aggregate(high, zero, lambda a, v: a + v)
-        mean = 2 * up * (n - up) / n + 1
-        spread = F.greatest((mean - 1) * (mean - 2) / (n - 1), F.lit(0.05))
-        run_z = (runs - mean) / F.sqrt(spread)
-        average = F.aggregate(c, zero, lambda a, v: a + v) / n
-        variance = F.greatest(F.aggregate(c, zero, lambda a, v: a + F.pow(v - average, F.lit(2.0))), F.lit(1e-9))
-        serial = F.aggregate(pairs, zero, lambda a, v: a + (v["a"] - average) * (v["b"] - average)) / variance * F.sqrt(n.cast("double"))
-        total = F.pow(F.greatest(chi, zero), F.lit(2.0)) + run_z * run_z + serial * serial
+        m, n, s = x["m"], x["n"], x["s"]
+        # Chi-squared = m / n * sum of squared counts - n.
+        chi = _chi_z(x["squares"] * m / n - n, m - 1)
+        mean = 2 * s["up"] * (n - s["up"]) / n + 1
+        run_z = (s["runs"] - mean) / F.sqrt(F.greatest((mean - 1) * (mean - 2) / (n - 1), F.lit(0.05)))
+        average = s["sum"] / n
+        variance = F.greatest(s["sum2"] - n * average * average, F.lit(1e-9))
+        together = s["cross"] - average * (2 * s["sum"] - x["first"] - s["last"]) + (n - 1) * average * average
+        serial = together / variance * F.sqrt(n)
+        return F.struct(x["encoding"].alias("encoding"), n.alias("n"), chi.alias("chi"), run_z.alias("run_z"), serial.alias("serial"))
+
+    def joined(x):
+        high = F.greatest(x["chi"], F.lit(0.0))
+        total = high * high + x["run_z"] * x["run_z"] + x["serial"] * x["serial"]
         p = 1 - _normal_cdf(F.greatest(F.least(_chi_z(total, F.lit(3.0)), F.lit(8.0)), F.lit(-8.0)))
-        return F.struct(F.concat(x["encoding"], F.lit(":"), F.floor(F.log2(n.cast("double")) * 2).cast("string")).alias("kind"), p.alias("p"))
+        return F.struct(F.concat(x["encoding"], F.lit(":"), F.floor(F.log2(x["n"]) * 2).cast("string")).alias("kind"), p.alias("p"))
 
     usable = token.rlike("[0-9]") & token.rlike("[A-Za-z]")
-    return F.when(usable & encoding.isNotNull() & (F.length(body) > 1), F.get(F.transform(F.array(row), tested), F.lit(0)))
+    found = F.array(row)
+    for f in (summed, tested, joined):  # each value is bound once
+        found = F.transform(found, f)
+    return F.when(usable & encoding.isNotNull() & (F.length(body) > 1), F.get(found, F.lit(0)))
 
 
 def found(text) -> tuple[F.Column, F.Column]:
-    """Base spans array<struct<start, k, end>> (k: index in KINDS), and candidates array<struct<start, end, kind, p>>."""
+    """Base spans array<struct<start, k, end>> (k: index in KINDS), and candidates array<struct<start, end, kind, p, h>> (h: of the token)."""
     text = F.coalesce(text, F.lit(""))
 
     def spans(pattern: str, group: int, k: int, least: int) -> F.Column:
@@ -131,19 +160,39 @@ def candidates(base, tokens) -> F.Column:
     free = F.filter(F.flatten(F.transform(tokens, _parts)), lambda t: ~F.exists(base, lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
 
     def one(t):
-        return F.transform(F.array(battery(t["value"])), lambda b: F.struct(t["start"].alias("start"), t["end"].alias("end"), b["kind"].alias("kind"), b["p"].alias("p")))
+        return F.transform(F.array(battery(t["value"])), lambda b: F.struct(t["start"].alias("start"), t["end"].alias("end"), b["kind"].alias("kind"), b["p"].alias("p"), F.xxhash64(t["value"]).alias("h")))
 
     return F.filter(F.flatten(F.transform(free, one)), lambda x: x["kind"].isNotNull())
 
 
+def lowest(bins: list[int]) -> float | None:
+    """The lowest of the bins of p that keeps the share of ordinary tokens at it or above below FDR."""
+    random = 2 * sum(bins[BINS // 2 :])
+    for k in range(1, BINS):
+        above = sum(bins[k:])
+        if random and bins[k] and above * BINS - random * (BINS - k) <= FDR * BINS * above:
+            return k / BINS
+    return None
+
+
 def thresholds(cands: DataFrame) -> dict[str, float]:
-    """The lowest p of each class that is reported; cands(c: array of candidates). One row of each class comes to the driver."""
-    bins = cands.select(F.explode("c").alias("x")).groupBy(F.col("x.kind").alias("kind"), F.least(F.floor(F.col("x.p") * BINS), F.lit(BINS - 1)).cast("int").alias("bin")).agg(F.count("*").alias("n"))
-    above = Window.partitionBy("kind").orderBy(F.desc("bin")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    bins = bins.withColumn("above", F.sum("n").over(above)).withColumn("random", 2 * F.sum(F.when(F.col("bin") >= BINS // 2, F.col("n")).otherwise(0)).over(Window.partitionBy("kind")))
-    ordinary = F.greatest(F.col("above") - F.col("random") * (1 - F.col("bin") / BINS), F.lit(0.0))
-    fine = bins.where((ordinary <= FDR * F.col("above")) & (F.col("random") > 0) & (F.col("bin") > 0))
-    return {r.kind: r.t for r in fine.groupBy("kind").agg((F.min("bin") / BINS).alias("t")).collect()}
+    """The lowest p of each class that is reported; cands(_secret_c: array of candidates).
+
+    A row of each class and bin comes to the driver: the encodings, times twice the binary logarithm of a token's length.
+    """
+    x = F.col("x")
+    distinct = cands.select(F.explode("_secret_c").alias("x")).groupBy(x["kind"].alias("kind"), x["h"].alias("h")).agg(F.max(x["p"]).alias("p"))
+    rows = distinct.groupBy("kind", F.least(F.floor(F.col("p") * BINS), F.lit(BINS - 1)).cast("int").alias("bin")).agg(F.count("*").alias("n")).collect()
+    counts: dict[str, list[int]] = defaultdict(lambda: [0] * BINS)
+    for r in rows:
+        for name in (r.kind, r.kind.split(":")[0], ""):
+            counts[name][max(0, r.bin)] += r.n
+    out = {}
+    for kind in sorted({r.kind for r in rows}):
+        pool = next((k for k in (kind, kind.split(":")[0]) if sum(counts[k]) >= LEAST_TOKENS), "")
+        if (t := lowest(counts[pool])) is not None:
+            out[kind] = t
+    return out
 
 
 def _accepted(cands, limits: dict[str, float]) -> F.Column:
@@ -164,7 +213,7 @@ def _scan(docs: DataFrame, *columns: str) -> DataFrame:
     base, tokens = found(F.col("text"))
     rows = docs.select(*columns, base.alias("_secret_base"), tokens.alias("_secret_tokens"))
     cands = F.when(F.size("_secret_tokens") > 0, candidates(F.col("_secret_base"), F.col("_secret_tokens"))).otherwise(F.array())
-    return rows.select(*columns, F.col("_secret_base"), cands.alias("c"))
+    return rows.select(*columns, "_secret_base", cands.alias("_secret_c"))
 
 
 def _is(k: int):
@@ -176,28 +225,32 @@ def scanned(docs: DataFrame) -> DataFrame:
     rows = materialize(_scan(docs.select("doc_id", "text"), "doc_id"))
     base = F.col("_secret_base")
     counts = [F.size(F.filter(base, _is(k))).cast("long").alias(f"n_{KINDS[k]}") for k in range(3)]
-    everything = F.array_sort(F.concat(base, _accepted(F.col("c"), thresholds(rows))))
+    everything = F.array_sort(F.concat(base, _accepted(F.col("_secret_c"), thresholds(rows))))
     return rows.select("doc_id", *counts, F.sha2(_joined(base), 256).alias("base_sha256"), _joined(everything).alias("spans"))
 
 
 def redacted(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
-    """docs with all columns, every secret span replaced by mark; spans that touch are one. n_chars follows, if present."""
-    names = docs.columns
-    limits = thresholds(materialize(_scan(docs.select("text")).select("c")))
-    rows = _scan(docs, *names)
-    rows = rows.withColumn("_secret_spans", F.array_sort(F.concat("_secret_base", _accepted(F.col("c"), limits))))
-    text = F.col("text")
-
-    def step(acc, s):
-        gap = F.when(s["start"] >= acc["at"], F.concat(F.substring(text, (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int")), F.lit(mark))).otherwise(F.lit(""))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], gap).alias("out"))
+    """docs with all columns, every secret span replaced by mark; spans that touch are one. n_chars follows, if present.
 
-    def last(acc):
-        return F.concat(acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), F.lit(2**31 - 1)))
-
-    whole = F.aggregate("_secret_spans", F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out")), step, last)
-    new = F.when(F.size("_secret_spans") > 0, whole).otherwise(text)
-    out = rows.withColumn("text", new)
+    The texts are scanned once, and written with what was found.
+    """
+    names = docs.columns
+    rows = materialize(_scan(docs, *names))
+    spans = F.array_sort(F.concat("_secret_base", _accepted(F.col("_secret_c"), thresholds(rows))))
+    text, end = F.col("text"), F.lit(0).cast("bigint")
+
+    def pieces(x):
+        reach = _before(F.transform(x, lambda s: s["end"]), end, lambda a, v: F.greatest(a, v))
+        return F.zip_with(x, reach, lambda s, at: F.when(s["start"] >= at, F.concat(F.substring(text, (at + 1).cast("int"), (s["start"] - at).cast("int")), F.lit(mark))).otherwise(F.lit("")))
+
+    def whole(x):
+        rest = F.substring(text, (F.array_max(F.transform(x, lambda s: s["end"])) + 1).cast("int"), F.lit(2**31 - 1))
+        return F.concat(F.array_join(pieces(x), ""), rest)
+
+    some = (F.size("_secret_base") > 0) | (F.size("_secret_c") > 0)
+    new = F.when(some, F.get(F.transform(F.filter(F.array(spans), lambda x: F.size(x) > 0), whole), F.lit(0)))
+    out = rows.withColumn("_secret_new", new)
+    changed = {"text": F.coalesce("_secret_new", "text")}
     if "n_chars" in names:
-        out = out.withColumn("n_chars", F.when(F.size("_secret_spans") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return out.select(*names)
+        changed["n_chars"] = F.when(F.col("_secret_new").isNotNull(), F.length("_secret_new").cast("long")).otherwise(F.col("n_chars"))
+    return out.withColumns(changed).select(*names)
