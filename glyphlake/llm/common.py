@@ -8,6 +8,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -100,6 +101,19 @@ def map_groups(df: DataFrame, keys: list[str], order: list[str], schema, functio
     return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
 
 
+def spanning(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The smallest index reachable from each of n nodes over links a-b."""
+    label = np.arange(n)
+    while True:
+        new = label.copy()
+        np.minimum.at(new, a, label[b])
+        np.minimum.at(new, b, label[a])
+        new = new[new]
+        if (new == label).all():
+            return label
+        label = new
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of edges(a, b); root is the smallest node of the component.
 

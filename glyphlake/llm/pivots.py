@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import connected_components, map_groups, map_rows, materialize, prepare
+from .common import connected_components, map_groups, map_rows, materialize, prepare, spanning
 
 LEAST_COSINE = 0.93
 NEAREST, SHARED = 8, 2
@@ -66,13 +66,16 @@ def _spread(sample: pa.ChunkedArray, dim: int, most: int) -> np.ndarray:
 
 
 def _blocks(table: pa.Table) -> pa.Table:
-    """Verified pairs of whole groups (label, pivot, first block, second block)."""
+    """Of whole groups (label, pivot, first block, second block): a, b, others for each class a with verified pairs there.
+
+    others: vectors of the classes that a is paired with; b: the class that all joined ones in the group go to.
+    """
     key = np.column_stack([table.column(c).to_numpy() for c in ("label", "size", "pivot", "i", "j")])
-    own, cid = table.column("block").to_numpy(), table.column("cid").to_numpy()
+    own, cid, n = (table.column(c).to_numpy() for c in ("block", "cid", "n"))
     near = np.array(table.column("near").to_pylist(), np.int64)
     vectors = table.column("embedding").to_pylist()
     starts = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]).any(axis=1)]))
-    left, right = [], []
+    out = [(np.zeros(0, np.int64),) * 3]
     for s, e in zip(starts, np.append(starts[1:], len(key)), strict=True):
         if e - s < 2:
             continue
@@ -90,24 +93,32 @@ def _blocks(table: pa.Table) -> pa.Table:
         if lower.any():  # a pair that shares a lower pivot is looked at there
             shared &= one[:, lower] @ two[:, lower].T == 0
         unit = _unit([vectors[k] for k in range(s, e)], int(key[s, 1]))
-        cosine = unit[a - s] @ unit[b - s].T
-        x, y = np.nonzero(shared & (cosine >= LEAST_COSINE))
+        linked = shared & (unit[a - s] @ unit[b - s].T >= LEAST_COSINE)
         if i == j:
-            x, y = x[x < y], y[x < y]
-        left.append(cid[a[x]])
-        right.append(cid[b[y]])
-    none = np.zeros(0, np.int64)
-    return pa.table({"a": np.concatenate([none, *left]), "b": np.concatenate([none, *right])})
+            np.fill_diagonal(linked, False)
+        others = np.zeros(e - s, np.int64)
+        others[a - s] += linked @ n[b]
+        if i != j:
+            others[b - s] += linked.T @ n[a]
+        x, y = np.nonzero(linked)
+        root = spanning(e - s, a[x] - s, b[y] - s)
+        some = np.flatnonzero(others)
+        out.append((cid[s:e][some], cid[s:e][root[some]], others[some]))
+    return pa.table({c: np.concatenate([o[k] for o in out]) for k, c in enumerate(("a", "b", "others"))})
 
 
 def class_links(classes: DataFrame) -> DataFrame:
-    """Pairs (a, b) of classes(cid, label, embedding) at LEAST_COSINE or more."""
+    """Links at LEAST_COSINE or more of classes(cid, label, embedding, n): rows a, b, others as `_blocks` gives them.
+
+    The others of a class add up to the vectors it is linked with, and the pairs (a, b) join what links join. A block
+    has a row for each class, not for each pair.
+    """
     spark = classes.sparkSession
     prepare(spark)
-    pair = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
+    link = T.StructType([T.StructField(c, T.LongType()) for c in ("a", "b", "others")])
     n = classes.count()
     if n < 2:
-        return spark.createDataFrame([], pair)
+        return spark.createDataFrame([], link)
     n_pivots = min(MOST_PIVOTS, max(LEAST_PIVOTS, 1 << int(np.ceil(np.log2(np.sqrt(n) / 2)))))
     sample = classes.select("embedding", "cid").orderBy(F.xxhash64("embedding"), "cid").limit(SAMPLED * n_pivots).toArrow().column("embedding")
     sizes = Counter(pc.list_value_length(sample).to_pylist())
@@ -119,23 +130,25 @@ def class_links(classes: DataFrame) -> DataFrame:
     def described(c):
         close = _unit(c["embedding"], dim) @ shared.value.T
         near = np.argsort(-close, axis=1, kind="stable")[:, :most]
-        return {k: c[k] for k in ("cid", "label", "embedding")} | {"size": [len(v) for v in c["embedding"]], "near": near.tolist()}
+        return {k: c[k] for k in ("cid", "label", "embedding", "n")} | {"size": [len(v) for v in c["embedding"]], "near": near.tolist()}
 
-    rows = map_rows(classes.select("cid", "label", "embedding"), "cid long, label long, embedding array<double>, size int, near array<int>", described)
+    kind = classes.schema["embedding"].dataType.simpleString()
+    rows = map_rows(classes.select("cid", "label", "embedding", "n"), f"cid long, label long, embedding {kind}, n long, size int, near array<int>", described)
     rows = materialize(rows)
-    lists = rows.select("cid", "label", "size", "embedding", "near", F.explode("near").alias("pivot"))
-    lengths = rows.select("label", "size", F.explode("near").alias("pivot")).groupBy("label", "size", "pivot").agg(F.count("*").alias("n"))
-    lengths = materialize(lengths.where("n > 1").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).drop("n"))
+    lists = rows.select("cid", "n", "label", "size", "embedding", "near", F.explode("near").alias("pivot"))
+    lengths = rows.select("label", "size", F.explode("near").alias("pivot")).groupBy("label", "size", "pivot").agg(F.count("*").alias("rows"))
+    lengths = materialize(lengths.where("rows > 1").withColumn("blocks", F.ceil(F.col("rows") / BLOCK).cast("int")).drop("rows"))
     lists = lists.join(lengths, ["label", "size", "pivot"]).withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
     own = F.col("block")
     ends = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(k, own).alias("i"), F.greatest(k, own).alias("j")))
-    lists = lists.withColumn("x", F.explode(ends)).select(F.col("label"), "size", "pivot", F.col("x.i").alias("i"), F.col("x.j").alias("j"), "block", "cid", "near", "embedding")
-    return map_groups(lists, ["label", "size", "pivot", "i", "j"], [], pair, _blocks)
+    lists = lists.withColumn("x", F.explode(ends)).select(F.col("label"), "size", "pivot", F.col("x.i").alias("i"), F.col("x.j").alias("j"), "block", "cid", "n", "near", "embedding")
+    return map_groups(lists, ["label", "size", "pivot", "i", "j"], [], link, _blocks)
 
 
 def near_duplicates(vectors: DataFrame) -> DataFrame:
     """vec_id, n_links, component_id, kept for every row of vectors(vec_id, embedding, label)."""
-    rows = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"), F.col("label").cast("long").alias("label"))
+    single = vectors.schema["embedding"].dataType == T.ArrayType(T.FloatType(), vectors.schema["embedding"].dataType.containsNull)
+    rows = vectors.select("vec_id", F.col("embedding").cast("array<float>" if single else "array<double>").alias("embedding"), F.col("label").cast("long").alias("label"))
     bad = F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     usable = F.col("label").isNotNull() & F.col("embedding").isNotNull() & ~bad & F.exists("embedding", lambda x: x != 0)
     rows = rows.withColumn("ok", F.coalesce(usable, F.lit(False)))
@@ -143,10 +156,8 @@ def near_duplicates(vectors: DataFrame) -> DataFrame:
     classes = good.groupBy("label", "embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"))
     classes = materialize(classes.withColumn("cid", F.monotonically_increasing_id()))
     links = materialize(class_links(classes))
-    both = links.union(links.select("b", "a"))
-    sizes = classes.select(F.col("cid").alias("b"), "n")
-    partners = both.join(sizes, "b").groupBy(F.col("a").alias("cid")).agg(F.sum("n").alias("others"))
-    roots = materialize(connected_components(links)).withColumnRenamed("node", "cid")
+    partners = links.groupBy(F.col("a").alias("cid")).agg(F.sum("others").alias("others"))
+    roots = materialize(connected_components(links.select("a", "b"))).withColumnRenamed("node", "cid")
     least = roots.join(classes.select("cid", "rep"), "cid").groupBy("root").agg(F.min("rep").alias("least"))
     linked = roots.join(least, "root").select("cid", "least").join(partners, "cid")
     owner = classes.join(linked, "cid", "left").select(

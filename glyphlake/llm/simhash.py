@@ -2,9 +2,10 @@
 
 Every document gets a 64-bit fingerprint. Equal fingerprints fall together first, so the join works on distinct ones. The
 join walks a binary trie over the fingerprints with itself: a pair of nodes carries the number of bits that differ so
-far, and is dropped once that exceeds the budget. Two fingerprints within 2 bits agree on one of three runs of bits,
-so the walk is done in three tries whose top levels hold one run each, and starts below at pairs (node, itself); these
-subtries are the cells that tasks work on. A cell with too many fingerprints is split by taking the next 8 levels
+far, and is dropped once that exceeds the budget. Two fingerprints within 2 bits agree on all but two of m runs of bits,
+so the walk is done in one trie for each choice of m - 2 runs, whose top levels hold these, and starts below at pairs (node,
+itself); these subtries are the cells that tasks work on. With more fingerprints there are more runs: 3 tries below 21 equal bits,
+then 6 below 32, then 10 below 38. A cell with too many fingerprints is split by taking the next 8 levels
 of the walk as a Spark step, again and again, until every cell is small. Cells give spanning edges, not all pairs;
 connected components join them.
 
@@ -17,6 +18,7 @@ the smallest non-null one reachable, null if there is none.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,13 +27,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import connected_components, map_groups, map_rows, materialize, prepare
+from .common import connected_components, map_groups, map_rows, materialize, prepare, spanning
 
 BITS, BUDGET, SHINGLE, SEED = 64, 2, 3, 42
-#: The three runs of bits (offset from the top, length); one of them is equal in any linked pair.
-RUNS = ((0, 22), (22, 21), (43, 21))
-#: Fingerprints of one cell that a task may walk at once, and the levels that a split takes.
-CELL_ROWS, SPLIT_BITS = 256, 8
+#: Fingerprints of one cell that a task may walk at once, and the levels that a split takes; fingerprints that share the bits
+#: of a cell by chance, before tries with longer ones are taken.
+CELL_ROWS, SPLIT_BITS, CHANCE_ROWS = 256, 8, 64
+#: Rows of one fingerprint that are too many for one key of a join.
+HOT_ROWS = 100_000
 #: Shingles whose bits are summed at once.
 CHUNK = 1 << 14
 
@@ -109,19 +112,6 @@ def trie_pairs(values: np.ndarray, pairs: list[np.ndarray], budget: int) -> tupl
     return np.concatenate([none, *left]), np.concatenate([none, *right])
 
 
-def spanning(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The smallest index reachable from each of n nodes over links a-b."""
-    label = np.arange(n)
-    while True:
-        new = label.copy()
-        np.minimum.at(new, a, label[b])
-        np.minimum.at(new, b, label[a])
-        new = new[new]
-        if (new == label).all():
-            return label
-        label = new
-
-
 def _walk(cells: pa.Table) -> pa.Table:
     """Spanning edges of cells; rows come sorted by cell, side, rotated fingerprint."""
     cell = cells.column("cell").combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False)
@@ -143,14 +133,32 @@ def _walk(cells: pa.Table) -> pa.Table:
     return pa.table({"a": fp[linked], "b": fp[root[linked]]})
 
 
-def _rotated(offset: int):
-    fp = F.col("fp")
-    return fp if not offset else F.shiftleft(fp, offset).bitwiseOR(F.shiftrightunsigned(fp, BITS - offset))
+def tries_for(n: int) -> list[tuple[list[tuple[int, int]], int]]:
+    """For each trie the runs (offset from the top, length) in their order, and the number of bits that a cell shares."""
+    for m in range(BUDGET + 1, BUDGET + 4):
+        ends = [round(k * BITS / m) for k in range(m + 1)]
+        runs = [(a, b - a) for a, b in itertools.pairwise(ends)]
+        tries = [[*top, *(r for r in runs if r not in top)] for top in itertools.combinations(runs, m - BUDGET)]
+        out = [(t, sum(length for _, length in t[: m - BUDGET])) for t in tries]
+        if n >> min(d for _, d in out) <= CHANCE_ROWS:
+            break
+    return out
+
+
+def _ordered(runs: list[tuple[int, int]]) -> F.Column:
+    """The fingerprint with its runs in another order."""
+    out, at = F.lit(0).cast("long"), 0
+    for offset, length in runs:
+        at += length
+        run = F.shiftrightunsigned("fp", BITS - offset - length).bitwiseAND(F.lit((1 << length) - 1))
+        out = out.bitwiseOR(F.shiftleft(run, BITS - at))
+    return out
 
 
 def _cells(unique: DataFrame) -> DataFrame:
-    """The start of the walk: each fingerprint in its three cells of equal runs."""
-    runs = F.array(*[F.struct(F.lit(i).alias("run"), _rotated(o).alias("rot"), F.lit(n).alias("depth")) for i, (o, n) in enumerate(RUNS)])
+    """The start of the walk: each fingerprint in its cells of equal runs."""
+    tries = tries_for(unique.count())
+    runs = F.array(*[F.struct(F.lit(i).alias("run"), _ordered(t).alias("rot"), F.lit(d).alias("depth")) for i, (t, d) in enumerate(tries)])
     out = unique.select("fp", F.explode(runs).alias("x")).select("fp", "x.*")
     top = F.expr("shiftrightunsigned(rot, 64 - depth)")
     return out.select(
@@ -197,12 +205,17 @@ def links(unique: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id for every row of docs(doc_id, text)."""
     fps = materialize(fingerprints(docs))
-    unique = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")))
-    roots = materialize(connected_components(links(unique)))
+    unique = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")))
+    roots = materialize(connected_components(links(unique.select("fp"))))
     least = roots.join(unique, roots.node == unique.fp).groupBy("root").agg(F.min("rep").alias("least"))
     linked = roots.join(least, "root").select(F.col("node").alias("fp"), "least")
-    owner = materialize(unique.join(linked, "fp", "left").select("fp", F.coalesce("least", "rep").alias("component_id")))
-    return fps.join(owner, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    owner = materialize(unique.join(linked, "fp", "left").select("fp", "n", F.coalesce("least", "rep").alias("component_id")))
+    # Frequent fingerprints are fewer than rows / HOT_ROWS, so they may be broadcast; their rows are not shuffled.
+    hot = owner.where(F.col("n") > HOT_ROWS).select("fp", F.col("component_id").alias("_id"), F.lit(True).alias("_hot"))
+    out = fps.join(F.broadcast(hot), "fp", "left")
+    rest = out.where("_hot is null").select("doc_id", "fp").join(owner.where(F.col("n") <= HOT_ROWS).drop("n"), "fp")
+    out = out.where("_hot").select("doc_id", "fp", F.col("_id").alias("component_id")).unionByName(rest)
+    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 # The form for whole documents: five-word shingles and a similarity (Jaccard, of distinct shingles) of 0.8 or more.

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import itertools
+import math
 import random
 import re
 import zlib
@@ -15,7 +16,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from glyphlake.llm import langid, media, packing, pii, pivots, secrets, simhash, toxicity, urlfilter
-from glyphlake.llm.common import connected_components
+from glyphlake.llm.common import connected_components, spanning
 from glyphlake.llm.queries import oracle_sql, queries
 
 SF = "/root/testdata/sf0.001"
@@ -386,7 +387,7 @@ def test_keys_inside_longer_tokens(spark):
     rows = secrets._scan(spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "doc_id long, text string"), "doc_id").collect()
     for r in rows:
         text, want = cases[r.doc_id]
-        assert sorted(text[x.start : x.end] for x in r.c) == sorted(want), text
+        assert sorted(text[x.start : x.end] for x in r._secret_c) == sorted(want), text
     rng = np.random.default_rng(5)
     letters = np.array(list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"))
     keys = ["".join(rng.choice(letters, 32)) for _ in range(200)]
@@ -461,18 +462,68 @@ def test_language_held_out(spark):
 def test_language_filter_counts_like_sets():
     rng = np.random.default_rng(2)
     h = rng.integers(0, 2**63, 3000).astype(np.uint64)
-    masks = rng.integers(1, 8, 3000).astype(np.uint64)
-    model = langid.build(["a", "b", "c"], 0, h, masks)
-    got = None
-    for s in langid.slots_of(h, model.bits):
-        got = model.masks[s] if got is None else got & model.masks[s]
+    masks = np.column_stack([rng.integers(1, 8, 3000), rng.integers(0, 2, 3000)]).astype(np.uint64)
+    languages = [str(i) for i in range(65)]
+    model = langid.build(languages, 0, h, masks)
+
+    def looked_up(h):
+        got = None
+        for s in langid.slots_of(h, model.bits):
+            got = model.masks[s] if got is None else got & model.masks[s]
+        return got
+
+    got = looked_up(h)
     assert ((got & masks) == masks).all()
+    assert langid.popcounts(masks, 65).tolist() == [int(((masks[:, i // 64] >> np.uint64(i % 64)) & np.uint64(1)).sum()) for i in range(65)]
     strange = rng.integers(0, 2**63, 200_000).astype(np.uint64)
+    assert (np.abs(langid.popcounts(looked_up(strange), 65) / len(strange) - model.chance) < 1e-3).all()
+
+
+def test_language_masks_are_those_of_dictionaries(spark, monkeypatch):
+    """More languages than a word has bits; every n-gram's mask by plain counting; fewer n-grams in the model."""
+    rng = random.Random(11)
+    stems = {f"l{i:02d}": ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randrange(3, 7))) for _ in range(25)] for i in range(70)}
+    rows = [(i, " ".join(rng.choices(stems[x] * 3 + stems["l00"][:5], k=40)), x) for i, x in enumerate(sorted(stems) * 8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    counts, whole = defaultdict(Counter), Counter()
+    for i, text, lang in rows:
+        if not held(i):
+            for h in langid.grams(text):
+                for x in h.tolist():
+                    counts[x][lang] += 1
+                    whole[lang] += 1
+    want = {}
+    for h, by in counts.items():
+        best = max(n / whole[x] for x, n in by.items())
+        has = {x for x, n in by.items() if n >= 3 and n / whole[x] >= 0.2 * best}
+        if has:
+            want[h] = has
+    model = langid.learn(docs)
+    assert model.languages == sorted(stems) and model.masks.shape[1] == 2
     got = None
-    for s in langid.slots_of(strange, model.bits):
+    h = np.array(sorted(want), np.uint64)
+    for s in langid.slots_of(h, model.bits):
         got = model.masks[s] if got is None else got & model.masks[s]
-    for i in range(3):
-        assert abs(np.count_nonzero(got & np.uint64(1 << i)) / len(strange) - model.chance[i]) < 1e-3
+    chance = 0
+    for k, x in enumerate(h.tolist()):
+        have = {y for i, y in enumerate(model.languages) if int(got[k, i // 64]) >> (i % 64) & 1}
+        assert want[x] <= have
+        chance += len(have - want[x])
+    assert chance < 0.02 * len(h) * 70
+    found = {r.doc_id: r.lang_pred for r in langid.identified(docs, model).collect()}
+    right = sum(found[i] == x for i, _, x in rows if held(i)) / sum(held(i) for i, *_ in rows)
+    assert right > 0.97
+    monkeypatch.setattr(langid, "MOST_GRAMS", len(want) // 4)
+    small = langid.learn(docs)
+    assert small.bits < model.bits
+    found = {r.doc_id: r.lang_pred for r in langid.identified(docs, small).collect()}
+    assert sum(found[i] == x for i, _, x in rows if held(i)) / sum(held(i) for i, *_ in rows) > 0.9
+
+
+def test_language_model_size(spark, monkeypatch):
+    """A twentieth of the n-grams that are kept loses nothing on the held-out documents."""
+    monkeypatch.setattr(langid, "MOST_GRAMS", langid.MOST_GRAMS // 20)
+    test_language_held_out(spark)
 
 
 def test_language_grams():
@@ -534,6 +585,41 @@ def test_toxicity_held_out(spark):
     assert (got.predicted == (got.score >= 0.5)).all()
     both = got.merge(docs, on="doc_id")
     assert (both.predicted == both.toxic).mean() > 0.95
+    # Enough labels for held-out recall and false alarms.
+    got = pd.DataFrame(rows_of(queries()["op7_toxicity"](spark, "/root/testdata/sf0.1")))
+    out = got[got.held_out].merge(pd.read_parquet("/root/testdata/sf0.1/labels.parquet"), on="doc_id")
+    assert (out.toxic == 1).sum() > 80
+    assert out[out.toxic == 1].predicted.mean() >= 0.9
+    assert out[out.toxic == 0].predicted.mean() <= 0.02
+
+
+def test_toxicity_words_for_and_against(spark):
+    """Clean words have log-odds of their own, and lambda and K are those of the definition."""
+    rng = random.Random(12)
+    usual, kind, bad = [[a + str(i) for i in range(20)] for a in "ukb"]
+    texts = [(i, " ".join(rng.choices(usual + (kind if i % 4 else []), k=60) + (rng.choices(bad + usual[:3], k=15) if i % 4 == 0 else [])), int(i % 4 == 0)) for i in range(800)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string, toxic int")
+    model = toxicity.learn(docs.select("doc_id", "text"), docs.select("doc_id", "toxic"))
+    assert all(model.scores[w] > 1 for w in bad) and all(model.scores[w] < -1 for w in kind)
+    counts = [Counter(w for i, t, x in texts if x == y and not held(i) for w in t.split()) for y in (0, 1)]
+    whole = sum(map(sum, (c.values() for c in counts)))
+    prior = toxicity.PRIOR * min(sum(c.values()) for c in counts)
+    weight = {w: counts[0][w] + (counts[0][w] + counts[1][w]) * prior / whole for w in set(counts[0]) | set(counts[1])}
+    mean = sum(n * math.exp(model.decay * model.scores.get(w, model.other)) for w, n in weight.items()) / sum(weight.values())
+    assert abs(mean - 1) < 1e-6 and 0.2 < model.decay < 5
+    found = {r.doc_id: r.predicted for r in toxicity.scores(docs, model).collect()}
+    assert all(found[i] == x for i, _, x in texts if held(i))
+
+
+def test_chance_level():
+    assert abs(toxicity.decay_of([1.0, -1.0], [1, 3]) - math.log(3)) < 1e-9
+    assert toxicity.decay_of([-1.0], [1]) == 1.0 and toxicity.decay_of([1.0, -1.0], [3, 1]) == 1.0
+    counts = [(s / 10, 1 + int(1000 * math.exp(-s / 10))) for s in range(60)]
+    above = [sum(n for s, n in counts if s >= t) for t, _ in counts]
+    points = [math.log(a / 5000) + s for (s, n), a in zip(counts, above, strict=True) for _ in range(n)]
+    upper = sorted(points[-(-len(points) // 2) * -1 :])
+    assert abs(toxicity.log_k_of(counts, 5000, 1.0) - upper[len(upper) // 2]) < 0.02
+    assert toxicity.log_k_of([], 10, 1.0) == -math.log(10)
 
 
 def test_toxicity_odd(spark, odd):
@@ -686,18 +772,32 @@ def near_vectors(rng, n, dim, spread):
     return [(centres[i % len(centres)] + spread * rng.normal(size=dim)).astype(np.float32).astype(float).tolist() for i in range(n)]
 
 
-def test_embedding_recall(spark):
-    """Pairs close to the limit: recall of links against brute force."""
+def check_links(df, want, least):
+    """want: a matrix of the links. Classes' linked vectors add up to `least` of them, none is counted that isn't there, and rows join only what links join."""
+    rows = pivots.class_links(df.withColumn("n", F.lit(1).cast("long"))).toPandas()
+    got = np.zeros(len(want), np.int64)
+    np.add.at(got, rows.a, rows.others)
+    assert (got <= want.sum(axis=1)).all()
+    assert got.sum() / want.sum() >= least
+    parts = spanning(len(want), *np.nonzero(want))
+    assert (parts[rows.a] == parts[rows.b]).all()
+    found = spanning(len(want), rows.a.to_numpy(), rows.b.to_numpy())
+    assert len(set(found)) <= len(set(parts)) + (1 - least) * len(want)
+
+
+@pytest.mark.parametrize("n, least", ((1200, 256), (9000, 4096)))
+def test_embedding_recall(spark, monkeypatch, n, least):
+    """Pairs close to the limit, with the fewest and the most pivots: recall of links against brute force."""
+    monkeypatch.setattr(pivots, "LEAST_PIVOTS", least)
     rng = np.random.default_rng(7)
-    vectors = near_vectors(rng, 1200, 64, 0.25)
-    df = spark.createDataFrame([(i, i % 2, v) for i, v in enumerate(vectors)], "cid long, label long, embedding array<double>")
-    got = {(min(r.a, r.b), max(r.a, r.b)) for r in pivots.class_links(df).collect()}
-    x = np.array(vectors)
+    x = np.array(near_vectors(rng, n, 64, 0.25))
+    df = spark.createDataFrame(pd.DataFrame({"cid": range(n), "label": np.arange(n) % 2, "embedding": x.tolist()}), "cid long, label long, embedding array<double>")
     x /= np.linalg.norm(x, axis=1, keepdims=True)
-    cosine = x @ x.T
-    want = {(a, b) for a, b in itertools.combinations(range(len(x)), 2) if a % 2 == b % 2 and cosine[a, b] >= pivots.LEAST_COSINE}
-    assert got <= want and len(want) > 500
-    assert len(got) / len(want) >= 0.95
+    want = x @ x.T >= pivots.LEAST_COSINE
+    want &= np.equal.outer(np.arange(n) % 2, np.arange(n) % 2)
+    np.fill_diagonal(want, False)
+    assert want.sum() > 1000
+    check_links(df, want, 0.95)
 
 
 @pytest.mark.parametrize("least", (256, 1024))
@@ -714,12 +814,10 @@ def test_embedding_recall_in_a_hot_group(spark, monkeypatch, least, mutual):
     hot = np.sqrt(mutual) * unit(rng.normal(size=dim)) + np.sqrt(1 - mutual) * unit(rng.normal(size=(n // 3, dim)))
     x = unit(np.vstack([hot, near_vectors(rng, n - n // 3, dim, 0.25)]))
     df = spark.createDataFrame(pd.DataFrame({"cid": range(n), "label": 0, "embedding": x.tolist()}), "cid long, label long, embedding array<double>")
-    links = pivots.class_links(df).toPandas()
-    got = np.zeros((n, n), bool)
-    got[links[["a", "b"]].min(axis=1), links[["a", "b"]].max(axis=1)] = True
-    want = np.triu(x @ x.T >= pivots.LEAST_COSINE, 1)
-    assert want.sum() > 50_000 and not (got & ~want).any()
-    assert got.sum() / want.sum() >= 0.95
+    want = x @ x.T >= pivots.LEAST_COSINE
+    np.fill_diagonal(want, False)
+    assert want.sum() > 100_000
+    check_links(df, want, 0.95)
 
 
 def test_embedding_one_group(spark):
