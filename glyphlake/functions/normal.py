@@ -5,6 +5,7 @@ from __future__ import annotations
 import difflib
 import unicodedata
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -38,15 +39,55 @@ nfkc_casefold = _column(lambda t: nfkc_of(t).casefold())
 skeleton = _column(skeleton_of)
 
 
+def suffixes(codes: np.ndarray) -> np.ndarray:
+    """Places of the suffixes in order, by doubling the length that is compared."""
+    n = len(codes)
+    rank = np.unique(codes, return_inverse=True)[1].astype(np.int64)
+    k = 1
+    while True:
+        key = rank * (n + 1)
+        key[: n - k] += rank[k:] + 1
+        order = np.argsort(key, kind="stable")
+        rank[order] = np.cumsum(np.append(False, key[order][1:] != key[order][:-1]))
+        if rank[order[-1]] == n - 1 or k >= n:
+            return order
+        k *= 2
+
+
+def _common(codes: np.ndarray, a: int, b: int) -> int:
+    """Length of the common start of the suffixes at a and b (a before b)."""
+    at, step, n = 0, 16, len(codes)
+    while b + at < n:
+        m = min(step, n - b - at)
+        differ = codes[a + at : a + at + m] != codes[b + at : b + at + m]
+        if differ.any():
+            return at + int(differ.argmax())
+        at, step = at + m, 4 * step
+    return at
+
+
 def lz76_of(text: str) -> int:
-    """Number of phrases of the Lempel-Ziv 1976 parsing."""
-    n = i = 0
-    while i < len(text):
-        k = 1
-        while i + k <= len(text) and text.find(text[i : i + k], 0, i + k - 1) >= 0:
-            k += 1
-        n, i = n + 1, i + k
-    return n
+    """Number of phrases of the Lempel-Ziv 1976 parsing: each is the longest part that began before, and one character.
+
+    The longest earlier part of a place is one of its two neighbours in suffix order that lie before it, so the parsing takes
+    a sort of the suffixes and then linear time.
+    """
+    if not text:
+        return 0
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    n = len(codes)
+    before, after, stack = [-1] * n, [-1] * n, []
+    for i in suffixes(codes).tolist():
+        while stack and stack[-1] > i:
+            after[stack.pop()] = i
+        if stack:
+            before[i] = stack[-1]
+        stack.append(i)
+    phrases = at = 0
+    while at < n:
+        phrases += 1
+        at += 1 + max((_common(codes, j, at) for j in (before[at], after[at]) if j >= 0), default=0)
+    return phrases
 
 
 lz_complexity = _column(lz76_of, T.LongType())

@@ -41,9 +41,28 @@ def _by_pattern(name: str) -> Callable[[str], str]:
     return of
 
 
+# Names of scripts, the frequent ones first.
+SCRIPTS = """Latin Common Inherited Cyrillic Greek Han Hiragana Katakana Hangul Arabic Hebrew Devanagari Thai Armenian Georgian Bengali Tamil Telugu Ethiopic Syriac Mongolian Nushu
+Adlam Avestan Balinese Bamum Batak Bopomofo Brahmi Braille Buginese Buhid Canadian_Aboriginal Carian Chakma Cham Cherokee Coptic Cuneiform Cypriot Deseret Duployan Egyptian_Hieroglyphs Elbasan Glagolitic Gothic Grantha Gujarati Gurmukhi
+Hanunoo Imperial_Aramaic Javanese Kaithi Kannada Kayah_Li Kharoshthi Khmer Khojki Lao Lepcha Limbu Linear_A Linear_B Lisu Lycian Lydian Malayalam Mandaic Meetei_Mayek Mende_Kikakui Meroitic_Cursive Miao Modi Myanmar New_Tai_Lue Nko
+Ogham Ol_Chiki Old_Italic Old_Persian Old_Turkic Oriya Osage Osmanya Pahawh_Hmong Phags_Pa Phoenician Rejang Runic Samaritan Saurashtra Sharada Shavian Sinhala Sora_Sompeng Sundanese Syloti_Nagri
+Tagalog Tagbanwa Tai_Le Tai_Tham Tai_Viet Takri Tangut Thaana Tibetan Tifinagh Tirhuta Ugaritic Vai Wancho Warang_Citi Yezidi Yi""".split()
+
+
 @cache
 def _scripts() -> list[tuple[str, regex.Pattern]]:
-    return [(s, regex.compile(rf"\p{{Script={s}}}")) for s in "Latin Common Inherited Cyrillic Greek Han Hiragana Katakana Hangul Arabic Hebrew Devanagari Thai Armenian Georgian Bengali Tamil Telugu Ethiopic Syriac Mongolian Nushu".split()]
+    return [(s, regex.compile(rf"\p{{Script={s}}}")) for s in SCRIPTS]
+
+
+@cache
+def _extensions() -> list[tuple[str, regex.Pattern]]:
+    return [(s, regex.compile(rf"\p{{Script_Extensions={s}}}")) for s in SCRIPTS]
+
+
+@cache
+def extensions_of(c: str) -> tuple[str, ...]:
+    """All scripts that use a character."""
+    return tuple(s for s, p in _extensions() if p.match(c)) or ("Other",)
 
 
 @cache

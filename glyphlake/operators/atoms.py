@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from functools import cache
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from glyphlake.functions import chars
+from glyphlake.functions import arrays, chars
 
 #: The legacy encodings whose coverage is reported.
 ENCODINGS = ("cp1250", "cp1251", "cp1252", "cp1253", "cp1254", "cp1255", "cp1256", "iso8859_1", "cp866", "shift_jis", "gb18030", "big5", "euc_kr")
@@ -20,23 +21,55 @@ def codepoints(docs: DataFrame) -> DataFrame:
 
 
 def graphemes(docs: DataFrame) -> DataFrame:
-    """doc_id, g_idx, g, n_cp, cp_start, unit_start: clusters with their places in code points and in UTF-16 units."""
-    rows = docs.select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit(r"(\X)"), F.lit(1))).alias("g_idx", "g"))
-    rows = rows.withColumn("n_cp", F.length("g").cast("long")).withColumn("units", F.length("g") + F.regexp_count("g", F.lit(r"[\x{10000}-\x{10FFFF}]")))
-    before = Window.partitionBy("doc_id").orderBy("g_idx").rowsBetween(Window.unboundedPreceding, -1)
-    return rows.select(
-        "doc_id", "g_idx", "g", "n_cp", F.coalesce(F.sum("n_cp").over(before), F.lit(0)).alias("cp_start"), F.coalesce(F.sum("units").over(before), F.lit(0)).alias("unit_start")
-    )
+    """doc_id, g_idx, g, n_cp, cp_start, unit_start: clusters with their places in code points and in UTF-16 units.
+
+    Places are summed inside the text's array, so no row is shuffled.
+    """
+    zero, add = F.lit(0).cast("bigint"), lambda a, v: a + v
+    sized = F.transform(F.regexp_extract_all("text", F.lit(r"(\X)"), F.lit(1)), lambda g: F.struct(g.alias("g"), F.length(g).cast("long").alias("n_cp"), (F.length(g) + F.regexp_count(g, F.lit(r"[\x{10000}-\x{10FFFF}]"))).cast("long").alias("units")))
+
+    def placed(x):
+        return F.arrays_zip(x.alias("x"), arrays.before(F.transform(x, lambda r: r["n_cp"]), zero, add).alias("cp_start"), arrays.before(F.transform(x, lambda r: r["units"]), zero, add).alias("unit_start"))
+
+    rows = docs.select("doc_id", F.posexplode(arrays.bound(sized, placed)).alias("g_idx", "r"))
+    return rows.select("doc_id", "g_idx", "r.x.g", "r.x.n_cp", "r.cp_start", "r.unit_start")
+
+
+def distinct_counts(text: str = "text") -> F.Column:
+    """array<struct<c, n>>: the distinct characters of a text and how often each is there (a text has few)."""
+    chars = F.array_distinct(F.regexp_extract_all(text, F.lit("(?s)(.)"), F.lit(1)))
+    return F.transform(chars, lambda c: F.struct(c.alias("c"), ((F.length(text) - F.length(F.replace(F.col(text), c, F.lit("")))) / F.length(c)).cast("long").alias("n")))
+
+
+def codepoint_counts(docs: DataFrame) -> DataFrame:
+    """c, n, docs: each character, how often it is there and in how many texts; counted inside each text first."""
+    rows = docs.select(F.explode(distinct_counts()).alias("x"))
+    return rows.groupBy("x.c").agg(F.sum("x.n").alias("n"), F.count("*").alias("docs"))
+
+
+CODEPOINT_COUNTS = "SELECT c, count(*) AS n, count(DISTINCT doc_id) AS docs FROM (SELECT doc_id, unnest(string_split(text, '')) AS c FROM pdocs) GROUP BY c"
+
+
+def char_entropy(docs: DataFrame) -> DataFrame:
+    """doc_id, entropy, min_entropy, renyi2, n over the characters of each text that has any, without a shuffle."""
+    rows = docs.where("text <> ''").select("doc_id", F.length("text").cast("long").alias("n"), F.transform(distinct_counts(), lambda x: x["n"].cast("double") / F.length("text")).alias("p"))
+    total = lambda f: F.aggregate("p", F.lit(0.0), lambda s, p: s + f(p))
+    return rows.select("doc_id", (-total(lambda p: p * F.log2(p))).alias("entropy"), (-F.log2(F.array_max("p"))).alias("min_entropy"), (-F.log2(total(lambda p: p * p))).alias("renyi2"), "n")
+
+
+CHAR_ENTROPY = """SELECT doc_id, -sum(p * log2(p)) AS entropy, -log2(max(p)) AS min_entropy, -log2(sum(p * p)) AS renyi2, max(total) AS n FROM (SELECT doc_id, CAST(n AS DOUBLE) / sum(n) OVER (PARTITION BY doc_id) AS p, CAST(sum(n) OVER (PARTITION BY doc_id) AS BIGINT) AS total
+ FROM (SELECT doc_id, c, count(*) AS n FROM (SELECT doc_id, unnest(string_split(text, '')) AS c FROM pdocs WHERE text <> '') GROUP BY doc_id, c)) GROUP BY doc_id"""
 
 
 def grapheme_profile(docs: DataFrame) -> DataFrame:
-    """doc_id, graphemes, single, multi, marks, most_marks."""
+    """doc_id, graphemes, single, multi, marks, most_marks, average_marks (of a grapheme)."""
     g = F.regexp_extract_all("text", F.lit(r"(\X)"), F.lit(1))
     marks = F.transform(g, lambda x: F.regexp_count(x, F.lit(r"\p{M}")))
     single = F.size(F.filter(g, lambda x: F.length(x) == 1))
     return docs.select(
         "doc_id", F.size(g).cast("long").alias("graphemes"), single.cast("long").alias("single"), (F.size(g) - single).cast("long").alias("multi"),
         F.regexp_count("text", F.lit(r"\p{M}")).cast("long").alias("marks"), F.coalesce(F.array_max(marks), F.lit(0)).cast("long").alias("most_marks"),
+        F.when(F.size(g) > 0, F.regexp_count("text", F.lit(r"\p{M}")) / F.size(g)).otherwise(0.0).alias("average_marks"),
     )
 
 
@@ -94,15 +127,18 @@ def category_runs_sql() -> str:
     return f"SELECT doc_id, value, CAST(count(*) AS BIGINT) AS runs, CAST(max(length(r)) AS BIGINT) AS longest FROM ({parts}) GROUP BY doc_id, value"
 
 
+def _counted(docs: DataFrame) -> DataFrame:
+    """doc_id, ch, n and own (the legacy encodings of ch), counted inside each text: one scan, no shuffle."""
+    return docs.where("text <> ''").select("doc_id", F.explode(distinct_counts()).alias("x")).select("doc_id", F.col("x.c").alias("ch"), "x.n").withColumn("own", encodings_of("ch"))
+
+
 def encoding_coverage(docs: DataFrame) -> DataFrame:
     """doc_id, encoding, all_share, signal_share: of all characters and of those beyond ASCII that an encoding holds.
 
-    Encodings are tried once for each distinct character; that table is bounded by Unicode's size.
+    Encodings are tried once for each distinct character in a worker; their number is bounded by Unicode's size.
     """
-    counts = codepoints(docs).groupBy("doc_id", "ch").agg(F.count("*").alias("n"))
-    known = encodings_of(counts)
     beyond = F.when(F.ascii("ch") > 127, F.col("n")).otherwise(0)
-    rows = counts.join(known, "ch", "left").select("doc_id", "n", beyond.alias("b"), "own")
+    rows = _counted(docs).select("doc_id", "n", beyond.alias("b"), "own")
     sums = [F.sum(F.when(F.array_contains("own", e), F.col(c)).otherwise(0)).alias(f"{c}_{e}") for e in ENCODINGS for c in ("n", "b")]
     wide = rows.groupBy("doc_id").agg(F.sum("n").alias("t"), F.sum("b").alias("u"), *sums)
     each = F.array(*[F.struct(F.lit(e).alias("encoding"), (F.col(f"n_{e}") / F.col("t")).alias("all_share"), F.when(F.col("u") > 0, F.col(f"b_{e}") / F.col("u")).alias("signal_share")) for e in ENCODINGS])
@@ -111,8 +147,7 @@ def encoding_coverage(docs: DataFrame) -> DataFrame:
 
 def encoding_evidence(docs: DataFrame) -> DataFrame:
     """doc_id, pure_ascii, sole (characters that one legacy encoding alone holds, which then explains them), nowhere (those in none)."""
-    counts = codepoints(docs.where("text <> ''")).groupBy("doc_id", "ch").agg(F.count("*").alias("n"))
-    rows = counts.join(encodings_of(counts), "ch", "left").withColumn("k", F.coalesce(F.size("own"), F.lit(0)))
+    rows = _counted(docs).withColumn("k", F.size("own"))
     total = lambda on: F.sum(F.when(on, F.col("n")).otherwise(0))
     return rows.groupBy("doc_id").agg(
         (F.max(F.ascii("ch")) < 128).alias("pure_ascii"), total(F.col("k") == 1).alias("sole"), total(F.col("k") <= 0).alias("nowhere"),
@@ -125,15 +160,15 @@ def valid_bytes(blobs: DataFrame) -> DataFrame:
     return blobs.select("id", F.is_valid_utf8(F.col("raw")).alias("utf8"), F.regexp_count(F.hex("raw"), F.lit("(?=ED[AB][0-9A-F][89AB][0-9A-F])(?:..)")).cast("long").alias("surrogates"))
 
 
-def encodings_of(counts: DataFrame) -> DataFrame:
-    """own: the legacy encodings of each distinct ch."""
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def encodings_of(x: pd.Series) -> pd.Series:
+    """The legacy encodings that hold a character."""
+    return x.map(_encodings)
 
-    def tried(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            yield pd.DataFrame([(c, e) for c in f.ch for e in ENCODINGS if _encodes(c, e)], columns=["ch", "encoding"])
 
-    known = counts.select("ch").distinct().mapInPandas(tried, "ch string, encoding string")
-    return known.groupBy("ch").agg(F.collect_set("encoding").alias("own"))
+@cache
+def _encodings(c: str) -> list[str]:
+    return [e for e in ENCODINGS if _encodes(c, e)]
 
 
 def _encodes(c: str, encoding: str) -> bool:

@@ -9,6 +9,9 @@ LURES = r"(?i)(?:^|[^\p{L}\p{N}_])(?:login|password|verify|account|secure|update
 INJECTIONS = r"(?i)ignore (?:all |any )?previous instructions|disregard the above|system prompt|you are now|\x{001B}\["
 WAF = r"(?i)<script|javascript:|onerror\s*=|union\s+select|or\s+1=1|\.\./|/etc/passwd"
 
+#: An agent between two letters that parts a token: invisibles, tags, joiners and emoji; punctuation is none.
+FRACTURE = "[A-Za-z][" + chars.INVISIBLE + chars.PICTOGRAPHS + "]+[A-Za-z]"
+
 
 def _doc(columns: str) -> str:
     return f"SELECT doc_id, {columns} FROM pdocs"
@@ -30,10 +33,10 @@ def _rest(columns: str) -> str:
 
 CATALOG: dict[str, str] = {
     # decomposition
-    "atoms_codepoint_counts": "SELECT c, CAST(count(*) AS BIGINT) AS n, CAST(count(DISTINCT doc_id) AS BIGINT) AS docs FROM (SELECT doc_id, explode(@chars) AS c FROM pdocs) GROUP BY c",
     "atoms_tokens_whitespace": "SELECT tok, CAST(count(*) AS BIGINT) AS n FROM (SELECT explode(@all{[^ \\x{0009}-\\x{000D}]+}) AS tok FROM pdocs) GROUP BY tok",
     "atoms_tokens_forensic": "SELECT tok, CAST(count(*) AS BIGINT) AS n FROM (SELECT explode(@all{[\\p{L}\\p{N}_\\-" + chars.INVISIBLE + "]+}) AS tok FROM pdocs) GROUP BY tok",
-    "atoms_lines": "SELECT line, CAST(count(*) AS BIGINT) AS n FROM (SELECT explode(@all{[^\\x{000A}\\x{000D}]+}) AS line FROM pdocs) GROUP BY line",
+    "atoms_lines": "SELECT line, CAST(count(*) AS BIGINT) AS n FROM (SELECT explode(@lines) AS line FROM pdocs) GROUP BY line",
+    "atoms_line_numbers": "SELECT doc_id, CAST(i + 1 AS BIGINT) AS number, CAST(length(c) AS BIGINT) AS chars FROM @pos{@lines}",
     "atoms_utf16_units": _doc("CAST(length(text) + @count{[\\x{10000}-\\x{10FFFF}]} AS BIGINT) AS units, @count{[\\x{10000}-\\x{10FFFF}]} AS surrogate_overhead"),
     "atoms_encoding_stack": _doc("CAST(length(text) AS BIGINT) AS scalars, CAST(length(text) + @count{[\\x{10000}-\\x{10FFFF}]} AS BIGINT) AS utf16, @bytes AS utf8"),
     "atoms_find_first": _doc("CAST(instr(text, ' ') - 1 AS BIGINT) AS first_space, CAST(instr(text, 'а') - 1 AS BIGINT) AS first_cyrillic_a"),
@@ -54,7 +57,7 @@ CATALOG: dict[str, str] = {
     "shape_runs_minor": _doc("@count{\\p{Lu}+} AS lu_runs, @count{\\p{Ll}+} AS ll_runs, @count{\\p{Nd}+} AS nd_runs, @count{\\p{Po}+} AS po_runs, @count{\\p{Zs}+} AS zs_runs, @count{\\p{Cf}+} AS cf_runs"),
     "shape_script_runs": _doc("@count{\\p{Latin}+} AS latin, @count{\\p{Cyrillic}+} AS cyrillic, @count{\\p{Greek}+} AS greek, @count{\\p{Arabic}+} AS arabic, @count{\\p{Han}+} AS han"),
     "shape_line_endings": _doc("@count{\\x{000D}\\x{000A}} AS crlf, @count{\\x{000A}} AS lf, @count{\\x{000D}} AS cr, (@has{ } AND @has{\\x{00A0}}) AS mixed_spaces"),
-    "shape_whitespace_runs": "SELECT doc_id, CAST(count(*) AS BIGINT) AS runs, CAST(max(length(r)) AS BIGINT) AS longest, avg(length(r)) AS mean, stddev_pop(length(r)) / avg(length(r)) AS cv FROM (SELECT doc_id, explode(@all{[\\s\\x{00A0}]+}) AS r FROM pdocs) GROUP BY doc_id",
+    "shape_whitespace_runs": "SELECT doc_id, CAST(count(r) AS BIGINT) AS runs, CAST(coalesce(max(length(r)), 0) AS BIGINT) AS longest, avg(length(r)) AS mean, stddev_pop(length(r)) / avg(length(r)) AS cv FROM (SELECT doc_id, @outer{@all{[\\s\\x{00A0}]+}} AS r FROM pdocs) GROUP BY doc_id",
     "shape_smuggler": _doc("@count{\\p{L}[" + chars.INVISIBLE + "]\\p{L}} AS hits"),
     "shape_geometric_drift": _doc("@count{[A-Za-z][\\x{FF21}-\\x{FF5A}]|[\\x{FF21}-\\x{FF5A}][A-Za-z]} AS hits"),
     "shape_rhythm": _doc("@count{\\p{L}[\\p{N}\\p{S}]|[\\p{N}\\p{S}]\\p{L}} AS transitions"),
@@ -64,7 +67,7 @@ CATALOG: dict[str, str] = {
     "integrity_blank": _doc("(length(text) > 0 AND NOT @has{[^\\s\\x{00A0}" + chars.INVISIBLE + "]}) AS blank"),
     "integrity_artifacts": _doc("@count{[A-Za-z]\\x{200B}} AS zwsp_in_latin"),
     "integrity_kryptonite": _doc("@count{\\x{2028}} AS ls, @count{\\x{2029}} AS ps, CASE WHEN @has{\\x{2029}} THEN 4 WHEN @has{\\x{2028}} THEN 3 ELSE 0 END AS severity"),
-    "integrity_invisible_clusters": "SELECT doc_id, CAST(count(*) AS BIGINT) AS clusters, CAST(max(length(r)) AS BIGINT) AS longest, CAST(sum(CASE WHEN length(r) >= 4 THEN 1 ELSE 0 END) AS BIGINT) AS huge FROM (SELECT doc_id, explode(@all{[" + chars.INVISIBLE + "]+}) AS r FROM pdocs) GROUP BY doc_id",
+    "integrity_invisible_clusters": "SELECT doc_id, CAST(count(r) AS BIGINT) AS clusters, CAST(coalesce(max(length(r)), 0) AS BIGINT) AS longest, CAST(sum(CASE WHEN length(r) >= 4 THEN 1 ELSE 0 END) AS BIGINT) AS huge FROM (SELECT doc_id, @outer{@all{[" + chars.INVISIBLE + "]+}} AS r FROM pdocs) GROUP BY doc_id",
     "integrity_nsm_tiers": _doc("@count{\\p{M}{3,5}} AS moderate, @count{\\p{M}{6,15}} AS heavy, @count{\\p{M}{16,}} AS extreme, @has{\\p{M}{3,}} AS flagged"),
     "integrity_bidi_balance": _doc("@count{[\\x{202A}\\x{202B}\\x{202D}\\x{202E}]} AS embeddings, @count{\\x{202C}} AS pops, @count{[\\x{2066}-\\x{2068}]} AS isolates, @count{\\x{2069}} AS isolate_pops, @count{[\\x{202A}\\x{202B}\\x{202D}\\x{202E}]} - @count{\\x{202C}} AS unclosed, @count{[(\\[]} - @count{[)\\]]} AS open_brackets"),
     "integrity_ghosts": _doc("@count{\\x{0008}} AS backspaces, @count{\\x{007F}} AS deletes, @count{\\x{000D}(?:[^\\x{000A}]|\\z)} AS lone_cr"),
@@ -73,15 +76,15 @@ CATALOG: dict[str, str] = {
     "provenance_scripts": _doc("@count{\\p{Latin}} AS latin, @count{\\p{Cyrillic}} AS cyrillic, @count{\\p{Greek}} AS greek, @count{\\p{Han}} AS han, @count{\\p{Arabic}} AS arabic, @count{\\p{Hebrew}} AS hebrew"),
     "provenance_mix_severity": _doc("CASE WHEN @has{\\p{Latin}} AND @has{\\p{Cyrillic}|\\p{Greek}} THEN 'CRITICAL Mixed' WHEN @has{[^\\x{0000}-\\x{007F}]} THEN 'Single-Script' ELSE 'ASCII-Only' END AS severity"),
     "provenance_blocks": _doc(", ".join(f"@count{{[\\x{{{a}}}-\\x{{{b}}}]}} AS {n}" for n, a, b in (("basic_latin", "0000", "007F"), ("latin1_supplement", "0080", "00FF"), ("cyrillic", "0400", "04FF"), ("general_punctuation", "2000", "206F"), ("combining", "0300", "036F"), ("tags", "E0000", "E007F")))),
-    "provenance_digit_mass": "SELECT doc_id, CAST(sum(CAST(d AS BIGINT)) AS BIGINT) AS mass FROM (SELECT doc_id, explode(@all{[0-9]}) AS d FROM pdocs) GROUP BY doc_id",
+    "provenance_digit_mass": "SELECT doc_id, CAST(coalesce(sum(CAST(d AS BIGINT)), 0) AS BIGINT) AS mass FROM (SELECT doc_id, @outer{@all{[0-9]}} AS d FROM pdocs) GROUP BY doc_id",
     "provenance_number_systems": _doc("(CASE WHEN @has{[0-9]} THEN 1 ELSE 0 END + CASE WHEN @has{[\\x{0660}-\\x{0669}]} THEN 1 ELSE 0 END + CASE WHEN @has{[\\x{0966}-\\x{096F}]} THEN 1 ELSE 0 END + CASE WHEN @has{[\\x{FF10}-\\x{FF19}]} THEN 1 ELSE 0 END) AS systems"),
     # emoji
     "emoji_counts": _doc("@count{[" + chars.PICTOGRAPHS + "]} AS pictographs, @count{[" + chars.REGIONAL + "][" + chars.REGIONAL + "]} AS flags, @count{[" + chars.SKIN + "]} AS skin_tones, @count{\\x{200D}} AS joiners, @count{\\x{FE0F}} AS presentation"),
     "emoji_valency": _doc("@count{\\x{200D}(?:[^" + chars.PICTOGRAPHS + "]|\\z)} AS dangling, (@count{[" + chars.REGIONAL + "]} % 2) AS odd_regional"),
     "emoji_ghost_tags": _doc("@count{[\\x{E0020}-\\x{E007E}]+(?:[^\\x{E0020}-\\x{E007F}]|\\z)} AS unterminated, @count{[^\\x{1F3F4}\\x{E0020}-\\x{E007F}][\\x{E0020}-\\x{E007F}]} AS wrong_base"),
     # adversarial tokens
-    "token_fracture": _doc("@count{[A-Za-z][" + chars.INVISIBLE + "]+[A-Za-z]} AS hits, CASE WHEN @has{[A-Za-z][" + chars.INVISIBLE + "]+[A-Za-z]} THEN 99 ELSE 0 END AS risk"),
-    "token_mixed_script": "SELECT doc_id, CAST(count(*) AS BIGINT) AS tokens FROM (SELECT doc_id, explode(@all{[\\p{L}]+}) AS tok FROM pdocs) WHERE regexp_like(tok, @rx{[a-zA-Z]}) AND regexp_like(tok, @rx{[\\x{0400}-\\x{04FF}]}) GROUP BY doc_id",
+    "token_fracture": _doc(f"@count{{{FRACTURE}}} AS hits, CASE WHEN @has{{{FRACTURE}}} THEN 99 ELSE 0 END AS risk, CASE WHEN @has{{{FRACTURE}}} THEN 'CRITICAL' ELSE 'NONE' END AS level"),
+    "token_mixed_script": "SELECT doc_id, CAST(sum(CASE WHEN regexp_like(tok, @rx{[a-zA-Z]}) AND regexp_like(tok, @rx{[\\x{0400}-\\x{04FF}]}) THEN 1 ELSE 0 END) AS BIGINT) AS tokens FROM (SELECT doc_id, @outer{@all{[\\p{L}]+}} AS tok FROM pdocs) GROUP BY doc_id",
     "token_sore_thumb": "SELECT tok, CAST(count(*) AS BIGINT) AS n FROM (SELECT explode(@all{[A-Za-z0-9]+}) AS tok FROM pdocs) WHERE regexp_like(tok, @rx{^[A-Za-z]+[0-9][A-Za-z]*$}) GROUP BY tok",
     "token_lexical_stutter": "SELECT tok, CAST(count(*) AS BIGINT) AS n FROM (SELECT explode(@all{[A-Za-z]+}) AS tok FROM pdocs) WHERE length(tok) % 2 = 0 AND substr(tok, 1, CAST(length(tok) / 2 AS INT)) = substr(tok, CAST(length(tok) / 2 AS INT) + 1) GROUP BY tok",
     "token_skeleton_collisions": "SELECT skeleton, CAST(count(DISTINCT tok) AS BIGINT) AS forms, CAST(count(*) AS BIGINT) AS n FROM (SELECT tok, lower(translate(tok, 'аеорсх', 'aeopcx')) AS skeleton FROM (SELECT explode(@all{[\\p{L}]+}) AS tok FROM pdocs)) GROUP BY skeleton HAVING count(DISTINCT tok) > 1",
@@ -96,11 +99,10 @@ CATALOG: dict[str, str] = {
     "token_comment_linebreak": _doc("@count{(?://|#)[^\\x{000A}]*[\\x{2028}\\x{2029}]} AS hits"),
     "token_code_masquerade": _doc("(@has{[{};=]} AND @has{[\\x{0400}-\\x{04FF}]}) AS masquerade"),
     "token_homoglyphs": _doc("@count{[\\x{0430}\\x{0435}\\x{043E}\\x{0440}\\x{0441}\\x{0445}\\x{0391}-\\x{03A9}]} AS confusables, CASE WHEN length(text) > 0 THEN @count{[\\x{0430}\\x{0435}\\x{043E}\\x{0440}\\x{0441}\\x{0445}\\x{0391}-\\x{03A9}]} / CAST(length(text) AS DOUBLE) ELSE 0.0 END AS density"),
-    "token_payloads": "SELECT doc_id, CAST(count(*) AS BIGINT) AS runs, CAST(max(length(r)) AS BIGINT) AS longest FROM (SELECT doc_id, explode(@all{[A-Za-z0-9+/=]{17,}}) AS r FROM pdocs) GROUP BY doc_id",
+    "token_payloads": "SELECT doc_id, CAST(count(r) AS BIGINT) AS runs, CAST(coalesce(max(length(r)), 0) AS BIGINT) AS longest FROM (SELECT doc_id, @outer{@all{[A-Za-z0-9+/=]{17,}}} AS r FROM pdocs) GROUP BY doc_id",
     # statistics
-    "stats_line_lengths": "SELECT doc_id, CAST(count(*) AS BIGINT) AS lines, CAST(min(length(l)) AS BIGINT) AS shortest, avg(length(l)) AS mean, CAST(max(length(l)) AS BIGINT) AS longest FROM (SELECT doc_id, explode(@all{[^\\x{000A}\\x{000D}]+}) AS l FROM pdocs) GROUP BY doc_id",
-    "stats_ttr": "SELECT doc_id, CAST(count(*) AS BIGINT) AS tokens, CAST(count(DISTINCT lower(tok)) AS BIGINT) AS types, count(DISTINCT lower(tok)) / CAST(count(*) AS DOUBLE) AS ttr FROM (SELECT doc_id, explode(@all{[a-zA-Z]+}) AS tok FROM pdocs) GROUP BY doc_id",
-    "stats_char_entropy": "SELECT doc_id, -sum(p * log2(p)) AS entropy, -log2(max(p)) AS min_entropy, -log2(sum(p * p)) AS renyi2, max(total) AS n FROM (SELECT doc_id, CAST(n AS DOUBLE) / sum(n) OVER (PARTITION BY doc_id) AS p, CAST(sum(n) OVER (PARTITION BY doc_id) AS BIGINT) AS total FROM (SELECT doc_id, c, count(*) AS n FROM (SELECT doc_id, explode(@chars) AS c FROM pdocs) GROUP BY doc_id, c)) GROUP BY doc_id",
+    "stats_line_lengths": "SELECT doc_id, CAST(count(l) AS BIGINT) AS lines, CAST(min(length(l)) AS BIGINT) AS shortest, avg(length(l)) AS mean, CAST(max(length(l)) AS BIGINT) AS longest, CAST(sum(CASE WHEN l = '' THEN 1 ELSE 0 END) AS BIGINT) AS empty FROM (SELECT doc_id, @outer{@lines} AS l FROM pdocs) GROUP BY doc_id",
+    "stats_ttr": "SELECT doc_id, CAST(count(tok) AS BIGINT) AS tokens, CAST(count(DISTINCT lower(tok)) AS BIGINT) AS types, CASE WHEN count(tok) > 0 THEN count(DISTINCT lower(tok)) / CAST(count(tok) AS DOUBLE) ELSE 0.0 END AS ttr FROM (SELECT doc_id, @outer{@all{[a-zA-Z]+}} AS tok FROM pdocs) GROUP BY doc_id",
     "stats_index_of_coincidence": "SELECT doc_id, CASE WHEN sum(n) > 1 THEN 26.0D * sum(n * (n - 1)) / (CAST(sum(n) AS DOUBLE) * (sum(n) - 1)) ELSE 0.0 END AS ic FROM (SELECT doc_id, lower(c) AS l, count(*) AS n FROM (SELECT doc_id, explode(@all{[A-Za-z]}) AS c FROM pdocs) GROUP BY doc_id, lower(c)) GROUP BY doc_id",
     "stats_benford": "SELECT d, CAST(count(*) AS BIGINT) AS n FROM (SELECT substr(x, 1, 1) AS d FROM (SELECT explode(@all{[1-9][0-9]*}) AS x FROM pdocs)) GROUP BY d",
     "stats_zipf": "SELECT rank, n FROM (SELECT row_number() OVER (ORDER BY count(*) DESC, tok) AS rank, CAST(count(*) AS BIGINT) AS n FROM (SELECT explode(@all{[a-zA-Z]+}) AS tok FROM pdocs) GROUP BY tok) WHERE rank <= 1000",
@@ -115,7 +117,6 @@ CATALOG: dict[str, str] = {
     # remediation
     "remedy_strict": _doc("@del{[" + chars.INVISIBLE + chars.SPACES + "\\x{E000}-\\x{F8FF}]} AS clean"),
     "remedy_smart": _doc("@del{[" + chars.BIDI + chars.TAGS + chars.IGNORABLE + "]} AS clean"),
-    "remedy_reveal": _doc("replace(replace(replace(replace(text, '​', '[ZWSP]'), '‮', '[RLO]'), '‬', '[PDF]'), ' ', '[NBSP]') AS revealed"),
     "remedy_skeleton": _doc("translate(@del{[" + chars.INVISIBLE + "]}, 'аеорсх ', 'aeopcx ') AS skeleton"),
     "remedy_drift": _doc("CAST(@count{[\\x{0430}\\x{0435}\\x{043E}\\x{0440}\\x{0441}\\x{0445}]} AS BIGINT) AS visual, @count{[" + chars.INVISIBLE + "]} AS structure, @count{[" + chars.SPACES + "]} AS format, CASE WHEN @has{[\\x{0430}\\x{0435}\\x{043E}\\x{0440}\\x{0441}\\x{0445}]} THEN 'CRITICAL' WHEN @has{[" + chars.INVISIBLE + "]} THEN 'HIGH' WHEN @has{[" + chars.SPACES + "]} THEN 'WARN' ELSE 'NONE' END AS drift"),
     "remedy_hash": _doc("@sha AS digest"),

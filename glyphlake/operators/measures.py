@@ -9,7 +9,7 @@ ENGLISH = dict(zip("abcdefghijklmnopqrstuvwxyz", (8.167, 1.492, 2.782, 4.253, 12
 TRIGRAMS = "the and ing ion tio ent ati for her ter hat tha ere ate his con res ver all ons nce men ith ted ers pro thi wit are ess".split()
 #: Our constants: the risk of a token for each vector.
 VECTORS = {
-    "fracture": (99, "[A-Za-z][" + chars.INVISIBLE + "]+[A-Za-z]"),
+    "fracture": (99, "[A-Za-z][" + chars.INVISIBLE + chars.PICTOGRAPHS + "]+[A-Za-z]"),
     "bidi": (90, "[" + chars.BIDI + "]"),
     "tags": (85, "[" + chars.TAGS + "]"),
     "mixed_script": (80, "[A-Za-z].*[\\x{0400}-\\x{04FF}]|[\\x{0400}-\\x{04FF}].*[A-Za-z]"),
@@ -19,7 +19,7 @@ VECTORS = {
 }
 PILLAR = {"fracture": "obfuscation", "bidi": "execution", "tags": "execution", "mixed_script": "spoofing", "confusable": "spoofing", "marks": "obfuscation", "sore_thumb": "spoofing"}
 
-_TOKEN = "[\\p{L}\\p{N}\\p{M}_\\-" + chars.INVISIBLE + "]+"
+_TOKEN = "[\\p{L}\\p{N}\\p{M}_\\-" + chars.INVISIBLE + chars.PICTOGRAPHS + "]+"
 _TOKENS = f"SELECT doc_id, tok, CAST(count(*) AS BIGINT) AS n FROM (SELECT doc_id, explode(@all{{{_TOKEN}}}) AS tok FROM pdocs) GROUP BY doc_id, tok"
 # Each distinct token of a document is held against all vectors in one pass.
 _FOUND = ", ".join(f"CASE WHEN regexp_like(tok, @rx{{{p}}}) THEN '{k}' END" for k, (_, p) in VECTORS.items())
@@ -41,7 +41,7 @@ MEASURES: dict[str, str] = {
     "stats_byte_entropy": f"SELECT doc_id, entropy, entropy / 8.0D AS saturation, min_entropy, renyi2, n, ic, {_BAND} AS band, (n >= 256) AS confident FROM (SELECT doc_id, -sum(p * log2(p)) AS entropy, -log2(max(p)) AS min_entropy, -log2(sum(p * p)) AS renyi2, CAST(sum(k) AS BIGINT) AS n, CASE WHEN sum(k) > 1 THEN 256.0D * sum(CAST(k AS DOUBLE) * (k - 1)) / (CAST(sum(k) AS DOUBLE) * (sum(k) - 1)) ELSE 0.0D END AS ic FROM (SELECT doc_id, k, CAST(k AS DOUBLE) / sum(k) OVER (PARTITION BY doc_id) AS p FROM (SELECT doc_id, b, count(*) AS k FROM (SELECT doc_id, explode(@pairs) AS b FROM pdocs) GROUP BY doc_id, b)) GROUP BY doc_id)",
     "stats_benford_deviation": "SELECT d, n, n / CAST(sum(n) OVER () AS DOUBLE) AS share, log10(1 + 1 / CAST(d AS DOUBLE)) AS expected FROM (SELECT d, CAST(count(*) AS BIGINT) AS n FROM (SELECT substr(x, 1, 1) AS d FROM (SELECT explode(@all{[1-9][0-9]*}) AS x FROM pdocs)) GROUP BY d)",
     "stats_kld": f"SELECT doc_id, sum(p * log2(p / ({_ENGLISH}))) AS english, sum(p * log2(p * 26)) AS uniform FROM ({_LETTERS}) GROUP BY doc_id",
-    "stats_line_quantiles": "SELECT doc_id, CAST(min(length(l)) AS BIGINT) AS shortest, percentile(length(l), 0.25) AS p25, percentile(length(l), 0.5) AS middle, avg(length(l)) AS mean, percentile(length(l), 0.75) AS p75, percentile(length(l), 0.9) AS p90, CAST(max(length(l)) AS BIGINT) AS longest FROM (SELECT doc_id, explode(@all{[^\\x{000A}\\x{000D}]+}) AS l FROM pdocs) GROUP BY doc_id",
+    "stats_line_quantiles": "SELECT doc_id, CAST(min(length(l)) AS BIGINT) AS shortest, percentile(length(l), 0.25) AS p25, percentile(length(l), 0.5) AS middle, avg(length(l)) AS mean, percentile(length(l), 0.75) AS p75, percentile(length(l), 0.9) AS p90, CAST(max(length(l)) AS BIGINT) AS longest FROM (SELECT doc_id, @outer{@lines} AS l FROM pdocs) GROUP BY doc_id",
     "stats_base64_phase": "SELECT phase, c, CAST(count(*) AS BIGINT) AS n FROM (SELECT i % 4 AS phase, c FROM @pos{@all{[A-Za-z0-9+/=]}}) GROUP BY phase, c",
     "stats_word_shape": "SELECT doc_id, CASE WHEN w > 0 THEN a / CAST(w AS DOUBLE) ELSE 0.0D END AS word_length, CASE WHEN s > 0 THEN w / CAST(s AS DOUBLE) ELSE CAST(w AS DOUBLE) END AS sentence_length FROM (SELECT doc_id, @count{[\\p{L}\\p{N}]} AS a, @count{[\\p{L}\\p{N}]+} AS w, @count{[.!?]+(?:[\\s\\x{00A0}]|\\z)} AS s FROM pdocs)",
     # tokens: one row of each vector, each token, each document, and each pillar

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glyphlake.functions import props
-from glyphlake.operators.atoms import codepoints
+from glyphlake.operators.atoms import distinct_counts
 
 
 def runs_of(text: str, name: str) -> dict[str, tuple[int, int, int]]:
@@ -40,29 +40,38 @@ def property_runs(docs: DataFrame, names: tuple[str, ...]) -> DataFrame:
 
 
 def _counts(docs: DataFrame) -> DataFrame:
-    return codepoints(docs).groupBy("doc_id", "ch").agg(F.count("*").alias("n"))
+    """doc_id, ch, n, counted inside each text."""
+    return docs.where("text <> ''").select("doc_id", F.explode(distinct_counts()).alias("x")).select("doc_id", F.col("x.c").alias("ch"), "x.n")
 
 
-def _labelled(chars: DataFrame, of, column: str) -> DataFrame:
-    """ch and each of the labels that hold for it, for the distinct characters."""
+def _labels(of, column: str):
+    """The labels that hold for a character, which a worker looks up once each."""
 
-    def label(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            yield pd.DataFrame([(c, v) for c in f.ch for v in of(c)], columns=["ch", column])
+    @F.pandas_udf("array<string>")
+    def label(x: pd.Series) -> pd.Series:
+        return x.map(lambda c: list(of(c)))
 
-    return chars.select("ch").distinct().mapInPandas(label, f"ch string, {column} string")
+    return F.explode(label(column))
 
 
 def property_flags(docs: DataFrame) -> DataFrame:
     """doc_id, flag, n: the characters of a text that have a property."""
-    counts = _counts(docs)
-    return counts.join(_labelled(counts, props.flags_of, "flag"), "ch").groupBy("doc_id", "flag").agg(F.sum("n").alias("n"))
+    return _counts(docs).select("doc_id", _labels(props.flags_of, "ch").alias("flag"), "n").groupBy("doc_id", "flag").agg(F.sum("n").alias("n"))
 
 
 def character_effects(docs: DataFrame) -> DataFrame:
     """effect, ch, n, docs: characters that case or compatibility mappings change."""
     counts = _counts(docs).groupBy("ch").agg(F.sum("n").alias("n"), F.count("*").alias("docs"))
-    return counts.join(_labelled(counts, props.effects_of, "effect"), "ch").select("effect", "ch", "n", "docs")
+    return counts.select(_labels(props.effects_of, "ch").alias("effect"), "ch", "n", "docs")
+
+
+def script_places(docs: DataFrame, extended: bool = False) -> DataFrame:
+    """doc_id, script, n, first: characters of each script and the place of the first; extended: of each script that uses them."""
+    of = props.extensions_of if extended else lambda c: (props.script_of(c),)
+    rows = docs.where("text <> ''").select("doc_id", "text", F.explode(distinct_counts()).alias("x"))
+    rows = rows.select("doc_id", F.col("x.c").alias("ch"), "x.n", (F.instr("text", F.col("x.c")) - 1).cast("long").alias("first"))
+    rows = rows.select("doc_id", _labels(of, "ch").alias("script"), "n", "first")
+    return rows.groupBy("doc_id", "script").agg(F.sum("n").alias("n"), F.min("first").alias("first"))
 
 
 ATLAS = "cp long, ch string, n long, docs long, name string, category string, bidi string, ccc int, width string, script string, mirrored boolean, decomposition string, numeric double, nfkc string, utf8 string, escape string"
@@ -123,6 +132,8 @@ def numeric_mass(docs: DataFrame) -> DataFrame:
 
 
 _EMOJI = regex.compile(r"\p{Extended_Pictographic}|\p{Regional_Indicator}|\p{Emoji_Modifier}|⃣")
+#: A skin tone after something that takes none.
+_LONE = regex.compile(r"(?<![\p{Emoji_Modifier_Base}️])\p{Emoji_Modifier}")
 _PART = {0x200D: "ZWJ", 0xFE0F: "VS16", 0xFE0E: "VS15", 0x20E3: "KEYCAP", 0xE007F: "CANCEL"}
 
 
@@ -140,7 +151,7 @@ def emoji_of(text: str) -> list[dict]:
             continue
         parts = [_part(c) for c in g]
         presents = bool(regex.match(r"\p{Emoji_Presentation}", g))
-        broken = "fragment" if g[-1] == "‍" or parts.count("RI") == 1 else "orphan" if parts[0] in ("TONE", "KEYCAP", "ZWJ") else "shattered" if "TAG" in parts and parts[-1] != "CANCEL" else None
+        broken = "fragment" if g[-1] == "‍" or parts.count("RI") == 1 else "orphan" if parts[0] in ("TONE", "KEYCAP", "ZWJ") or _LONE.search(g) else "shattered" if "TAG" in parts and parts[-1] != "CANCEL" else None
         qualified = "component" if parts[0] in ("TONE",) else "fully" if presents or "VS16" in parts else "unqualified"
         out.append({"seq": g, "kind": "component" if len(g) == 1 and parts[0] != "BASE" else "atomic" if len(g) == 1 else "sequence", "parts": " + ".join(parts), "points": len(g), "bytes": len(g.encode()), "qualification": qualified, "diagnosis": broken, "forced_text": presents and "VS15" in parts})
     return out

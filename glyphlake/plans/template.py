@@ -1,7 +1,7 @@
 """One text for Spark SQL and for the oracle, where both engines share the semantics.
 
 @count{p}: matches of p in text; @has{p}: whether p matches; @all{p}: array of matches; @rx{p}: the pattern as a literal;
-@bytes: UTF-8 length; @pairs: its bytes in hex; @chars: array of code points; @pos{a}: i, c of an array's elements; @del{p}: text without matches. Patterns hold no quotes (\\x27).
+@lines: array of lines, empty ones too; @outer{a}: an array's elements as rows, null if there are none; @bytes: UTF-8 length; @pairs: its bytes in hex; @chars: array of code points; @pos{a}: i, c of an array's elements; @del{p}: text without matches. Patterns hold no quotes (\\x27).
 """
 
 from __future__ import annotations
@@ -19,10 +19,12 @@ _FORMS = {
     "all": ("regexp_extract_all(text, r'({p})', 1)", "regexp_extract_all(text, '{p}')"),
     "del": ("regexp_replace(text, r'{p}', '')", "regexp_replace(text, '{p}', '', 'g')"),
     "rx": ("r'{p}'", "'{p}'"),
+    "outer": ("explode_outer({p})", "unnest(CASE WHEN len({p}) > 0 THEN {p} ELSE [NULL] END)"),
     "pos": ("(SELECT doc_id, posexplode({p}) AS (i, c) FROM pdocs)", "(SELECT doc_id, unnest({p}) AS c, generate_subscripts({p}, 1) - 1 AS i FROM pdocs)"),
 }
 _BARE = {
     "@bytes": ("cast(octet_length(text) as bigint)", "cast(strlen(text) as bigint)"),
+    "@lines": (r"split(text, r'\x{000D}\x{000A}|[\x{000A}\x{000D}]', -1)", r"regexp_split_to_array(text, '\x{000D}\x{000A}|[\x{000A}\x{000D}]')"),
     "@chars": ("regexp_extract_all(text, r'(?s)(.)', 1)", "string_split(text, '')"),
     "@pairs": ("regexp_extract_all(hex(encode(text, 'UTF-8')), '(..)', 1)", "regexp_extract_all(hex(text), '..')"),
     "@array(": ("array(", "list_value("),
@@ -36,7 +38,7 @@ _BARE = {
 def expand(sql: str, engine: int) -> str:
     """engine 0: Spark, 1: the oracle."""
     out, at = [], 0
-    for m in re.finditer(r"@(count|has|all|del|rx|pos)\{", sql):
+    for m in re.finditer(r"@(count|has|all|del|rx|pos|outer)\{", sql):
         if m.start() < at:
             continue
         depth, end = 1, m.end()
@@ -44,7 +46,7 @@ def expand(sql: str, engine: int) -> str:
             depth += {"{": 1, "}": -1}.get(sql[end], 0)
             end += 1
         inner = sql[m.end() : end - 1]
-        out += [sql[at : m.start()], _FORMS[m[1]][engine].replace("{p}", expand(inner, engine) if m[1] == "pos" else inner)]
+        out += [sql[at : m.start()], _FORMS[m[1]][engine].replace("{p}", expand(inner, engine) if m[1] in ("pos", "outer") else inner)]
         at = end
     whole = "".join(out) + sql[at:]
     for k, v in _BARE.items():

@@ -35,14 +35,18 @@ def once_each(signals: DataFrame, keys: list[str], late: str = "1 hour") -> Data
     return _timed(signals).withWatermark("ts", late).dropDuplicatesWithinWatermark(keys)
 
 
-def changed(docs: DataFrame) -> DataFrame:
+def changed(docs: DataFrame, forget: int | None = None) -> DataFrame:
     """docs(doc_id, text) that arrive again and again: a row only when a document's text is new or differs from the last one seen.
 
-    The state of a document is a digest and a count, however long its texts are.
+    The state of a document is a digest and a count, however long its texts are. It is kept for ever, or until the document
+    hasn't come for `forget` milliseconds.
     """
     out = "doc_id long, digest string, version long"
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         digest, version = state.get if state.exists else (None, 0)
         rows = []
         for f in frames:
@@ -51,10 +55,13 @@ def changed(docs: DataFrame) -> DataFrame:
                     digest, version = new, version + 1
                     rows.append((key[0], digest, version))
         state.update((digest, version))
+        if forget is not None:
+            state.setTimeoutDuration(forget)
         yield pd.DataFrame(rows, columns=["doc_id", "digest", "version"])
 
     digests = docs.select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("digest"))
-    return digests.groupBy("doc_id").applyInPandasWithState(step, out, "digest string, version long", "append", GroupStateTimeout.NoTimeout)
+    timeout = GroupStateTimeout.NoTimeout if forget is None else GroupStateTimeout.ProcessingTimeTimeout
+    return digests.groupBy("doc_id").applyInPandasWithState(step, out, "digest string, version long", "append", timeout)
 
 
 SLIDING = """SELECT start, event_type, count(*) AS n FROM (SELECT event_type, unnest([time_bucket(INTERVAL '15 minutes', ts) - k * INTERVAL '15 minutes' for k in [0, 1, 2, 3]]) AS start FROM events) GROUP BY ALL"""
@@ -63,8 +70,25 @@ DEBOUNCED = """WITH g AS (SELECT *, CASE WHEN ts <= lag(ts) OVER w + INTERVAL '4
 
 
 def run_available(spark: SparkSession, path: str, schema, transform: Callable[[DataFrame], DataFrame], name: str, checkpoint: str, mode: str = "append", files: int = 1000) -> DataFrame:
-    """Score all documents of a folder that have arrived, in micro-batches of so many files, into a table in memory."""
+    """Score all documents of a folder that have arrived, in micro-batches of so many files, into files below the checkpoint.
+
+    Each batch writes a folder of its own, which a repeated batch overwrites. In append mode the result is all batches,
+    in complete mode the last one.
+    """
     source = spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path)
-    q = transform(source).writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    rows = transform(source)
+    out = f"{checkpoint.rstrip('/')}/{name}"
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch={number:012d}")
+
+    q = rows.writeStream.foreachBatch(write).queryName(name).outputMode(mode).option("checkpointLocation", f"{checkpoint.rstrip('/')}/state").trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.table(name)
+    found = spark.read.schema(f"{_ddl(rows)}, batch string").option("basePath", out).parquet(f"{out}/batch=*")
+    if mode == "complete":
+        found = found.where(F.col("batch") == found.agg(F.max("batch")).first()[0])
+    return found.drop("batch")
+
+
+def _ddl(rows: DataFrame) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)

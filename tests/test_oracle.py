@@ -10,7 +10,7 @@ import pytest
 from glyphlake.plans import registry
 
 SF = "/root/testdata/sf0.001"
-TABLES = "documents pages conversations events labels embeddings benchmark".split()
+TABLES = "documents orders pages conversations events labels embeddings benchmark".split()
 QUERIES, ORACLES = registry.queries(), registry.oracle_sql()
 
 

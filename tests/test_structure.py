@@ -65,10 +65,10 @@ def test_segments(spark, size):
 
 def test_runs(spark):
     df = spark.createDataFrame([(1, "aaa bb ccc dd"), (2, "a\r\nb"), (3, None)], "doc_id long, text string")
-    whole = df.select("doc_id", macro.class_string().alias("cls"), F.lit(0).alias("seg"), F.lit(1).alias("n_seg"), F.lit(0).alias("start"), F.lit(0).alias("end"))
+    whole = df.select("doc_id", macro.class_string().alias("cls"), F.lit(0).alias("seg"), F.lit(1).alias("n_seg"), F.lit(0).alias("start"), F.lit(0).alias("end"), F.col("text").alias("part"))
     a, b = macro.metrics(whole.where("cls is not null")).orderBy("doc_id").collect()
     assert (a.mean_run, a.std_dev, a.median_run, a.mode_run, a.entropy) == (2.5, 0.5, 2.5, 3, 1.0)
-    assert (b.graphemes, b.line_breaks, b.run_count) == (3, 1, 2)
+    assert (b.volume, b.line_breaks, b.run_count) == (3, 1, 2)
 
 
 def test_range_files(spark, tmp_path):
@@ -126,7 +126,7 @@ def test_atoms(spark):
     df = spark.createDataFrame([(1, "a" + family + "e\u0301\r\nz"), (2, None), (3, "")], "doc_id long, text string")
     rows = atoms.graphemes(df).orderBy("g_idx").collect()
     assert [(r.n_cp, r.cp_start, r.unit_start) for r in rows] == [(1, 0, 0), (5, 1, 1), (2, 6, 9), (2, 8, 11), (1, 10, 13)]
-    assert tuple(atoms.grapheme_profile(df.where("doc_id = 1")).first()) == (1, 5, 2, 3, 1, 1)
+    assert tuple(atoms.grapheme_profile(df.where("doc_id = 1")).first()) == (1, 5, 2, 3, 1, 1, 0.2)
     got = {r.encoding: r for r in atoms.encoding_coverage(spark.createDataFrame([(1, "a\u0430")], "doc_id long, text string")).collect()}
     assert (got["cp1251"].all_share, got["cp1252"].all_share, got["cp1252"].signal_share) == (1.0, 0.5, 0.0)
     assert len(got) == len(atoms.ENCODINGS)
