@@ -305,8 +305,28 @@ def _bits(words: np.ndarray) -> np.ndarray:
     return np.unpackbits(np.ascontiguousarray(words).view(np.uint8), axis=1)
 
 
-def _wide_walk(order: np.ndarray, run: int):
-    """Links of whole cells (cell, id, f0 to f3): a, b, bits that differ; 0 for what SURE links join, by way of the root."""
+def spanning_forest(n: int, a: np.ndarray, b: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Links a-b of n nodes that make a minimum spanning forest, by Boruvka's rounds; ties go to the earlier link."""
+    order = np.argsort(weight, kind="stable")
+    left, label, chosen = order, np.arange(n), []
+    while True:
+        left = left[label[a[left]] != label[b[left]]]
+        if not len(left):
+            return np.concatenate([np.zeros(0, np.int64), *chosen])
+        best = np.full(n, len(left))
+        for end in (a, b):
+            np.minimum.at(best, label[end[left]], np.arange(len(left)))
+        picked = left[np.unique(best[best < len(left)])]
+        chosen.append(picked)
+        label = spanning(n, label[a[picked]], label[b[picked]])[label]
+
+
+def _wide_walk(order: np.ndarray, run: int, sure: bool):
+    """Links of whole cells (cell, block, id, root, f0 to f3): a, b.
+
+    sure: what SURE links join, each with the first of its group. Else closest links between groups of different root
+    that are within WIDE_BUDGET: those of a minimum spanning forest.
+    """
     budget = int(np.ceil(WIDE_BUDGET / WIDE * 64 + 3 * np.sqrt(64 * 0.15 * 0.85)))
 
     def walk(t: pa.Table) -> pa.Table:
@@ -342,31 +362,34 @@ def _wide_walk(order: np.ndarray, run: int):
             left.append(sub[i])
             right.append(sub[j])
         i, j = np.concatenate([none, *left]), np.concatenate([none, *right])
-        far = np.bitwise_count(words[i] ^ words[j]).sum(axis=1) if len(i) else none
-        sure = far <= SURE
-        root = spanning(len(own), i[sure], j[sure])
-        joined = np.flatnonzero(root != np.arange(len(own)))
-        rest = ~sure & (far <= WIDE_BUDGET) & (root[i] != root[j]) if len(i) else np.zeros(0, bool)
-        i, j, far = i[rest], j[rest], far[rest]
-        # Of the links between two joined groups, the closest.
-        a, b = np.minimum(root[i], root[j]), np.maximum(root[i], root[j])
-        by = np.lexsort((far, b, a))
-        first = by[np.concatenate([[True], (a[by][1:] != a[by][:-1]) | (b[by][1:] != b[by][:-1])])] if len(by) else by
-        return pa.table({"a": np.concatenate([own[joined], own[i[first]]]), "b": np.concatenate([own[root[joined]], own[j[first]]]), "far": np.concatenate([np.zeros(len(joined), np.int32), far[first].astype(np.int32)])})
+        far = np.bitwise_count(words[i] ^ words[j]).sum(axis=1).astype(np.int64) if len(i) else none
+        if sure:
+            near = far <= SURE
+            root = spanning(len(own), i[near], j[near])
+            joined = np.flatnonzero(root != np.arange(len(own)))
+            return pa.table({"a": own[joined], "b": own[root[joined]]})
+        group = t.column("root").to_numpy()[place]
+        # Groups of each cell apart.
+        _, group = np.unique(np.column_stack([np.cumsum(np.isin(np.arange(len(cell)), starts)), group]), axis=0, return_inverse=True)
+        group = group.ravel()
+        open_ = np.flatnonzero((far <= WIDE_BUDGET) & (group[i] != group[j])) if len(i) else none
+        i, j = i[open_], j[open_]
+        best = spanning_forest(len(own), group[i], group[j], far[open_])
+        return pa.table({"a": own[i[best]], "b": own[j[best]]})
 
     return walk
 
 
 def wide_cells(unique: DataFrame, tries: int, run: int) -> DataFrame:
-    """cell (trie and run) of every fingerprint (id, f0 to f3) in every trie."""
+    """cell (trie and run) of every fingerprint (id, root, f0 to f3) in every trie."""
     order = orders(tries, run)
-    names = ["id", *(f"f{k}" for k in range(WIDE // 64))]
+    names = ["id", "root", *(f"f{k}" for k in range(WIDE // 64))]
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            bits = _bits(np.column_stack([batch.column(k).to_numpy() for k in range(1, len(names))]))
+            bits = _bits(np.column_stack([batch.column(k).to_numpy() for k in range(2, len(names))]))
             for t in range(tries):
                 top = np.zeros((len(bits), 8), np.uint8)
                 packed = np.packbits(bits[:, order[t, :run]], axis=1)
@@ -377,36 +400,47 @@ def wide_cells(unique: DataFrame, tries: int, run: int) -> DataFrame:
     return unique.select(*names).mapInArrow(deal, "cell long, " + ", ".join(f"{n} long" for n in names))
 
 
-def wide_links(unique: DataFrame) -> DataFrame:
-    """Links (a, b, far) of the fingerprints in unique(id, f0 to f3); far 0 joins, others are the closest of two joined groups."""
+def wide_links(unique: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of the fingerprints in unique(id, f0 to f3): groups (node, root) that SURE links join, and links (a, b) between groups.
+
+    A cell of more than WIDE_CELL fingerprints (by a count of some of them) is dealt into blocks. One fingerprint of each group that
+    they join goes on to be dealt again, until the cell is small or nothing new is joined.
+    """
     tries, run = runs_for(unique.count())
-    schema = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType()), T.StructField("far", T.IntegerType())])
-    walk = _wide_walk(orders(tries, run), run)
+    order = orders(tries, run)
+    pair = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
 
     def large(rows: DataFrame) -> DataFrame:
         some = wide_cells(rows.where(F.pmod(F.xxhash64("id"), F.lit(COUNTED)) == 0), tries, run)
         n = some.groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") * COUNTED > WIDE_CELL)
         return materialize(n.select("cell", F.ceil(F.col("n") * COUNTED / WIDE_CELL).alias("blocks")))
 
-    def walked(cells: DataFrame, big: DataFrame, within: bool) -> DataFrame:
-        cells = cells.join(big, "cell", "inner" if within else "left")
-        cells = cells.withColumn("block", F.pmod(F.xxhash64("id", F.lit(1)), F.coalesce("blocks", F.lit(1))).cast("int")).drop("blocks")
-        return materialize(map_groups(cells.select("cell", "block", *[c for c in cells.columns if c not in ("cell", "block")]), ["cell", "block"], [], schema, walk))
-
-    big = large(unique)
-    found = walked(wide_cells(unique, tries, run), big, False)
-    n = unique.count()
-    while not big.isEmpty():
-        # One fingerprint of each joined group goes on; the last round is the one that joins nothing new.
-        joined = materialize(connected_components(found.where("far = 0").select("a", "b"))).where("node <> root")
-        left = materialize(unique.join(joined.select(F.col("node").alias("id")), "id", "left_anti"))
+    def walked(cells: DataFrame, big: DataFrame, sure: bool) -> DataFrame:
+        block = F.pmod(F.xxhash64("id", F.lit(1)), F.coalesce("blocks", F.lit(1))).cast("int").alias("block")
+        cells = cells.join(big, "cell", "left").select("cell", block, *cells.columns[1:])
+        return materialize(map_groups(cells, ["cell", "block"], [], pair, _wide_walk(order, run, sure)))
+
+    rows = unique.withColumn("root", F.col("id"))
+    big, n, found = large(rows), rows.count(), None
+    cells, first = wide_cells(rows, tries, run), big
+    while True:
+        more = walked(cells, big, True)
+        found = more if found is None else found.unionByName(more)
+        roots = materialize(connected_components(found))
+        if big.isEmpty():
+            break
+        left = materialize(rows.join(roots.where("node <> root").select(F.col("node").alias("id")), "id", "left_anti"))
         m = left.count()
         if m == n:
             break
-        n, before = m, big
-        big = large(left)
-        found = found.unionByName(walked(wide_cells(left, tries, run).join(before.select("cell"), "cell", "left_semi"), big, False))
-    return found
+        cells = wide_cells(left, tries, run).join(big.select("cell"), "cell", "left_semi")
+        n, big = m, large(left)
+    rows = materialize(unique.join(roots.select(F.col("node").alias("id"), "root"), "id", "left").withColumn("root", F.coalesce("root", "id")))
+    between = walked(wide_cells(rows, tries, run), first, False)
+    if not first.isEmpty():
+        heads = wide_cells(rows.where("id = root"), tries, run).join(first.select("cell"), "cell", "left_semi")
+        between = between.unionByName(walked(heads, big, False))
+    return roots, between
 
 
 def similar(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -435,18 +469,15 @@ def groups(docs: DataFrame) -> DataFrame:
     names = [f"f{k}" for k in range(WIDE // 64)]
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("key")))
     unique = materialize(fps.groupBy(*names).agg(first.alias("rep")).withColumn("id", F.monotonically_increasing_id()))
-    links = materialize(wide_links(unique.select("id", *names)))
-    sure = links.where("far = 0").select("a", "b")
-    root = materialize(connected_components(sure))
-    between = links.where("far > 0")
+    root, between = wide_links(unique.select("id", *names))
     for side in ("a", "b"):
         between = between.join(root.select(F.col("node").alias(side), F.col("root").alias(f"root_{side}")), side, "left").withColumn(f"root_{side}", F.coalesce(f"root_{side}", side))
-    between = between.withColumn("lo", F.least("root_a", "root_b")).withColumn("hi", F.greatest("root_a", "root_b")).where("lo < hi")
-    between = materialize(between.groupBy("lo", "hi").agg(F.min(F.struct("far", "a", "b")).alias("x")).select("lo", "hi", "x.a", "x.b"))
+    between = between.select("a", "b", F.least("root_a", "root_b").alias("lo"), F.greatest("root_a", "root_b").alias("hi"))
+    between = materialize(between.dropDuplicates(["a", "b"]))
     ends = between.select(F.col("a").alias("id")).union(between.select(F.col("b").alias("id"))).distinct()
     nodes = materialize(unique.join(ends, "id").select("id", "rep.doc_id", "rep.key"))
-    more = similar(docs, nodes, between).select("lo", "hi")
-    root = materialize(connected_components(sure.union(more)))
+    more = similar(docs, nodes, between).select(F.col("lo").alias("a"), F.col("hi").alias("b"))
+    root = materialize(connected_components(root.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more)))
     owner = unique.join(root.select(F.col("node").alias("id"), "root"), "id", "left").select(*names, "rep", F.coalesce("root", "id").alias("root"))
     best = materialize(owner.groupBy("root").agg(F.min("rep").alias("best")))
     owner = materialize(owner.join(best, "root").select(*names, "best"))

@@ -106,6 +106,21 @@ def test_rows_and_columns(spark):
     assert simhash.deduplicated(docs.limit(0)).count() == 0
 
 
+def test_spanning_forest():
+    rng = np.random.default_rng(1)
+    for _ in range(50):
+        n, m = int(rng.integers(1, 30)), int(rng.integers(0, 80))
+        a, b, weight = rng.integers(0, n, m), rng.integers(0, n, m), rng.integers(0, 9, m)
+        got = simhash.spanning_forest(n, a, b, weight)
+        label, want = list(range(n)), 0  # Kruskal
+        for k in sorted(range(m), key=lambda k: weight[k]):
+            x, y = label[a[k]], label[b[k]]
+            if x != y:
+                want += weight[k]
+                label = [x if v == y else v for v in label]
+        assert weight[got].sum() == want and len(got) == n - len(set(label)) and len(set(got)) == len(got)
+
+
 def test_wide_fingerprint_by_hand():
     words = simhash._Words()
     hashes = simhash.shingles("a b c d e f", words)
