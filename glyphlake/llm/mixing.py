@@ -33,7 +33,7 @@ ALPHA, BLOCK_SIZE, MOST_BLOCKS = 0.5, 1 << 16, 1 << 18
 #: Documents in one group of the two-level running sum.
 GROUP_ROWS = 500
 #: Size of a file that `mixed_order` writes, one block at least.
-FILE_SIZE = 32 << 20
+FILE_SIZE = 16 << 20
 
 Source = str | None
 
