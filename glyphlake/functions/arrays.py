@@ -5,23 +5,25 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 
+def bound(value, function) -> F.Column:
+    """function(value), with value made once: expressions of arrays are not shared where they are used more than once."""
+    return F.get(F.transform(F.array(value), function), F.lit(0))
+
+
 def before(values, zero, join) -> F.Column:
     """For each value what join makes of zero and those before it (longs).
 
     In two levels of about the square root of the length, as an array that grows is copied at each step.
     """
-    width = F.ceil(F.sqrt(F.size(values).cast("double"))).cast("int")
 
     def run(part, start):
         first = F.struct(start.alias("at"), F.array().cast("array<bigint>").alias("out"))
         return F.aggregate(part, first, lambda a, v: F.struct(join(a["at"], v).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out")), lambda a: a["out"])
 
-    parts = F.transform(F.sequence(F.lit(0), F.ceil(F.size(values) / width).cast("int") - 1), lambda k: F.slice(values, k * width + 1, width))
-    heads = run(F.transform(parts, lambda part: F.aggregate(part, zero, join)), zero)
-    found = F.flatten(F.zip_with(parts, heads, run))
-    return F.when(F.size(values) > 0, found).otherwise(F.array().cast("array<bigint>"))
+    def of(v):
+        width = F.ceil(F.sqrt(F.size(v).cast("double"))).cast("int")
+        parts = F.transform(F.sequence(F.lit(0), F.ceil(F.size(v) / width).cast("int") - 1), lambda k: F.slice(v, k * width + 1, width))
+        sums = lambda p: F.zip_with(p, run(F.transform(p, lambda part: F.aggregate(part, zero, join)), zero), run)
+        return F.when(F.size(v) > 0, F.flatten(bound(parts, sums))).otherwise(F.array().cast("array<bigint>"))
 
-
-def bound(value, function) -> F.Column:
-    """function(value), with value made once."""
-    return F.get(F.transform(F.array(value), function), F.lit(0))
+    return bound(values, of)

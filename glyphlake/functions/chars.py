@@ -9,6 +9,8 @@ IGNORABLE = r"\x{00AD}\x{034F}\x{115F}\x{1160}\x{17B4}\x{17B5}\x{180B}-\x{180F}\
 SPACES = r"\x{00A0}\x{1680}\x{180E}\x{2000}-\x{200A}\x{202F}\x{205F}\x{3000}"
 NONCHARACTERS = r"\x{FDD0}-\x{FDEF}" + "".join(rf"\x{{{p:X}FFFE}}\x{{{p:X}FFFF}}" if p else r"\x{FFFE}\x{FFFF}" for p in range(17))
 INVISIBLE = BIDI + JOIN + TAGS + SELECTORS + IGNORABLE
+#: Invisible characters that no script needs between letters; joiners are in order inside complex scripts.
+SMUGGLED = BIDI + TAGS + SELECTORS + IGNORABLE
 PICTOGRAPHS = r"\x{1F300}-\x{1F64F}\x{1F680}-\x{1F6FF}\x{1F900}-\x{1F9FF}\x{2600}-\x{27BF}"
 REGIONAL = r"\x{1F1E6}-\x{1F1FF}"
 SKIN = r"\x{1F3FB}-\x{1F3FF}"
@@ -56,6 +58,8 @@ SEQUENCES = {
     "forced_emoji_presentation": r"[0-9#*\x{00A9}\x{00AE}\x{2190}-\x{27BF}]\x{FE0F}",
     "standalone_component": rf"(?:^|[\s])[{SKIN}\x{{200D}}]",
     "vs_cluster": f"[{SELECTORS}]{{2,}}",
+    "vs_flood": f"[{SELECTORS}]{{5,}}",
+    "vs_bare": rf"(?:^|[\s])[{SELECTORS}]",
     "vs_on_syntax": r"[!-/:-@\[-\x{0060}\x{007B}-~][\x{FE00}-\x{FE0F}]",
     "repeated_mark": r"\p{M}{3,}",
     "invisible_run": f"[{INVISIBLE}]{{4,}}",

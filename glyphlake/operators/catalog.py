@@ -6,9 +6,18 @@ from glyphlake.functions import chars
 
 #: Words that lure, commands that inject, and markup that executes.
 LURES = r"(?i)(?:^|[^\p{L}\p{N}_])(?:login|password|verify|account|secure|update|bank|signin)(?:[^\p{L}\p{N}_]|\z)|//"
-INJECTIONS = r"(?i)ignore (?:all |any )?previous instructions|disregard the above|system prompt|you are now|\x{001B}\["
+INJECTIONS = r"(?i)(?:ignore|disregard|forget) (?:all |any |the )?(?:previous|prior|above|earlier) (?:instructions|rules|messages)|disregard the above|system prompt|prompt override|you are now|(?:search|look) for [^\x{000A}]{1,80} and (?:send|post|forward) (?:it |them )?to|\x{001B}\[|[\x{E0000}-\x{E007F}]"
 WAF = r"(?i)<script|javascript:|onerror\s*=|union\s+select|or\s+1=1|\.\./|/etc/passwd"
 
+#: ASCII punctuation and symbols, as patterns.
+ASCII_SYMBOLS = [rf"\x{{{p:04X}}}" for p in (*range(0x21, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x5F), 0x60, *range(0x7B, 0x7F))]
+#: Alphabets that stand in for ASCII letters, by their ranges.
+ALPHABETS = {
+    "math": r"\x{1D400}-\x{1D7FF}", "math_bold": r"\x{1D400}-\x{1D433}", "math_italic": r"\x{1D434}-\x{1D467}", "math_script": r"\x{1D49C}-\x{1D503}", "math_fraktur": r"\x{1D504}-\x{1D537}\x{1D56C}-\x{1D59F}",
+    "math_double": r"\x{1D538}-\x{1D56B}", "math_sans": r"\x{1D5A0}-\x{1D66F}", "math_mono": r"\x{1D670}-\x{1D6A3}", "math_greek": r"\x{1D6A8}-\x{1D7CB}", "math_digits": r"\x{1D7CE}-\x{1D7FF}",
+    "enclosed": r"\x{2460}-\x{24FF}", "enclosed_supplement": r"\x{1F100}-\x{1F1E5}", "letterlike": r"\x{2100}-\x{214F}", "number_forms": r"\x{2150}-\x{218F}", "superscripts": r"\x{2070}-\x{209F}", "phonetic": r"\x{1D00}-\x{1DBF}", "ipa": r"\x{0250}-\x{02AF}", "modifiers": r"\x{02B0}-\x{02FF}",
+    "fullwidth": r"\x{FF21}-\x{FF5A}", "halfwidth": r"\x{FF61}-\x{FFDC}", "braille": r"\x{2800}-\x{28FF}", "cherokee": r"\x{13A0}-\x{13FF}\x{AB70}-\x{ABBF}", "regional": r"\x{1F1E6}-\x{1F1FF}", "tags": chars.TAGS,
+}
 #: An agent between two letters that parts a token: invisibles, tags, joiners and emoji; punctuation is none.
 FRACTURE = "[A-Za-z][" + chars.INVISIBLE + chars.PICTOGRAPHS + "]+[A-Za-z]"
 
@@ -40,14 +49,14 @@ CATALOG: dict[str, str] = {
     "atoms_utf16_units": _doc("CAST(length(text) + @count{[\\x{10000}-\\x{10FFFF}]} AS BIGINT) AS units, @count{[\\x{10000}-\\x{10FFFF}]} AS surrogate_overhead"),
     "atoms_encoding_stack": _doc("CAST(length(text) AS BIGINT) AS scalars, CAST(length(text) + @count{[\\x{10000}-\\x{10FFFF}]} AS BIGINT) AS utf16, @bytes AS utf8"),
     "atoms_find_first": _doc("CAST(instr(text, ' ') - 1 AS BIGINT) AS first_space, CAST(instr(text, 'а') - 1 AS BIGINT) AS first_cyrillic_a"),
-    "atoms_word_sentence_counts": _doc("@count{[\\p{L}\\p{N}_]+} AS words, @count{[.!?]+(?:[\\s\\x{00A0}]|\\z)} AS sentences"),
+    "atoms_word_sentence_counts": _doc("CASE WHEN text IS NULL THEN -1 ELSE @count{[\\p{L}\\p{N}_]+} END AS words, CASE WHEN text IS NULL THEN -1 ELSE @count{[.!?]+(?:[\\s\\x{00A0}]|\\z)} END AS sentences"),
     # profile
-    "profile_core_counts": _doc("CAST(length(text) AS BIGINT) AS codepoints, @count{[\\s\\x{00A0}\\x{0085}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]} AS whitespace, @count{\\p{M}} AS marks"),
+    "profile_core_counts": _doc("CAST(length(text) AS BIGINT) AS codepoints, @graphemes AS graphemes, @count{[\\s\\x{00A0}\\x{0085}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]} AS whitespace, @count{\\p{M}} AS marks, @count{[" + chars.PICTOGRAPHS + "]} AS emoji"),
     "profile_utf8": _doc("@bytes AS bytes, CASE WHEN length(text) > 0 THEN @bytes / CAST(length(text) AS DOUBLE) ELSE 0.0 END AS byte_density, " + _share("[\\x{0000}-\\x{007F}]") + " AS ascii_share"),
-    "profile_mark_density": _doc("@count{\\p{M}} AS marks, " + _share("\\p{M}") + " AS mark_share, CASE WHEN @count{\\p{M}} = 0 THEN 'LOW' WHEN @count{\\p{M}} * 10 < length(text) THEN 'MED' ELSE 'HIGH' END AS verdict"),
+    "profile_mark_density": "SELECT doc_id, marks, mark_share, CASE WHEN graphemes > 0 THEN marks / CAST(graphemes AS DOUBLE) ELSE 0.0 END AS density, CASE WHEN marks = 0 THEN 'LOW' WHEN marks * 10 < graphemes THEN 'MED' ELSE 'HIGH' END AS verdict FROM (SELECT doc_id, @count{\\p{M}} AS marks, @graphemes AS graphemes, " + _share("\\p{M}") + " AS mark_share FROM pdocs)",
     "profile_major_category": _rest(", ".join(f"{_ADDED.get(c, '')}@count{{\\p{{{c}}}}} AS gc_{c.lower()}" for c in "LMNPSZ") + ", @count{[\\p{Cc}\\p{Cf}\\p{Co}]} AS gc_c"),
     "profile_minor_category": _rest(", ".join(f"{_ADDED.get(c, '')}@count{{\\p{{{c}}}}} AS gc_{c.lower()}" for c in ("Lu", "Ll", "Lt", "Lm", "Lo", "Mn", "Mc", "Me", "Nd", "Nl", "No", "Pc", "Pd", "Ps", "Pe", "Pi", "Pf", "Po", "Sm", "Sc", "Sk", "So", "Zs", "Zl", "Zp", "Cc", "Cf", "Co"))),
-    "profile_repertoire": _doc("@count{[\\x{0000}-\\x{007F}]} AS ascii, @count{[\\x{0000}-\\x{00FF}]} AS latin1, @count{[\\x{0000}-\\x{FFFF}]} AS bmp, @count{[\\x{10000}-\\x{10FFFF}]} AS supplementary, CAST(length(text) AS BIGINT) AS total"),
+    "profile_repertoire": "SELECT doc_id, ascii, latin1, bmp, supplementary, total, CASE WHEN total > 0 THEN 100.0D * ascii / total ELSE 0.0D END AS ascii_pct, CASE WHEN total > 0 THEN 100.0D * latin1 / total ELSE 0.0D END AS latin1_pct, CASE WHEN total > 0 THEN 100.0D * bmp / total ELSE 0.0D END AS bmp_pct, CASE WHEN total = 0 THEN 'Empty' WHEN ascii = total THEN 'Fully ASCII' WHEN latin1 = total THEN 'Fully Latin-1' WHEN bmp = total THEN 'Fully BMP' ELSE 'Supplementary' END AS fully FROM (SELECT doc_id, @count{[\\x{0000}-\\x{007F}]} AS ascii, @count{[\\x{0000}-\\x{00FF}]} AS latin1, @count{[\\x{0000}-\\x{FFFF}]} AS bmp, @count{[\\x{10000}-\\x{10FFFF}]} AS supplementary, CAST(length(text) AS BIGINT) AS total FROM pdocs)",
     "profile_volumetrics": _doc("@count{[\\p{L}\\p{N}]} / 5.0D AS units, @count{[\\p{L}\\p{N}]} / 100.0D AS blocks, @count{[.!?]+(?:[\\s\\x{00A0}]|\\z)} AS sentences"),
     "profile_tiers": _doc("CASE WHEN @has{[\\x{2E00}-\\x{2E7F}\\x{3000}-\\x{303F}]} THEN 'EXOTIC' WHEN @has{[\\x{2010}-\\x{203A}\\x{00AB}\\x{00BB}]} THEN 'TYPOGRAPHIC' ELSE 'ASCII' END AS delimiter_tier, CASE WHEN @has{[\\x{2190}-\\x{2BFF}]} THEN 'EXOTIC' WHEN @has{[\\x{00A1}-\\x{00BF}]} THEN 'EXTENDED' ELSE 'KEYBOARD' END AS symbol_tier"),
     "profile_frequency_fingerprint": _doc(", ".join(f"{_share(p)} AS {n}" for n, p in (("letters", "\\p{L}"), ("numbers", "\\p{N}"), ("symbols", "[\\p{P}\\p{S}]"), ("whitespace", "[\\s\\x{00A0}]")))),
@@ -58,7 +67,7 @@ CATALOG: dict[str, str] = {
     "shape_script_runs": _doc("@count{\\p{Latin}+} AS latin, @count{\\p{Cyrillic}+} AS cyrillic, @count{\\p{Greek}+} AS greek, @count{\\p{Arabic}+} AS arabic, @count{\\p{Han}+} AS han"),
     "shape_line_endings": _doc("@count{\\x{000D}\\x{000A}} AS crlf, @count{\\x{000A}} AS lf, @count{\\x{000D}} AS cr, (@has{ } AND @has{\\x{00A0}}) AS mixed_spaces"),
     "shape_whitespace_runs": "SELECT doc_id, CAST(count(r) AS BIGINT) AS runs, CAST(coalesce(max(length(r)), 0) AS BIGINT) AS longest, avg(length(r)) AS mean, stddev_pop(length(r)) / avg(length(r)) AS cv FROM (SELECT doc_id, @outer{@all{[\\s\\x{00A0}]+}} AS r FROM pdocs) GROUP BY doc_id",
-    "shape_smuggler": _doc("@count{\\p{L}[" + chars.INVISIBLE + "]\\p{L}} AS hits"),
+    "shape_smuggler": _doc("@count{\\p{L}[" + chars.SMUGGLED + "]\\p{L}|[\\p{Latin}\\p{Cyrillic}\\p{Greek}][" + chars.JOIN + "][\\p{Latin}\\p{Cyrillic}\\p{Greek}]} AS hits"),
     "shape_geometric_drift": _doc("@count{[A-Za-z][\\x{FF21}-\\x{FF5A}]|[\\x{FF21}-\\x{FF5A}][A-Za-z]} AS hits"),
     "shape_rhythm": _doc("@count{\\p{L}[\\p{N}\\p{S}]|[\\p{N}\\p{S}]\\p{L}} AS transitions"),
     # integrity
@@ -90,9 +99,9 @@ CATALOG: dict[str, str] = {
     "token_skeleton_collisions": "SELECT skeleton, CAST(count(DISTINCT tok) AS BIGINT) AS forms, CAST(count(*) AS BIGINT) AS n FROM (SELECT tok, lower(translate(tok, 'аеорсх', 'aeopcx')) AS skeleton FROM (SELECT explode(@all{[\\p{L}]+}) AS tok FROM pdocs)) GROUP BY skeleton HAVING count(DISTINCT tok) > 1",
     "token_pseudo_delimiters": _doc("@count{[\\x{2024}\\x{FE52}\\x{FF0E}\\x{3002}]} AS dots, @count{[\\x{2044}\\x{2215}\\x{29F8}\\x{FF0F}]} AS slashes"),
     "token_extensions": _doc("@count{(?i)\\.(?:pdf|doc|jpg|txt)\\.(?:exe|bat|scr|js)} AS double_extension, @count{\\x{202E}[^ ]*\\.[A-Za-z]+} AS rtlo, @count{[\\x{2800}\\x{3164}\\x{00A0}]\\.[A-Za-z]{2,4}} AS masked"),
-    "token_alphabets": _doc("@count{[\\x{1D400}-\\x{1D7FF}]} AS math, @count{[\\x{2460}-\\x{24FF}]} AS enclosed, @count{[\\x{2800}-\\x{28FF}]} AS braille, @count{[" + chars.TAGS + "]} AS tags, @count{[\\x{FF21}-\\x{FF5A}]} AS fullwidth"),
+    "token_alphabets": _doc(", ".join(f"@count{{[{p}]}} AS {n}" for n, p in ALPHABETS.items())),
     "token_punctuation_skew": _doc("@count{[~^_]} AS charged, @count{[.,]} AS grammatical, CASE WHEN @count{[~^_.,]} > 0 AND @count{[~^_]} > 0.7D * @count{[~^_.,]} THEN TRUE ELSE FALSE END AS skewed"),
-    "token_symbol_flood": _doc("(@count{!{9,}} + @count{\\*{9,}} + @count{#{9,}} + @count{\\.{9,}} + @count{-{9,}} + @count{={9,}}) AS floods"),
+    "token_symbol_flood": _doc("(" + " + ".join(f"@count{{{p}{{9,}}}}" for p in ASCII_SYMBOLS) + ") AS floods"),
     "token_lures": _doc(f"@count{{{LURES}}} AS lures, @has{{!\\[[^\\]]*\\]\\(http}} AS image_exfil"),
     "token_injections": _doc(f"@count{{{INJECTIONS}}} AS injections"),
     "token_waf": _doc(f"@count{{{WAF}}} AS hits"),
@@ -107,7 +116,7 @@ CATALOG: dict[str, str] = {
     "stats_benford": "SELECT d, CAST(count(*) AS BIGINT) AS n FROM (SELECT substr(x, 1, 1) AS d FROM (SELECT explode(@all{[1-9][0-9]*}) AS x FROM pdocs)) GROUP BY d",
     "stats_zipf": "SELECT rank, n FROM (SELECT row_number() OVER (ORDER BY count(*) DESC, tok) AS rank, CAST(count(*) AS BIGINT) AS n FROM (SELECT explode(@all{[a-zA-Z]+}) AS tok FROM pdocs) GROUP BY tok) WHERE rank <= 1000",
     "stats_top_tokens": "SELECT lang, tok, n FROM (SELECT lang, tok, n, row_number() OVER (PARTITION BY lang ORDER BY n DESC, tok) AS k FROM (SELECT lang, lower(tok) AS tok, CAST(count(*) AS BIGINT) AS n FROM (SELECT lang, explode(@all{[a-zA-Z]+}) AS tok FROM pdocs) GROUP BY lang, lower(tok))) WHERE k <= 20",
-    "stats_ws_channel": _doc("@count{ } AS sp, @count{\\x{0009}} AS tab, @count{\\x{00A0}} AS nbsp, @count{\\x{200B}} AS zwsp, @count{[ \\x{0009}]\\x{000A}} AS trailing"),
+    "stats_ws_channel": "SELECT doc_id, sp, tab, nbsp, zwsp, ends AS trailing, CASE WHEN length > 0 THEN breaks / CAST(length AS DOUBLE) ELSE 0.0 END AS eol_density, CASE WHEN sp + tab + nbsp + zwsp > 0 THEN 0.0 - (" + " + ".join(f"CASE WHEN {c} > 0 THEN {c} / CAST(sp + tab + nbsp + zwsp AS DOUBLE) * log2({c} / CAST(sp + tab + nbsp + zwsp AS DOUBLE)) ELSE 0.0 END" for c in ("sp", "tab", "nbsp", "zwsp")) + ") ELSE 0.0 END AS entropy FROM (SELECT doc_id, length(text) AS length, @count{ } AS sp, @count{\\x{0009}} AS tab, @count{\\x{00A0}} AS nbsp, @count{\\x{200B}} AS zwsp, @count{[ \\x{0009}]\\x{000A}} AS ends, @count{\\x{000A}} AS breaks FROM pdocs)",
     "stats_stylometry": _doc("CASE WHEN @count{[\\p{L}\\p{N}]+} > 0 THEN @count{[\\p{L}\\p{N}]} / CAST(@count{[\\p{L}\\p{N}]+} AS DOUBLE) ELSE 0.0 END AS word_length, " + _share("\\p{P}") + " AS punctuation"),
     # lenses
     "lens_filesystem": _doc("@count{[\\x{0000}/\\\\]} AS critical, @count{[<>:|?*]} AS reserved, @has{(?i)(?:^|[^\\p{L}\\p{N}_])(?:CON|PRN|AUX|NUL|COM[1-9]|LPT[1-9])(?:[^\\p{L}\\p{N}_]|\\z)} AS reserved_name, @has{[. ]\\z} AS trailing"),
@@ -115,7 +124,7 @@ CATALOG: dict[str, str] = {
     "lens_restriction_level": _doc("CASE WHEN NOT @has{[^\\x{0000}-\\x{007F}]} THEN 'ASCII' WHEN NOT @has{\\p{Cyrillic}|\\p{Greek}} THEN 'Single' WHEN @has{\\p{Latin}} THEN 'Moderate' ELSE 'Single' END AS level"),
     "lens_domains": "SELECT host, CAST(count(*) AS BIGINT) AS n, max(CASE WHEN host LIKE '%xn--%' THEN 1 ELSE 0 END) AS punycode FROM (SELECT regexp_extract(url, @rx{^[a-z]+://([^/?#]+)}, 1) AS host FROM pages) GROUP BY host",
     # remediation
-    "remedy_strict": _doc("@del{[" + chars.INVISIBLE + chars.SPACES + "\\x{E000}-\\x{F8FF}]} AS clean"),
+    "remedy_middle_dot": _doc("replace(text, ' ', '·') AS revealed"),
     "remedy_smart": _doc("@del{[" + chars.BIDI + chars.TAGS + chars.IGNORABLE + "]} AS clean"),
     "remedy_skeleton": _doc("translate(@del{[" + chars.INVISIBLE + "]}, 'аеорсх ', 'aeopcx ') AS skeleton"),
     "remedy_drift": _doc("CAST(@count{[\\x{0430}\\x{0435}\\x{043E}\\x{0440}\\x{0441}\\x{0445}]} AS BIGINT) AS visual, @count{[" + chars.INVISIBLE + "]} AS structure, @count{[" + chars.SPACES + "]} AS format, CASE WHEN @has{[\\x{0430}\\x{0435}\\x{043E}\\x{0440}\\x{0441}\\x{0445}]} THEN 'CRITICAL' WHEN @has{[" + chars.INVISIBLE + "]} THEN 'HIGH' WHEN @has{[" + chars.SPACES + "]} THEN 'WARN' ELSE 'NONE' END AS drift"),

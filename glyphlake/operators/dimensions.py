@@ -9,12 +9,35 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glyphlake.operators.atoms import codepoints
+from glyphlake.operators.atoms import codepoints, distinct_counts
 from glyphlake.sources import ucd
 
 
 def _counts(docs: DataFrame) -> DataFrame:
-    return codepoints(docs).groupBy("doc_id", "ch").agg(F.count("*").alias("n")).withColumn("cp", F.ascii("ch"))
+    rows = docs.where("text <> ''").select("doc_id", F.explode(distinct_counts()).alias("x"))
+    return rows.select("doc_id", F.col("x.c").alias("ch"), "x.n", F.ascii("x.c").alias("cp"))
+
+
+def runs_by(docs: DataFrame, ranges: DataFrame, value: str, default: str) -> DataFrame:
+    """doc_id, value, runs, longest: runs of neighbours whose ranges have one value (vertical orientation, or any property of a file)."""
+    from pyspark.sql import Window
+
+    rows = ucd.lookup(codepoints(docs).withColumn("cp", F.ascii("ch")), ranges, value, default)
+    w = Window.partitionBy("doc_id").orderBy("idx")
+    rows = rows.withColumn("fresh", (~F.col(value).eqNullSafe(F.lag(value).over(w))).cast("int")).withColumn("run", F.sum("fresh").over(w))
+    lengths = rows.groupBy("doc_id", value, "run").agg(F.count("*").alias("n"))
+    return lengths.groupBy("doc_id", value).agg(F.count("*").alias("runs"), F.max("n").alias("longest"))
+
+
+def with_fallback(points: DataFrame, table: DataFrame, value: str, runtime) -> DataFrame:
+    """points(cp, ...) with the value of table(lo, hi, value) where it has one, else what runtime(ch) says."""
+    found = ucd.lookup(points, table, value)
+    return found.withColumn(value, F.coalesce(value, runtime(F.decode(F.unhex(F.lpad(F.hex("cp"), 8, "0")), "UTF-32"))))
+
+
+def restricted(docs: DataFrame, allowed: DataFrame) -> DataFrame:
+    """doc_id, ch, n of the characters of a text that ranges allowed(lo, hi, status) don't allow: the default is to restrict."""
+    return ucd.lookup(_counts(docs), allowed, "status", "Restricted").where("status <> 'Allowed'").select("doc_id", "ch", "n")
 
 
 def counts_by(docs: DataFrame, ranges: DataFrame, value: str, default: str) -> DataFrame:

@@ -10,8 +10,8 @@ from __future__ import annotations
 import unicodedata
 from collections.abc import Callable, Iterable
 
-from glyphlake.functions import normal, props, reveal
-from glyphlake.operators import atoms, macro
+from glyphlake.functions import chars, normal, props, reveal
+from glyphlake.operators import atoms, macro, profiles
 
 _POINTS = [9, 10, 13, *range(0x20, 0x7F), *range(0xA0, 0x180), *range(0x300, 0x310), *range(0x400, 0x460), *range(0x2000, 0x2070), 0x20AC, *range(0xE0020, 0xE0080)]
 CHARS = [chr(p) for p in _POINTS]
@@ -143,6 +143,19 @@ ORACLES = {
 _PLACES = "p AS (SELECT doc_id, ord(ch) AS cp, ch, i FROM (SELECT doc_id, unnest(string_split(text, '')) AS ch, generate_subscripts(string_split(text, ''), 1) - 1 AS i FROM pdocs WHERE text <> ''))"
 for _name, _of in (("provenance_script_places", lambda c: [(props.script_of(c),)]), ("provenance_script_extensions", lambda c: [(s,) for s in props.extensions_of(c)])):
     ORACLES[_name] = f"WITH {_PLACES}, f(cp, script) AS {table(_of)} SELECT doc_id, script, count(*) AS n, min(i) AS first FROM p JOIN f USING (cp) GROUP BY ALL"
+ORACLES["atlas_components"] = f"""WITH {profiles._G}, p AS (SELECT g, n, unnest(string_split(g, '')) AS c, generate_subscripts(string_split(g, ''), 1) - 1 AS k FROM g WHERE length(g) > 1),
+ f(cp, name, category, bidi, ccc, width, script, mirrored, decomposition, num, nfkc) AS {table(_describe)} SELECT g, n, CAST(k AS INT) AS k, 'U+' || printf('%04X', ord(c)) AS cp, category, CAST(ccc AS INT) AS ccc, name FROM p JOIN f ON ord(c) = f.cp"""
+ORACLES["atoms_encoding_stacks"], ORACLES["token_payload_entropy"] = profiles.ENCODING_STACKS, profiles.PAYLOADS
+STRICT = "[" + chars.INVISIBLE + chars.SPACES + "\\x{E000}-\\x{F8FF}]"
+ORACLES["remedy_strict"] = f"SELECT doc_id, nfc_normalize(regexp_replace(text, '{STRICT}', '', 'g')) AS clean FROM pdocs"
+_NAMED = macro.any_of(tuple(k for k, (severity, _) in chars.FLAGS.items() if severity != "info"))
+ORACLES["macro_snapshot_threats"] = f"""WITH g AS (SELECT doc_id, regexp_extract_all(text, '{macro._GRAPHEME}') AS l FROM pdocs),
+ x AS (SELECT doc_id, len(l) AS t, unnest(l) AS g, generate_subscripts(l, 1) - 1 AS i FROM g WHERE len(l) > 0),
+ y AS (SELECT doc_id, ((i + 1) * least(10, t) - 1) // t AS seg, i, length(g) AS n, len(regexp_extract_all(g, '{_NAMED}')) AS f, len(regexp_extract_all(g, '{macro.any_of(macro.CRITICAL)}')) AS f2 FROM x),
+ z AS (SELECT doc_id, seg, sum(n) AS n, sum(f) AS f, sum(f2) AS f2 FROM y GROUP BY ALL)
+ SELECT doc_id, seg, CAST(sum(n) OVER w - n AS BIGINT) AS cp_start, CAST(sum(n) OVER w AS BIGINT) AS cp_end, CAST(f AS BIGINT) AS threats_all, CAST(f2 AS BIGINT) AS threats_critical FROM z WINDOW w AS (PARTITION BY doc_id ORDER BY seg)"""
+ORACLES["report_segments_json"] = f"""WITH {macro.SQL_METRICS} SELECT doc_id, CAST(to_json(list({{'segment_id': concat(seg + 1, ' / ', n_seg), 'start_grapheme_index': start, 'end_grapheme_index': "end",
+ 'metrics': {{'volume': volume, 'content_volume': content_volume, 'run_count': run_count, 'max_run': CAST(max_run AS BIGINT), 'space_runs': space_runs, 'line_breaks': line_breaks, 'bidi_atoms': bidi_atoms, 'join_atoms': join_atoms, 'other_invisibles': other_invisibles, 'threats_all': threats_all, 'threats_critical': threats_critical}}}} ORDER BY seg)) AS VARCHAR) AS report FROM m GROUP BY doc_id"""
 ORACLES["remedy_reveal"] = f"WITH {_PLACES}, f(cp, mark) AS (VALUES {', '.join(f'({ord(c)}, {quoted(m)})' for c, m in reveal.marks().items())}) SELECT doc_id, coalesce(string_agg(coalesce(mark, ch), '' ORDER BY i), '') AS revealed FROM pdocs LEFT JOIN p USING (doc_id) LEFT JOIN f USING (cp) GROUP BY doc_id"
 
 # Views that hold what the documents don't, and what is expected of them.
@@ -173,6 +186,7 @@ ORACLES["emoji_forms"] = (
     "WITH e(k, seq, kind, parts, points, bytes, qualification, diagnosis, forced_text) AS (VALUES " + ", ".join(f"({i}, {', '.join(map(quoted, e))})" for i, e in enumerate(EMOJI)) + ")"
     " SELECT doc_id, seq, kind, parts, CAST(points AS BIGINT) AS points, CAST(bytes AS BIGINT) AS bytes, qualification, diagnosis, forced_text, CAST(1 AS BIGINT) AS n FROM documents JOIN e ON doc_id % 7 = k"
 )
+ORACLES["profile_partition"] = "SELECT doc_id, CAST(len(regexp_extract_all(text, '\\p{S}')) AS BIGINT) AS text_symbols, CAST(CASE WHEN doc_id % 7 = 3 THEN 1 ELSE 0 END AS BIGINT) AS hybrids, CAST(CASE WHEN doc_id % 7 = 3 THEN 0 ELSE 1 END AS BIGINT) AS emoji FROM documents"
 #: Documents (without ampersands, which could start an entity) in one layer: blanks as in URLs, entities, escapes, or all of it in Base64.
 LAYERED = """CASE doc_id % 4 WHEN 0 THEN replace(replace(text, '%', '%25'), ' ', '%20') WHEN 1 THEN replace(text, 'a', '&#97;') WHEN 2 THEN replace(text, 'e', '\\u0065') ELSE {b} END"""
 ORACLES["sequential_deobfuscate"] = "SELECT doc_id, CASE WHEN doc_id % 4 = 3 THEN replace(text, chr(10), ' ') ELSE text END AS plain, CASE WHEN doc_id % 4 = 0 AND regexp_matches(text, '[ %]') THEN 'url' WHEN doc_id % 4 = 1 AND text LIKE '%a%' THEN 'html' WHEN doc_id % 4 = 2 AND text LIKE '%e%' THEN 'escape' WHEN doc_id % 4 = 3 AND strlen(text) > 12 THEN 'base64' ELSE '' END AS layers FROM (SELECT doc_id, replace(text, '&', '+') AS text FROM documents)"

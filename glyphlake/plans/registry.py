@@ -9,9 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glyphlake.functions import normal, reveal
-from glyphlake.operators import atoms, catalog, macro, measures, ordered, pairs, properties, structure
+from glyphlake.operators import atoms, catalog, macro, measures, ordered, pairs, profiles, properties, structure
 from glyphlake.plans import oracles
 from glyphlake.plans.template import oracle, spark_query
+from glyphlake.sources import snapshot
 from glyphlake.sources.tables import PERTURBED, perturbed, read
 from glyphlake.streaming import stream
 
@@ -220,9 +221,27 @@ def lens_punycode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hosts.groupBy("host").agg(F.count("*").alias("n")).withColumn("decoded", normal.punycode("host"))
 
 
-PROPERTIES = {f.__name__: f for f in (states_forms, pairs_audit, html_ghost_text, lens_punycode, sequential_type_drift, emoji_forms)}
+def snapshots(docs: DataFrame) -> DataFrame:
+    """Snapshots of texts: graphemes, their lengths, and the flags that name a problem with their places."""
+    named = {"bidi_control": snapshot.CRITICAL[0], "join_control": snapshot.CRITICAL[1]}
+    flags = atoms.flag_positions(docs).withColumn("flag", F.coalesce(*[F.when(F.col("flag") == k, v) for k, v in named.items()], F.col("flag")))
+    flags = flags.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("flag", F.struct(F.col("n").cast("int").alias("count"), F.split("positions", ",").alias("positions"))))).alias("forensic_flags"))
+    g = F.regexp_extract_all("text", F.lit(r"(\X)"), F.lit(1))
+    rows = docs.where("text <> ''").select("doc_id", g.alias("grapheme_list")).withColumn("grapheme_lengths_codepoints", F.transform("grapheme_list", lambda x: F.length(x)))
+    return rows.join(flags, "doc_id", "left")
+
+
+def profile_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that a form of emoji was added to."""
+    return profiles.partition(read(spark, sf_dir, "documents").selectExpr("doc_id", f"{oracles.ADD_EMOJI} AS text"))
+
+
+PROPERTIES = {f.__name__: f for f in (states_forms, pairs_audit, html_ghost_text, lens_punycode, sequential_type_drift, emoji_forms, profile_partition)}
 PROPERTIES |= {
     "profile_encoding_evidence": _of_pdocs(lambda d: atoms.encoding_evidence(d).withColumn("explained_by", F.array_join("explained_by", ","))),
+    "atoms_encoding_stacks": _of_pdocs(profiles.encoding_stacks), "atlas_components": _of_pdocs(profiles.components), "token_payload_entropy": _of_pdocs(profiles.payloads),
+    "remedy_strict": _of_pdocs(lambda d: profiles.sanitized(d, oracles.STRICT)), "macro_snapshot_threats": _of_pdocs(lambda d: snapshot.segment_threats(snapshots(d))),
+    "report_segments_json": _of_pdocs(lambda d: snapshot.segments_json(macro.metrics(macro.segments(d)))),
     "remedy_reveal": _of_pdocs(lambda d: d.select("doc_id", F.coalesce(reveal.revealed(), F.lit("")).alias("revealed"))),
     "provenance_script_places": _of_pdocs(properties.script_places), "provenance_script_extensions": _of_pdocs(lambda d: properties.script_places(d, True)),
     "atoms_codepoint_counts": _of_pdocs(atoms.codepoint_counts), "stats_char_entropy": _of_pdocs(atoms.char_entropy),

@@ -1,7 +1,7 @@
 """One text for Spark SQL and for the oracle, where both engines share the semantics.
 
 @count{p}: matches of p in text; @has{p}: whether p matches; @all{p}: array of matches; @rx{p}: the pattern as a literal;
-@lines: array of lines, empty ones too; @outer{a}: an array's elements as rows, null if there are none; @bytes: UTF-8 length; @pairs: its bytes in hex; @chars: array of code points; @pos{a}: i, c of an array's elements; @del{p}: text without matches. Patterns hold no quotes (\\x27).
+@lines: array of lines, empty ones too; @outer{a}: an array's elements as rows, null if there are none; @graphemes: clusters; @bytes: UTF-8 length; @pairs: its bytes in hex; @chars: array of code points; @pos{a}: i, c of an array's elements; @del{p}: text without matches. Patterns hold no quotes (\\x27).
 """
 
 from __future__ import annotations
@@ -13,6 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from glyphlake.sources.tables import PERTURBED, perturbed, read
 
+#: Grapheme clusters of the texts at hand, for an engine without \\X.
+GRAPHEME = r"(?s)\r\n|[^\p{M}\x{200C}\x{200D}\x{E0020}-\x{E007F}\r\n\x{200B}\x{202A}-\x{202E}][\p{M}\x{200C}\x{200D}\x{E0020}-\x{E007F}]*|."
+
 _FORMS = {
     "count": ("cast(regexp_count(text, r'{p}') as bigint)", "cast(len(regexp_extract_all(text, '{p}')) as bigint)"),
     "has": ("text rlike r'{p}'", "regexp_matches(text, '{p}')"),
@@ -25,6 +28,7 @@ _FORMS = {
 _BARE = {
     "@bytes": ("cast(octet_length(text) as bigint)", "cast(strlen(text) as bigint)"),
     "@lines": (r"split(text, r'\x{000D}\x{000A}|[\x{000A}\x{000D}]', -1)", r"regexp_split_to_array(text, '\x{000D}\x{000A}|[\x{000A}\x{000D}]')"),
+    "@graphemes": (r"cast(regexp_count(text, r'\X') as bigint)", f"cast(len(regexp_extract_all(text, '{GRAPHEME}')) as bigint)"),
     "@chars": ("regexp_extract_all(text, r'(?s)(.)', 1)", "string_split(text, '')"),
     "@pairs": ("regexp_extract_all(hex(encode(text, 'UTF-8')), '(..)', 1)", "regexp_extract_all(hex(text), '..')"),
     "@array(": ("array(", "list_value("),

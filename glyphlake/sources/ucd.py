@@ -10,6 +10,7 @@ FORMATS = {
     "blocks": ("block",), "scx": ("scx",), "bidi_brackets": ("paired", "kind"), "bidi_mirroring": ("mirror",), "binary_props": ("property",), "numeric_type": ("nt",),
     "composition_exclusions": (), "norm_corrections": ("bad", "good", "version"), "name_aliases": ("alias", "type"), "unified_ideographs": ("unified",),
     "math_class": ("math_class",), "intentional": ("other",),
+    "ages": ("age",), "vertical_orientation": ("vo",), "identifier_status": ("status",), "identifier_type": ("types",), "idna": ("status", "mapping", "extra"),
 }
 
 
@@ -54,6 +55,21 @@ def read_sequences(spark: SparkSession, path: str, name_first: bool = True) -> D
     return rows.select(*([F.get("f", F.lit(0)).alias("name")] if name_first else [F.slice("f", 2, 8).alias("values")]), text.alias("seq"))
 
 
+def _text_of(points) -> F.Column:
+    return F.array_join(F.transform(F.split(F.trim(points), r"\s+"), lambda h: F.decode(F.unhex(F.lpad(h, 8, "0")), "UTF-32")), "")
+
+
+def read_confusables(spark: SparkSession, path: str) -> DataFrame:
+    """source, target (texts) and type of `cp ; cp cp ; type` lines."""
+    rows = read_fields(spark, path).where((F.size("f") >= 3) & F.get("f", F.lit(0)).rlike(r"^[0-9A-Fa-f]{4,6}( [0-9A-Fa-f]{4,6})*$"))
+    return rows.select(_text_of(F.get("f", F.lit(0))).alias("source"), _text_of(F.get("f", F.lit(1))).alias("target"), F.get("f", F.lit(2)).alias("type"))
+
+
+def read_standardized_variants(spark: SparkSession, path: str) -> DataFrame:
+    """seq and its description of `cp cp; description; contexts` lines."""
+    return read_sequences(spark, path, name_first=False).select("seq", F.get("values", F.lit(0)).alias("description"))
+
+
 def read_code_list(spark: SparkSession, path: str) -> DataFrame:
     """cp of a JSON array of numbers."""
     return spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", "array<int>")).alias("cp"))
