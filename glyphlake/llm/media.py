@@ -22,7 +22,8 @@ from pyspark.sql import DataFrame
 from . import webp
 from .common import map_rows, prepare
 
-ALIGN, CACHE_BITS = 64, 6
+#: With 10 bits no two of the 256 places of a palette have one slot of the colour cache.
+ALIGN, CACHE_BITS = 64, 10
 
 
 def payload_of(text: str | None) -> tuple[bytes, int]:

@@ -10,7 +10,7 @@ from __future__ import annotations
 import heapq
 from collections import Counter
 from dataclasses import dataclass
-from functools import cache
+from functools import cache, lru_cache
 
 import numpy as np
 
@@ -60,16 +60,25 @@ class Code:
 
     symbols: list[int]
     counts: list[int]
+    known: tuple[np.ndarray, int] | None = None
 
     @classmethod
     def of(cls, lengths: list[int]) -> Code:
-        used = sorted((n, s) for s, n in enumerate(lengths) if n)
+        return cls.of_pairs([(n, s) for s, n in enumerate(lengths) if n])
+
+    @classmethod
+    def of_pairs(cls, pairs: list[tuple[int, int]]) -> Code:
+        """From (length, symbol) of the symbols that are used."""
+        return _code(tuple(pairs))
+
+    @classmethod
+    def made(cls, used: list[tuple[int, int]]) -> Code:
         if len(used) <= 1:
             return cls([used[0][1]] if used else [0], [])
         counts = [0] * (used[-1][0] + 1)
         for n, _ in used:
             counts[n] += 1
-        if sum(c << (MOST_LENGTH - n) for n, c in enumerate(counts)) != 1 << MOST_LENGTH:
+        if sum([c << (MOST_LENGTH - n) for n, c in enumerate(counts)]) != 1 << MOST_LENGTH:
             raise ValueError("a prefix code isn't complete")
         return cls([s for _, s in used], counts)
 
@@ -91,45 +100,77 @@ class Code:
 
     def table(self) -> tuple[np.ndarray, int]:
         """16 * symbol + length for every value of the next bits, and their number."""
+        if self.known is None:
+            self.known = self._table()
+        return self.known
+
+    def _table(self) -> tuple[np.ndarray, int]:
         longest = len(self.counts) - 1 if self.counts else 0
         if not longest:
-            return np.array([16 * self.symbols[0]], np.int32), 0
+            return np.array([16 * self.symbols[0]]), 0
         lengths = np.repeat(np.arange(longest + 1), self.counts)
-        table = np.repeat(16 * np.array(self.symbols, np.int32) + lengths.astype(np.int32), 1 << (longest - lengths))
+        table = np.repeat(16 * np.array(self.symbols) + lengths, 1 << (longest - lengths))
         return table[_reversed(longest)], longest
 
 
+#: Bits of code lengths that are looked at together.
+PIECE = 512
+
+
+@lru_cache(maxsize=4096)
+def _length_code(n: int, bits: int) -> tuple[list[int], int]:
+    """The table of the code of code lengths from its n lengths of three bits, and the mask of its bits."""
+    own = [0] * len(LENGTH_ORDER)
+    for k in range(n):
+        own[LENGTH_ORDER[k]] = bits >> 3 * k & 7
+    table, wide = Code.of(own).table()
+    return table.tolist(), (1 << wide) - 1
+
+
+@lru_cache(maxsize=256)
+def _code(pairs: tuple[tuple[int, int], ...]) -> Code:
+    return Code.made(sorted(pairs))
+
+
 def read_code(r: Reader, size: int) -> Code:
-    lengths = [0] * size
     if r.read(1):
         two, wide = r.read(1), r.read(1)
         symbols = [r.read(8 if wide else 1)] + [r.read(8) for _ in range(two)]
-        for s in symbols:
-            if s >= size:
-                raise ValueError("a symbol is outside its alphabet")
-            lengths[s] = 1
-        return Code.of(lengths)
-    own = [0] * len(LENGTH_ORDER)
-    for k in range(4 + r.read(4)):
-        own[LENGTH_ORDER[k]] = r.read(3)
-    code = Code.of(own)
+        if max(symbols) >= size:
+            raise ValueError("a symbol is outside its alphabet")
+        return Code(symbols[:1], []) if len(set(symbols)) == 1 else Code(sorted(symbols), [0, 2])
+    n = 4 + r.read(4)
+    table, mask = _length_code(n, r.read(3 * n))
     left = 2 + r.read(2 + 2 * r.read(3)) if r.read(1) else size
-    i, last = 0, 8
-    while i < size and left:
+    pairs, at, last, taken, ahead = [], 0, 8, 0, None
+    while at < size and left:
+        if ahead is None or taken >= PIECE - 16:  # a step takes 14 bits at most
+            r.at += taken
+            ahead, taken = int.from_bytes(r.data[r.at >> 3 : (r.at >> 3) + PIECE // 8 + 1], "little") >> (r.at & 7), 0
         left -= 1
-        s = code.read(r)
+        step = table[ahead & mask]
+        n, s = step & 15, step >> 4
+        ahead >>= n
+        taken += n
         if s < 16:
-            lengths[i] = s
-            last = s or last
-            i += 1
+            if s:
+                pairs.append((s, at))
+                last = s
+            at += 1
             continue
-        bits, least = ((2, 3), (3, 3), (7, 11))[s - 16]
-        n = least + r.read(bits)
-        if i + n > size:
-            raise ValueError("code lengths run over")
-        lengths[i : i + n] = [last if s == 16 else 0] * n
-        i += n
-    return Code.of(lengths)
+        extra, least = ((2, 3), (3, 3), (7, 11))[s - 16]
+        n = least + (ahead & ((1 << extra) - 1))
+        ahead >>= extra
+        taken += extra
+        if s == 16:
+            pairs += [(last, k) for k in range(at, at + n)]
+        at += n
+    if at > size:
+        raise ValueError("code lengths run over")
+    r.at += taken
+    if r.at > 8 * len(r.data):
+        raise ValueError("the stream ends early")
+    return Code.of_pairs(pairs)
 
 
 def read_number(r: Reader, prefix: int) -> int:
@@ -155,7 +196,9 @@ def read_image(r: Reader, width: int, height: int, main: bool) -> np.ndarray:
     codes = [[read_code(r, s) for s in sizes] for _ in range(int(groups.max()) + 1)]
     green, red, blue, alpha, far = codes[0]
     if len(codes) == 1 and not (red.counts or blue.counts or alpha.counts):
-        return _read_samples(r, n, width, green, far, cache_bits, red.symbols[0] << 16 | blue.symbols[0] | alpha.symbols[0] << 24)
+        found = _read_samples(r, n, width, green, far, cache_bits, red.symbols[0] << 16 | blue.symbols[0] | alpha.symbols[0] << 24)
+        if found is not None:
+            return found
     pixels = [0] * n
     cache = [0] * (1 << cache_bits)
     at = kept = 0
@@ -194,7 +237,7 @@ def read_image(r: Reader, width: int, height: int, main: bool) -> np.ndarray:
 def _slots(rest: int, bits: int) -> np.ndarray:
     """The colour cache's slot of each green value."""
     colours = (np.arange(256, dtype=np.uint64) << np.uint64(8)) | np.uint64(rest)
-    return ((colours * np.uint64(CACHE_FACTOR) & np.uint64(0xFFFFFFFF)) >> np.uint64(32 - bits)).astype(np.uint8 if bits <= 8 else np.uint16)
+    return ((colours * np.uint64(CACHE_FACTOR) & np.uint64(0xFFFFFFFF)) >> np.uint64(32 - bits)).astype(np.uint16)
 
 
 def _same_before(keys: np.ndarray) -> np.ndarray:
@@ -227,92 +270,147 @@ _EXTRA = np.array([0 if k < 4 else (k - 2) >> 1 for k in range(DISTANCES)])
 _LEAST = np.array([k + 1 if k < 4 else ((2 + (k & 1)) << ((k - 2) >> 1)) + 1 for k in range(DISTANCES)])
 
 
-def _read_samples(r: Reader, n: int, width: int, green: Code, far: Code, cache_bits: int, rest: int) -> np.ndarray:
-    """An image of which only the green values have bits: by arrays, with every code, reference and cache.
+#: Bytes of a stream that are looked at together.
+AHEAD = 1 << 15
+
 
-    What would be read is looked up at every bit, and the steps that are taken are those on the path from the first bit. Cache
-    hits and copies then point at the pixel that they repeat, until each points at one that is written out.
+def _steps(data: bytes, at: int, n: int, green: Code, far: Code) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """Symbol, pixels and distance code (0: none) of each step of an image of n pixels from bit `at`, and the bit after them.
+
+    What would be read is looked up at every bit of a stretch, and the steps that are taken are those on the path from the
+    first bit.
     """
-    first = r.at >> 3
-    data = r.data[first : first + 8 * n + 8]  # no pixel takes more than 8 bytes
-    size = 8 * len(data)
-    raw = np.frombuffer(data + bytes(8), np.uint8).astype(np.uint32)
-    words = raw[:-3] | raw[1:-2] << np.uint32(8) | raw[2:-1] << np.uint32(16) | raw[3:] << np.uint32(24)
-    windows = (words[:, None] >> np.arange(8, dtype=np.uint32)).ravel()  # 25 bits from each place at least
-    top = len(windows) - 1
     table, bits = green.table()
-    found = table[windows & np.uint32((1 << bits) - 1)]
-    after = np.arange(len(windows), dtype=np.int32)
-    after += found & 15
-    copy = np.flatnonzero((found >= 16 * 256) & (found < 16 * (256 + LENGTHS)))
-    length = back = np.zeros(0, np.int64)
-    if len(copy):
-
-        def number(at: np.ndarray, prefix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    mask = (1 << bits) - 1
+    copies = green.symbols[-1] >= 256 or max(green.symbols) >= 256
+    if not copies and len(green.symbols) in (1, 1 << bits):  # all values take the same number of bits, which may be none
+        ends = at + n * bits
+        if ends > 8 * len(data):
+            raise ValueError("the stream ends early")
+        drawn = np.unpackbits(np.frombuffer(data, np.uint8, (ends + 7 >> 3) - (at >> 3), at >> 3), bitorder="little")[at & 7 :][: n * bits].reshape(n, bits)
+        symbol = table[drawn.astype(np.int64) @ (1 << np.arange(bits))] >> 4 if bits else np.full(n, green.symbols[0])
+        return symbol, np.ones(n, np.int64), np.zeros(n, np.int64), ends
+    far_table, far_bits = far.table()
+    # Bits of each code, with a mark for copies.
+    taken = ((table & 15) | np.where((table >= 16 * 256) & (table < 16 * (256 + LENGTHS)), 128, 0)).astype(np.uint8)
+    parts, left = [], n
+    while left > 0:
+        first = at >> 3
+        stretch = min(AHEAD, 8 * left + 8, len(data) - first)
+        if stretch <= 0:
+            raise ValueError("the stream ends early")
+        raw = np.frombuffer(data[first : first + stretch + 8].ljust(stretch + 8, b"\0"), np.uint8).astype(np.int64)
+        words = raw[:-3] | raw[1:-2] << 8 | raw[2:-1] << 16 | raw[3:] << 24
+        windows = (words[:, None] >> _EIGHT).ravel()  # 25 bits from each place at least
+        size, top = 8 * stretch, len(windows) - 1
+        windows_now = windows & mask
+        bits_now = taken[windows_now]
+        after = _places(len(windows)) + (bits_now & 15)
+        copy = length = back = None
+        if copies:
+            copy = np.flatnonzero(bits_now & 128)
+            prefix = (table[windows_now[copy]] >> 4) - 256
+            place = after[copy]
             extra = _EXTRA[prefix]
-            return _LEAST[prefix] + (windows[np.minimum(at, top)] & ((1 << extra) - 1)), at + extra
-
-        length, at = number(after[copy], (found[copy] >> 4) - 256)
-        table, bits = far.table()
-        step = table[windows[np.minimum(at, top)] & np.uint32((1 << bits) - 1)]
-        back, after[copy] = number(at + (step & 15), step >> 4)
-    at = r.at & 7
-    if after[at] > at:
-        follow, path = memoryview(after), []
-        for _ in range(n):
-            if at >= size:
+            length = _LEAST[prefix] + (windows[np.minimum(place, top)] & ((1 << extra) - 1))
+            place += extra
+            step = far_table[windows[np.minimum(place, top)] & ((1 << far_bits) - 1)]
+            place += step & 15
+            prefix = step >> 4
+            extra = _EXTRA[prefix]
+            back = _LEAST[prefix] + (windows[np.minimum(place, top)] & ((1 << extra) - 1))
+            after[copy] = place + extra
+        # Eight steps at once: the last place stays where it is.
+        start = at & 7
+        after[-64:] = np.minimum(after[-64:], top)
+        jumps = [after]
+        for _ in range(3):
+            jumps.append(jumps[-1][jumps[-1]])
+        follow, heads = memoryview(jumps[3]), []
+        for _ in range(-(-left // 8)):
+            if start >= size:
                 break
-            path.append(at)
-            at = follow[at]
-        path = np.array(path, np.int64)
-    else:  # one symbol, which takes no bits
-        path = np.full(n, at)
-    symbol = found[path] >> 4
-    copied = np.flatnonzero((symbol >= 256) & (symbol < 256 + LENGTHS))
-    which = np.searchsorted(copy, path[copied])
-    count = np.ones(len(path), np.int64)
-    count[copied] = length[which]
-    ends = np.cumsum(count)
-    steps = int(np.searchsorted(ends, n)) + 1
-    if steps > len(path) or ends[steps - 1] != n or after[path[steps - 1]] > size:
+            heads.append(start)
+            start = follow[start]
+        path = np.array(heads)[:, None]
+        for k in (2, 1, 0):
+            path = np.stack([path, jumps[k][path]], axis=2).reshape(len(heads), -1)
+        path = path.ravel()
+        path = path[: min(left, int(np.searchsorted(path, size)))]
+        symbol = table[windows_now[path]] >> 4
+        count, far_code = np.ones(len(path), np.int64), np.zeros(len(path), np.int64)
+        if copies:
+            copied = np.flatnonzero((symbol >= 256) & (symbol < 256 + LENGTHS))
+            which = np.searchsorted(copy, path[copied])
+            count[copied], far_code[copied] = length[which], back[which]
+        ends = np.cumsum(count)
+        steps = int(np.searchsorted(ends, left)) + 1
+        if steps <= len(path):
+            symbol, count, far_code = symbol[:steps], count[:steps], far_code[:steps]
+        else:
+            steps = len(path)
+        parts.append((symbol, count, far_code))
+        left -= int(ends[steps - 1])
+        at = 8 * first + int(after[path[steps - 1]])
+    if left or at > 8 * len(data):
         raise ValueError("the stream ends early, or a back-reference leaves the image")
-    r.at = 8 * first + int(after[path[steps - 1]])
-    symbol, ends, count = symbol[:steps], ends[:steps], count[:steps]
-    places = ends - count
-    which = which[: np.searchsorted(copied, steps)]
-    copied = copied[: len(which)]
-    back, near = back[which], _near(width)[0]
+    symbol, count, far_code = parts[0] if len(parts) == 1 else (np.concatenate(x) for x in zip(*parts, strict=True))
+    return symbol, count, far_code, at
+
+
+_EIGHT = np.arange(8)
+
+
+@cache
+def _counting() -> np.ndarray:
+    return np.arange(8 * AHEAD + 64)
+
+
+def _places(n: int) -> np.ndarray:
+    return _counting()[:n]
+
+
+def _read_samples(r: Reader, n: int, width: int, green: Code, far: Code, cache_bits: int, rest: int) -> np.ndarray | None:
+    """An image of which only the green values have bits: by arrays, with every code, reference and cache.
+
+    Pixels are known by their slots of the cache, which copies and hits keep. None if a slot is that of several colours, or hit
+    before it holds one: then each pixel depends on the one before, and nothing is read.
+    """
+    symbol, count, far_code, end = _steps(r.data, r.at, n, green, far)
+    places = np.cumsum(count) - count
+    copied = np.flatnonzero(far_code)
+    back, near = far_code[copied], _near(width)[0]
     back = np.where(back > len(NEAR), back - len(NEAR), near[np.minimum(back, len(NEAR)) - 1])
     if (back > places[copied]).any():
         raise ValueError("a back-reference leaves the image")
     single = symbol < 256
-    source = np.arange(n)
-    values = np.zeros(n + 1, np.uint32)  # the last is an empty slot of the cache
-    values[places[single]] = symbol[single].astype(np.uint32) << np.uint32(8) | np.uint32(rest)
-    length = count[copied]
-    inside = np.zeros(n + 1, np.int64)
-    inside[places[copied]] = back
-    ended = places[copied] + length
-    inside[ended] -= back
-    source -= np.cumsum(inside[:n])
+    written, at = symbol[single], places[single]
+    kinds = _slots(rest, cache_bits) if cache_bits else _SELF
+    slots = np.zeros(n, np.uint16)
+    slots[at] = kinds[written]
+    colour = np.zeros(1 << (cache_bits or 8), np.uint32)
+    colour[kinds[written]] = written
     if cache_bits:
-        kinds = _slots(rest, cache_bits)
-        hit = symbol >= 256 + LENGTHS
-        slots = np.zeros(n, kinds.dtype)
-        slots[places[single]] = kinds[symbol[single]]
-        slots[places[hit]] = symbol[hit] - (256 + LENGTHS)
-        for at, left, d in zip(places[copied].tolist(), length.tolist(), back.tolist(), strict=True):
-            while left:  # what lies before is there, so overlapping copies go by doubling steps
-                step = min(left, d)
-                slots[at : at + step] = slots[at - d : at - d + step]
-                at, left, d = at + step, left - step, 2 * d if step == d else d
-        source[places[hit]] = _same_before(slots)[places[hit]]
-    source = np.append(np.where(source < 0, n, source), n)
-    while True:
-        further = source[source]
-        if (further == source).all():
-            return values[source[:n]]
-        source = further
+        first = np.full(len(colour), n)
+        first[kinds[written][::-1]] = at[::-1]
+        hit = np.flatnonzero(symbol >= 256 + LENGTHS)
+        held = symbol[hit] - (256 + LENGTHS)
+        if (colour[kinds[written]] != written).any() or (first[held] >= places[hit]).any():
+            return None
+        slots[places[hit]] = held
+    if len(copied):
+        pixels = bytearray(slots)
+        for at, left, d in zip((2 * places[copied]).tolist(), (2 * count[copied]).tolist(), (2 * back).tolist(), strict=True):
+            while left > d:  # what lies before is there, so overlapping copies go by doubling steps
+                pixels[at : at + d] = pixels[at - d : at]
+                at, left, d = at + d, left - d, 2 * d
+            pixels[at : at + left] = pixels[at - d : at - d + left]
+        slots = np.frombuffer(pixels, np.uint16)
+    r.at = end
+    return colour[slots] << np.uint32(8) | np.uint32(rest)
+
+
+_SELF = np.arange(256, dtype=np.uint16)
 
 
 def _average(a: list[int], b: list[int]) -> list[int]:
@@ -503,29 +601,37 @@ class Writer:
             self.flush()
 
     def flush(self) -> None:
-        whole = self.n & ~7
-        self.parts.append(np.unpackbits(np.frombuffer((self.value & ((1 << whole) - 1)).to_bytes(whole >> 3, "little"), np.uint8), bitorder="little"))
-        self.value >>= whole
-        self.n -= whole
+        whole = self.n >> 3
+        self.parts.append((self.value & ((1 << 8 * whole) - 1)).to_bytes(whole, "little"))
+        self.value >>= 8 * whole
+        self.n -= 8 * whole
 
     def fields(self, values: np.ndarray, widths: np.ndarray) -> None:
-        """Numbers of widths bits each (32 at most), the lowest bit first."""
-        self.flush()
-        self.parts.append(np.array([self.value >> i & 1 for i in range(self.n)], np.uint8))
-        self.value = self.n = 0
+        """The last numbers, of widths bits each (32 at most), the lowest bit first."""
         ends = np.cumsum(widths)
+        ends += self.n
         at = ends - widths
-        words = np.zeros((int(ends[-1]) >> 6) + 2, np.uint64)
-        shift, values = (at & 63).astype(np.uint64), values.astype(np.uint64)
-        np.bitwise_or.at(words, at >> 6, values << shift)
-        over = (at & 63) + widths > 64
-        np.bitwise_or.at(words, (at[over] >> 6) + 1, values[over] >> (np.uint64(64) - shift[over]))
-        self.parts.append(np.unpackbits(words.view(np.uint8), bitorder="little")[: int(ends[-1])])
+        size = int(ends[-1])
+        words = np.zeros((size >> 6) + 2, np.uint64)
+        head = (self.n + 63) // 64
+        words[:head] = np.frombuffer(self.value.to_bytes(8 * head, "little"), np.uint64)
+        shift, place = (at & 63).astype(np.uint64), at >> 6
+        values = values.astype(np.uint64)
+        np.bitwise_or.at(words, place, values << shift)
+        over = np.flatnonzero((at & 63) + widths > 64)
+        np.bitwise_or.at(words, place[over] + 1, values[over] >> (np.uint64(64) - shift[over]))
+        self.parts.append(words.tobytes()[: (size + 7) >> 3])
+        self.value = self.n = 0
+
+    def whole(self) -> tuple[int, int]:
+        """All bits so far as one number, and how many there are."""
+        before = b"".join(self.parts)
+        return int.from_bytes(before, "little") | self.value << 8 * len(before), 8 * len(before) + self.n
 
     def bytes(self) -> bytes:
         self.n = (self.n + 7) & ~7
         self.flush()
-        return np.packbits(np.concatenate(self.parts), bitorder="little").tobytes()
+        return b"".join(self.parts)
 
 
 def code_lengths(counts: dict[int, int], most: int) -> dict[int, int]:
@@ -552,18 +658,28 @@ def code_lengths(counts: dict[int, int], most: int) -> dict[int, int]:
 
 def canonical(lengths: dict[int, int]) -> dict[int, tuple[int, int]]:
     """Symbol -> (bits as written, number of bits)."""
+    if len(lengths) < 2:
+        return dict.fromkeys(lengths, (0, 0))
     code = last = 0
     out = {}
-    for n, s in sorted((n, s) for s, n in lengths.items()):
+    for n, s in sorted([(n, s) for s, n in lengths.items()]):
         code <<= n - last
-        out[s] = (int(f"{code:0{n}b}"[::-1], 2), n)
+        out[s] = (_turned(n)[code], n)
         code, last = code + 1, n
-    return out if len(out) > 1 else dict.fromkeys(out, (0, 0))
+    return out
+
+
+@cache
+def _turned(width: int) -> list[int]:
+    return _reversed(width).tolist()
 
 
 def write_code(w: Writer, lengths: dict[int, int]) -> dict[int, tuple[int, int]]:
     """Write a code and give its table. Few symbols below 256 are written in the simple form."""
-    symbols = sorted(lengths) or [0]
+    if not lengths or lengths.keys() == {0}:  # the symbol 0 alone
+        w.write(1, 4)
+        return {0: (0, 0)}
+    symbols = sorted(lengths)
     if len(symbols) <= 2 and symbols[-1] < 256:
         w.write(1, 1)
         w.write(len(symbols) - 1, 1)
@@ -693,6 +809,8 @@ def write_image(w: Writer, pixels: np.ndarray, width: int, main: bool, cache_bit
 
 #: Pixels of a back-reference at least, and at most; longest code, which keeps the reader's tables small.
 LEAST_MATCH, MOST_MATCH, SAMPLE_BITS = 8, 4096, 12
+#: Colours with a share of the pixels of one in so many are taken from the cache.
+CACHED_SHARE = 32
 
 
 def _matches(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -701,9 +819,7 @@ def _matches(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     m = len(x) - LEAST_MATCH + 1
     if m < 2:
         return none, none, none
-    keys = np.zeros(m, np.uint64)
-    for k in range(LEAST_MATCH):
-        keys |= x[k : k + m].astype(np.uint64) << np.uint64(8 * k)
+    keys = np.ndarray((m,), "<u8", np.ascontiguousarray(x), strides=(1,))  # the next eight samples at each place
     before = _same_before(keys)
     found = np.flatnonzero(before >= 0)
     if not len(found):
@@ -749,40 +865,54 @@ def write_samples(w: Writer, x: np.ndarray, width: int, main: bool, cache_bits:
     w.write(1 if cache_bits else 0, 1)
     if cache_bits:
         w.write(cache_bits, 4)
-        slots = _slots(0, cache_bits)[x]
-        before = _same_before(slots)[alone]
-        own = np.where((before >= 0) & (x[before] == x[alone]), 256 + LENGTHS + slots[alone].astype(np.int64), own)
+        kinds = _slots(0, cache_bits)
+        counts = np.bincount(x, minlength=256)
+        some = np.flatnonzero(counts)
+        # Frequent colours are taken from the cache; others keep one code, as a code that is written costs bits itself.
+        often = counts * CACHED_SHARE >= n
+        if len(set(kinds[some].tolist())) == len(some):  # a colour stays in its slot
+            first = np.zeros(256, np.int64)
+            first[x[::-1]] = _places(n)[::-1] if n <= 8 * AHEAD else np.arange(n - 1, -1, -1)
+            hit = often[own] & (first[own] < alone)
+        else:
+            before = _same_before(kinds[x])[alone]
+            hit = often[own] & (before >= 0) & (x[before] == x[alone])
+        own = np.where(hit, 256 + LENGTHS + kinds[own].astype(np.int64), own)
     if main:
         w.write(0, 1)
     length_prefix, length_more, length_bits = _prefixes(length)
     far_prefix, far_more, far_bits = _prefixes(far)
     # Steps in order: a reference comes after the single pixels before it.
-    reference = np.searchsorted(alone, at) + np.arange(len(at))
-    symbols = np.zeros(len(alone) + len(at), np.int64)
-    is_single = np.ones(len(symbols), bool)
-    is_single[reference] = False
-    symbols[is_single], symbols[reference] = own, 256 + length_prefix
+    reference = np.searchsorted(alone, at)
+    symbols = np.insert(own, reference, 256 + length_prefix) if len(at) else own
+    reference += np.arange(len(at))
     tables = []
-    for used in (symbols, None, None, None, far_prefix):
-        counts = {}
-        if used is not None and len(used):
-            counts = np.bincount(used)
-            counts = {s: c for s, c in enumerate(counts.tolist()) if c}
+    for used in (symbols, far_prefix):
+        counts = np.bincount(used)
+        some = np.flatnonzero(counts)
+        counts = dict(zip(some.tolist(), counts[some].tolist(), strict=True))
         codes = write_code(w, code_lengths(counts, SAMPLE_BITS) if counts else {})
         table = np.zeros((2, max(codes) + 1), np.int64)
         table[:, list(codes)] = np.array(list(codes.values())).T
         tables.append(table)
+        if used is symbols:
+            w.write(1 | 1 << 4 | 1 << 8, 12)  # red, blue and alpha: the symbol 0 alone
     # Of each step its symbol; of a reference also the length's extra bits, the distance and its extra bits.
-    place = np.arange(len(symbols)) + 3 * (np.cumsum(~is_single) - ~is_single)
-    fields = np.zeros((2, len(symbols) + 3 * len(at)), np.int64)
-    fields[:, place] = tables[0][:, symbols]
-    if len(at):
+    if not len(at):
+        value, bits = (t[symbols] for t in tables[0])
+    else:
+        value, bits = np.zeros((2, len(symbols) + 3 * len(at)), np.int64)
+        # Three more fields after each reference move what follows.
+        moved = np.zeros(len(symbols), np.int64)
+        moved[reference[reference + 1 < len(symbols)] + 1] = 3
+        place = np.arange(len(symbols)) + np.cumsum(moved)
+        value[place], bits[place] = tables[0][0][symbols], tables[0][1][symbols]
         place = place[reference]
-        fields[:, place + 1] = length_more, length_bits
-        fields[:, place + 2] = tables[4][:, far_prefix]
-        fields[:, place + 3] = far_more, far_bits
-    if fields[1].any():
-        w.fields(*fields)
+        value[place + 1], bits[place + 1] = length_more, length_bits
+        value[place + 2], bits[place + 2] = tables[1][0][far_prefix], tables[1][1][far_prefix]
+        value[place + 3], bits[place + 3] = far_more, far_bits
+    if bits.any():
+        w.fields(value, bits)
 
 
 def file_of(stream: bytes, more: dict[bytes, bytes] | None = None) -> bytes:
@@ -808,8 +938,22 @@ def write_palette(w: Writer, table: np.ndarray) -> None:
     w.write(len(table) - 1, 8)
     if steps[:, [0, 2, 3]].any():
         write_image(w, _pixels(steps), len(table), False)
-    else:
-        write_samples(w, steps[:, 1], len(table), False)
+    else:  # without a cache, with an even code
+        green = steps[:, 1]
+        bits = max(4, int(green.max()).bit_length())
+        w.write(0, 1)
+        w.write(*_even_code(bits))
+        w.write(1 | 1 << 4 | 1 << 8 | 1 << 12, 16)
+        drawn = (green[:, None] >> np.arange(bits - 1, -1, -1)) & 1
+        w.write(int.from_bytes(np.packbits(drawn.astype(np.uint8), bitorder="little").tobytes(), "little"), bits * len(table))
+
+
+@cache
+def _even_code(bits: int) -> tuple[int, int]:
+    """The bits of a green code whose first values have so many bits each, and their number."""
+    w = Writer()
+    write_code(w, dict.fromkeys(range(1 << bits), bits))
+    return w.whole()
 
 
 def bundled(index: np.ndarray, colours: int) -> np.ndarray:
