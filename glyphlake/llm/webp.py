@@ -68,8 +68,9 @@ class Code:
 
     @classmethod
     def of_pairs(cls, pairs: list[tuple[int, int]]) -> Code:
-        """From (length, symbol) of the symbols that are used."""
-        return _code(tuple(pairs))
+        """From (length, symbol) of the symbols that are used; even codes, which are few, are kept."""
+        even = len(pairs) > 15 and pairs[0][0] == pairs[-1][0] == pairs[len(pairs) // 2][0]
+        return _code(tuple(pairs)) if even else cls.made(sorted(pairs))
 
     @classmethod
     def made(cls, used: list[tuple[int, int]]) -> Code:
@@ -120,11 +121,21 @@ PIECE = 512
 @lru_cache(maxsize=4096)
 def _length_code(n: int, bits: int) -> tuple[list[int], int]:
     """The table of the code of code lengths from its n lengths of three bits, and the mask of its bits."""
-    own = [0] * len(LENGTH_ORDER)
-    for k in range(n):
-        own[LENGTH_ORDER[k]] = bits >> 3 * k & 7
-    table, wide = Code.of(own).table()
-    return table.tolist(), (1 << wide) - 1
+    used = sorted([(bits >> 3 * k & 7, LENGTH_ORDER[k]) for k in range(n) if bits >> 3 * k & 7])
+    if len(used) <= 1:
+        return [16 * used[0][1] if used else 0], 0
+    wide = used[-1][0]
+    table, turned, at = [0] * (1 << wide), _turned(wide), 0
+    for length, symbol in used:
+        end = at + (1 << wide - length)
+        for k in turned[at:end]:
+            table[k] = 16 * symbol + length
+        at = end
+        if at > 1 << wide:
+            break
+    if at != 1 << wide:
+        raise ValueError("a prefix code isn't complete")
+    return table, (1 << wide) - 1
 
 
 @lru_cache(maxsize=256)
@@ -132,7 +143,14 @@ def _code(pairs: tuple[tuple[int, int], ...]) -> Code:
     return Code.made(sorted(pairs))
 
 
+#: The code whose only symbol is 0.
+_NOTHING = Code([0], [])
+
+
 def read_code(r: Reader, size: int) -> Code:
+    if r.data[r.at >> 3 : (r.at >> 3) + 2] and int.from_bytes(r.data[r.at >> 3 : (r.at >> 3) + 2], "little") >> (r.at & 7) & 15 == 1:
+        r.at += 4
+        return _NOTHING
     if r.read(1):
         two, wide = r.read(1), r.read(1)
         symbols = [r.read(8 if wide else 1)] + [r.read(8) for _ in range(two)]
@@ -271,7 +289,7 @@ _LEAST = np.array([k + 1 if k < 4 else ((2 + (k & 1)) << ((k - 2) >> 1)) + 1 for
 
 
 #: Bytes of a stream that are looked at together.
-AHEAD = 1 << 15
+AHEAD = 1 << 12
 
 
 def _steps(data: bytes, at: int, n: int, green: Code, far: Code) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
@@ -377,6 +395,9 @@ def _read_samples(r: Reader, n: int, width: int, green: Code, far: Code, cache_b
     before it holds one: then each pixel depends on the one before, and nothing is read.
     """
     symbol, count, far_code, end = _steps(r.data, r.at, n, green, far)
+    if len(symbol) == n and not cache_bits:  # every pixel is written out
+        r.at = end
+        return symbol.astype(np.uint32) << np.uint32(8) | np.uint32(rest)
     places = np.cumsum(count) - count
     copied = np.flatnonzero(far_code)
     back, near = far_code[copied], _near(width)[0]
@@ -617,9 +638,11 @@ class Writer:
         words[:head] = np.frombuffer(self.value.to_bytes(8 * head, "little"), np.uint64)
         shift, place = (at & 63).astype(np.uint64), at >> 6
         values = values.astype(np.uint64)
-        np.bitwise_or.at(words, place, values << shift)
+        # Bits don't meet, so the numbers that begin in a word add up; one at most goes on in the next.
+        first = np.flatnonzero(np.append(True, place[1:] != place[:-1]))
+        words[place[first]] += np.add.reduceat(values << shift, first)
         over = np.flatnonzero((at & 63) + widths > 64)
-        np.bitwise_or.at(words, place[over] + 1, values[over] >> (np.uint64(64) - shift[over]))
+        words[place[over] + 1] |= values[over] >> (np.uint64(64) - shift[over])
         self.parts.append(words.tobytes()[: (size + 7) >> 3])
         self.value = self.n = 0
 
@@ -638,22 +661,30 @@ def code_lengths(counts: dict[int, int], most: int) -> dict[int, int]:
     """Huffman lengths of at most `most` bits."""
     if len(counts) == 1:
         return dict.fromkeys(counts, 1)
-    symbols, n = list(counts), len(counts)
+    n = len(counts)
+    least = sum(counts.values()) >> (most - 1)  # rarer symbols would get longer codes
     while True:
-        heap = [(counts[s], s, k) for k, s in enumerate(symbols)]
-        heapq.heapify(heap)
-        above = [0] * (2 * n - 1)
+        ordered = sorted([(c if c > least else least + 1, s) for s, c in counts.items()])
+        # Leaves in order, and inner nodes, which come into being in order.
+        weights = [c for c, _ in ordered]
+        above, leaf, inner = [0] * (2 * n - 1), 0, n
         for node in range(n, 2 * n - 1):
-            a, s, x = heapq.heappop(heap)
-            b, _, y = heap[0]
-            above[x] = above[y] = node
-            heapq.heapreplace(heap, (a + b, s, node))
+            total = 0
+            for _ in (0, 1):
+                if leaf < n and (inner >= node or weights[leaf] <= weights[inner]):
+                    took, leaf = leaf, leaf + 1
+                else:
+                    took, inner = inner, inner + 1
+                above[took] = node
+                total += weights[took]
+            weights.append(total)
         depth = [0] * (2 * n - 1)
         for node in range(2 * n - 3, -1, -1):
             depth[node] = depth[above[node]] + 1
         if max(depth[:n]) <= most:
-            return dict(zip(symbols, depth, strict=False))
-        counts = {s: (c + 1) >> 1 for s, c in counts.items()}
+            return {s: depth[k] for k, (_, s) in enumerate(ordered)}
+        counts = {s: (c + 1) >> 1 for c, s in ordered}
+        least >>= 1
 
 
 def canonical(lengths: dict[int, int]) -> dict[int, tuple[int, int]]:
@@ -708,26 +739,24 @@ def write_code(w: Writer, lengths: dict[int, int]) -> dict[int, tuple[int, int]]
         else:
             steps.append((n, 0, 0))
         last = n
-    own = code_lengths(Counter(s for s, _, _ in steps), 7)
+    own = code_lengths(Counter([s for s, _, _ in steps]), 7)
     order = [own.get(s, 0) for s in LENGTH_ORDER]
-    used = max([4, *(k + 1 for k, n in enumerate(order) if n)])
-    w.write(0, 1)
-    w.write(used - 4, 4)
-    for n in order[:used]:
-        w.write(n, 3)
+    used = max([4, *[k + 1 for k, n in enumerate(order) if n]])
     # The steps up to the last symbol are counted; the rest of the alphabet has no codes.
-    count = max(2, len(steps))
-    if len(steps) < 2:
+    count = len(steps)
+    if count < 2:
         raise ValueError("a code of one step")
     width = max(2, (count - 2).bit_length() + 1 & ~1)
-    w.write(1, 1)
-    w.write((width - 2) // 2, 3)
-    w.write(count - 2, width)
+    value, bits = (used - 4) << 1, 5
+    for n, wide in [*((n, 3) for n in order[:used]), (1, 1), ((width - 2) // 2, 3), (count - 2, width)]:
+        value |= n << bits
+        bits += wide
     table = canonical(own)
     for s, extra, n in steps:
-        w.write(*table[s])
-        if n:
-            w.write(extra, n)
+        code, wide = table[s]
+        value |= (code | extra << wide) << bits
+        bits += wide + n
+    w.write(value, bits)
     return canonical(lengths)
 
 
@@ -884,17 +913,20 @@ def write_samples(w: Writer, x: np.ndarray, width: int, main: bool, cache_bits:
     far_prefix, far_more, far_bits = _prefixes(far)
     # Steps in order: a reference comes after the single pixels before it.
     reference = np.searchsorted(alone, at)
-    symbols = np.insert(own, reference, 256 + length_prefix) if len(at) else own
     reference += np.arange(len(at))
+    symbols = np.empty(len(alone) + len(at), np.int64)
+    single = np.ones(len(symbols), bool)
+    single[reference] = False
+    symbols[single], symbols[reference] = own, 256 + length_prefix
     tables = []
     for used in (symbols, far_prefix):
         counts = np.bincount(used)
         some = np.flatnonzero(counts)
         counts = dict(zip(some.tolist(), counts[some].tolist(), strict=True))
         codes = write_code(w, code_lengths(counts, SAMPLE_BITS) if counts else {})
-        table = np.zeros((2, max(codes) + 1), np.int64)
-        table[:, list(codes)] = np.array(list(codes.values())).T
-        tables.append(table)
+        table = np.zeros((max(codes) + 1, 2), np.int64)
+        table[list(codes)] = list(codes.values())
+        tables.append(table.T)
         if used is symbols:
             w.write(1 | 1 << 4 | 1 << 8, 12)  # red, blue and alpha: the symbol 0 alone
     # Of each step its symbol; of a reference also the length's extra bits, the distance and its extra bits.
