@@ -43,7 +43,17 @@ def materialize(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def discard(*written: DataFrame) -> None:
+    """Remove what `materialize` wrote, when nothing reads it any more."""
+    for df in written:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df.written_to)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -118,7 +128,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of edges(a, b); root is the smallest node of the component.
 
     Alternating large-star and small-star steps over DataFrames (Kiveris et al. 2014). Nothing is collected; minima are
-    aggregated before they are shuffled, and written, so that a hub's rows can be split in the join.
+    aggregated before they are shuffled, and written, so that a hub's rows can be split in the join. What a round wrote goes when the
+    next one is written.
     """
     e = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     seen = None
@@ -128,9 +139,11 @@ def connected_components(edges: DataFrame) -> DataFrame:
             break
         seen = sign
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = materialize(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
-        large = materialize(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
-        least = materialize(large.groupBy("u").agg(F.min("v").alias("m")))
-        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = materialize(small.union(least.select("u", F.col("m").alias("v"))).distinct())
+        first = materialize(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
+        large = materialize(both.join(first, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        second = materialize(large.groupBy("u").agg(F.min("v").alias("m")))
+        small = large.join(second, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        after = materialize(small.union(second.select("u", F.col("m").alias("v"))).distinct())
+        discard(e, first, large, second)
+        e = after
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).union(e.select("v", "v").distinct())

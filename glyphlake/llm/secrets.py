@@ -21,6 +21,8 @@ from collections import defaultdict
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from glyphlake.functions import arrays
+
 from .common import materialize
 
 KINDS = ("assign", "access", "hex", "random")
@@ -46,20 +48,6 @@ ALPHABETS = (
 )
 
 
-def _before(values, zero, join) -> F.Column:
-    """For each value what join makes of zero and those before it; in two levels, as an array that grows is copied at each step."""
-    width = F.ceil(F.sqrt(F.size(values).cast("double"))).cast("int")
-
-    def run(part, start):
-        first = F.struct(start.alias("at"), F.array().cast("array<bigint>").alias("out"))
-        return F.aggregate(part, first, lambda a, v: F.struct(join(a["at"], v).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out")), lambda a: a["out"])
-
-    parts = F.transform(F.sequence(F.lit(0), F.ceil(F.size(values) / width).cast("int") - 1), lambda k: F.slice(values, k * width + 1, width))
-    heads = run(F.transform(parts, lambda part: F.aggregate(part, zero, join)), zero)
-    found = F.flatten(F.zip_with(parts, heads, run))
-    return F.when(F.size(values) > 0, found).otherwise(F.array().cast("array<bigint>"))
-
-
 def _matches(text, pattern: str, group: int) -> F.Column:
     """array<struct<start, end, value>> of all matches, in code points."""
     q = F.lit(pattern)
@@ -68,10 +56,10 @@ def _matches(text, pattern: str, group: int) -> F.Column:
     rows = F.arrays_zip(F.transform(F.slice(parts, 1, F.size(whole)), lambda x: F.length(x).cast("bigint")).alias("p"), F.transform(whole, lambda x: F.length(x).cast("bigint")).alias("m"), value.alias("v"))
 
     def placed(x):  # bound as a value, so that it is made once
-        sums = _before(F.transform(x, lambda r: r["p"] + r["m"]), F.lit(0).cast("bigint"), lambda a, v: a + v)
+        sums = arrays.before(F.transform(x, lambda r: r["p"] + r["m"]), F.lit(0).cast("bigint"), lambda a, v: a + v)
         return F.zip_with(x, sums, lambda r, at: F.struct((at + r["p"]).alias("start"), (at + r["p"] + r["m"]).alias("end"), r["v"].alias("value")))
 
-    return F.when(text.rlike(pattern), F.get(F.transform(F.array(rows), placed), F.lit(0))).otherwise(empty)
+    return F.when(text.rlike(pattern), arrays.bound(rows, placed)).otherwise(empty)
 
 
 def _normal_cdf(z) -> F.Column:
@@ -240,7 +228,7 @@ def redacted(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
     text, end = F.col("text"), F.lit(0).cast("bigint")
 
     def pieces(x):
-        reach = _before(F.transform(x, lambda s: s["end"]), end, lambda a, v: F.greatest(a, v))
+        reach = arrays.before(F.transform(x, lambda s: s["end"]), end, lambda a, v: F.greatest(a, v))
         return F.zip_with(x, reach, lambda s, at: F.when(s["start"] >= at, F.concat(F.substring(text, (at + 1).cast("int"), (s["start"] - at).cast("int")), F.lit(mark))).otherwise(F.lit("")))
 
     def whole(x):
