@@ -20,21 +20,31 @@ def codepoints(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit("(?s)(.)"), F.lit(1))).alias("idx", "ch"))
 
 
-def graphemes(docs: DataFrame) -> DataFrame:
-    """doc_id, g_idx, g, n_cp, cp_start, unit_start: clusters with their places in code points and in UTF-16 units.
-
-    Places are summed inside the text's array, so no row is shuffled.
-    """
+def _placed(text: str) -> F.Column:
+    """array<struct<x: struct<g, n_cp, units>, cp_start, unit_start>> of a text's clusters; places are summed inside the array."""
     zero, add = F.lit(0).cast("bigint"), lambda a, v: a + v
-    sized = F.transform(F.regexp_extract_all("text", F.lit(r"(\X)"), F.lit(1)), lambda g: F.struct(g.alias("g"), F.length(g).cast("long").alias("n_cp"), (F.length(g) + F.regexp_count(g, F.lit(r"[\x{10000}-\x{10FFFF}]"))).cast("long").alias("units")))
+    sized = F.transform(F.regexp_extract_all(text, F.lit(r"(\X)"), F.lit(1)), lambda g: F.struct(g.alias("g"), F.length(g).cast("long").alias("n_cp"), (F.length(g) + F.regexp_count(g, F.lit(r"[\x{10000}-\x{10FFFF}]"))).cast("long").alias("units")))
 
     def placed(x):
         return F.arrays_zip(x.alias("x"), arrays.before(F.transform(x, lambda r: r["n_cp"]), zero, add).alias("cp_start"), arrays.before(F.transform(x, lambda r: r["units"]), zero, add).alias("unit_start"))
 
-    rows = docs.select("doc_id", F.posexplode(arrays.bound(sized, placed)).alias("g_idx", "r"))
+    return arrays.bound(sized, placed)
+
+
+def graphemes(docs: DataFrame) -> DataFrame:
+    """doc_id, g_idx, g, n_cp, cp_start, unit_start: clusters with their places in code points and in UTF-16 units; no row is shuffled."""
+    rows = docs.select("doc_id", F.posexplode(_placed("text")).alias("g_idx", "r"))
     return rows.select("doc_id", "g_idx", "r.x.g", "r.x.n_cp", "r.cp_start", "r.unit_start")
 
 
+def grapheme_places(docs: DataFrame) -> DataFrame:
+    """doc_id, graphemes, cp_end, unit_end, places: the map of a text's clusters to code points and UTF-16 units, as a digest of `cp:unit` of each."""
+    rows = docs.where("text <> ''").select("doc_id", _placed("text").alias("p"))
+    last = F.element_at("p", -1)
+    places = F.array_join(F.transform("p", lambda r: F.concat_ws(":", r["cp_start"], r["unit_start"])), ",")
+    return rows.select("doc_id", F.size("p").cast("long").alias("graphemes"), (last["cp_start"] + last["x"]["n_cp"]).alias("cp_end"), (last["unit_start"] + last["x"]["units"]).alias("unit_end"), F.sha2(places, 256).alias("places"))
+
+
 def distinct_counts(text: str = "text") -> F.Column:
     """array<struct<c, n>>: the distinct characters of a text and how often each is there (a text has few)."""
     chars = F.array_distinct(F.regexp_extract_all(text, F.lit("(?s)(.)"), F.lit(1)))

@@ -125,7 +125,6 @@ CATALOG: dict[str, str] = {
     "lens_domains": "SELECT host, CAST(count(*) AS BIGINT) AS n, max(CASE WHEN host LIKE '%xn--%' THEN 1 ELSE 0 END) AS punycode FROM (SELECT regexp_extract(url, @rx{^[a-z]+://([^/?#]+)}, 1) AS host FROM pages) GROUP BY host",
     # remediation
     "remedy_middle_dot": _doc("replace(text, ' ', '·') AS revealed"),
-    "remedy_smart": _doc("@del{[" + chars.BIDI + chars.TAGS + chars.IGNORABLE + "]} AS clean"),
     "remedy_skeleton": _doc("translate(@del{[" + chars.INVISIBLE + "]}, 'аеорсх ', 'aeopcx ') AS skeleton"),
     "remedy_drift": _doc("CAST(@count{[\\x{0430}\\x{0435}\\x{043E}\\x{0440}\\x{0441}\\x{0445}]} AS BIGINT) AS visual, @count{[" + chars.INVISIBLE + "]} AS structure, @count{[" + chars.SPACES + "]} AS format, CASE WHEN @has{[\\x{0430}\\x{0435}\\x{043E}\\x{0440}\\x{0441}\\x{0445}]} THEN 'CRITICAL' WHEN @has{[" + chars.INVISIBLE + "]} THEN 'HIGH' WHEN @has{[" + chars.SPACES + "]} THEN 'WARN' ELSE 'NONE' END AS drift"),
     "remedy_hash": _doc("@sha AS digest"),
@@ -138,11 +137,10 @@ CATALOG: dict[str, str] = {
     "html_css_signatures": "SELECT page_id, kind, CAST(count(*) AS BIGINT) AS n FROM (SELECT page_id, CASE WHEN h LIKE '%display:none%' THEN 'layout' WHEN h LIKE '%opacity:0%' THEN 'photometric' WHEN h LIKE '%font-size:0%' THEN 'geometric' ELSE 'other' END AS kind FROM (SELECT page_id, replace(lower(concat(html, CASE page_id % 4 WHEN 0 THEN '<p style=\"display:none\">x</p>' WHEN 1 THEN '<i style=\"opacity:0\">y</i>' WHEN 2 THEN '<b style=\"font-size:0\">z</b>' ELSE '' END)), ' ', '') AS h FROM pages)) GROUP BY page_id, kind",
     # conversations, events
     "stream_turns": "SELECT conv_id, CAST(count(*) AS BIGINT) AS turns, CAST(sum(length(text)) AS BIGINT) AS chars FROM conversations GROUP BY conv_id",
-    "stream_tumbling": "SELECT event_type, date_trunc('hour', ts) AS hour, CAST(count(*) AS BIGINT) AS n, sum(value) AS total FROM events GROUP BY event_type, date_trunc('hour', ts)",
 }
 for _name, (_, _p) in chars.FLAGS.items():
     CATALOG[f"flag_{_name}"] = f"SELECT doc_id, '{_name}' AS flag, @count{{{_p}}} AS n FROM pdocs WHERE @has{{{_p}}}"
 for _name, _p in chars.SEQUENCES.items():
     CATALOG[f"flag_{_name}"] = f"SELECT doc_id, '{_name}' AS flag, @count{{{_p}}} AS n FROM pdocs WHERE @has{{{_p}}}"
 #: Tables other than the documents that an operator reads.
-TABLES = {"lens_domains": ("pages",), "html_input_guard": ("pages",), "html_css_signatures": ("pages",), "stream_turns": ("conversations",), "stream_tumbling": ("events",)}
+TABLES = {"lens_domains": ("pages",), "html_input_guard": ("pages",), "html_css_signatures": ("pages",), "stream_turns": ("conversations",)}

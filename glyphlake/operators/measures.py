@@ -66,8 +66,8 @@ MEASURES: dict[str, str] = {
     "score_sensors": "SELECT doc_id, CASE WHEN @has{[\\x{202E}]} THEN 'high' WHEN @has{[\\x{FE10}-\\x{FE1F}\\x{FE30}-\\x{FE4F}]} THEN 'warn' ELSE 'none' END AS geometry, CASE WHEN @has{[" + chars.NONCHARACTERS + "\\x{FFFD}]} THEN 'warn' ELSE 'none' END AS cosmology, CASE WHEN @has{[\\x{20A0}-\\x{20CF}]} THEN 'warn' ELSE 'none' END AS financials FROM pdocs",
     "score_hud_step": "SELECT doc_id, CAST(coalesce(min(CASE WHEN i >= 100 THEN i END), min(i)) AS BIGINT) AS next FROM (" + _HIT_PLACES + ") GROUP BY doc_id",
     "remedy_xray": "SELECT doc_id, CAST(min(i) AS BIGINT) AS first, CAST(max(i) AS BIGINT) AS last, CAST(count(*) AS BIGINT) AS hits, min(kind) AS priority FROM (SELECT doc_id, i, kind, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS zone FROM (SELECT doc_id, i, kind, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 40 THEN 0 ELSE 1 END AS fresh FROM (" + _HIT_PLACES + "))) GROUP BY doc_id, zone",
-    # Over the thousand most frequent tokens, so that the ranks of one window are bounded.
-    "stats_zipf_mse": "SELECT CAST(count(*) AS BIGINT) AS forms, avg((n / CAST(top AS DOUBLE) - 1 / CAST(rank AS DOUBLE)) * (n / CAST(top AS DOUBLE) - 1 / CAST(rank AS DOUBLE))) AS mse FROM (SELECT n, rank, max(n) OVER () AS top FROM (SELECT n, row_number() OVER (ORDER BY n DESC, tok) AS rank FROM (SELECT tok, CAST(count(*) AS BIGINT) AS n FROM (SELECT explode(@all{[a-zA-Z]+}) AS tok FROM pdocs) GROUP BY tok)) WHERE rank <= 1000)",
+    # Ranks go by the number of forms of each frequency, of which there are few; forms of one frequency take its ranks in any order.
+    "stats_zipf_mse": "SELECT CAST(count(*) AS BIGINT) AS forms, avg((n / CAST(top AS DOUBLE) - 1 / CAST(rank AS DOUBLE)) * (n / CAST(top AS DOUBLE) - 1 / CAST(rank AS DOUBLE))) AS mse FROM (SELECT n, top, explode(sequence(before + 1, before + k)) AS rank FROM (SELECT n, k, CAST(sum(k) OVER (ORDER BY n DESC ROWS UNBOUNDED PRECEDING) - k AS BIGINT) AS before, max(n) OVER () AS top FROM (SELECT n, CAST(count(*) AS BIGINT) AS k FROM (SELECT tok, CAST(count(*) AS BIGINT) AS n FROM (SELECT explode(@all{[a-zA-Z]+}) AS tok FROM pdocs) GROUP BY tok) GROUP BY n)))",
     "report_narrative": "SELECT doc_id, concat(CASE WHEN @has{[" + chars.BIDI + chars.TAGS + "]} THEN 'Execution risk: remove bidirectional and tag controls.' WHEN @has{\\p{Latin}} AND @has{\\p{Cyrillic}|\\p{Greek}} THEN 'Spoofing risk: compare skeletons.' WHEN @has{[" + chars.INVISIBLE + chars.SPACES + "]} THEN 'Obfuscation: normalise spaces and invisibles.' ELSE 'No finding.' END, ' ', CAST(length(text) AS STRING), ' code points.') AS narrative FROM pdocs",
     "score_hud_registry": "SELECT doc_id, bucket, n FROM (SELECT doc_id, bucket, CASE bucket " + " ".join(f"WHEN '{b}' THEN n_{b}" for b in BUCKETS) + " END AS n FROM (SELECT *, explode(@array(" + ", ".join(f"'{b}'" for b in BUCKETS) + ")) AS bucket FROM (SELECT doc_id, " + ", ".join(f"@count{{[{p}]}} AS n_{b}" for b, p in BUCKETS.items()) + " FROM pdocs))) WHERE n > 0",
 }

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from glyphlake.functions import normal
+from glyphlake.functions import chars, normal
 from glyphlake.operators.atoms import distinct_counts
 from glyphlake.operators.macro import _GRAPHEME
 
@@ -91,11 +91,33 @@ def payloads(docs: DataFrame) -> DataFrame:
 PAYLOADS = """WITH r AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z0-9+/=]{17,}')) AS payload FROM pdocs), d AS (SELECT doc_id, payload, count(*) AS n FROM r GROUP BY ALL),
  c AS (SELECT doc_id, payload, unnest(string_split(payload, '')) AS c FROM d) SELECT doc_id, payload, any_value(n) AS n, entropy(c) AS entropy FROM c JOIN d USING (doc_id, payload) GROUP BY doc_id, payload"""
 
-#: What a strict cleaning takes out: invisible and private characters and odd spaces; the rest is brought into NFC.
+
 def sanitized(docs: DataFrame, dropped: str) -> DataFrame:
+    """A strict cleaning: what the pattern names goes (invisible and private characters, odd spaces), the rest is brought into NFC."""
     return docs.select("doc_id", normal.nfc(F.regexp_replace("text", dropped, "")).alias("clean"))
 
 
+def smart(docs: DataFrame) -> DataFrame:
+    """doc_id, clean: texts without invisible characters, but for joiners between pictographs and selectors after what takes them.
+
+    Those that stay are marked by characters that have just been taken out, while the others go.
+    """
+    text = F.regexp_replace("text", "[" + chars.BIDI + chars.TAGS + chars.IGNORABLE + r"\x{200C}\x{FE00}-\x{FE0E}\x{E0100}-\x{E01EF}]", "")
+    text = F.regexp_replace(text, "([" + chars.PICTOGRAPHS + chars.SKIN + r"\x{FE0F}])\x{200D}(?=[" + chars.PICTOGRAPHS + "])", "$1\u200c")
+    text = F.regexp_replace(text, r"\x{200D}", "")
+    text = F.regexp_replace(text, "([" + chars.PICTOGRAPHS + r"0-9#*\x{00A9}\x{00AE}])\x{FE0F}", "$1\ufe00")
+    text = F.regexp_replace(text, r"\x{FE0F}", "")
+    return docs.select("doc_id", F.translate(text, "\u200c\ufe00", "\u200d\ufe0f").alias("clean"))
+
+
+SMART = r"""WITH s AS (SELECT doc_id, regexp_replace({text}, '[""" + chars.BIDI + chars.TAGS + chars.IGNORABLE + r"""\x{{200C}}\x{{FE00}}-\x{{FE0E}}\x{{E0100}}-\x{{E01EF}}]', '', 'g') AS t FROM documents),
+ p AS (SELECT doc_id, unnest(string_split(t, '')) AS c, generate_subscripts(string_split(t, ''), 1) AS i FROM s),
+ q AS (SELECT doc_id, c, i, coalesce(lag(c) OVER w, '') AS b, coalesce(lead(c) OVER w, '') AS a FROM p WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+ k AS (SELECT * FROM q WHERE NOT (ord(c) = 8205 AND NOT (regexp_matches(b, '[""" + chars.PICTOGRAPHS + chars.SKIN + r"""\x{{FE0F}}]') AND regexp_matches(a, '[""" + chars.PICTOGRAPHS + r"""]')))),
+ l AS (SELECT doc_id, c, i, coalesce(lag(c) OVER w, '') AS b FROM k WINDOW w AS (PARTITION BY doc_id ORDER BY i))
+ SELECT doc_id, string_agg(c, '' ORDER BY i) AS clean FROM l WHERE NOT (ord(c) = 65039 AND NOT regexp_matches(b, '[""" + chars.PICTOGRAPHS + r"""0-9#*\x{{00A9}}\x{{00AE}}]')) GROUP BY doc_id"""
+
+
 def age_profile(docs: DataFrame, ages: DataFrame, newest: float = 13.0) -> DataFrame:
     """doc_id, age, n, anomaly: characters of a text by the version that assigned them, from ages(lo, hi, age); later ones than `newest` are anomalies."""
     from glyphlake.operators.dimensions import counts_by

@@ -15,13 +15,25 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-OPEN, CLOSE = "([{", ")]}"
+
+def _brackets() -> dict[str, str]:
+    """Opening bracket -> closing one: the ASCII pairs, and mirrored openings that their closing follows."""
+    out = {"[": "]", "{": "}"}
+    for p in range(0x10000):
+        c, d = chr(p), chr(p + 1)
+        if unicodedata.category(c) == "Ps" and unicodedata.category(d) == "Pe" and unicodedata.mirrored(c) and unicodedata.mirrored(d):
+            out[c] = d
+    return out
+
+
+PAIRED = _brackets()
+CLOSING = set(PAIRED.values())
 
 
 def bidi_of(text: str) -> tuple[int, int, int, int, int]:
     """Unclosed embeddings, unclosed isolates, unmatched PDF, unmatched PDI, unbalanced brackets: three stacks of their own."""
     deep = isolates = pdf = pdi = bad = 0
-    stack: list[int] = []
+    stack: list[str] = []
     for c in text:
         if c in "‪‫‭‮":
             deep += 1
@@ -31,10 +43,10 @@ def bidi_of(text: str) -> tuple[int, int, int, int, int]:
             isolates += 1
         elif c == "⁩":
             pdi, isolates = (pdi, isolates - 1) if isolates else (pdi + 1, 0)
-        elif c in OPEN:
-            stack.append(OPEN.index(c))
-        elif c in CLOSE:
-            if stack and stack[-1] == CLOSE.index(c):
+        elif c in PAIRED:
+            stack.append(PAIRED[c])
+        elif c in CLOSING:
+            if stack and stack[-1] == c:
                 stack.pop()
             else:
                 bad += 1
@@ -185,37 +197,54 @@ def type_drift(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.explode(run("text")).alias("d")).select("doc_id", "d.*")
 
 
-LAYERS = 8
+_ESCAPE = re.compile(r"\\u([0-9a-fA-F]{4})|\\x([0-9a-fA-F]{2})")
+_OCTAL = re.compile(r"\\([0-3][0-7]{2})")
+_CALL = re.compile(r"(?i)\b(?:char|chr)\(\s*(\d{1,7})\s*\)")
+_BASE64 = re.compile(r"(?<![A-Za-z0-9+/=])[A-Za-z0-9+/]{16,}={0,2}(?![A-Za-z0-9+/=])")
+
+
+def _called(m: re.Match) -> str:
+    return chr(int(m[1])) if int(m[1]) < 0x110000 and not 0xD800 <= int(m[1]) < 0xE000 else m[0]
+
+
+def _unescaped(m: re.Match) -> str:
+    point = int(m[1] or m[2], 16)
+    return m[0] if 0xD800 <= point < 0xE000 else chr(point)
+
+
+def _unpacked(m: re.Match) -> str:
+    try:
+        out = base64.b64decode(m[0], validate=True).decode()
+    except ValueError:
+        return m[0]
+    return out if out.isprintable() else m[0]
+
+
+#: Layers in the order in which they are tried. Each makes a text shorter, so taking them off ends.
+STEPS = (
+    ("url", lambda t: unquote(t) if "%" in t else t),
+    ("html", lambda t: html.unescape(t) if "&" in t else t),
+    ("escape", lambda t: _ESCAPE.sub(_unescaped, t)),
+    ("octal", lambda t: _OCTAL.sub(lambda m: chr(int(m[1], 8)), t)),
+    ("call", lambda t: _CALL.sub(_called, t)),
+    ("base64", lambda t: _BASE64.sub(_unpacked, t)),
+)
 
 
 def decoded_of(text: str) -> tuple[str, list[str]]:
-    """The text after its layers (URL, entities, escapes, Base64) are taken off, and their names."""
+    """The text after its layers are taken off (URL, entities, escapes, octal, character calls, runs of Base64), and their names."""
     names: list[str] = []
-    for _ in range(LAYERS):
-        for name, step in (
-            ("url", lambda t: unquote(t) if "%" in t else t),
-            ("html", lambda t: html.unescape(t) if "&" in t else t),
-            ("escape", lambda t: re.sub(r"\\u([0-9a-fA-F]{4})|\\x([0-9a-fA-F]{2})", lambda m: chr(int(m[1] or m[2], 16)), t)),
-            ("base64", _base64),
-        ):
+    while True:
+        for name, step in STEPS:
             new = step(text)
             if new != text:
-                text = new
+                shorter, text = len(new) < len(text), new
                 names.append(name)
                 break
         else:
-            break
-    return text, names
-
-
-def _base64(t: str) -> str:
-    if len(t) <= 16 or len(t) % 4 or not re.fullmatch(r"[A-Za-z0-9+/]+={0,2}", t):
-        return t
-    try:
-        out = base64.b64decode(t, validate=True).decode()
-    except ValueError:
-        return t
-    return out if out.isprintable() else t
+            return text, names
+        if not shorter:
+            return text, names
 
 
 def recursive_deobfuscate(docs: DataFrame) -> DataFrame:

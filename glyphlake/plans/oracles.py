@@ -113,9 +113,9 @@ ORACLES = {
  SELECT doc_id, CAST(coalesce(total, 0) AS DOUBLE) AS total, CAST(coalesce("ascii", 0) AS BIGINT) AS "ascii", coalesce(systems, 0) AS systems, CAST(coalesce(total, 0) - coalesce("ascii", 0) AS DOUBLE) AS divergence FROM pdocs LEFT JOIN s USING (doc_id)""",
     "lens_identifier_policy": f"""WITH {_TOKEN.format(p='[' + chr(92) + 'p{L}' + chr(92) + 'p{N}' + chr(92) + 'p{M}_]+')} SELECT token, count(*) AS n, CASE WHEN NOT regexp_full_match(token, '[\\p{{L}}\\p{{Nl}}_][\\p{{L}}\\p{{Nl}}\\p{{Mn}}\\p{{Mc}}\\p{{Nd}}_]*') THEN 'restricted'
  WHEN len(translate(token, {quoted(_ODD)}, '')) < len(token) OR nfc_normalize(token) <> token THEN 'restricted' WHEN regexp_matches(token, '\\p{{Latin}}') AND regexp_matches(token, '\\p{{Cyrillic}}') THEN 'restricted' ELSE 'allowed' END AS policy FROM tok GROUP BY token""",
-    "atoms_graphemes": f"""WITH {_GRAPHEMES}, x AS (SELECT doc_id, unnest(l) AS g, generate_subscripts(l, 1) - 1 AS g_idx FROM g)
- SELECT doc_id, g_idx, g, length(g) AS n_cp, CAST(coalesce(sum(length(g)) OVER w, 0) AS BIGINT) AS cp_start, CAST(coalesce(sum(length(g) + {_ASTRAL}) OVER w, 0) AS BIGINT) AS unit_start FROM x
- WINDOW w AS (PARTITION BY doc_id ORDER BY g_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""",
+    "atoms_graphemes": f"""WITH {_GRAPHEMES}, x AS (SELECT doc_id, unnest(l) AS g, generate_subscripts(l, 1) - 1 AS i FROM g), y AS (SELECT doc_id, i, length(g) AS n, length(g) + {_ASTRAL} AS u FROM x),
+ z AS (SELECT doc_id, i, n, u, coalesce(sum(n) OVER w, 0) AS cp, coalesce(sum(u) OVER w, 0) AS unit FROM y WINDOW w AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+ SELECT doc_id, count(*) AS graphemes, CAST(sum(n) AS BIGINT) AS cp_end, CAST(sum(u) AS BIGINT) AS unit_end, sha256(string_agg(cp || ':' || unit, ',' ORDER BY i)) AS places FROM z GROUP BY doc_id""",
     "profile_graphemes": f"""WITH {_GRAPHEMES} SELECT doc_id, CAST(len(l) AS BIGINT) AS graphemes, CAST(len(list_filter(l, lambda x: length(x) = 1)) AS BIGINT) AS single, CAST(len(list_filter(l, lambda x: length(x) > 1)) AS BIGINT) AS multi,
  CAST(len(regexp_extract_all(text, '\\p{{M}}')) AS BIGINT) AS marks, CAST(coalesce(list_max(list_transform(l, lambda x: len(regexp_extract_all(x, '\\p{{M}}')))), 0) AS BIGINT) AS most_marks,
  CASE WHEN len(l) > 0 THEN len(regexp_extract_all(text, '\\p{{M}}')) / CAST(len(l) AS DOUBLE) ELSE 0 END AS average_marks FROM g""",
@@ -186,6 +186,9 @@ ORACLES["emoji_forms"] = (
     "WITH e(k, seq, kind, parts, points, bytes, qualification, diagnosis, forced_text) AS (VALUES " + ", ".join(f"({i}, {', '.join(map(quoted, e))})" for i, e in enumerate(EMOJI)) + ")"
     " SELECT doc_id, seq, kind, parts, CAST(points AS BIGINT) AS points, CAST(bytes AS BIGINT) AS bytes, qualification, diagnosis, forced_text, CAST(1 AS BIGINT) AS n FROM documents JOIN e ON doc_id % 7 = k"
 )
+#: The same forms with loose joiners and selectors beside them.
+ADD_LOOSE = "concat(text, 'a\u200db\ufe0f \u200d ', " + ADD_EMOJI.removeprefix("concat(text, ' ', ")
+ORACLES["remedy_smart"] = profiles.SMART.replace("{text}", ADD_LOOSE).replace("{{", "{").replace("}}", "}")
 ORACLES["profile_partition"] = "SELECT doc_id, CAST(len(regexp_extract_all(text, '\\p{S}')) AS BIGINT) AS text_symbols, CAST(CASE WHEN doc_id % 7 = 3 THEN 1 ELSE 0 END AS BIGINT) AS hybrids, CAST(CASE WHEN doc_id % 7 = 3 THEN 0 ELSE 1 END AS BIGINT) AS emoji FROM documents"
 #: Documents (without ampersands, which could start an entity) in one layer: blanks as in URLs, entities, escapes, or all of it in Base64.
 LAYERED = """CASE doc_id % 4 WHEN 0 THEN replace(replace(text, '%', '%25'), ' ', '%20') WHEN 1 THEN replace(text, 'a', '&#97;') WHEN 2 THEN replace(text, 'e', '\\u0065') ELSE {b} END"""

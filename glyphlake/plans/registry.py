@@ -156,6 +156,15 @@ def html_fis(spark: SparkSession, sf_dir: str) -> DataFrame:
     return structure.fis_score(html_hidden_text(spark, sf_dir))
 
 
+def stream_tumbling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stream.tumbling(read(spark, sf_dir, "events"))
+
+
+def remedy_smart(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that emoji, and joiners and selectors outside of them, were added to."""
+    return profiles.smart(read(spark, sf_dir, "documents").selectExpr("doc_id", f"{oracles.ADD_LOOSE} AS text"))
+
+
 def stream_sliding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stream.sliding(read(spark, sf_dir, "events"))
 
@@ -165,7 +174,7 @@ def stream_debounced(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def atoms_graphemes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return atoms.graphemes(pdocs(spark, sf_dir))
+    return atoms.grapheme_places(pdocs(spark, sf_dir))
 
 
 def profile_graphemes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -236,7 +245,7 @@ def profile_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profiles.partition(read(spark, sf_dir, "documents").selectExpr("doc_id", f"{oracles.ADD_EMOJI} AS text"))
 
 
-PROPERTIES = {f.__name__: f for f in (states_forms, pairs_audit, html_ghost_text, lens_punycode, sequential_type_drift, emoji_forms, profile_partition)}
+PROPERTIES = {f.__name__: f for f in (states_forms, pairs_audit, html_ghost_text, lens_punycode, sequential_type_drift, emoji_forms, profile_partition, remedy_smart)}
 PROPERTIES |= {
     "profile_encoding_evidence": _of_pdocs(lambda d: atoms.encoding_evidence(d).withColumn("explained_by", F.array_join("explained_by", ","))),
     "atoms_encoding_stacks": _of_pdocs(profiles.encoding_stacks), "atlas_components": _of_pdocs(profiles.components), "token_payload_entropy": _of_pdocs(profiles.payloads),
@@ -251,8 +260,8 @@ PROPERTIES |= {
     "integrity_mark_structure": _of_pdocs(properties.mark_structure), "provenance_numeric_mass": _of_pdocs(properties.numeric_mass),
     "lens_identifier_policy": identifier_policies, "shape_script_structure": _of_pdocs(properties.script_structure),
 }
-PLACED = {f.__name__: f for f in (flag_positions, shape_category_runs, flag_all, stream_sliding, stream_debounced)}
-PLACED_SQL = {"atoms_codepoint_counts": atoms.CODEPOINT_COUNTS, "stats_char_entropy": atoms.CHAR_ENTROPY, "stream_sliding": stream.SLIDING, "stream_debounced": stream.DEBOUNCED, "flag_all": atoms.flag_totals_sql(), "flag_positions": atoms.flag_positions_sql(), "shape_category_runs": atoms.category_runs_sql()}
+PLACED = {f.__name__: f for f in (flag_positions, shape_category_runs, flag_all, stream_tumbling, stream_sliding, stream_debounced)}
+PLACED_SQL = {"stream_tumbling": stream.TUMBLING, "atoms_codepoint_counts": atoms.CODEPOINT_COUNTS, "stats_char_entropy": atoms.CHAR_ENTROPY, "stream_sliding": stream.SLIDING, "stream_debounced": stream.DEBOUNCED, "flag_all": atoms.flag_totals_sql(), "flag_positions": atoms.flag_positions_sql(), "shape_category_runs": atoms.category_runs_sql()}
 
 #: Operators with state inside a text. Those without an oracle are held against literal vectors by the tests.
 ROWS_ONLY = {f.__name__: f for f in (atoms_graphemes, profile_graphemes, profile_encodings, sequential_bidi, sequential_topology, sequential_deobfuscate, sequential_lz_complexity, states_quad, states_inflation, states_collisions, pairs_states, html_hidden_text, html_fis)}

@@ -35,6 +35,7 @@ _BARE = {
     "percentile(": ("percentile(", "quantile_cont("),
     "@sha": ("sha2(text, 256)", "sha256(text)"),
     "explode(": ("explode(", "unnest("),
+    "sequence(": ("sequence(", "generate_series("),
     "regexp_like(": ("regexp_like(", "regexp_matches("),
 }
 

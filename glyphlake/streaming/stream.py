@@ -64,6 +64,7 @@ def changed(docs: DataFrame, forget: int | None = None) -> DataFrame:
     return digests.groupBy("doc_id").applyInPandasWithState(step, out, "digest string, version long", "append", timeout)
 
 
+TUMBLING = "SELECT time_bucket(INTERVAL '1 hour', ts) AS start, event_type, count(*) AS n, sum(value) AS total FROM events GROUP BY ALL"
 SLIDING = """SELECT start, event_type, count(*) AS n FROM (SELECT event_type, unnest([time_bucket(INTERVAL '15 minutes', ts) - k * INTERVAL '15 minutes' for k in [0, 1, 2, 3]]) AS start FROM events) GROUP BY ALL"""
 DEBOUNCED = """WITH g AS (SELECT *, CASE WHEN ts <= lag(ts) OVER w + INTERVAL '400 milliseconds' THEN 0 ELSE 1 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
  s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS burst FROM g) SELECT user_id, min(ts) AS start, max_by(event_id, (ts, event_id)) AS event_id FROM s GROUP BY user_id, burst"""

@@ -19,6 +19,11 @@ def test_vectors():
     assert structure.bidi_of("⁦abc‬") == (0, 1, 1, 0, 0)
     assert structure.bidi_of("([)]") == (0, 0, 0, 0, 2)
     assert structure.decoded_of("%2522") == ('"', ["url", "url"])
+    assert structure.decoded_of("a \\141\\u0062 CHAR(99) d") == ("a ab c d", ["escape", "octal", "call"])
+    assert structure.decoded_of("see aGVsbG8gd29ybGQhISE= now") == ("see hello world!!! now", ["base64"])
+    assert structure.decoded_of("%41" * 40)[0] == "A" * 40 and structure.decoded_of("\\ud800 chr(55296)") == ("\\ud800 chr(55296)", [])
+    assert structure.decoded_of("%25" * 1 + "25" * 20 + "41")[1] == ["url"] * 22
+    assert structure.bidi_of("\u3010a\u3011 \u2045b\u2046 \u300c\u300f") == (0, 0, 0, 0, 2)
     assert normal.lz76_of("") == 0 and normal.lz76_of("aaaa") == 2
     assert normal.punycode_of("xn--mnchen-3ya.de") == "münchen.de"
 
