@@ -47,13 +47,13 @@ def grapheme_places(docs: DataFrame) -> DataFrame:
 
 def distinct_counts(text: str = "text") -> F.Column:
     """array<struct<c, n>>: the distinct characters of a text and how often each is there (a text has few)."""
-    chars = F.array_distinct(F.regexp_extract_all(text, F.lit("(?s)(.)"), F.lit(1)))
+    chars = F.array_distinct(F.split(text, ""))
     return F.transform(chars, lambda c: F.struct(c.alias("c"), ((F.length(text) - F.length(F.replace(F.col(text), c, F.lit("")))) / F.length(c)).cast("long").alias("n")))
 
 
 def codepoint_counts(docs: DataFrame) -> DataFrame:
     """c, n, docs: each character, how often it is there and in how many texts; counted inside each text first."""
-    rows = docs.select(F.explode(distinct_counts()).alias("x"))
+    rows = docs.where("text <> ''").select(F.explode(distinct_counts()).alias("x"))
     return rows.groupBy("x.c").agg(F.sum("x.n").alias("n"), F.count("*").alias("docs"))
 
 

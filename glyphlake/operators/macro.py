@@ -51,6 +51,10 @@ def any_of(flags: tuple[str, ...]) -> str:
     return "[" + "".join(chars.FLAGS[k][1].strip("[]") for k in flags) + "]"
 
 
+#: Printable ASCII but for brackets, which no flag of THREATS names; most of a text.
+PLAIN = r"[\x{0009}\x{000A}\x{000D}\x{0020}-\x{0027}\x{002A}-\x{005A}\x{005C}\x{005E}-\x{007A}\x{007C}\x{007E}]+"
+
+
 def segments(docs: DataFrame) -> DataFrame:
     """doc_id, seg, n_seg, start, end, cls (class letters), part (its text) of docs(doc_id, text).
 
@@ -61,8 +65,7 @@ def segments(docs: DataFrame) -> DataFrame:
     rows = docs.where("text <> ''").select("doc_id", "text", class_string().alias("all")).withColumn("t", F.length("all").cast("long"))
     rows = rows.withColumn("n_seg", F.least(F.lit(SEGMENTS), "t").cast("long"))
     # Places of graphemes are those of code points unless some have several.
-    g = F.when(F.length("text") != F.col("t"), F.regexp_extract_all("text", F.lit(r"(\X)"), F.lit(1)))
-    rows = rows.withColumn("g", F.when(F.col("text").rlike(any_of(THREATS)), g))
+    rows = rows.withColumn("g", F.when(F.length("text") != F.col("t"), F.regexp_extract_all("text", F.lit(r"(\X)"), F.lit(1))))
 
     def cut(seg):
         start, end = F.floor(seg * F.col("t") / F.col("n_seg")), F.floor((seg + 1) * F.col("t") / F.col("n_seg"))
@@ -116,13 +119,14 @@ def statistics() -> list[F.Column]:
 def metrics(segs: DataFrame) -> DataFrame:
     """Run statistics of each segment."""
     rows = histogram(segs.withColumn("runs", F.expr(_RUNS)))
+    rows = rows.withColumn("rest", F.regexp_replace("part", PLAIN, ""))
     rows = rows.withColumn("content_volume", _letters_of("C")).withColumn("gap_volume", _letters_of("S")).withColumn("gaps", F.regexp_count("cls", F.lit("S+")).cast("long"))
     return rows.select(
         "doc_id", "seg", "n_seg", "start", "end", F.expr("length(cls)").cast("long").alias("volume"), "content_volume", F.col("n").alias("run_count"), *statistics(),
         F.col("gaps").alias("space_runs"),
         F.expr("if(gaps > 0, gap_volume / gaps, 0D)").alias("avg_space_length"),
         *[_letters_of(c).alias(k) for c, k in (("N", "line_breaks"), ("B", "bidi_atoms"), ("J", "join_atoms"), ("O", "other_invisibles"))],
-        *[F.regexp_count("part", F.lit(any_of(flags))).cast("long").alias(k) for k, flags in (("threats_all", THREATS), ("threats_critical", CRITICAL))],
+        *[F.regexp_count("rest", F.lit(any_of(flags))).cast("long").alias(k) for k, flags in (("threats_all", THREATS), ("threats_critical", CRITICAL))],
         "gap_volume", "runs", "vals", "counts",
     )
 
