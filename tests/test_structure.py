@@ -35,6 +35,15 @@ def test_hidden_html(spark):
     assert structure.fis_score(structure.html_hidden(spark.createDataFrame([(1, markup)], "page_id long, html string"))).first().fis == 9
 
 
+LONG_PAGE = "<p>" + "word & more &amp; words<br> " * 6000 + '</p></b><p style="display:none">x</p>'
+
+
+def test_severity_of_a_long_page(spark):
+    """What lies beyond 100,000 characters counts; the query adds its hidden text at the end of a page."""
+    pages = spark.createDataFrame([(1, LONG_PAGE)], "page_id long, html string")
+    assert [tuple(r) for r in structure.fis_score(structure.html_hidden(pages)).collect()] == [(1, 3)]
+
+
 def test_topology():
     assert structure.topology_of('a,b;x\n"1,2",3\n=c,d,e') == {"delimiter": ",", "columns": 2, "ragged": 1, "injections": 1}
     assert structure.topology_of("plain")["delimiter"] is None
