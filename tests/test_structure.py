@@ -44,6 +44,11 @@ def test_severity_of_a_long_page(spark):
     assert [tuple(r) for r in structure.fis_score(structure.html_hidden(pages)).collect()] == [(1, 3)]
 
 
+def test_ghosts_of_a_long_page(spark):
+    pages = spark.createDataFrame([(1, LONG_PAGE)], "page_id long, html string")
+    assert [tuple(r) for r in structure.ghost_text(structure.html_hidden(pages)).collect()] == [(1, "[layout: p] x", 1)]
+
+
 def test_topology():
     assert structure.topology_of('a,b;x\n"1,2",3\n=c,d,e') == {"delimiter": ",", "columns": 2, "ragged": 1, "injections": 1}
     assert structure.topology_of("plain")["delimiter"] is None
