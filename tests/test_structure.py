@@ -49,6 +49,11 @@ def test_ghosts_of_a_long_page(spark):
     assert [tuple(r) for r in structure.ghost_text(structure.html_hidden(pages)).collect()] == [(1, "[layout: p] x", 1)]
 
 
+@pytest.mark.parametrize("filler", ["<b>" * 40_000 + "</i>" * 40_000 + "</b>" * 40_000, "a" * 300_000, "<p>a</p>" * 50_000, "<!-- a -->" * 20_000])
+def test_hidden_text_behind_long_markup(filler):
+    assert structure.hidden_of(filler + '<p style="display:none">x</p>') == [("layout", "p", "x")]
+
+
 def test_topology():
     assert structure.topology_of('a,b;x\n"1,2",3\n=c,d,e') == {"delimiter": ",", "columns": 2, "ragged": 1, "injections": 1}
     assert structure.topology_of("plain")["delimiter"] is None
