@@ -106,10 +106,12 @@ def sequential_type_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sequential_deobfuscate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents that a layer was put on."""
-    layered = oracles.LAYERED.replace("{b}", "base64(encode(replace(text, chr(10), ' '), 'UTF-8'))").replace("\\u0065", "\\\\u0065")
+    """Documents that a layer was put on: those that the oracle's SQL names, so no Base64 on texts of 12 bytes or fewer."""
+    line, packed = "replace(text, chr(10), ' ')", "replace(base64(encode({}, 'UTF-8')), chr(13) || chr(10), '')"
+    last = f"CASE WHEN doc_id % 4 = 3 AND octet_length(text) > 12 THEN {packed.format(line)} WHEN doc_id % 4 = 3 THEN {line} ELSE text END"
+    layered = oracles.LAYERED.replace("{b}", last).replace("\\u0065", "\\\\u0065")
     docs = read(spark, sf_dir, "documents").selectExpr("doc_id", "replace(text, '&', '+') AS text").selectExpr("doc_id", f"{layered} AS text")
-    return structure.recursive_deobfuscate(docs.withColumn("text", F.regexp_replace("text", "\r\n", ""))).withColumn("layers", F.array_join("layers", ","))
+    return structure.recursive_deobfuscate(docs).withColumn("layers", F.array_join("layers", ","))
 
 
 def emoji_forms(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -54,6 +54,20 @@ def test_hidden_text_behind_long_markup(filler):
     assert structure.hidden_of(filler + '<p style="display:none">x</p>') == [("layout", "p", "x")]
 
 
+def test_layers_of_odd_documents_are_the_oracle(spark, tmp_path):
+    import duckdb
+    from glyphlake.plans import registry
+
+    texts = [None, "", "Thtion.", "12 bytes a\nb", "13 bytes a\nbc", "\u00c9aux.", "tab\there and\r\nthere", "zero\u200bwidth joiner\u00a0", "ein demereinheitlich Wort", "10%deutsch", "100% &amp;"]
+    rows = [(i, t) for k, t in enumerate(texts) for i in (None, -1, -4, *range(4 * k, 4 * k + 4))]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    df = registry.queries()["sequential_deobfuscate"](spark, str(tmp_path)).select("doc_id", "plain", "layers")
+    with duckdb.connect() as con:
+        con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+        want = con.execute(f"SELECT doc_id, plain, layers FROM ({registry.oracle_sql()['sequential_deobfuscate']})").fetchall()
+    assert sorted(map(str, want)) == sorted(str(tuple(r)) for r in df.collect())
+
+
 def test_topology():
     assert structure.topology_of('a,b;x\n"1,2",3\n=c,d,e') == {"delimiter": ",", "columns": 2, "ragged": 1, "injections": 1}
     assert structure.topology_of("plain")["delimiter"] is None
