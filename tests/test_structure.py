@@ -54,6 +54,14 @@ def test_hidden_text_behind_long_markup(filler):
     assert structure.hidden_of(filler + '<p style="display:none">x</p>') == [("layout", "p", "x")]
 
 
+def test_words_are_no_layer():
+    for word in ("demereinheitlich", "Teerheitkeitlich", "eineinvereinlich", "einstacheinstach"):
+        assert structure.decoded_of(f"in {word} den") == (f"in {word} den", [])
+    assert structure.decoded_of("MTAwJSBzdXJlIGFib3V0IGl0") == ("100% sure about it", ["base64"])
+    assert structure.decoded_of("YQlixaDwn5Go4oCN8J+RqSBjIGQgZSBm") == ("a\tb\u0160\U0001f468\u200d\U0001f469 c d e f", ["base64"])
+    assert structure.decoded_of("10%deutsch %c3%a4%DF%41") == ("10%deutsch \u00e4%DFA", ["url"])
+
+
 def test_layers_of_odd_documents_are_the_oracle(spark, tmp_path):
     import duckdb
     from glyphlake.plans import registry
