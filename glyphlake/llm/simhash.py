@@ -233,6 +233,9 @@ RECALL, LEAST_RUN, RUN_DOCS = 0.97, 12, 256
 #: Fingerprints of a cell that a task walks at once (larger cells, of a hot group, are dealt into blocks, and one of each joined
 #: group goes on); those whose pairs are listed without looking for a hub; one in so many is counted to find large cells.
 WIDE_CELL, PAIRS_AT_ONCE, COUNTED = 1 << 12, 1 << 9, 16
+#: Rows of one shingle that are held against each other at once (more are dealt into blocks, and every two blocks meet); documents of the
+#: sample that tells frequent shingles, and shingles of that list.
+EXACT_CELL, LISTED_DOCS, LISTED = 1 << 10, 20_000, 1 << 16
 
 
 def shingles(text: str | None, words: dict[bytes, int]) -> np.ndarray:
@@ -288,17 +291,24 @@ def runs_for(n: int) -> tuple[int, int]:
 
 
 def wide_fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, key (a hash of the text), f0 to f3 (the fingerprint) for every row of docs(doc_id, text)."""
+    """doc_id, key (a hash of the text), size (shingles), f0 to f3 (the fingerprint), p0 to p3 (the parity) for every row of docs(doc_id, text)."""
     prepare(docs.sparkSession)
-    names = [f"f{k}" for k in range(WIDE // 64)]
+    names = [f"{c}{k}" for c in "fp" for k in range(WIDE // 64)]
 
     def run(c):
         words = _Words()
-        found = np.array([wide_fingerprint(shingles(x, words)) for x in c["text"]]).view(np.int64)
-        return {"doc_id": c["doc_id"], "key": c["key"]} | {n: found[:, k].tolist() for k, n in enumerate(names)}
+        sets = [shingles(x, words) for x in c["text"]]
+        found = np.array([np.concatenate([wide_fingerprint(x), parity(x)]) for x in sets]).view(np.int64)
+        return {"doc_id": c["doc_id"], "key": c["key"], "size": [len(x) for x in sets]} | {n: found[:, k].tolist() for k, n in enumerate(names)}
 
     rows = docs.select("doc_id", F.xxhash64("text").alias("key"), "text")
-    return map_rows(rows, "doc_id long, key long, " + ", ".join(f"{n} long" for n in names), run)
+    return map_rows(rows, "doc_id long, key long, size long, " + ", ".join(f"{n} long" for n in names), run)
+
+
+def parity(hashes: np.ndarray) -> np.ndarray:
+    """WIDE bits: whether a bin holds an odd number of hashes. Two sets differ in at least as many shingles as their parities do in bits."""
+    odd = np.bincount((hashes % np.uint64(WIDE)).astype(np.int64), minlength=WIDE) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.uint64)
 
 
 def _bits(words: np.ndarray) -> np.ndarray:
@@ -460,6 +470,108 @@ def similar(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     return pairs.where(both >= SIMILARITY * (F.size("_a") + F.size("_b") - both)).drop("_a", "_b")
 
 
+def _prefix(h: np.ndarray, listed: np.ndarray, times: np.ndarray) -> np.ndarray:
+    """The first shingles of a set: unlisted ones by value, then listed ones from the rarest. Sets at SIMILARITY share one of them."""
+    n = int((1 - SIMILARITY) * len(h) + 1e-6) + 1
+    if not len(listed):
+        return h[:n]
+    at = np.minimum(np.searchsorted(listed, h), len(listed) - 1)
+    known = listed[at] == h
+    last = h[known]
+    return np.concatenate([h[~known], last[np.lexsort((last, times[at[known]]))]])[:n]
+
+
+def _shingle_rows(docs: DataFrame, listed: np.ndarray | None = None, times: np.ndarray | None = None) -> DataFrame:
+    """token, key for each shingle of different texts (of their prefix, if there is a list); a text may come once a task."""
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for batch in batches:
+            words, keys, tokens = _Words(), [], []
+            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if key not in seen:
+                    seen.add(key)
+                    h = shingles(text, words)
+                    if len(h):
+                        tokens.append(h if listed is None else _prefix(h, listed, times))
+                        keys.append(np.full(len(tokens[-1]), key, np.int64))
+            if keys:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(keys))], ["token", "key"])
+
+    return docs.select(F.xxhash64("text").alias("key"), "text").mapInArrow(deal, "token long, key long")
+
+
+def _several(t: pa.Table) -> pa.Table:
+    """Rows of whole tokens, without repeats, of tokens that two or more texts have."""
+    token, key = t.column("token").to_numpy(), t.column("key").to_numpy()
+    new = np.concatenate([[True], (token[1:] != token[:-1]) | (key[1:] != key[:-1])])
+    token, key = token[new], key[new]
+    same = token[1:] == token[:-1]
+    some = np.concatenate([same, [False]]) | np.concatenate([[False], same])
+    return pa.table({"token": token[some], "key": key[some]})
+
+
+def _open_pairs(t: pa.Table) -> pa.Table:
+    """Of whole cells (token, lo, hi, key, root, size, p0 to p3): pairs of texts of different root that size and parity leave open."""
+    cell = np.column_stack([t.column(c).to_numpy() for c in ("token", "lo", "hi")])
+    key, root, size = (t.column(c).to_numpy() for c in ("key", "root", "size"))
+    odd = np.column_stack([t.column(f"p{k}").to_numpy() for k in range(WIDE // 64)]).view(np.uint64)
+    starts = np.flatnonzero(np.concatenate([[True], (cell[1:] != cell[:-1]).any(axis=1)]))
+    none = np.zeros(0, np.int64)
+    out = [(none, none, none)]
+    for s, e in zip(starts, np.append(starts[1:], len(cell)), strict=True):
+        for i in range(s, e - 1):
+            j = np.arange(i + 1, e)
+            j = j[(root[j] != root[i]) & (np.minimum(size[j], size[i]) >= SIMILARITY * np.maximum(size[j], size[i]) - 1e-6)]
+            far = np.bitwise_count(odd[j] ^ odd[i]).sum(axis=1).astype(np.int64)
+            near = far <= (1 - SIMILARITY) / (1 + SIMILARITY) * (size[j] + size[i]) + 1e-6
+            if near.any():
+                out.append((np.full(near.sum(), i), j[near], far[near]))
+    i, j, far = (np.concatenate(x) for x in zip(*out, strict=True))
+    swap = key[i] > key[j]
+    i, j = np.where(swap, j, i), np.where(swap, i, j)
+    return pa.table({"a": key[i], "b": key[j], "root_a": root[i], "root_b": root[j], "far": far})
+
+
+def left_links(docs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links (a, b) between roots for every two texts of SIMILARITY or more that have different roots, so that none is left out.
+
+    texts: key, doc_id, root, size, p0 to p3, a row for each different text of docs. Two sets at SIMILARITY share a shingle of
+    their prefixes, whatever the order of shingles; frequent ones, by a sample, come last, which only makes cells smaller.
+    """
+    prepare(docs.sparkSession)
+    every = max(1, texts.count() // LISTED_DOCS)
+    some = _shingle_rows(docs.where(F.pmod(F.xxhash64("text", F.lit(1)), F.lit(every)) == 0)).distinct().groupBy("token").agg(F.count("*").alias("n"))
+    listed = some.where("n > 2").orderBy(F.desc("n"), "token").limit(LISTED).toPandas()
+    order = np.argsort(listed["token"].to_numpy(np.int64).view(np.uint64))
+    rows = _shingle_rows(docs, listed["token"].to_numpy(np.int64).view(np.uint64)[order], listed["n"].to_numpy(np.int64)[order])
+    shared = materialize(map_groups(rows, ["token"], ["key"], "token long, key long", _several))
+    rooted = materialize(shared.join(texts.select("key", "root"), "key"))
+    sizes = rooted.groupBy("token").agg(F.min("root").alias("_a"), F.max("root").alias("_b"), F.count("*").alias("n")).where("_a < _b")
+    cells = rooted.join(sizes.select("token", F.ceil(F.col("n") / EXACT_CELL).cast("int").alias("blocks")), "token")
+    cells = cells.withColumn("own", F.pmod(F.xxhash64("key", F.lit(2)), "blocks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    odd = [f"p{k}" for k in range(WIDE // 64)]
+    cells = cells.join(texts.select("key", "size", *odd), "key")
+    cells = cells.select("token", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "key", "root", "size", *odd)
+    found = map_groups(cells, ["token", "lo", "hi"], [], "a long, b long, root_a long, root_b long, far long", _open_pairs)
+    found = found.select("a", "b", F.least("root_a", "root_b").alias("lo"), F.greatest("root_a", "root_b").alias("hi"), "far")
+    found = materialize(found.dropDuplicates(["a", "b"]))
+
+    def alike(pairs: DataFrame) -> DataFrame:
+        ends = pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key"))).distinct()
+        nodes = texts.join(ends, "key").select(F.col("key").alias("id"), "doc_id", "key")
+        return materialize(similar(docs, materialize(nodes), pairs).select(F.col("lo").alias("a"), F.col("hi").alias("b")).distinct())
+
+    # The closest pair of every two roots, then the pairs of roots that these leave apart.
+    first = materialize(found.groupBy("lo", "hi").agg(F.min(F.struct("far", "a", "b")).alias("x")).select("x.a", "x.b", "lo", "hi"))
+    links = alike(first)
+    joined = materialize(connected_components(links))
+    for side in ("lo", "hi"):
+        found = found.join(joined.select(F.col("node").alias(side), F.col("root").alias(f"_{side}")), side, "left")
+    rest = found.where(F.coalesce("_lo", "lo") != F.coalesce("_hi", "hi")).select("a", "b", "lo", "hi").join(first.select("a", "b"), ["a", "b"], "left_anti")
+    return links.union(alike(materialize(rest)))
+
+
 def groups(docs: DataFrame) -> DataFrame:
     """doc_id, key (a hash of the text), root_id, root_key for every different (doc_id, text): the first of its group.
 
@@ -478,7 +590,11 @@ def groups(docs: DataFrame) -> DataFrame:
     nodes = materialize(unique.join(ends, "id").select("id", "rep.doc_id", "rep.key"))
     more = similar(docs, nodes, between).select(F.col("lo").alias("a"), F.col("hi").alias("b"))
     root = materialize(connected_components(root.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more)))
-    owner = unique.join(root.select(F.col("node").alias("id"), "root"), "id", "left").select(*names, "rep", F.coalesce("root", "id").alias("root"))
+    owner = materialize(unique.join(root.select(F.col("node").alias("id"), "root"), "id", "left").select(*names, "rep", F.coalesce("root", "id").alias("root")))
+    texts = fps.groupBy("key").agg(F.min(F.struct("doc_id", "size", *names, *(f"p{k}" for k in range(WIDE // 64)))).alias("x")).select("key", "x.*")
+    texts = materialize(texts.join(owner.select(*names, "root"), names).drop(*names))
+    last = materialize(connected_components(left_links(docs, texts)))
+    owner = owner.join(last.select(F.col("node").alias("root"), F.col("root").alias("_last")), "root", "left").select(*names, "rep", F.coalesce("_last", "root").alias("root"))
     best = materialize(owner.groupBy("root").agg(F.min("rep").alias("best")))
     owner = materialize(owner.join(best, "root").select(*names, "best"))
     return fps.join(owner, names).select("doc_id", "key", F.col("best.doc_id").alias("root_id"), F.col("best.key").alias("root_key"))

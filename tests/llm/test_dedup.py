@@ -94,6 +94,31 @@ def test_recall_of_links_at_the_limit(spark):
     assert len(got) - 300 <= 24
 
 
+@pytest.mark.parametrize("cell, tries", [(1 << 10, None), (2, None), (1 << 10, (1, 40))])
+def test_no_link_is_left_out(spark, monkeypatch, cell, tries):
+    """All links at the limit, and short texts, whose fingerprints tell little; with cells in blocks, and with hardly any trie."""
+    monkeypatch.setattr(simhash, "EXACT_CELL", cell)
+    if tries:
+        monkeypatch.setattr(simhash, "runs_for", lambda n: tries)
+    rng = random.Random(11)
+    texts = []
+    for k in range(150):
+        words = ["".join(rng.choices("abcdefghijklmnop", k=6)) for _ in range(450)]
+        copy = list(words)
+        for at in range(20, 450, 50):
+            copy[at] = "changed" + copy[at]
+        texts += [" ".join(words), " ".join(copy)]
+        texts += [" ".join(words[: 8 + k % 9]), " ".join(words[: 9 + k % 9])]
+    assert kept(spark, texts) == sorted(set(roots(texts)))
+
+
+def test_frequent_shingles_come_last():
+    h = np.arange(1, 21, dtype=np.uint64)
+    assert simhash._prefix(h, np.array([1, 2, 40], np.uint64), np.array([5, 3, 9])).tolist() == [3, 4, 5, 6, 7]
+    assert simhash._prefix(h[:2], np.array([1, 2], np.uint64), np.array([5, 3])).tolist() == [2]
+    assert simhash._prefix(h[:5], h[:0], h[:0]).tolist() == [1, 2]
+
+
 def test_rows_and_columns(spark):
     """Repeated ids with other texts are documents of their own; null ids; extra columns keep their names."""
     rows = [(2, "a b c d e f g"), (5, "a b c d e f g"), (5, "h i j k l m"), (7, "n o p q r"), (7, "s t u v w"), (None, "x y z x y"), (None, "a b c d e f g"), (9, "lone words here"), (9, "lone words here")]
