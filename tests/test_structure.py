@@ -62,6 +62,11 @@ def test_words_are_no_layer():
     assert structure.decoded_of("10%deutsch %c3%a4%DF%41") == ("10%deutsch \u00e4%DFA", ["url"])
 
 
+def test_numbers_are_no_layer():
+    for run in ("2604566437487767", "7729240707442781", "2585452746673613"):
+        assert structure.decoded_of(f"card {run}, paid") == (f"card {run}, paid", [])
+
+
 def test_layers_of_odd_documents_are_the_oracle(spark, tmp_path):
     import duckdb
     from glyphlake.plans import registry
