@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import connected_components, map_groups, map_rows, materialize, prepare, spanning
+from .common import brief_shuffles, connected_components, discard, map_groups, map_rows, materialize, prepare, spanning
 
 BITS, BUDGET, SHINGLE, SEED = 64, 2, 3, 42
 #: Fingerprints of one cell that a task may walk at once, and the levels that a split takes; fingerprints that share the bits
@@ -291,7 +291,7 @@ def runs_for(n: int) -> tuple[int, int]:
 
 
 def wide_fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, key (a hash of the text), size (shingles), f0 to f3 (the fingerprint), p0 to p3 (the parity) for every row of docs(doc_id, text)."""
+    """doc_id, key (a hash of the text), size (shingles), f0 to f3 (the fingerprint), p0 to p3 (the parity), bins (the counts) for every row of docs(doc_id, text)."""
     prepare(docs.sparkSession)
     names = [f"{c}{k}" for c in "fp" for k in range(WIDE // 64)]
 
@@ -299,10 +299,10 @@ def wide_fingerprints(docs: DataFrame) -> DataFrame:
         words = _Words()
         sets = [shingles(x, words) for x in c["text"]]
         found = np.array([np.concatenate([wide_fingerprint(x), parity(x)]) for x in sets]).view(np.int64)
-        return {"doc_id": c["doc_id"], "key": c["key"], "size": [len(x) for x in sets]} | {n: found[:, k].tolist() for k, n in enumerate(names)}
+        return {"doc_id": c["doc_id"], "key": c["key"], "size": [len(x) for x in sets], "bins": [counts(x) for x in sets]} | {n: found[:, k].tolist() for k, n in enumerate(names)}
 
     rows = docs.select("doc_id", F.xxhash64("text").alias("key"), "text")
-    return map_rows(rows, "doc_id long, key long, size long, " + ", ".join(f"{n} long" for n in names), run)
+    return map_rows(rows, "doc_id long, key long, size long, bins binary, " + ", ".join(f"{n} long" for n in names), run)
 
 
 def parity(hashes: np.ndarray) -> np.ndarray:
@@ -311,6 +311,11 @@ def parity(hashes: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(np.uint64)
 
 
+def counts(hashes: np.ndarray) -> bytes:
+    """The number of hashes in each of WIDE bins, 255 at most. Two sets differ in at least as many shingles as these do in all, also if they are long."""
+    return np.minimum(np.bincount((hashes % np.uint64(WIDE)).astype(np.int64), minlength=WIDE), 255).astype(np.uint8).tobytes()
+
+
 def _bits(words: np.ndarray) -> np.ndarray:
     return np.unpackbits(np.ascontiguousarray(words).view(np.uint8), axis=1)
 
@@ -518,25 +523,47 @@ def _open_pairs(t: pa.Table) -> pa.Table:
     odd = np.column_stack([t.column(f"p{k}").to_numpy() for k in range(WIDE // 64)]).view(np.uint64)
     starts = np.flatnonzero(np.concatenate([[True], (cell[1:] != cell[:-1]).any(axis=1)]))
     none = np.zeros(0, np.int64)
-    out = [(none, none, none)]
+    out = [(none, none)]
     for s, e in zip(starts, np.append(starts[1:], len(cell)), strict=True):
         for i in range(s, e - 1):
             j = np.arange(i + 1, e)
             j = j[(root[j] != root[i]) & (np.minimum(size[j], size[i]) >= SIMILARITY * np.maximum(size[j], size[i]) - 1e-6)]
             far = np.bitwise_count(odd[j] ^ odd[i]).sum(axis=1).astype(np.int64)
-            near = far <= (1 - SIMILARITY) / (1 + SIMILARITY) * (size[j] + size[i]) + 1e-6
+            near = far <= _may_differ(size[j] + size[i])
             if near.any():
-                out.append((np.full(near.sum(), i), j[near], far[near]))
-    i, j, far = (np.concatenate(x) for x in zip(*out, strict=True))
+                out.append((np.full(near.sum(), i), j[near]))
+    i, j = (np.concatenate(x) for x in zip(*out, strict=True))
     swap = key[i] > key[j]
     i, j = np.where(swap, j, i), np.where(swap, i, j)
-    return pa.table({"a": key[i], "b": key[j], "root_a": root[i], "root_b": root[j], "far": far})
+    return pa.table({"a": key[i], "b": key[j], "root_a": root[i], "root_b": root[j]})
+
+
+def _may_differ(sizes: np.ndarray) -> np.ndarray:
+    """Shingles in which two sets at SIMILARITY may differ, by the sum of their sizes."""
+    return (1 - SIMILARITY) / (1 + SIMILARITY) * sizes + 1e-6
+
+
+def counted(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """pairs(a, b, lo, hi) that the counts of texts(key, size, bins) leave open, and far: by how much the counts differ."""
+    for side in ("a", "b"):
+        pairs = pairs.join(texts.select(F.col("key").alias(side), F.col("size").alias(f"size_{side}"), F.col("bins").alias(f"bins_{side}")), side)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                one, two = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, WIDE).astype(np.int16) for k in (4, 5))
+                far = np.abs(one - two).sum(axis=1, dtype=np.int64)
+                out = pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(far)], ["a", "b", "lo", "hi", "far"])
+                yield out.filter(pa.array(far <= _may_differ(batch.column(6).to_numpy())))
+
+    pairs = pairs.select("a", "b", "lo", "hi", "bins_a", "bins_b", (F.col("size_a") + F.col("size_b")).alias("sizes"))
+    return pairs.mapInArrow(run, "a long, b long, lo long, hi long, far long")
 
 
 def left_links(docs: DataFrame, texts: DataFrame) -> DataFrame:
     """Links (a, b) between roots for every two texts of SIMILARITY or more that have different roots, so that none is left out.
 
-    texts: key, doc_id, root, size, p0 to p3, a row for each different text of docs. Two sets at SIMILARITY share a shingle of
+    texts: key, doc_id, root, size, p0 to p3, bins, a row for each different text of docs. Two sets at SIMILARITY share a shingle of
     their prefixes, whatever the order of shingles; frequent ones, by a sample, come last, which only makes cells smaller.
     """
     prepare(docs.sparkSession)
@@ -553,9 +580,12 @@ def left_links(docs: DataFrame, texts: DataFrame) -> DataFrame:
     odd = [f"p{k}" for k in range(WIDE // 64)]
     cells = cells.join(texts.select("key", "size", *odd), "key")
     cells = cells.select("token", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "key", "root", "size", *odd)
-    found = map_groups(cells, ["token", "lo", "hi"], [], "a long, b long, root_a long, root_b long, far long", _open_pairs)
-    found = found.select("a", "b", F.least("root_a", "root_b").alias("lo"), F.greatest("root_a", "root_b").alias("hi"), "far")
-    found = materialize(found.dropDuplicates(["a", "b"]))
+    found = map_groups(cells, ["token", "lo", "hi"], [], "a long, b long, root_a long, root_b long", _open_pairs)
+    found = found.select("a", "b", F.least("root_a", "root_b").alias("lo"), F.greatest("root_a", "root_b").alias("hi"))
+    some = materialize(found.dropDuplicates(["a", "b"]))
+    discard(shared, rooted)
+    found = materialize(counted(some, texts))
+    discard(some)
 
     def alike(pairs: DataFrame) -> DataFrame:
         ends = pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key"))).distinct()
@@ -591,7 +621,7 @@ def groups(docs: DataFrame) -> DataFrame:
     more = similar(docs, nodes, between).select(F.col("lo").alias("a"), F.col("hi").alias("b"))
     root = materialize(connected_components(root.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more)))
     owner = materialize(unique.join(root.select(F.col("node").alias("id"), "root"), "id", "left").select(*names, "rep", F.coalesce("root", "id").alias("root")))
-    texts = fps.groupBy("key").agg(F.min(F.struct("doc_id", "size", *names, *(f"p{k}" for k in range(WIDE // 64)))).alias("x")).select("key", "x.*")
+    texts = fps.groupBy("key").agg(F.min(F.struct("doc_id", "size", *names, *(f"p{k}" for k in range(WIDE // 64)), "bins")).alias("x")).select("key", "x.*")
     texts = materialize(texts.join(owner.select(*names, "root"), names).drop(*names))
     last = materialize(connected_components(left_links(docs, texts)))
     owner = owner.join(last.select(F.col("node").alias("root"), F.col("root").alias("_last")), "root", "left").select(*names, "rep", F.coalesce("_last", "root").alias("root"))
@@ -606,8 +636,9 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     A doc_id that is repeated with other texts names other documents. Texts without words are one group; of rows that
     repeat doc_id and text, one stays.
     """
-    kept = groups(docs).where("doc_id <=> root_id and key = root_key").groupBy("doc_id", "key").agg(F.count("*").alias("_rows"))
-    kept = materialize(kept.select(F.col("doc_id").alias("_kept_id"), F.col("key").alias("_kept_key"), F.col("_rows").alias("_kept_rows")))
+    with brief_shuffles(docs.sparkSession):
+        kept = groups(docs).where("doc_id <=> root_id and key = root_key").groupBy("doc_id", "key").agg(F.count("*").alias("_rows"))
+        kept = materialize(kept.select(F.col("doc_id").alias("_kept_id"), F.col("key").alias("_kept_key"), F.col("_rows").alias("_kept_rows")))
     names = docs.columns
     rows = docs.withColumns({"_text_key": F.xxhash64("text"), "_no_id": F.col("doc_id").isNull(), "_some_id": F.coalesce("doc_id", F.lit(0))})
     kept = kept.select(F.col("_kept_id").isNull().alias("_no_id"), F.coalesce("_kept_id", F.lit(0)).alias("_some_id"), F.col("_kept_key").alias("_text_key"), "_kept_rows")

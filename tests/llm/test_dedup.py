@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import time
 
 import numpy as np
 import pytest
@@ -119,6 +120,37 @@ def test_frequent_shingles_come_last():
     assert simhash._prefix(h[:5], h[:0], h[:0]).tolist() == [1, 2]
 
 
+def test_counts_tell_long_texts_apart(spark):
+    """Sets of 2000 of which half are shared go, whose parities leave them open; those at the similarity stay."""
+    rng = np.random.default_rng(4)
+    a = rng.integers(0, 1 << 63, 2000, np.uint64)
+    sets = [a, *(np.concatenate([a[:n], rng.integers(0, 1 << 63, 2000 - n, np.uint64)]) for n in (1000, 1778, 1999))]
+    for b in sets[1:]:
+        far = np.abs(np.subtract(*(np.frombuffer(simhash.counts(x), np.uint8).astype(int) for x in (a, b)))).sum()
+        assert far <= len(np.setxor1d(a, b))
+    assert np.bitwise_count(simhash.parity(a) ^ simhash.parity(sets[1])).sum() <= simhash._may_differ(np.array(4000))
+    texts = spark.createDataFrame([(k, len(x), simhash.counts(x)) for k, x in enumerate(sets)], "key long, size long, bins binary")
+    pairs = spark.createDataFrame([(0, k, 0, k) for k in (1, 2, 3)], "a long, b long, lo long, hi long")
+    assert sorted(r.b for r in simhash.counted(pairs, texts).collect()) == [2, 3]
+    full = np.zeros(1000, np.uint64)
+    assert max(simhash.counts(full)) == 255 and len(simhash.counts(full[:0])) == simhash.WIDE
+
+
+def test_shuffle_files_go(spark):
+    """What the stage shuffled is removed when each of its queries ends."""
+    found = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    docs = spark.createDataFrame(list(enumerate(corpus(random.Random(5), [60] * 20, 2, [0.02]))), "doc_id long, text string").repartition(4)
+    before = found.getAllFiles().size()
+    out = simhash.deduplicated(docs)
+    for _ in range(40):
+        if found.getAllFiles().size() <= before:
+            break
+        time.sleep(0.25)
+    assert found.getAllFiles().size() <= before
+    assert out.count() == out.count() > 0
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+
+
 def test_rows_and_columns(spark):
     """Repeated ids with other texts are documents of their own; null ids; extra columns keep their names."""
     rows = [(2, "a b c d e f g"), (5, "a b c d e f g"), (5, "h i j k l m"), (7, "n o p q r"), (7, "s t u v w"), (None, "x y z x y"), (None, "a b c d e f g"), (9, "lone words here"), (9, "lone words here")]
