@@ -233,9 +233,9 @@ RECALL, LEAST_RUN, RUN_DOCS = 0.97, 12, 256
 #: Fingerprints of a cell that a task walks at once (larger cells, of a hot group, are dealt into blocks, and one of each joined
 #: group goes on); those whose pairs are listed without looking for a hub; one in so many is counted to find large cells.
 WIDE_CELL, PAIRS_AT_ONCE, COUNTED = 1 << 12, 1 << 9, 16
-#: Rows of one shingle that are held against each other at once (more are dealt into blocks, and every two blocks meet); documents of the
-#: sample that tells frequent shingles, and shingles of that list.
-EXACT_CELL, LISTED_DOCS, LISTED = 1 << 10, 20_000, 1 << 16
+#: Rows of one shingle that are held against each other at once (more are dealt into blocks, and every two blocks meet); shingles of the
+#: sets that are; documents of the sample that tells frequent shingles, and shingles of that list.
+EXACT_CELL, EXACT_SHINGLES, LISTED_DOCS, LISTED = 1 << 10, 1 << 21, 20_000, 1 << 16
 
 
 def shingles(text: str | None, words: dict[bytes, int]) -> np.ndarray:
@@ -458,8 +458,8 @@ def wide_links(unique: DataFrame) -> tuple[DataFrame, DataFrame]:
     return roots, between
 
 
-def similar(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """pairs(a, b, ...) whose documents have SIMILARITY or more; nodes: id, doc_id, key of those in pairs, each a row of docs."""
+def shingle_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """id, set (the sorted shingles) of nodes(id, doc_id, key), each a row of docs."""
     prepare(docs.sparkSession)
     rows = docs.select(F.col("doc_id").alias("_d"), F.xxhash64("text").alias("_k"), "text")
     rows = rows.join(nodes, rows["_d"].eqNullSafe(nodes["doc_id"]) & (rows["_k"] == nodes["key"])).select("id", "text")
@@ -468,7 +468,12 @@ def similar(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
         words = _Words()
         return {"id": c["id"], "set": [shingles(x, words).view(np.int64).tolist() for x in c["text"]]}
 
-    sets = materialize(map_rows(rows, "id long, set array<long>", run).dropDuplicates(["id"]))
+    return materialize(map_rows(rows, "id long, set array<long>", run).dropDuplicates(["id"]))
+
+
+def similar(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """pairs(a, b, ...) whose documents have SIMILARITY or more; nodes: id, doc_id, key of those in pairs, each a row of docs."""
+    sets = shingle_sets(docs, nodes)
     for side in ("a", "b"):
         pairs = pairs.join(sets.select(F.col("id").alias(side), F.col("set").alias(f"_{side}")), side)
     both = F.size(F.array_intersect("_a", "_b"))
@@ -487,12 +492,16 @@ def _prefix(h: np.ndarray, listed: np.ndarray, times: np.ndarray) -> np.ndarray:
 
 
 def _shingle_rows(docs: DataFrame, listed: np.ndarray | None = None, times: np.ndarray | None = None) -> DataFrame:
-    """token, key for each shingle of different texts (of their prefix, if there is a list); a text may come once a task."""
+    """token, key, prev, at for each shingle of different texts (of their prefix, if there is a list); a text may come once a task.
+
+    at: the shingle's place in the order of its text, prev: the shingle before it (0 at place 0).
+    """
+    names = ["token", "key", "prev", "at"]
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            words, keys, tokens = _Words(), [], []
+            words, keys, tokens, prev, at = _Words(), [], [], [], []
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if key not in seen:
                     seen.add(key)
@@ -500,42 +509,124 @@ def _shingle_rows(docs: DataFrame, listed: np.ndarray | None = None, times: np.n
                     if len(h):
                         tokens.append(h if listed is None else _prefix(h, listed, times))
                         keys.append(np.full(len(tokens[-1]), key, np.int64))
+                        prev.append(np.concatenate([np.zeros(1, np.uint64), tokens[-1][:-1]]))
+                        at.append(np.arange(len(tokens[-1]), dtype=np.int32))
             if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(keys))], ["token", "key"])
+                columns = [np.concatenate(tokens).view(np.int64), np.concatenate(keys), np.concatenate(prev).view(np.int64), np.concatenate(at)]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names)
 
-    return docs.select(F.xxhash64("text").alias("key"), "text").mapInArrow(deal, "token long, key long")
+    return docs.select(F.xxhash64("text").alias("key"), "text").mapInArrow(deal, "token long, key long, prev long, at int")
 
 
 def _several(t: pa.Table) -> pa.Table:
     """Rows of whole tokens, without repeats, of tokens that two or more texts have."""
     token, key = t.column("token").to_numpy(), t.column("key").to_numpy()
     new = np.concatenate([[True], (token[1:] != token[:-1]) | (key[1:] != key[:-1])])
-    token, key = token[new], key[new]
+    token = token[new]
     same = token[1:] == token[:-1]
     some = np.concatenate([same, [False]]) | np.concatenate([[False], same])
-    return pa.table({"token": token[some], "key": key[some]})
+    return t.take(pa.array(np.flatnonzero(new)[some]))
+
 
+#: Columns of the rows of cells, after those that name the cell.
+MEMBER = {"key": "long", "root": "long", "size": "long", "prev": "long", "at": "int"}
 
-def _open_pairs(t: pa.Table) -> pa.Table:
-    """Of whole cells (token, lo, hi, key, root, size, p0 to p3): pairs of texts of different root that size and parity leave open."""
-    cell = np.column_stack([t.column(c).to_numpy() for c in ("token", "lo", "hi")])
-    key, root, size = (t.column(c).to_numpy() for c in ("key", "root", "size"))
+
+def _open_pairs(t: pa.Table, cell: list[str], gap) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Rows i, j of one cell (its columns, MEMBER) whose texts have different roots and may be at SIMILARITY, and their gap.
+
+    gap(i, j): a number of shingles in which the sets differ at least. Texts that share the shingle before, too, are left to the cell of that one, which
+    both are in. So a pair is open where its first shared shingle is: what comes before it in either text isn't shared, and what
+    comes after it must hold what SIMILARITY asks for.
+    """
+    names = np.column_stack([t.column(c).to_numpy() for c in cell])
+    root, size, prev, at = (t.column(c).to_numpy() for c in list(MEMBER)[1:])
+    ends = np.append(np.flatnonzero((names[1:] != names[:-1]).any(axis=1)) + 1, len(names))
+    end = np.repeat(ends, np.diff(ends, prepend=0))
+    i = np.arange(len(names))
+    for step in range(1, len(names)):
+        i = i[i + step < end[i]]
+        if not len(i):
+            return
+        j = i + step
+        shared = (SIMILARITY * (size[i] + size[j]) / (1 + SIMILARITY)) - 1e-6
+        may = (root[i] != root[j]) & (np.minimum(size[i] - at[i], size[j] - at[j]) >= shared)
+        may &= (np.minimum(size[i], size[j]) >= SIMILARITY * np.maximum(size[i], size[j]) - 1e-6) & ((prev[i] != prev[j]) | (at[i] == 0) | (at[j] == 0))
+        x, y = i[may], j[may]
+        if len(x):
+            far = gap(x, y)
+            may = far <= _may_differ(size[x] + size[y])
+            yield x[may], y[may], far[may]
+
+
+def _parity_gap(t: pa.Table):
     odd = np.column_stack([t.column(f"p{k}").to_numpy() for k in range(WIDE // 64)]).view(np.uint64)
-    starts = np.flatnonzero(np.concatenate([[True], (cell[1:] != cell[:-1]).any(axis=1)]))
-    none = np.zeros(0, np.int64)
-    out = [(none, none)]
-    for s, e in zip(starts, np.append(starts[1:], len(cell)), strict=True):
-        for i in range(s, e - 1):
-            j = np.arange(i + 1, e)
-            j = j[(root[j] != root[i]) & (np.minimum(size[j], size[i]) >= SIMILARITY * np.maximum(size[j], size[i]) - 1e-6)]
-            far = np.bitwise_count(odd[j] ^ odd[i]).sum(axis=1).astype(np.int64)
-            near = far <= _may_differ(size[j] + size[i])
-            if near.any():
-                out.append((np.full(near.sum(), i), j[near]))
-    i, j = (np.concatenate(x) for x in zip(*out, strict=True))
-    swap = key[i] > key[j]
-    i, j = np.where(swap, j, i), np.where(swap, i, j)
-    return pa.table({"a": key[i], "b": key[j], "root_a": root[i], "root_b": root[j]})
+    return lambda i, j: np.bitwise_count(odd[i] ^ odd[j]).sum(axis=1).astype(np.int64)
+
+
+def _count_gap(bins: list[bytes]):
+    n = np.frombuffer(b"".join(bins), np.uint8).reshape(-1, WIDE).astype(np.int16)
+    return lambda i, j: np.abs(n[i] - n[j]).sum(axis=1, dtype=np.int64)
+
+
+def _open_rows(t: pa.Table) -> pa.Table:
+    """Of whole cells: the rows that parities leave in an open pair. They are no more than there were, however many pairs they make."""
+    some, cell = np.zeros(t.num_rows, bool), ["token", "lo", "hi"]
+    for i, j, _ in _open_pairs(t, cell, _parity_gap(t)):
+        some[i] = some[j] = True
+    return t.select([*cell, *MEMBER]).filter(pa.array(some))
+
+
+def _open_groups(t: pa.Table) -> pa.Table:
+    """Of whole cells: group, key, root, size of the texts that pairs which counts leave open join, at most a row for each that there was.
+
+    group is a hash of its texts, so that equal groups of several cells are one (if others fall together, more is compared).
+    """
+    found = list(_open_pairs(t, ["token", "lo", "hi"], _count_gap(t.column("bins").to_pylist())))
+    i, j = (np.concatenate([np.zeros(0, np.int64), *(x[k] for x in found)]) for k in (0, 1))
+    label = spanning(t.num_rows, i, j)
+    x = t.column("key").to_numpy().astype(np.uint64) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
+    group = np.zeros(t.num_rows, np.uint64)
+    np.add.at(group, label, x ^ (x >> np.uint64(29)))
+    some = np.unique(np.concatenate([i, j]))
+    return pa.table({"group": group[label[some]].view(np.int64), **{c: t.column(c).to_numpy()[some] for c in ("key", "root", "size")}})
+
+
+def _exact_links(t: pa.Table) -> pa.Table:
+    """Of whole groups with the sets of their texts: links (a, b) of roots that join all that pairs at SIMILARITY join, without a circle."""
+    column = t.column("set").combine_chunks()
+    ends, values = column.offsets.to_numpy(), column.values.to_numpy()
+    sets = [values[s:e] for s, e in itertools.pairwise(ends)]
+    found = list(_open_pairs(t, ["group", "lo", "hi"], _count_gap([counts(x.view(np.uint64)) for x in sets])))
+    if not found:
+        return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+    i, j, far = (np.concatenate(x) for x in zip(*found, strict=True))
+    root, parent, links = t.column("root").to_pylist(), {}, []
+
+    def top(x: int) -> int:
+        while (y := parent.get(x, x)) != x:
+            parent[x] = x = parent.get(y, y)
+        return x
+
+    for k in np.argsort(far, kind="stable").tolist():
+        x, y = sets[i[k]], sets[j[k]]
+        a, b = top(root[i[k]]), top(root[j[k]])
+        if a != b:
+            both = len(np.intersect1d(x, y, assume_unique=True))
+            if both >= SIMILARITY * (len(x) + len(y) - both):
+                parent[b] = a
+                links.append((root[i[k]], root[j[k]]))
+    return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
+
+
+def _dealt(rows: DataFrame, cell: str, weight: F.Column, most: int) -> DataFrame:
+    """rows of cells with several roots, and the blocks lo and hi that meet: a cell heavier than most is dealt into blocks, and every two blocks meet."""
+    heavy = rows.groupBy(cell).agg(F.min("root").alias("_a"), F.max("root").alias("_b"), F.ceil(F.sum(weight) / most).cast("int").alias("_blocks")).where("_a < _b")
+    rows = rows.join(heavy.drop("_a", "_b"), cell)
+    rows = rows.withColumn("_own", F.pmod(F.xxhash64("key", F.lit(2)), "_blocks").cast("int"))
+    rows = rows.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+    return rows.withColumns({"lo": F.least("_own", "_other"), "hi": F.greatest("_own", "_other")}).drop("_own", "_other", "_blocks")
 
 
 def _may_differ(sizes: np.ndarray) -> np.ndarray:
@@ -551,8 +642,8 @@ def counted(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                one, two = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, WIDE).astype(np.int16) for k in (4, 5))
-                far = np.abs(one - two).sum(axis=1, dtype=np.int64)
+                n = batch.num_rows
+                far = _count_gap(batch.column(4).to_pylist() + batch.column(5).to_pylist())(np.arange(n), np.arange(n, 2 * n))
                 out = pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(far)], ["a", "b", "lo", "hi", "far"])
                 yield out.filter(pa.array(far <= _may_differ(batch.column(6).to_numpy())))
 
@@ -561,45 +652,34 @@ def counted(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def left_links(docs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Links (a, b) between roots for every two texts of SIMILARITY or more that have different roots, so that none is left out.
+    """Links (a, b) between roots that join every two texts of SIMILARITY or more that have different roots, so that none is left out.
 
     texts: key, doc_id, root, size, p0 to p3, bins, a row for each different text of docs. Two sets at SIMILARITY share a shingle of
-    their prefixes, whatever the order of shingles; frequent ones, by a sample, come last, which only makes cells smaller.
+    their prefixes, whatever the order of shingles; frequent ones, by a sample, come last, which only makes cells smaller. A cell keeps the
+    texts that have an open pair in it, first by parities, then by counts; the sets of what is left are compared, each group of texts once. A
+    step gives no more rows than it takes.
     """
     prepare(docs.sparkSession)
     every = max(1, texts.count() // LISTED_DOCS)
-    some = _shingle_rows(docs.where(F.pmod(F.xxhash64("text", F.lit(1)), F.lit(every)) == 0)).distinct().groupBy("token").agg(F.count("*").alias("n"))
+    some = _shingle_rows(docs.where(F.pmod(F.xxhash64("text", F.lit(1)), F.lit(every)) == 0)).select("token", "key").distinct().groupBy("token").agg(F.count("*").alias("n"))
     listed = some.where("n > 2").orderBy(F.desc("n"), "token").limit(LISTED).toPandas()
     order = np.argsort(listed["token"].to_numpy(np.int64).view(np.uint64))
     rows = _shingle_rows(docs, listed["token"].to_numpy(np.int64).view(np.uint64)[order], listed["n"].to_numpy(np.int64)[order])
-    shared = materialize(map_groups(rows, ["token"], ["key"], "token long, key long", _several))
+    shared = materialize(map_groups(rows, ["token"], ["key"], "token long, key long, prev long, at int", _several))
     rooted = materialize(shared.join(texts.select("key", "root"), "key"))
-    sizes = rooted.groupBy("token").agg(F.min("root").alias("_a"), F.max("root").alias("_b"), F.count("*").alias("n")).where("_a < _b")
-    cells = rooted.join(sizes.select("token", F.ceil(F.col("n") / EXACT_CELL).cast("int").alias("blocks")), "token")
-    cells = cells.withColumn("own", F.pmod(F.xxhash64("key", F.lit(2)), "blocks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    odd = [f"p{k}" for k in range(WIDE // 64)]
-    cells = cells.join(texts.select("key", "size", *odd), "key")
-    cells = cells.select("token", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "key", "root", "size", *odd)
-    found = map_groups(cells, ["token", "lo", "hi"], [], "a long, b long, root_a long, root_b long", _open_pairs)
-    found = found.select("a", "b", F.least("root_a", "root_b").alias("lo"), F.greatest("root_a", "root_b").alias("hi"))
-    some = materialize(found.dropDuplicates(["a", "b"]))
+    odd, member = [f"p{k}" for k in range(WIDE // 64)], ", ".join(f"{n} {kind}" for n, kind in MEMBER.items())
+    cells = _dealt(rooted, "token", F.lit(1), EXACT_CELL).join(texts.select("key", "size", *odd), "key").select("token", "lo", "hi", *MEMBER, *odd)
+    near = materialize(map_groups(cells, ["token", "lo", "hi"], [], f"token long, lo int, hi int, {member}", _open_rows))
     discard(shared, rooted)
-    found = materialize(counted(some, texts))
-    discard(some)
-
-    def alike(pairs: DataFrame) -> DataFrame:
-        ends = pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key"))).distinct()
-        nodes = texts.join(ends, "key").select(F.col("key").alias("id"), "doc_id", "key")
-        return materialize(similar(docs, materialize(nodes), pairs).select(F.col("lo").alias("a"), F.col("hi").alias("b")).distinct())
-
-    # The closest pair of every two roots, then the pairs of roots that these leave apart.
-    first = materialize(found.groupBy("lo", "hi").agg(F.min(F.struct("far", "a", "b")).alias("x")).select("x.a", "x.b", "lo", "hi"))
-    links = alike(first)
-    joined = materialize(connected_components(links))
-    for side in ("lo", "hi"):
-        found = found.join(joined.select(F.col("node").alias(side), F.col("root").alias(f"_{side}")), side, "left")
-    rest = found.where(F.coalesce("_lo", "lo") != F.coalesce("_hi", "hi")).select("a", "b", "lo", "hi").join(first.select("a", "b"), ["a", "b"], "left_anti")
-    return links.union(alike(materialize(rest)))
+    cells = near.join(texts.select("key", "bins"), "key").select("token", "lo", "hi", *MEMBER, "bins")
+    found = map_groups(cells, ["token", "lo", "hi"], [], "group long, key long, root long, size long", _open_groups)
+    open_ = materialize(found.dropDuplicates(["group", "key"]))
+    discard(near)
+    nodes = texts.join(open_.select("key").distinct(), "key").select(F.col("key").alias("id"), "doc_id", "key")
+    sets = shingle_sets(docs, materialize(nodes)).withColumnRenamed("id", "key")
+    # Groups hold pairs from anywhere in the prefixes, so all of their pairs are looked at.
+    cells = _dealt(open_, "group", F.col("size"), EXACT_SHINGLES).withColumns({"prev": F.lit(0).cast("long"), "at": F.lit(0)}).join(sets, "key")
+    return map_groups(cells.select("group", "lo", "hi", *MEMBER, "set"), ["group", "lo", "hi"], [], "a long, b long", _exact_links).distinct()
 
 
 def groups(docs: DataFrame) -> DataFrame:
@@ -618,7 +698,8 @@ def groups(docs: DataFrame) -> DataFrame:
     between = materialize(between.dropDuplicates(["a", "b"]))
     ends = between.select(F.col("a").alias("id")).union(between.select(F.col("b").alias("id"))).distinct()
     nodes = materialize(unique.join(ends, "id").select("id", "rep.doc_id", "rep.key"))
-    more = similar(docs, nodes, between).select(F.col("lo").alias("a"), F.col("hi").alias("b"))
+    sized = materialize(nodes.join(fps.select("key", "size", "bins"), "key").dropDuplicates(["id"]).select(F.col("id").alias("key"), "size", "bins"))
+    more = similar(docs, nodes, counted(between, sized)).select(F.col("lo").alias("a"), F.col("hi").alias("b"))
     root = materialize(connected_components(root.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more)))
     owner = materialize(unique.join(root.select(F.col("node").alias("id"), "root"), "id", "left").select(*names, "rep", F.coalesce("root", "id").alias("root")))
     texts = fps.groupBy("key").agg(F.min(F.struct("doc_id", "size", *names, *(f"p{k}" for k in range(WIDE // 64)), "bins")).alias("x")).select("key", "x.*")

@@ -113,6 +113,34 @@ def test_no_link_is_left_out(spark, monkeypatch, cell, tries):
     assert kept(spark, texts) == sorted(set(roots(texts)))
 
 
+@pytest.mark.parametrize("shingles", [1 << 21, 900])
+def test_steps_give_no_more_rows_than_they_take(spark, monkeypatch, shingles):
+    """Groups of texts that all link, and hardly any trie: steps over cells give rows of texts or links that join them, not pairs."""
+    given, real = [], simhash.map_groups
+
+    def noted(df, keys, order, schema, function):
+        df = simhash.materialize(df)
+        out = simhash.materialize(real(df, keys, order, schema, function))
+        given.append((function.__name__, df.count(), out.count()))
+        return out
+
+    monkeypatch.setattr(simhash, "map_groups", noted)
+    monkeypatch.setattr(simhash, "runs_for", lambda n: (1, 40))
+    monkeypatch.setattr(simhash, "EXACT_SHINGLES", shingles, raising=False)
+    rng = random.Random(12)
+    texts = []
+    for _ in range(2):
+        words = ["".join(rng.choices("abcdefghijklmnop", k=6)) for _ in range(450)]
+        for k in range(40):
+            copy = list(words)
+            for at in rng.sample(range(450), 4):
+                copy[at] = f"changed{k}" + copy[at]
+            texts.append(" ".join(copy))
+    want = sorted(set(roots(texts)))
+    assert kept(spark, texts) == want and len(want) < 6
+    assert len(given) > 3 and all(out <= n for _, n, out in given), given
+
+
 def test_frequent_shingles_come_last():
     h = np.arange(1, 21, dtype=np.uint64)
     assert simhash._prefix(h, np.array([1, 2, 40], np.uint64), np.array([5, 3, 9])).tolist() == [3, 4, 5, 6, 7]
